@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,19 +49,20 @@ SUPER_LABEL = "CodeElement"
 def conform_nodes(df: DataFrame) -> DataFrame:
     """Add missing node columns as typed nulls and order the columns."""
     have = set(df.columns)
-    cols = []
+    exprs = []
     for field in NODE_SCHEMA:
+        kind = field.dataType.simpleString()
         if field.name in have:
-            cols.append(F.col(field.name).cast(field.dataType).alias(field.name))
+            exprs.append(f"cast(`{field.name}` as {kind}) as `{field.name}`")
         elif field.name == "labels":
-            cols.append(F.array(F.col("label"), F.lit(SUPER_LABEL)).alias("labels"))
+            exprs.append(f"array(label, '{SUPER_LABEL}') as labels")
         else:
-            cols.append(F.lit(None).cast(field.dataType).alias(field.name))
-    return df.select(*cols)
+            exprs.append(f"cast(null as {kind}) as `{field.name}`")
+    return df.selectExpr(*exprs)
 
 
 def conform_edges(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in EDGE_SCHEMA])
+    return df.selectExpr(*[f"cast(`{f.name}` as string) as `{f.name}`" for f in EDGE_SCHEMA])
 
 
 def sanitize_label(label):
@@ -68,28 +70,82 @@ def sanitize_label(label):
     return F.regexp_replace(label, "[^A-Za-z0-9_]", "")
 
 
-@dataclass(frozen=True)
+Parts = Mapping[str, Callable[[], DataFrame]]
+
+
 class PropertyGraph:
-    """An immutable graph; enrichments return a new one."""
+    """An immutable graph; enrichments return a new one.
+
+    A graph is two frames, or a mapping from label (edge type) to the frame of that part,
+    as in storage partitioned by it. Parts are only built, and so only read, when asked
+    for; ``nodes`` and ``edges`` are the unions of all.
+    """
+
+    def __init__(
+        self,
+        nodes: DataFrame | None = None,
+        edges: DataFrame | None = None,
+        node_parts: Parts | None = None,
+        edge_parts: Parts | None = None,
+    ):
+        self._nodes, self._edges = nodes, edges
+        self._node_parts, self._edge_parts = node_parts, edge_parts
+        self._built: dict[str, DataFrame] = {}
+
+    def _node_part(self, label: str) -> DataFrame:
+        if (key := f"node {label}") not in self._built:
+            self._built[key] = conform_nodes(self._node_parts[label]())
+        return self._built[key]
+
+    def _edge_part(self, kind: str) -> DataFrame:
+        if (key := f"edge {kind}") not in self._built:
+            self._built[key] = self._edge_parts[kind]().selectExpr("src", "dst", f"'{kind}' as type")
+        return self._built[key]
 
-    nodes: DataFrame
-    edges: DataFrame
+    @property
+    def nodes(self) -> DataFrame:
+        if self._nodes is None:
+            self._nodes = reduce(DataFrame.unionByName, [self._node_part(k) for k in self._node_parts])
+        return self._nodes
+
+    @property
+    def edges(self) -> DataFrame:
+        if self._edges is None:
+            self._edges = reduce(DataFrame.unionByName, [self._edge_part(k) for k in self._edge_parts])
+        return self._edges
 
     @property
     def spark(self) -> SparkSession:
         return self.nodes.sparkSession
 
     def labelled(self, *labels: str) -> DataFrame:
+        """Nodes whose canonical label is one of ``labels``."""
+        known = [k for k in labels if k in (self._node_parts or {})]
+        if known:
+            return reduce(DataFrame.unionByName, [self._node_part(k) for k in known])
         return self.nodes.where(F.col("label").isin(*labels))
 
     def of_type(self, *types: str) -> DataFrame:
-        return self.edges.where(F.col("type").isin(*types)) if types else self.edges
+        """Edges of the given types; of all types when none is given."""
+        if not types:
+            return self.edges
+        known = [k for k in types if k in (self._edge_parts or {})]
+        if known:
+            return reduce(DataFrame.unionByName, [self._edge_part(k) for k in known])
+        return self.edges.where(F.col("type").isin(*types))
 
     def with_nodes(self, nodes: DataFrame) -> PropertyGraph:
-        return replace(self, nodes=nodes)
+        return PropertyGraph(nodes, self._edges, None, self._edge_parts)
 
     def with_edges(self, edges: DataFrame) -> PropertyGraph:
-        return replace(self, edges=edges)
+        return PropertyGraph(self._nodes, edges, self._node_parts, None)
+
+    def with_part(self, label: str, rows: DataFrame) -> PropertyGraph:
+        """Replace all nodes of one label."""
+        if self._node_parts and label in self._node_parts:
+            return PropertyGraph(None, self._edges, {**self._node_parts, label: lambda: rows}, self._edge_parts)
+        rest = self.nodes.where((F.col("label") != label) | F.col("label").isNull())
+        return self.with_nodes(rest.unionByName(conform_nodes(rows)))
 
     def public_nodes(self) -> DataFrame:
         """Nodes as shown to a client: without the embedding."""

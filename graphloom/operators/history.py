@@ -167,5 +167,4 @@ def update_file_history(graph: PropertyGraph, history: DataFrame) -> PropertyGra
             for old in NODE_COLUMNS
         ]
     )
-    rest = graph.nodes.where("label is null or label <> 'File'")
-    return graph.with_nodes(rest.unionByName(files))
+    return graph.with_part("File", files)

@@ -2,38 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.model import PropertyGraph
 
-Refs = "str | list[str] | DataFrame"
+def _named(refs: str | list[str]) -> Column:
+    wanted = [refs] if isinstance(refs, str) else list(refs)
+    return F.col("id").isin(wanted) | F.col("fqn").isin(wanted) | F.col("name").isin(wanted)
 
 
-def resolve(graph: PropertyGraph, refs) -> DataFrame:
-    """Nodes whose id, fqn or name equals a reference.
+def resolve_ids(graph: PropertyGraph, refs) -> DataFrame:
+    """Ids of the nodes whose id, fqn or name equals a reference.
 
     ``refs`` is a string, a list of strings or a DataFrame with a ``ref`` column. The
-    DataFrame form is a union of three equi-joins; one join on a disjunction would be a
-    nested loop.
+    DataFrame form is one equi-join on the exploded keys of a node; a join on a
+    disjunction would be a nested loop.
     """
     if isinstance(refs, DataFrame):
-        keys = refs.select("ref").distinct()
-        hits = None
-        for col in ("id", "fqn", "name"):
-            part = graph.nodes.join(keys, F.col(col) == F.col("ref"), "left_semi")
-            hits = part if hits is None else hits.unionByName(part)
-        return hits.dropDuplicates(["id"])
-    wanted = [refs] if isinstance(refs, str) else list(refs)
-    return graph.nodes.where(
-        F.col("id").isin(wanted) | F.col("fqn").isin(wanted) | F.col("name").isin(wanted)
-    )
+        keys = graph.nodes.select("id", F.explode(F.array("id", "fqn", "name")).alias("ref"))
+        return keys.join(refs.select("ref"), "ref", "left_semi").select("id").distinct()
+    return graph.nodes.where(_named(refs)).select("id")
 
 
-def resolve_one(graph: PropertyGraph, refs) -> DataFrame:
-    """The hit with the lowest id."""
-    return resolve(graph, refs).orderBy("id").limit(1)
+def resolve(graph: PropertyGraph, refs) -> DataFrame:
+    """The nodes themselves."""
+    if isinstance(refs, DataFrame):
+        return graph.nodes.join(resolve_ids(graph, refs), "id", "left_semi")
+    return graph.nodes.where(_named(refs))
 
 
-def node_names(graph: PropertyGraph) -> DataFrame:
-    return graph.nodes.select("id", "name")
+def resolve_one(graph: PropertyGraph, refs) -> DataFrame:
+    """The id of the hit with the lowest id."""
+    return resolve_ids(graph, refs).orderBy("id").limit(1)

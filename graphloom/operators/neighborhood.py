@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.model import PropertyGraph
-from graphloom.operators.lookup import resolve
+from graphloom.operators.lookup import resolve_ids
 from graphloom.operators.reach import reach_again, steps
 
 
 def _into(graph: PropertyGraph, node, edge_type: str) -> DataFrame:
     """Ids of the sources of ``edge_type`` edges that end on the named nodes."""
-    targets = resolve(graph, node).select(F.col("id").alias("dst"))
+    targets = resolve_ids(graph, node).select(F.col("id").alias("dst"))
     return graph.of_type(edge_type).join(targets, "dst", "left_semi").select(F.col("src").alias("id"))
 
 
@@ -30,7 +30,7 @@ def callers(graph: PropertyGraph, node) -> DataFrame:
 
 def impact(graph: PropertyGraph, node, depth: int = 1) -> DataFrame:
     """Distinct ``(caller, is_volatile)`` of callers up to ``depth`` calls away."""
-    seeds = resolve(graph, node).select("id")
+    seeds = resolve_ids(graph, node)
     found = reach_again(steps(graph, ("CALLS",), reverse=True), seeds, depth)
     return (
         graph.nodes.select("id", "name", "is_volatile")
@@ -43,7 +43,7 @@ def impact(graph: PropertyGraph, node, depth: int = 1) -> DataFrame:
 
 def globals_used(graph: PropertyGraph, node) -> DataFrame:
     """Name and file of each global a node uses directly."""
-    users = resolve(graph, node).select(F.col("id").alias("src"))
+    users = resolve_ids(graph, node).select(F.col("id").alias("src"))
     used = graph.of_type("USES_GLOBAL").join(users, "src", "left_semi").select(F.col("dst").alias("id"))
     return graph.labelled("Global").select("id", "name", "file").join(used, "id").select("name", "file")
 

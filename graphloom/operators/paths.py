@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.model import PropertyGraph
-from graphloom.operators.lookup import resolve, resolve_one
+from graphloom.operators.lookup import resolve_ids, resolve_one
 from graphloom.session import cut
 
 # Trails longer than this are cut every hop, so that no plan replays earlier hops.
@@ -81,7 +81,7 @@ def traverse(
     ``types`` is a comma-separated list, empty for any type.
     """
     wanted = tuple(t.strip() for t in types.split(",") if t.strip())
-    found = trails(graph, resolve(graph, start).select("id"), wanted, direction, max(depth, 0))
+    found = trails(graph, resolve_ids(graph, start), wanted, direction, max(depth, 0))
     return found.select(
         F.size("edges").cast("bigint").alias("path_len"),
         F.array_join("node_ids", ">").alias("node_path"),
@@ -110,9 +110,8 @@ def semantic_trace(graph: PropertyGraph, node) -> DataFrame:
     The implementing edge is accepted in both orientations: pipelines write it from the
     function, hand-made graphs from the feature.
     """
-    functions = resolve(graph, node).where("label = 'Function'").select(
-        F.col("id").alias("function_id")
-    )
+    named = resolve_ids(graph.with_nodes(graph.labelled("Function")), node)
+    functions = named.select(F.col("id").alias("function_id"))
     features = graph.labelled("Feature").select(F.col("id").alias("feature_id"))
     domains = graph.labelled("Domain").select(F.col("id").alias("domain_id"))
     files = graph.labelled("File").select(F.col("id").alias("file_id"))
@@ -145,7 +144,7 @@ def neighbors(graph: PropertyGraph, node, depth: int = 1, limit: int = 10) -> Da
     The scope is the node and, for a class, its methods. Globals come with the names of
     the path that leads to them. The cut to ``limit`` keeps globals first.
     """
-    root = resolve_one(graph, node).select("id")
+    root = resolve_one(graph, node)
     methods = (
         graph.of_type("HAS_METHOD")
         .join(root.select(F.col("id").alias("src")), "src", "left_semi")

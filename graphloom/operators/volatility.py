@@ -52,24 +52,19 @@ def seed_ids(graph: PropertyGraph, module: str, rules: Sequence[VolatilityRule])
     return functions.join(located, "id").where(hits).select("id").distinct()
 
 
-def _set_column(graph: PropertyGraph, column: str, values: DataFrame, label: str, default=None) -> PropertyGraph:
-    """Replace a column on nodes of one label from ``(id, value)``."""
+def _set_column(graph: PropertyGraph, column: str, values: DataFrame, default=None) -> PropertyGraph:
+    """Replace a column of functions from ``(id, value)``."""
     marked = values.select("id", F.col("value").alias("__value"))
-    joined = graph.nodes.join(marked, "id", "left")
+    joined = graph.labelled("Function").join(marked, "id", "left")
     fresh = F.coalesce("__value", default) if default is not None else F.col("__value")
-    new = F.when(F.col("label") == label, fresh).otherwise(F.col(column))
-    return graph.with_nodes(joined.withColumn(column, new).select(*NODE_COLUMNS))
+    return graph.with_part("Function", joined.withColumn(column, fresh).select(*NODE_COLUMNS))
 
 
 def seed_volatility(graph: PropertyGraph, module: str, rules: Sequence[VolatilityRule]) -> PropertyGraph:
     """Clear the flags and scores of all functions, then flag what the rules mark."""
-    cleared = graph.with_nodes(
-        graph.nodes.withColumn(
-            "volatility_score", F.when(F.col("label") != "Function", F.col("volatility_score"))
-        )
-    )
+    unscored = graph.labelled("Function").withColumn("volatility_score", F.lit(None).cast("double"))
     seeds = seed_ids(graph, module, rules).withColumn("value", F.lit(True))
-    return _set_column(cleared, "is_volatile", seeds, "Function")
+    return _set_column(graph.with_part("Function", unscored), "is_volatile", seeds)
 
 
 def count_volatile(graph: PropertyGraph) -> DataFrame:
@@ -95,7 +90,7 @@ def volatile_hops(graph: PropertyGraph) -> DataFrame:
 def propagate_volatility(graph: PropertyGraph) -> PropertyGraph:
     """Flag every direct and indirect caller of a volatile function."""
     found = volatile_hops(graph).select("id", F.lit(True).alias("value"))
-    return _set_column(graph, "is_volatile", found, "Function", default=F.col("is_volatile"))
+    return _set_column(graph, "is_volatile", found, default=F.col("is_volatile"))
 
 
 def volatility_scores(graph: PropertyGraph) -> DataFrame:
@@ -153,9 +148,10 @@ def with_risk(graph: PropertyGraph) -> PropertyGraph:
     scored = risk_scores(graph).select(
         "id", F.col("volatility_score").alias("__vol"), F.col("risk_score").alias("__risk")
     )
-    joined = graph.nodes.join(scored, "id", "left")
-    return graph.with_nodes(
+    joined = graph.labelled("Function").join(scored, "id", "left")
+    return graph.with_part(
+        "Function",
         joined.withColumn("volatility_score", F.coalesce("__vol", "volatility_score"))
         .withColumn("risk_score", F.coalesce("__risk", "risk_score"))
-        .select(*NODE_COLUMNS)
+        .select(*NODE_COLUMNS),
     )

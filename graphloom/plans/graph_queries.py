@@ -13,12 +13,13 @@ from graphloom.plans.retail import CHURN_SQL, TOUCH_SQL, Tables, graph_sql, reta
 # ---- starts: the busiest nodes of the graph, found in it ------------------------------
 
 
-def busiest(graph, end: str) -> DataFrame:
-    """The node with the most calls at one end, as a reference."""
-    return (
+def busiest(graph, end: str) -> str:
+    """Id of the node with the most calls at one end."""
+    top = (
         graph.of_type("CALLS").groupBy(F.col(end).alias("ref")).agg(F.count("*").alias("n"))
         .orderBy(F.desc("n"), "ref").limit(1).select("ref")
     )
+    return top.first()[0]
 
 
 CALLER = "caller AS (SELECT src AS id FROM calls GROUP BY src ORDER BY count(*) DESC, src LIMIT 1)"

@@ -7,8 +7,6 @@ supplier, and, for single-piece lines, to the nation of its supplier. The SQL in
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,69 +55,78 @@ def function_rows(t: Tables) -> DataFrame:
     )
 
 
-def base_nodes(t: Tables) -> list[DataFrame]:
-    brand, kind = t.part.select("p_brand").distinct(), t.part.select("p_type").distinct()
+def node_parts(t: Tables) -> dict:
     n = F.col("n_nationkey")
-    return [
-        function_rows(t),
-        brand.select(
-            text("file:", "p_brand").alias("id"), F.lit("File").alias("label"),
-            F.col("p_brand").alias("name"), F.col("p_brand").alias("file"),
+    described = F.when(n % 3 == 0, F.lit("")).when(n % 3 == 2, F.concat(F.lit("about "), "n_name"))
+    return {
+        "Function": lambda: function_rows(t),
+        "File": lambda: t.part.select("p_brand").distinct().selectExpr(
+            "concat('file:', p_brand) as id", "'File' as label", "p_brand as name", "p_brand as file"
+        ),
+        "Class": lambda: t.part.select("p_type").distinct().selectExpr(
+            "concat('cls:', p_type) as id", "'Class' as label", "p_type as name"
         ),
-        kind.select(text("cls:", "p_type").alias("id"), F.lit("Class").alias("label"), F.col("p_type").alias("name")),
-        t.supplier.select(
-            text("gv:", "s_suppkey").alias("id"), F.lit("Global").alias("label"),
-            F.col("s_name").alias("name"), text("globals/", "s_nationkey").alias("file"),
+        "Global": lambda: t.supplier.selectExpr(
+            "concat('gv:', s_suppkey) as id", "'Global' as label", "s_name as name", "concat('globals/', s_nationkey) as file"
         ),
-        t.nation.select(
+        "Feature": lambda: t.nation.select(
             text("feat:", "n_nationkey").alias("id"), F.lit("Feature").alias("label"), F.col("n_name").alias("name"),
-            F.when(n % 3 == 0, F.lit("")).when(n % 3 == 2, F.concat(F.lit("about "), "n_name")).alias("description"),
+            described.alias("description"),
         ),
-        t.region.select(
-            text("dom:", "r_regionkey").alias("id"), F.lit("Domain").alias("label"), F.col("r_name").alias("name"),
-            F.concat(F.lit("region "), "r_name").alias("description"),
+        "Domain": lambda: t.region.selectExpr(
+            "concat('dom:', r_regionkey) as id", "'Domain' as label", "r_name as name",
+            "concat('region ', r_name) as description",
         ),
-    ]
+    }
 
 
-def line_edges(t: Tables) -> DataFrame:
-    """Edges from each line to the parts on the following line number of its order."""
-    kind = (
-        F.when((F.col("l_quantity") <= 5) & (F.col("l_returnflag") == "R"), "CALLS")
-        .when((F.col("l_quantity") <= 5) & (F.col("l_returnflag") == "A"), "USES")
-        .otherwise("DEPENDS_ON")
-    )
-    here = t.lineitem.select(
-        "l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("a"), kind.alias("type")
-    )
-    there = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("b"))
-    return here.join(there, ["l_orderkey", "l_linenumber"]).where("a <> b").select("a", "b", "type").distinct().select(
-        text("fn:", "a").alias("src"), text("fn:", "b").alias("dst"), "type"
+# What a line is to the next line of its order. The three cases share no row.
+LINE_KINDS = {
+    "CALLS": "l_quantity <= 5 and l_returnflag = 'R'",
+    "USES": "l_quantity <= 5 and l_returnflag = 'A'",
+    "DEPENDS_ON": "not (l_quantity <= 5 and l_returnflag in ('R', 'A'))",
+}
+
+
+def line_edges(t: Tables, condition: str) -> DataFrame:
+    """Edges from the part of each matching line to the parts on the next line number.
+
+    The condition is a plain filter on the scan, and both sides are reduced to what the
+    join needs before it.
+    """
+    here = t.lineitem.where(condition).selectExpr("l_orderkey", "l_linenumber + 1 as l_linenumber", "l_partkey as a")
+    there = t.lineitem.selectExpr("l_orderkey", "l_linenumber", "l_partkey as b")
+    pairs = here.join(there, ["l_orderkey", "l_linenumber"]).where("a <> b").select("a", "b").distinct()
+    return pairs.selectExpr("concat('fn:', a) as src", "concat('fn:', b) as dst")
+
+
+def supplier_edges(t: Tables, condition: str) -> DataFrame:
+    pairs = t.lineitem.where(condition).select("l_partkey", "l_suppkey").distinct()
+    return pairs.selectExpr("concat('fn:', l_partkey) as src", "concat('gv:', l_suppkey) as dst")
+
+
+def nation_edges(t: Tables) -> DataFrame:
+    home = t.supplier.selectExpr("s_suppkey as l_suppkey", "s_nationkey")
+    pairs = t.lineitem.where("l_quantity <= 1").select("l_partkey", "l_suppkey").distinct().join(home, "l_suppkey")
+    return pairs.select("l_partkey", "s_nationkey").distinct().selectExpr(
+        "concat('fn:', l_partkey) as src", "concat('feat:', s_nationkey) as dst"
     )
 
 
-def edge_parts(t: Tables) -> list[DataFrame]:
-    lines = t.lineitem
-    uses = F.when(F.col("l_quantity") <= 2, "USES_GLOBAL").otherwise("REFERENCES").alias("type")
-    home = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    return [
-        line_edges(t),
-        lines.select("l_partkey", "l_suppkey", uses).distinct().select(
-            text("fn:", "l_partkey").alias("src"), text("gv:", "l_suppkey").alias("dst"), "type"
-        ),
-        lines.where("l_quantity <= 1").select("l_partkey", "l_suppkey").join(home, "l_suppkey")
-        .select("l_partkey", "s_nationkey").distinct().select(
-            text("fn:", "l_partkey").alias("src"), text("feat:", "s_nationkey").alias("dst"), F.lit("IMPLEMENTS").alias("type")
-        ),
-        t.part.select(text("fn:", "p_partkey").alias("src"), text("file:", "p_brand").alias("dst"), F.lit("DEFINED_IN").alias("type")),
-        t.part.select(text("cls:", "p_type").alias("src"), text("fn:", "p_partkey").alias("dst"), F.lit("HAS_METHOD").alias("type")),
-        t.nation.select(text("dom:", "n_regionkey").alias("src"), text("feat:", "n_nationkey").alias("dst"), F.lit("PARENT_OF").alias("type")),
-    ]
+def edge_parts(t: Tables) -> dict:
+    return {
+        **{kind: (lambda c=condition: line_edges(t, c)) for kind, condition in LINE_KINDS.items()},
+        "USES_GLOBAL": lambda: supplier_edges(t, "l_quantity <= 2"),
+        "REFERENCES": lambda: supplier_edges(t, "l_quantity > 2"),
+        "IMPLEMENTS": lambda: nation_edges(t),
+        "DEFINED_IN": lambda: t.part.selectExpr("concat('fn:', p_partkey) as src", "concat('file:', p_brand) as dst"),
+        "HAS_METHOD": lambda: t.part.selectExpr("concat('cls:', p_type) as src", "concat('fn:', p_partkey) as dst"),
+        "PARENT_OF": lambda: t.nation.selectExpr("concat('dom:', n_regionkey) as src", "concat('feat:', n_nationkey) as dst"),
+    }
 
 
 def retail_graph(t: Tables) -> PropertyGraph:
-    nodes = reduce(DataFrame.unionByName, [conform_nodes(df) for df in base_nodes(t)])
-    return PropertyGraph(nodes, reduce(DataFrame.unionByName, edge_parts(t)))
+    return PropertyGraph(node_parts=node_parts(t), edge_parts=edge_parts(t))
 
 
 GRAPH_SQL = {
