@@ -139,7 +139,9 @@ def _score(rows: DataFrame, pairs: DataFrame, limit: int, threshold: float, clos
             "pid", "diagonal", "home", F.col(f"c{letter}").alias("cell"),
             F.col(f"r{letter}").alias("ring"), F.col(f"p{letter}").alias("part"),
         )
-        return rows.join(keys, ["home", "cell", "ring", "part"]).select("pid", "diagonal", "grp", "id", "vec")
+        columns = ["pid", "diagonal", "grp", "id", "vec"]
+        # Fresh column identities: both sides of the cogroup come from the same frame.
+        return rows.join(keys, ["home", "cell", "ring", "part"]).select(*columns).toDF(*columns)
 
     def best_of(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -185,6 +187,13 @@ def best_pairs(
     order = [F.desc("similarity") if closest else F.asc("similarity"), "grp", "id_a", "id_b"]
     if total < 2:
         return rows.sparkSession.createDataFrame([], _PAIR_SCHEMA)
+    if total <= tile_rows:
+        tiled = rows.selectExpr("grp", "id", "vec", "'all' as home", "-1 as cell", "0 as ring", "0 as part")
+        alone = rows.sparkSession.range(1).selectExpr(
+            "'all' as pid", "'all' as home", "-1 as ca", "0 as ra", "0 as pa", "-1 as cb", "0 as rb", "0 as pb",
+            "true as diagonal",
+        )
+        return _score(tiled, alone, limit, threshold, closest).orderBy(*order).limit(limit)
     tiled, pivots = _tiled(rows, total, tile_rows)
     pairs = cut(_tile_pairs(tiled, pivots, closest, threshold))
     promising = [F.asc("best") if closest else F.desc("best"), "pid"]

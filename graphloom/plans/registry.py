@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from graphloom.plans import enrich_queries, graph_queries  # noqa: F401
+from graphloom.plans import enrich_queries, graph_queries, vector_queries  # noqa: F401
 from graphloom.plans.catalog import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
