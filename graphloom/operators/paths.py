@@ -92,14 +92,14 @@ def traverse(
 
 def path_rows(graph: PropertyGraph, found: DataFrame) -> DataFrame:
     """Hydrate trails to node structs, one array per trail, embeddings left out."""
-    keyed = found.withColumn("path_id", F.xxhash64("node_ids", "edges"))
+    keyed = found.withColumn("path_id", F.sha2(F.to_json(F.struct("node_ids", "edges")), 256))
     public = graph.public_nodes()
     steps = keyed.select("path_id", F.posexplode("node_ids").alias("pos", "id"))
     nodes = (
         steps.join(public, "id")
         .select("path_id", F.struct("pos", *public.columns).alias("node"))
         .groupBy("path_id")
-        .agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+        .agg(F.array_sort(F.collect_list("node"), lambda x, y: x["pos"] - y["pos"]).alias("nodes"))
     )
     return keyed.join(nodes, "path_id").select("nodes", "edges")
 
