@@ -186,20 +186,21 @@ def _nearest_in_chunks(points: DataFrame, centroids: DataFrame, chunk_rows: int)
     right = centroids.join(sizes, "grp").select(
         "grp", "cluster", "vec",
         F.pmod(F.xxhash64("cluster"), F.col("chunks")).cast("int").alias("chunk"),
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("bigint").alias("block"),
+        F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b.cast("bigint"))).alias("block"),
     )
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"grp": [], "id": [], "cluster": [], "dist": []})
+            return pd.DataFrame(columns=["grp", "id", "cluster", "dist"], dtype=object)
         b = b.sort_values("cluster")
         dist = cosine_distances(_stack(a["vec"]), _stack(b["vec"]))
         at = dist.argmin(axis=1)
-        return pd.DataFrame(
-            {"grp": a["grp"], "id": a["id"], "cluster": b["cluster"].to_numpy()[at], "dist": dist[np.arange(len(a)), at]}
-        )
+        found = {"grp": a["grp"], "id": a["id"], "cluster": b["cluster"].to_numpy()[at], "dist": dist[np.arange(len(a)), at]}
+        return pd.DataFrame(found)
 
     keys = ["grp", "block", "chunk"]
+    # Fresh column identities: centroids may come from the points themselves.
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
     per_chunk = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
         best, "grp string, id string, cluster bigint, dist double"
     )

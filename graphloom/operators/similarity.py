@@ -79,9 +79,9 @@ def _tiled(rows: DataFrame, total: int, tile_rows: int) -> tuple[DataFrame, np.n
     cuts = placed.where("not packed").groupBy("home", "cell").agg(
         F.count("*").alias("n"), F.percentile_approx("angle", [i / 64 for i in range(1, 64)], 1000).alias("at")
     )
-    ring = F.when(
-        F.col("n") > tile_rows, F.size(F.filter("at", lambda c: c < F.col("angle")))
-    ).otherwise(F.lit(0))
+    # As many rings as tiles are needed, up to 64; equal shares of the cell by angle.
+    rings = F.least(F.ceil(F.col("n") / tile_rows), F.lit(64))
+    ring = F.floor(F.size(F.filter("at", lambda c: c < F.col("angle"))) * rings / 64).cast("int")
     ringed = placed.join(broadcast_if_small(cut(cuts)), ["home", "cell"], "left").withColumn(
         "ring", F.coalesce(ring, F.lit(0))
     )
@@ -168,7 +168,7 @@ def _score(rows: DataFrame, pairs: DataFrame, limit: int, threshold: float, clos
             found = pd.DataFrame({"grp": grp, "id_a": first, "id_b": second, "similarity": np.abs(rank)})
             out.append(found.assign(rank=rank).sort_values(["rank", "id_a", "id_b"]).head(limit).drop(columns="rank"))
         if not out:
-            return pd.DataFrame({"grp": [], "id_a": [], "id_b": [], "similarity": []})
+            return pd.DataFrame(columns=["grp", "id_a", "id_b", "similarity"], dtype=object)
         return pd.concat(out)
 
     return side("a").groupBy("pid").cogroup(side("b").groupBy("pid")).applyInPandas(best_of, _PAIR_SCHEMA)
