@@ -163,27 +163,19 @@ def _local(vectors: np.ndarray, k: int, seed: int, max_iterations: int) -> np.nd
     return to
 
 
-def _nearest_in_chunks(points: DataFrame, centroids: DataFrame, chunk_rows: int) -> DataFrame:
+def _nearest_in_chunks(points: DataFrame, centroids: DataFrame, shape: DataFrame) -> DataFrame:
     """``(grp, id, cluster, dist)`` when centroids are too many for a task.
 
-    Points and centroids of a group meet block by block; a block is bounded by
-    construction. Each point keeps its best per chunk, then its best of all.
+    Points and centroids of a group meet block by block; ``shape(grp, blocks, chunks)``
+    says in how many, so that a block is bounded. Each point keeps its best per chunk,
+    then its best of all.
     """
-    # Block counts follow from group sizes: one row per large group.
-    sizes = points.groupBy("grp").agg(F.count("*").alias("rows")).join(
-        centroids.groupBy("grp").agg(F.count("*").alias("cents")), "grp"
-    )
-    sizes = broadcast_if_small(cut(sizes)).select(
-        "grp",
-        F.ceil(F.col("rows") / chunk_rows).cast("int").alias("blocks"),
-        F.ceil(F.col("cents") / chunk_rows).cast("int").alias("chunks"),
-    )
-    left = points.join(sizes, "grp").select(
+    left = points.join(shape, "grp").select(
         "grp", "id", "vec",
         F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"),
         F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
     )
-    right = centroids.join(sizes, "grp").select(
+    right = centroids.join(shape, "grp").select(
         "grp", "cluster", "vec",
         F.pmod(F.xxhash64("cluster"), F.col("chunks")).cast("int").alias("chunk"),
         F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b.cast("bigint"))).alias("block"),
@@ -239,12 +231,18 @@ def _large_groups(points: DataFrame, sizes: DataFrame, seed: int, max_iterations
     each by the squared distance to the seeds so far.
     """
     points = cut(points)
-    ks = cut(sizes.select("grp", "k"))
+    # One row per group too large for a task: at most the rows over the size of a task.
+    ks = broadcast_if_small(cut(sizes.select("grp", "n", "k")))
+
+    def shape(seeds: Column) -> DataFrame:
+        blocks, chunks = F.ceil(F.col("n") / chunk_rows), F.greatest(F.ceil(seeds / chunk_rows), F.lit(1))
+        return ks.select("grp", blocks.cast("int").alias("blocks"), chunks.cast("int").alias("chunks"))
+
     rounds = math.ceil(math.log2(ks.agg(F.max("k")).first()[0]))
     first = points.withColumn("u", _uniform(seed, 0)).groupBy("grp").agg(F.min(F.struct("u", "id")).alias("m"))
     picked = first.select("grp", F.col("m.id").alias("id"), F.lit(0).cast("bigint").alias("cluster"))
     seeds = cut(picked.join(points, ["grp", "id"]).select("grp", "cluster", "vec"))
-    near = cut(_nearest_in_chunks(points, seeds, chunk_rows).select("grp", "id", "dist"))
+    near = cut(_nearest_in_chunks(points, seeds, shape(F.lit(1))).select("grp", "id", "dist"))
     for r in range(1, rounds + 1):
         have = 2 ** (r - 1)
         key = F.when(F.col("dist") > 0, -F.log(_uniform(seed, r)) / F.pow("dist", F.lit(2))).otherwise(
@@ -252,7 +250,7 @@ def _large_groups(points: DataFrame, sizes: DataFrame, seed: int, max_iterations
         )
         drawn = ranked(near.withColumn("key", key), "grp", [F.col("key"), F.col("id")])
         fresh = (
-            drawn.join(ks, "grp")
+            drawn.join(ks.select("grp", "k"), "grp")
             .where(F.col("place") < F.least(F.lit(have), F.col("k") - have))
             .select("grp", "id", (F.col("place") + have).alias("cluster"))
         )
@@ -260,14 +258,14 @@ def _large_groups(points: DataFrame, sizes: DataFrame, seed: int, max_iterations
         if new.isEmpty():
             break
         seeds = seeds.unionByName(new)
-        closer = _nearest_in_chunks(points, new, chunk_rows).select("grp", "id", F.col("dist").alias("d2"))
+        closer = _nearest_in_chunks(points, new, shape(F.least(F.lit(have), F.col("k") - have))).select("grp", "id", F.col("dist").alias("d2"))
         near = cut(
             near.join(closer, ["grp", "id"], "left").select("grp", "id", F.least("dist", F.coalesce("d2", "dist")).alias("dist"))
         )
     centroids = cut(seeds)
     to = points.select("grp", "id", F.lit(0).cast("bigint").alias("cluster"))
     for _ in range(max_iterations):
-        assigned = cut(_nearest_in_chunks(points, centroids, chunk_rows).select("grp", "id", "cluster"))
+        assigned = cut(_nearest_in_chunks(points, centroids, shape(F.col("k"))).select("grp", "id", "cluster"))
         moved = assigned.join(to.withColumnRenamed("cluster", "old"), ["grp", "id"]).where("cluster <> old")
         still = moved.isEmpty()
         to = assigned

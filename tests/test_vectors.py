@@ -104,9 +104,9 @@ def test_kmeans_is_a_fixed_point(spark):
 
 def test_groups_are_clustered_alike_in_one_task_and_in_many(spark):
     """The partitioned loop ends in a fixed point with as many clusters as asked for."""
-    vectors = sample(120, ["big", "big", "big", "mid"], 0) + [("tiny", f"t{i}", [1.0, float(i)] + [0.0] * 4) for i in range(3)]
+    vectors = sample(88, ["big", "big", "big", "mid"], 0) + [("tiny", f"t{i}", [1.0, float(i)] + [0.0] * 4) for i in range(3)]
     df = spark.createDataFrame(vectors, "grp string, id string, vec array<double>")
-    got = rows(kmeans.cluster_groups(df, max_iterations=30, group_rows=60, chunk_rows=32))
+    got = rows(kmeans.cluster_groups(df, max_iterations=30, group_rows=40, chunk_rows=8))
     assert len(got) == len(vectors)
     sizes = Counter(g for g, _, _ in vectors)
     data = {i: np.array(v) for _, i, v in vectors}
