@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.session import cut
+
 NODE_SCHEMA = T.StructType(
     [
         T.StructField("id", T.StringType(), False),
@@ -147,6 +149,16 @@ class PropertyGraph:
         rest = self.nodes.where((F.col("label") != label) | F.col("label").isNull())
         return self.with_nodes(rest.unionByName(conform_nodes(rows)))
 
+    def pin(self, *types: str) -> PropertyGraph:
+        """The same graph with edges of some types written out once, for repeated use."""
+        rest = {k: v for k, v in (self._edge_parts or {}).items() if k not in types}
+        if not self._edge_parts:
+            other = self.edges.where(~F.col("type").isin(*types))
+            return self.with_edges(cut(self.of_type(*types)).unionByName(other))
+        pinned = {k: cut(self._edge_part(k).distinct()) for k in types if k in self._edge_parts}
+        parts = {**rest, **{k: (lambda df=df: df) for k, df in pinned.items()}}
+        return PropertyGraph(self._nodes, None, self._node_parts, parts)
+
     def public_nodes(self) -> DataFrame:
         """Nodes as shown to a client: without the embedding."""
         return self.nodes.drop("embedding")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.model import NODE_COLUMNS, PropertyGraph
+from graphloom.session import cut
 
 LEAST_CO_CHANGES = 3
 TOP_CO_CHANGES = 5
@@ -42,7 +43,7 @@ def co_change_counts(touches: DataFrame, wide: int = WIDE_COMMIT) -> DataFrame:
         .where(F.col("bound") >= LEAST_CO_CHANGES)
         .select("file")
     )
-    sized = sized.join(hopeful, "file", "left_semi")
+    sized = cut(sized.join(hopeful, "file", "left_semi").select("commit", "file", "m", "files"))
     narrow = sized.where(F.col("files") <= wide).select("commit", "file", "m")
     broad = sized.where(F.col("files") > wide).select("commit", "file", "m")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.model import NODE_SCHEMA, SUPER_LABEL, PropertyGraph, conform_edges, sanitize_label
+from graphloom.session import cut
 
 
 def merge_nodes(rows: DataFrame, order: str = "seq") -> DataFrame:
@@ -54,7 +55,7 @@ def resolve_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     edges = edges.withColumn("type", F.coalesce(F.nullif(sanitize_label(F.col("type")), F.lit("")), F.lit("RELATED_TO")))
     edges = edges.where("src <> '' and dst <> ''").select("src", "dst", "type").distinct()
     ids = nodes.select("id")
-    anchored = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
+    anchored = cut(edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi"))
     by_id = anchored.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "type")
     names = nodes.where("fqn is not null").select(F.col("fqn").alias("dst"), F.col("id").alias("target"))
     by_fqn = anchored.join(names, "dst").select("src", F.col("target").alias("dst"), "type")

@@ -44,13 +44,13 @@ _EDGE = "{'src': src, 'dst': dst, 'type': type} AS e"
 
 @query("traverse_out", _trail_sql(CALLER, f"SELECT src AS a, dst AS t, {_EDGE} FROM edges WHERE type IN ('CALLS', 'USES')", 3))
 def traverse_out(t: Tables) -> DataFrame:
-    g = retail_graph(t)
+    g = retail_graph(t).pin("CALLS")
     return paths.traverse(g, busiest(g, "src"), "CALLS,USES", "outgoing", 3)
 
 
 @query("traverse_in", _trail_sql(CALLEE, f"SELECT dst AS a, src AS t, {_EDGE} FROM edges WHERE type = 'CALLS'", 3))
 def traverse_in(t: Tables) -> DataFrame:
-    g = retail_graph(t)
+    g = retail_graph(t).pin("CALLS")
     return paths.traverse(g, busiest(g, "dst"), "CALLS", "incoming", 3)
 
 
@@ -64,7 +64,7 @@ def traverse_in(t: Tables) -> DataFrame:
     ),
 )
 def traverse_both(t: Tables) -> DataFrame:
-    g = retail_graph(t)
+    g = retail_graph(t).pin("CALLS")
     return paths.traverse(g, busiest(g, "src"), "CALLS", "both", 3)
 
 
@@ -101,7 +101,7 @@ def semantic_trace(t: Tables) -> DataFrame:
     ),
 )
 def neighbors(t: Tables) -> DataFrame:
-    g = retail_graph(t)
+    g = retail_graph(t).pin("CALLS")
     return paths.neighbors(g, busiest(g, "src"), depth=2, limit=1000)
 
 
@@ -110,7 +110,7 @@ def neighbors(t: Tables) -> DataFrame:
     graph_sql("SELECT DISTINCT f.name AS caller FROM callee k JOIN calls c ON c.dst = k.id JOIN fn f ON f.id = c.src", CALLEE),
 )
 def callers(t: Tables) -> DataFrame:
-    g = retail_graph(t)
+    g = retail_graph(t).pin("CALLS")
     return neighborhood.callers(g, busiest(g, "dst"))
 
 
@@ -233,7 +233,7 @@ _RISK = """raw AS (SELECT f.id, f.name, f.file, coalesce(i.n, 0) AS fan_in, coal
     ),
 )
 def risk_scores(t: Tables) -> DataFrame:
-    scored = volatility.risk_scores(graph_with_history(t))
+    scored = volatility.risk_scores(graph_with_history(t).pin("CALLS"))
     return scored.select("id", "fan_in", "fan_out", "churn", F.round("risk_score", 6).alias("risk_score"))
 
 
@@ -250,7 +250,7 @@ def risk_scores(t: Tables) -> DataFrame:
 )
 def hotspots(t: Tables) -> DataFrame:
     """The whole chain: history, propagation, scores, report."""
-    g = volatility.propagate_volatility(graph_with_history(t))
+    g = volatility.propagate_volatility(graph_with_history(t).pin("CALLS"))
     found = pinch.hotspots(volatility.with_risk(g), "Brand#.*", check=False)
     return found.select("name", "file", F.round("risk", 6).alias("risk"), "churn")
 
