@@ -164,13 +164,15 @@ def summarize_features(graph: PropertyGraph, sources: DataFrame, summarizer) ->
 
 def enrich_features(graph: PropertyGraph, sources: DataFrame, extractor, embedder, summarizer, root: str = ".", seed: int = 42) -> PropertyGraph:
     """Descriptors, vectors, topology and names in that order."""
-    described = extract_features(graph, sources, extractor)
-    clustered = domains.run_clustering(embed_nodes(described, embedder), root, seed)
+    described = extract_features(graph, sources, extractor).settle()
+    embedded = embed_nodes(described, embedder).settle()
+    clustered = domains.run_clustering(embedded, root, seed).settle()
     return summarize_features(clustered, sources, summarizer)
 
 
 def build_all(graph: PropertyGraph, sources: DataFrame, touches: DataFrame, extractor, embedder, summarizer, commit: str = "") -> PropertyGraph:
     """Features, history, contamination, tests: the whole chain over a loaded graph."""
-    graph = enrich_features(graph, sources, extractor, embedder, summarizer)
-    graph = link_tests(enrich_contamination(enrich_history(graph, touches)))
+    graph = enrich_features(graph, sources, extractor, embedder, summarizer).settle()
+    graph = enrich_history(graph, touches).settle()
+    graph = link_tests(enrich_contamination(graph)).settle()
     return structure.update_graph_state(graph, commit)

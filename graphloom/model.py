@@ -159,6 +159,10 @@ class PropertyGraph:
         parts = {**rest, **{k: (lambda df=df: df) for k, df in pinned.items()}}
         return PropertyGraph(self._nodes, None, self._node_parts, parts)
 
+    def settle(self) -> PropertyGraph:
+        """The graph written out, so that a further step does not replay the earlier ones."""
+        return PropertyGraph(cut(self.nodes), cut(self.edges))
+
     def public_nodes(self) -> DataFrame:
         """Nodes as shown to a client: without the embedding."""
         return self.nodes.drop("embedding")

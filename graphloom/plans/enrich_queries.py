@@ -59,9 +59,8 @@ def update_file_history(t: Tables) -> DataFrame:
     f"WITH {TOUCH_SQL}, {CHURN_SQL} SELECT file, churn AS change_frequency, last_changed FROM churn",
 )
 def parse_git_log(t: Tables) -> DataFrame:
-    """Log text written from the tables, one commit per order, then parsed back."""
-    log = touches(t).groupBy("commit", "changed_at").agg(F.collect_list("file").alias("files"))
-    records = log.select("commit", F.concat("changed_at", F.lit("\n\n"), F.array_join("files", "\r\n"), F.lit("\n")).alias("value"))
+    """Log text written from the tables, one record per mention, then parsed back."""
+    records = touches(t).select("commit", F.concat("changed_at", F.lit("\n\n"), "file", F.lit("\r\n")).alias("value"))
     return history.file_churn(gitlog.touched(records))
 
 

@@ -22,13 +22,13 @@ def read_lines(spark: SparkSession, path) -> DataFrame:
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """``(seq, record)`` with the record as a map; lines that do not parse are skipped.
+    """``(seq, record)`` with the record as a map, null for lines that do not parse.
 
-    Values keep their JSON text, so numbers are not bent through one type.
+    Values keep their JSON text, so numbers are not bent through one type. Unparsed lines
+    are neither nodes nor edges and fall out there; a filter here would repeat the parse.
     """
     record = F.from_json("value", "map<string,string>", {"mode": "PERMISSIVE"})
-    parsed = lines.withColumn("record", record).where("record is not null and size(record) > 0")
-    return parsed.select("seq", "record")
+    return lines.select("seq", record.alias("record"))
 
 
 def number(text: Column) -> Column:
