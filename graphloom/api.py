@@ -80,7 +80,7 @@ _REPORTS: dict[str, Callable] = {
     "explore-domain": lambda g, p: structure.explore_domain(g, p["target"]),
     "what-if": lambda g, p: whatif.what_if(g, p["targets"]),
     "overview": lambda g, p: structure.overview(g),
-    "status": lambda g, p: structure.graph_stats(g).crossJoin(structure.graph_state(g)),
+    "status": lambda g, p: structure.graph_stats(g).withColumn("commit", F.lit(structure.graph_state(g).first()[0])),
     "fetch-source": lambda g, p: fetch_source(g, p["target"], p["sources"]),
     "locate-usage": lambda g, p: locate_usage(g, p["target"], p["target2"], p["sources"]),
     "sql": lambda g, p: run_sql(g, p["query"]),

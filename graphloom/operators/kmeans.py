@@ -22,6 +22,8 @@ from graphloom.session import broadcast_if_small, cut
 MAX_ITERATIONS = 50
 # Up to this many centroids are held by every task; beyond it they are joined in chunks.
 HELD_CENTROIDS = 2048
+# Task sums are added up in this many shares first.
+SUM_SHARES = 256
 # Groups up to this size are clustered inside one task each.
 GROUP_ROWS = 4096
 
@@ -103,11 +105,15 @@ def _pass(points: DataFrame, now: np.ndarray, before: np.ndarray | None) -> tupl
 
     partial = points.select("vec").mapInPandas(run, "cluster int, n double, total array<double>, moved bigint")
     zeros = F.array_repeat(F.lit(0.0), now.shape[1])
-    # Task sums are folded in a fixed order, so the means are the same in every run.
+    # Task sums are folded in a fixed order, so the means are the same in every run; in two
+    # rounds, so that no fold grows with the number of tasks.
     folded = F.aggregate(
         F.array_sort(F.collect_list("total")), zeros, lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y)
     )
-    rows = partial.groupBy("cluster").agg(F.sum("n").alias("n"), folded.alias("total"), F.sum("moved").alias("moved")).collect()
+    sums = [F.sum("n").alias("n"), folded.alias("total"), F.sum("moved").alias("moved")]
+    share = F.pmod(F.spark_partition_id(), F.lit(SUM_SHARES)).alias("share")
+    first = partial.select("*", share).groupBy("cluster", "share").agg(*sums)
+    rows = first.groupBy("cluster").agg(*sums).collect()
     means, moved = now.copy(), 0
     for row in rows:
         moved += row["moved"]

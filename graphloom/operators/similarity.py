@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.vectors import as_double, norm
 from graphloom.model import PropertyGraph
-from graphloom.session import broadcast_if_small, cut
+from graphloom.session import BROADCAST_ROWS, broadcast_if_small, cut
 
 TILE_ROWS = 2048
 MAX_PIVOTS = 512
@@ -216,16 +216,21 @@ def find_duplicates(graph: PropertyGraph, threshold: float = 0.5, limit: int = 1
     functions = graph.labelled("Function").where("embedding is not null")
     vectors = functions.select(F.lit("").alias("grp"), "id", F.col("embedding").alias("vec"))
     top = best_pairs(vectors, limit, threshold)
-    return _named(functions, top).select(
+    return _named(functions, top, limit).select(
         F.col("name_a").alias("function_a"), "id_a", F.col("name_b").alias("function_b"), "id_b", "similarity"
     )
 
 
-def _named(functions: DataFrame, top: DataFrame) -> DataFrame:
-    """Names for the few rows of a report; its size is the report limit."""
+def _hinted(keys: DataFrame, limit: int) -> DataFrame:
+    """Keys of report rows, at most two a row, broadcast where the report is small."""
+    return F.broadcast(keys) if 2 * limit <= BROADCAST_ROWS else keys
+
+
+def _named(functions: DataFrame, top: DataFrame, limit: int) -> DataFrame:
+    """Names for the rows of a report."""
     names = functions.select("id", "name")
-    ids = F.broadcast(top.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct())
-    few = names.join(ids, "id", "left_semi")
+    ids = top.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+    few = names.join(_hinted(ids, limit), "id", "left_semi")
     return (
         top.join(few.select(F.col("id").alias("id_a"), F.col("name").alias("name_a")), "id_a")
         .join(few.select(F.col("id").alias("id_b"), F.col("name").alias("name_b")), "id_b")
@@ -253,11 +258,11 @@ def semantic_seams(graph: PropertyGraph, threshold: float = 0.5, distinct: bool
         .join(functions, "id")
     )
     top = best_pairs(held.select("grp", "id", F.col("embedding").alias("vec")), SEAM_ROWS, threshold, closest=False)
-    named = _named(functions, top).join(containers, "grp")
+    named = _named(functions, top, SEAM_ROWS).join(containers, "grp")
     if not distinct:
         ways = held.select("grp", "id", "ways")
-        keys = F.broadcast(top.select("grp", F.explode(F.array("id_a", "id_b")).alias("id")).distinct())
-        few = ways.join(keys, ["grp", "id"], "left_semi")
+        keys = top.select("grp", F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+        few = ways.join(_hinted(keys, SEAM_ROWS), ["grp", "id"], "left_semi")
         named = (
             named.join(few.select("grp", F.col("id").alias("id_a"), F.col("ways").alias("wa")), ["grp", "id_a"])
             .join(few.select("grp", F.col("id").alias("id_b"), F.col("ways").alias("wb")), ["grp", "id_b"])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.predicates import full_match
 from graphloom.model import NODE_COLUMNS, PropertyGraph
 from graphloom.operators.reach import distances, steps
+from graphloom.session import cut
 
 FAN_IN_WEIGHT = 0.4
 FAN_OUT_WEIGHT = 0.1
@@ -135,11 +136,10 @@ def risk_scores(graph: PropertyGraph) -> DataFrame:
             + F.col("churn") * CHURN_WEIGHT,
         )
     )
-    # One row: broadcasting it never grows with the data.
-    top = raw.agg(F.max("raw").alias("top"))
-    scale = F.when(F.coalesce("top", F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("top"))
-    return raw.join(F.broadcast(top)).select(
-        "id", "fan_in", "fan_out", "churn", "volatility_score", (F.col("raw") / scale).alias("risk_score")
+    raw = cut(raw)
+    scale = raw.agg(F.max("raw")).first()[0] or 1.0
+    return raw.select(
+        "id", "fan_in", "fan_out", "churn", "volatility_score", (F.col("raw") / F.lit(scale)).alias("risk_score")
     )
 
 
