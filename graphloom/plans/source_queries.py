@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.plans.catalog import query
 from graphloom.plans.retail import Tables
+from graphloom.sources.clang_ast import extract_trees
 from graphloom.sources.languages import extract
 
 Row = tuple[str, str, str, str]
@@ -26,7 +27,10 @@ def _register(name: str, path: str, template: str, expected: list[Row]) -> None:
         files = t.part.select(
             F.replace(F.lit(path), F.lit("{k}"), key).alias("path"), F.replace(F.lit(template), F.lit("{k}"), key).alias("text")
         )
-        graph = extract(files, (name.split("_")[1],) if name != "parse_asp" else ("vb",))
+        if name == "parse_cpp":
+            graph = extract_trees(files)
+        else:
+            graph = extract(files, (name.split("_")[1],) if name != "parse_asp" else ("vb",))
         nodes = graph.nodes.select(
             F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("label").alias("b"),
             F.concat_ws("-", F.col("start_line").cast("string"), F.col("end_line").cast("string")).alias("c"),
@@ -193,3 +197,27 @@ _register(
         ("edge", "AspWrapper.Show{k}", "CALLS", "total"),
     ],
 )
+_register(
+    "parse_cpp",
+    "cpp/p{k}.cpp",
+    '{"kind":"TranslationUnitDecl","id":"1","inner":[{"kind":"VarDecl","id":"2","name":"g{k}","loc":{"line":1}},'
+    '{"kind":"FunctionDecl","id":"3","name":"f{k}","type":{"qualType":"int (int)"},"loc":{"line":2},"range":{"begin":{},"end":{"line":4}},'
+    '"inner":[{"kind":"CompoundStmt","id":"4","inner":[{"kind":"DeclRefExpr","id":"5","referencedDecl":{"id":"2","kind":"VarDecl"}}]}]},'
+    '{"kind":"CXXRecordDecl","id":"6","name":"C{k}","completeDefinition":true,"loc":{"line":5},"inner":[{"kind":"CXXMethodDecl","id":"7","name":"run",'
+    '"type":{"qualType":"void ()"},"loc":{"line":6},"inner":[{"kind":"CallExpr","id":"8","inner":[{"kind":"ImplicitCastExpr","id":"9","inner":'
+    '[{"kind":"DeclRefExpr","id":"10","referencedDecl":{"id":"3","kind":"FunctionDecl"}}]}]}]}]}]}',
+    [
+        ("node", "File:cpp/p{k}.cpp", "File", ""),
+        ("node", "Global:g{k}", "Global", "1"),
+        ("node", "Function:f{k}:(int)", "Function", "2-4"),
+        ("node", "Class:C{k}", "Class", "5"),
+        ("node", "Function:C{k}::run:()", "Function", "6"),
+        ("edge", "Global:g{k}", "DEFINED_IN", "File:cpp/p{k}.cpp"),
+        ("edge", "Function:f{k}:(int)", "DEFINED_IN", "File:cpp/p{k}.cpp"),
+        ("edge", "Class:C{k}", "DEFINED_IN", "File:cpp/p{k}.cpp"),
+        ("edge", "Function:C{k}::run:()", "DEFINED_IN", "File:cpp/p{k}.cpp"),
+        ("edge", "Class:C{k}", "HAS_METHOD", "Function:C{k}::run:()"),
+        ("edge", "Function:C{k}::run:()", "CALLS", "Function:f{k}:(int)"),
+        ("edge", "Function:f{k}:(int)", "USES_GLOBAL", "Global:g{k}"),
+    ],
+)
