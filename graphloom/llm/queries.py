@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import language
+from graphloom.llm import language, mixing, packing
 from graphloom.llm.support import held_out, learned, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +25,18 @@ def op1_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = language.fit(docs.where(learned(F.col("doc_id"), 4, 2)))
     return language.identify(docs, model).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into windows of 4096 tokens."""
+    packed = packing.pack(packing.pieces(table(spark, folder, "documents")))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents mixed to the sources' weights: what the mix takes of each."""
+    planned = mixing.plan(table(spark, folder, "documents"))
+    taken = (F.col("size") * F.size("shards")).alias("taken")
+    return planned.select("doc_id", "size", "source_size", "target", taken, "shards")
