@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import language, mixing, packing
+from graphloom.llm import language, mixing, packing, quality
 from graphloom.llm.support import held_out, learned, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,18 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     planned = mixing.plan(table(spark, folder, "documents"))
     taken = (F.col("size") * F.size("shards")).alias("taken")
     return planned.select("doc_id", "size", "source_size", "target", taken, "shards")
+
+
+def with_labels(docs: DataFrame, labels: DataFrame, label: str, parts: int, part: int) -> DataFrame:
+    """``doc_id, text, label`` of the labelled documents that may be learned from."""
+    marks = labels.where(learned(F.col("doc_id"), parts, part) & F.col(label).isNotNull()).select("doc_id", label)
+    return docs.select("doc_id", "text").join(marks, "doc_id")
+
+
+@query
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document, learned from the labels of four folds of five."""
+    docs = table(spark, folder, "documents")
+    model = quality.fit(with_labels(docs, table(spark, folder, "labels"), "quality", 5, 0))
+    scored = quality.judge(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
