@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import language, mixing, packing, quality
+from graphloom.llm import language, mixing, packing, quality, toxicity
 from graphloom.llm.support import held_out, learned, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,13 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     model = quality.fit(with_labels(docs, table(spark, folder, "labels"), "quality", 5, 0))
     scored = quality.judge(docs, model)
     return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score and toxic spans of every document, learned from the labels of three folds of four."""
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(with_labels(docs, table(spark, folder, "labels"), "toxic", 4, 2))
+    scored = toxicity.score(docs, model)
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    return scored.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", predicted, "spans")
