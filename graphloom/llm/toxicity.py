@@ -31,11 +31,11 @@ from graphloom.llm.support import bounded_sample
 THRESHOLD = 0.3
 #: Labelled documents of each class to learn from, at most.
 SAMPLE_DOCS = 2000
-#: Features are hashed to so many weights.
-WEIGHTS = 1 << 18
+#: Weights smaller than this are dropped.
+LEAST_WEIGHT = 0.02
 BEGINNINGS = (3, 4, 5, 6)
-#: A feature marks toxic tokens if it is in this many toxic documents and this much likelier (log) in them.
-LEAST_DOCS, LEAST_ODDS = 3, 3.0
+#: A feature marks toxic tokens if it is in this many toxic documents, this share of them, and this much likelier (log) in them.
+LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 3, 0.01, 3.0
 ROUNDS, RATE, DECAY = 40, 0.5, 1e-4
 #: Words a task remembers the weight of.
 REMEMBERED = 500_000
@@ -47,7 +47,7 @@ _BREAKS = frozenset(".!?\n")
 
 def features(word: str) -> list[int]:
     found = ["=" + word] + [f"{n}{word[:n]}" for n in BEGINNINGS if len(word) >= n]
-    return [zlib.crc32(x.encode("utf-8", "replace")) % WEIGHTS for x in found]
+    return [zlib.crc32(x.encode("utf-8", "replace")) for x in found]
 
 
 def chains(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,59 +135,72 @@ def evidence(p: np.ndarray, texts: np.ndarray) -> np.ndarray:
 @dataclass
 class ToxicityModel:
     constant: float | None
-    #: Feature weights, and last the weight that every word has.
-    weights: np.ndarray
+    #: Feature weights, and the weight that every word has.
+    weights: dict[int, float]
+    bias: float
     transitions: tuple[float, float, float]
     #: Logistic regression over the evidence, with its intercept.
     document: np.ndarray
 
     def word_weights(self, words: list[str]) -> np.ndarray:
-        return np.fromiter((self.weights[features(w)].sum() for w in words), float, len(words))
+        get = self.weights.get
+        return np.fromiter((self.bias + sum(get(x, 0.0) for x in features(w)) for w in words), float, len(words))
 
 
-def _label_tokens(t: Tokens, words: list[str], toxic: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
-    """Which words' tokens are toxic in toxic documents."""
-    own = [features(w) for w in words]
+def _first_copies(t: Tokens) -> np.ndarray:
+    """Whether a text is the first with its smallest word-pair hash; near copies mostly share theirs."""
+    pair = (t.ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.roll(t.ids, -1).astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    least = np.arange(len(t.texts)).astype(np.uint64)
+    full = np.flatnonzero(t.texts > 0)
+    if len(full):
+        least[full] = np.minimum.reduceat(pair, (np.cumsum(t.texts) - t.texts)[full])
+    first = np.zeros(len(t.texts), bool)
+    first[np.unique(least, return_index=True)[1]] = True
+    return first
+
+
+def _label_tokens(t: Tokens, n: np.ndarray, flat: np.ndarray, size: int, toxic: np.ndarray) -> np.ndarray:
+    """Which words' tokens are toxic in toxic documents; words have ``n`` features each, laid out in ``flat``."""
     doc = np.repeat(np.arange(len(t.texts)), t.texts)
-    pairs = np.unique(doc * len(words) + t.ids)
-    doc, word = pairs // len(words), pairs % len(words)
-    n = np.fromiter(map(len, own), np.int64, len(own))
-    flat = np.fromiter((x for fs in own for x in fs), np.int64)
+    pairs = np.unique(doc * len(n) + t.ids)
+    doc, word = pairs // max(1, len(n)), pairs % max(1, len(n))
     start = np.cumsum(n) - n
     at = np.repeat(start[word] - (np.cumsum(n[word]) - n[word]), n[word]) + np.arange(n[word].sum())
-    seen = np.unique(np.repeat(doc, n[word]) * WEIGHTS + flat[at])
-    docs, feature = seen // WEIGHTS, seen % WEIGHTS
-    in_toxic = np.bincount(feature[toxic[docs]], minlength=WEIGHTS)
-    in_other = np.bincount(feature[~toxic[docs]], minlength=WEIGHTS)
+    seen = np.unique(np.repeat(doc, n[word]) * size + flat[at])
+    docs, feature = seen // size, seen % size
+    first = _first_copies(t)
+    in_toxic = np.bincount(feature[(toxic & first)[docs]], minlength=size)
+    in_other = np.bincount(feature[~toxic[docs]], minlength=size)
     odds = np.log((in_toxic + 0.5) / (toxic.sum() + 1)) - np.log((in_other + 0.5) / ((~toxic).sum() + 1))
-    marks = (in_toxic >= LEAST_DOCS) & (odds >= LEAST_ODDS)
-    return np.fromiter((marks[fs].any() for fs in own), bool, len(own)), own
+    marks = (in_toxic >= max(LEAST_DOCS, LEAST_SHARE * (toxic & first).sum())) & (odds >= LEAST_ODDS)
+    return np.bincount(np.repeat(np.arange(len(n)), n), weights=marks[flat], minlength=len(n)) > 0
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> ToxicityModel:
     """Learns from at most ``sample_docs`` documents of each class, brought to the driver; rows whose label is not 0 or 1 are left out."""
     rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"), F.col(text).alias("t"))
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    none = np.zeros(0)
     if len(sizes) < 2:
-        return ToxicityModel(float(next(iter(sizes), 0)), none, (0.0, 0.0, 0.0), none)
+        return ToxicityModel(float(next(iter(sizes), 0)), {}, 0.0, (0.0, 0.0, 0.0), np.zeros(0))
     sample = bounded_sample(rows, "y", "k", sample_docs, 23).toPandas().sort_values(["k", "y"])
     toxic = sample["y"].to_numpy() == 1
     number = numbering()
     t = tokens(sample["t"].tolist(), number)
     words = [w for w in number if w not in _BREAKS]
     t.ids -= len(_BREAKS)
-    marked, own = _label_tokens(t, words, toxic)
+    own = [features(w) for w in words]
+    n = np.fromiter(map(len, own), np.int64, len(own))
+    of_word = np.repeat(np.arange(len(own)), n)
+    known, feature = np.unique(np.fromiter((x for fs in own for x in fs), np.int64), return_inverse=True)
+    marked = _label_tokens(t, n, feature, max(1, len(known)), toxic)
     doc = np.repeat(np.arange(len(toxic)), t.texts)
     y = (marked[t.ids] & toxic[doc]).astype(float)
     # Toxic documents without a labelled token say nothing about tokens.
     counts = np.bincount(doc, weights=y, minlength=len(toxic)) > 0
     use = (~toxic | counts)[doc].astype(float)
 
-    n = np.fromiter(map(len, own), np.int64, len(own))
-    of_word, feature = np.repeat(np.arange(len(own)), n), np.fromiter((x for fs in own for x in fs), np.int64)
-    w, bias = np.zeros(WEIGHTS), -4.0
-    squares_w, squares = np.full(WEIGHTS, 1e-8), np.full(3, 1e-8)
+    w, bias = np.zeros(len(known)), -4.0
+    squares_w, squares = np.full(len(known), 1e-8), np.full(3, 1e-8)
     trans = np.array([-1.0, 0.0, 1.0])
     inner = np.ones(len(y), bool)
     inner[np.cumsum(t.sentences)[t.sentences > 0] - 1] = False
@@ -197,7 +210,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str
         f, g = messages(s, t.sentences, *trans)
         p = sigmoid(f + g)
         gap = (y - p) * use
-        grad = np.bincount(feature, weights=np.bincount(t.ids, weights=gap, minlength=len(own))[of_word], minlength=WEIGHTS) - DECAY * w
+        grad = np.bincount(feature, weights=np.bincount(t.ids, weights=gap, minlength=len(own))[of_word], minlength=len(known)) - DECAY * w
         squares_w += grad**2
         w += RATE * grad / np.sqrt(squares_w)
         # Expected transitions from the messages of both ends.
@@ -219,7 +232,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str
         q = sigmoid(x @ beta)
         hess = (x * (share * q * (1 - q))[:, None]).T @ x + 1e-2 * np.eye(len(beta))
         beta = beta + np.linalg.solve(hess, x.T @ (share * (toxic - q)) - 1e-2 * beta)
-    return ToxicityModel(None, np.append(w, bias), tuple(float(v) for v in trans), beta)
+    return ToxicityModel(None, {int(k): float(v) for k, v in zip(known, w) if abs(v) >= LEAST_WEIGHT}, bias, tuple(float(v) for v in trans), beta)
 
 
 def spans(text: str, p: np.ndarray) -> list[dict]:
@@ -262,7 +275,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", key: str =
                     t = tokens(texts, number)
                     if len(number) > len(weights):
                         new = list(number)[len(weights) :]
-                        weights = np.concatenate([weights, model.word_weights(new) + model.weights[-1]])
+                        weights = np.concatenate([weights, model.word_weights(new)])
                     f, g = messages(weights[t.ids], t.sentences, *model.transitions)
                     p = sigmoid(f + g)
                     scores = sigmoid(np.column_stack([evidence(p, t.texts), np.ones(len(texts))]) @ model.document)
