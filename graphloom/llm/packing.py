@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,7 @@ _PLAIN = re.compile(r"[^\t\n\r\x20-\x7e¡-įı-ſ‐-‧]|<\|")
 _LETTER = "a-zªµºß-öø-ÿĀ-ſ"
 _NUMBER = "0-9²³¹¼-¾"
 #: The splitting rule of the tokenizer's file, for these characters after lower-casing.
-_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
+_SPLIT = re.compile(rf"[{_LETTER}]+|[{_NUMBER}]|'(?:s|t|re|ve|m|ll|d)|[^\s{_LETTER}{_NUMBER}]+")
 
 
 class Encoder:
@@ -84,6 +85,12 @@ class Encoder:
                 yield self.whole(text) if text else b""
 
 
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a Python worker, so that words stay known."""
+    return Encoder(path)
+
+
 def pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, end_id: int = END_ID, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """Pieces of at most a window: ``key, start, length, ids_crc32, doc_tokens`` and, if asked for, ``ids`` (binary)."""
     path = path or public_tokenizers.path(VOCABULARY)
@@ -93,12 +100,12 @@ def pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int
     types = "k {}, start long, length long, ids_crc32 long, doc_tokens long".format(kind) + ", ids binary" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        own_encoder = encoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 keys, columns = part.column(0), [[], [], [], [], [], []]
-                for row, own in enumerate(encoder.encode(part.column(1).to_pylist())):
+                for row, own in enumerate(own_encoder.encode(part.column(1).to_pylist())):
                     own += end
                     total = len(own) // 4
                     for start in range(0, total, window):
