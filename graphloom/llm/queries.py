@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import language, mixing, packing, quality, toxicity
+from graphloom.llm import language, mixing, ngram_join, packing, quality, toxicity
 from graphloom.llm.support import held_out, learned, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,9 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = toxicity.score(docs, model)
     predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
     return scored.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", predicted, "spans")
+
+
+@query
+def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of all documents under links of 85 % and more of common 4-word shingles."""
+    return ngram_join.join(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
