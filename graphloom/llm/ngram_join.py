@@ -191,8 +191,12 @@ def links(sets: DataFrame, share: tuple[int, int] = SHARE, fragments: int = FRAG
     prefix = written(prefix.join(lists, "token"), "prefix")
 
     cuts = sorted(set(ordered.select(F.explode("grams.rank").alias("r")).agg(F.percentile_approx("r", [i / fragments for i in range(1, fragments)], 1000)).first()[0] or []))
-    gram_fragment = lambda g: sum((F.when(g["rank"] >= F.lit(x), 1).otherwise(0) for x in cuts), F.lit(0))
-    pieces = ordered.select("c", F.posexplode(F.array(*(F.transform(F.filter("grams", lambda g, i=i: gram_fragment(g) == i), lambda g: g["token"]) for i in range(len(cuts) + 1)))).alias("fragment", "tokens"))
+
+    def fragment(i: int):
+        here = lambda g: sum((F.when(g["rank"] >= F.lit(x), 1).otherwise(0) for x in cuts), F.lit(0)) == i
+        return F.transform(F.filter("grams", here), lambda g: g["token"])
+
+    pieces = ordered.select("c", F.posexplode(F.array(*(fragment(i) for i in range(len(cuts) + 1)))).alias("fragment", "tokens"))
     pieces = written(pieces.where(F.size("tokens") > 0), "pieces")
     sizes = ordered.select("c", "n")
 
