@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import language, mixing, ngram_join, packing, quality, toxicity
+from graphloom.llm import language, mixing, near_vectors, ngram_join, packing, quality, toxicity
 from graphloom.llm.support import held_out, learned, table
+from graphloom.session import broadcast_if_small
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,7 +46,7 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def with_labels(docs: DataFrame, labels: DataFrame, label: str, parts: int, part: int) -> DataFrame:
     """``doc_id, text, label`` of the labelled documents that may be learned from."""
     marks = labels.where(learned(F.col("doc_id"), parts, part) & F.col(label).isNotNull()).select("doc_id", label)
-    return docs.select("doc_id", "text").join(marks, "doc_id")
+    return docs.select("doc_id", "text").join(broadcast_if_small(marks), "doc_id")
 
 
 @query
@@ -71,3 +72,9 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     """Components of all documents under links of 85 % and more of common 4-word shingles."""
     return ngram_join.join(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op7_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all vectors of equal labels with a cosine of 0.98 and more."""
+    return near_vectors.near_duplicates(table(spark, folder, "embeddings"))
