@@ -83,10 +83,7 @@ def links(classes: DataFrame, pivots: np.ndarray, least: float = LEAST_COSINE, p
         _, pivot, left, right = key
         pdf = pdf.sort_values("c", ignore_index=True)
         names, size, side = pdf["c"].to_numpy(), pdf["size"].to_numpy(), pdf["own"].to_numpy()
-        v = [np.asarray(x, np.float64) for x in pdf["v"]]
-        if len({len(x) for x in v}) > 1:
-            return pd.DataFrame({"kind": [], "a": [], "b": []})
-        x = np.array(v)
+        x = np.array([np.asarray(v, np.float64) for v in pdf["v"]])
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         link = x @ x.T >= least
         np.fill_diagonal(link, False)

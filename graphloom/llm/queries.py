@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import language, mixing, near_vectors, ngram_join, packing, quality, toxicity
+from graphloom.llm import language, mixing, near_vectors, nearest, ngram_join, packing, quality, toxicity
 from graphloom.llm.support import held_out, learned, table
 from graphloom.session import broadcast_if_small
 
@@ -78,3 +78,9 @@ def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 def op7_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Links and components of all vectors of equal labels with a cosine of 0.98 and more."""
     return near_vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query
+def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 nearest found of every hundredth vector among all other vectors."""
+    return nearest.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, 10)

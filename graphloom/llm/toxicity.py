@@ -7,7 +7,8 @@ run over all sentences of a batch at once. A document's score comes from the lar
 summed marginals by logistic regression; runs of tokens with marginals of a half and more are its spans.
 
 Labels are given for documents. Labelled tokens come from them: in a toxic document, tokens
-with a feature that occurs in far more toxic than other documents are toxic; toxic documents without such a token do not train the field.
+with a feature that is far likelier in toxic than in other documents, counted over all labelled
+ones, are toxic; toxic documents without such a token do not train the field.
 
 Defined results: a null or empty text, or one without a word, is scored as a text without
 evidence, with no spans. Texts of any length are read in whole. Repeated rows score alike. Without labelled rows of
@@ -30,7 +31,7 @@ from graphloom.llm.support import bounded_sample
 
 THRESHOLD = 0.3
 #: Labelled documents of each class to learn from, at most.
-SAMPLE_DOCS = 2000
+SAMPLE_DOCS = 1000
 #: Weights smaller than this are dropped.
 LEAST_WEIGHT = 0.02
 BEGINNINGS = (3, 4, 5, 6)
@@ -101,12 +102,15 @@ class Tokens:
 
 def tokens(texts: list[str | None], number: dict[str, int]) -> Tokens:
     """``number`` maps words to their numbers, and sentence ends to -1; unknown words are added."""
-    found = [_TOKEN.findall(t.lower()) if t else [] for t in texts]
-    for word in {w for ws in found for w in ws} - number.keys():
-        number[word] = len(number)
-    all_ids = np.fromiter((number[w] for ws in found for w in ws), np.int64)
+    ids, per_text = [], np.zeros(len(texts), np.int64)
+    for i, t in enumerate(texts):
+        found = _TOKEN.findall(t.lower()) if t else []
+        for word in set(found) - number.keys():
+            number[word] = len(number)
+        ids.append(np.fromiter(map(number.__getitem__, found), np.int64, len(found)))
+        per_text[i] = len(found)
+    all_ids = np.concatenate([*ids, np.zeros(0, np.int64)])
     is_word = all_ids >= 0
-    per_text = np.fromiter(map(len, found), np.int64, len(found))
     ends = np.cumsum(per_text)
     seen = np.concatenate([[0], np.cumsum(is_word)])
     texts_n = seen[ends] - seen[ends - per_text]
@@ -159,8 +163,9 @@ def _first_copies(t: Tokens) -> np.ndarray:
     return first
 
 
-def _label_tokens(t: Tokens, n: np.ndarray, flat: np.ndarray, size: int, toxic: np.ndarray) -> np.ndarray:
-    """Which words' tokens are toxic in toxic documents; words have ``n`` features each, laid out in ``flat``."""
+def _candidates(t: Tokens, n: np.ndarray, flat: np.ndarray, size: int, toxic: np.ndarray) -> np.ndarray:
+    """Features that may mark toxic tokens, by the sample; words have ``n`` features each, laid out in ``flat``."""
+    first = _first_copies(t)
     doc = np.repeat(np.arange(len(t.texts)), t.texts)
     pairs = np.unique(doc * len(n) + t.ids)
     doc, word = pairs // max(1, len(n)), pairs % max(1, len(n))
@@ -168,16 +173,42 @@ def _label_tokens(t: Tokens, n: np.ndarray, flat: np.ndarray, size: int, toxic:
     at = np.repeat(start[word] - (np.cumsum(n[word]) - n[word]), n[word]) + np.arange(n[word].sum())
     seen = np.unique(np.repeat(doc, n[word]) * size + flat[at])
     docs, feature = seen // size, seen % size
-    first = _first_copies(t)
     in_toxic = np.bincount(feature[(toxic & first)[docs]], minlength=size)
     in_other = np.bincount(feature[~toxic[docs]], minlength=size)
     odds = np.log((in_toxic + 0.5) / (toxic.sum() + 1)) - np.log((in_other + 0.5) / ((~toxic).sum() + 1))
-    marks = (in_toxic >= max(LEAST_DOCS, LEAST_SHARE * (toxic & first).sum())) & (odds >= LEAST_ODDS)
-    return np.bincount(np.repeat(np.arange(len(n)), n), weights=marks[flat], minlength=len(n)) > 0
+    return (in_toxic >= max(LEAST_DOCS, LEAST_SHARE * (toxic & first).sum())) & (odds >= LEAST_ODDS - 1)
+
+
+def _document_counts(rows: DataFrame, wanted: np.ndarray) -> np.ndarray:
+    """Of each wanted feature, how many documents of class 0 and 1 have it; over all rows, summed in the tasks."""
+    place = {int(x): i for i, x in enumerate(wanted)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, ...]] = {}
+        n = np.zeros((2, len(place)), np.int64)
+        for batch in batches:
+            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = set(_WORD.findall(t.lower())) if t else ()
+                for w in words - known.keys() if words else ():
+                    known[w] = tuple(place[x] for x in features(w) if x in place)
+                for i in {i for w in words for i in known[w]}:
+                    n[y, i] += 1
+                if len(known) > REMEMBERED:
+                    known = {}
+        at = np.flatnonzero(n.sum(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[0, at]), pa.array(n[1, at])], ["i", "other", "toxic"])
+
+    found = rows.select("t", "y").mapInArrow(run, "i long, other long, toxic long").groupBy("i").agg(F.sum("other"), F.sum("toxic")).toPandas()
+    out = np.zeros((2, len(wanted)))
+    out[:, found["i"]] = found.iloc[:, 1:].to_numpy().T
+    return out
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> ToxicityModel:
-    """Learns from at most ``sample_docs`` documents of each class, brought to the driver; rows whose label is not 0 or 1 are left out."""
+    """Learns from at most ``sample_docs`` documents of each class, brought to the driver, and from counts over all labelled rows.
+
+    Rows whose label is not 0 or 1 are left out.
+    """
     rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"), F.col(text).alias("t"))
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
@@ -186,13 +217,20 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str
     toxic = sample["y"].to_numpy() == 1
     number = numbering()
     t = tokens(sample["t"].tolist(), number)
+    del sample
     words = [w for w in number if w not in _BREAKS]
     t.ids -= len(_BREAKS)
     own = [features(w) for w in words]
     n = np.fromiter(map(len, own), np.int64, len(own))
     of_word = np.repeat(np.arange(len(own)), n)
     known, feature = np.unique(np.fromiter((x for fs in own for x in fs), np.int64), return_inverse=True)
-    marked = _label_tokens(t, n, feature, max(1, len(known)), toxic)
+    del own, words, number
+    wanted = np.flatnonzero(_candidates(t, n, feature, max(1, len(known)), toxic))
+    in_other, in_toxic = _document_counts(rows, known[wanted])
+    odds = np.log((in_toxic + 0.5) / (sizes[1] + 1)) - np.log((in_other + 0.5) / (sizes[0] + 1))
+    marks = np.zeros(len(known), bool)
+    marks[wanted[odds >= LEAST_ODDS]] = True
+    marked = np.bincount(of_word, weights=marks[feature], minlength=len(n)) > 0
     doc = np.repeat(np.arange(len(toxic)), t.texts)
     y = (marked[t.ids] & toxic[doc]).astype(float)
     # Toxic documents without a labelled token say nothing about tokens.
@@ -206,11 +244,11 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str
     inner[np.cumsum(t.sentences)[t.sentences > 0] - 1] = False
     left = np.flatnonzero(inner)
     for _ in range(ROUNDS):
-        s = np.bincount(of_word, weights=w[feature], minlength=len(own))[t.ids] + bias
+        s = np.bincount(of_word, weights=w[feature], minlength=len(n))[t.ids] + bias
         f, g = messages(s, t.sentences, *trans)
         p = sigmoid(f + g)
         gap = (y - p) * use
-        grad = np.bincount(feature, weights=np.bincount(t.ids, weights=gap, minlength=len(own))[of_word], minlength=len(known)) - DECAY * w
+        grad = np.bincount(feature, weights=np.bincount(t.ids, weights=gap, minlength=len(n))[of_word], minlength=len(known)) - DECAY * w
         squares_w += grad**2
         w += RATE * grad / np.sqrt(squares_w)
         # Expected transitions from the messages of both ends.
@@ -222,7 +260,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str
         moved = np.array([(((1 - y0) * y1 - joint[1]) * u).sum(), ((y0 * (1 - y1) - joint[2]) * u).sum(), ((y0 * y1 - joint[3]) * u).sum()])
         squares += moved**2
         trans = trans + RATE * moved / np.sqrt(squares)
-    s = np.bincount(of_word, weights=w[feature], minlength=len(own))[t.ids] + bias
+    s = np.bincount(of_word, weights=w[feature], minlength=len(n))[t.ids] + bias
     x = np.column_stack([evidence(sigmoid(sum(messages(s, t.sentences, *trans))), t.texts), np.ones(len(toxic))])
     # Classes weigh what they weigh among all labelled rows.
     share = np.where(toxic, sizes[1] / toxic.sum(), sizes[0] / (~toxic).sum())
