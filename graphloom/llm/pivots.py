@@ -16,20 +16,31 @@ def usable(vector: Column) -> Column:
 
 
 def reference_points(vectors: DataFrame, key: str, vector: str, most: int, seed: int) -> np.ndarray:
-    """At most ``most`` distinct usable vectors, those with the smallest hash of their key, from a sample of about twice as many.
+    """At most ``most`` usable vectors, from a sample of four times as many: those with the smallest hash of their key.
 
-    The index is fitted on these; they are all that the driver holds. Vectors of another length than the commonest are no reference points.
+    Vectors nearer to one already taken than half the usual distance are passed over while others last, so
+    that a large group of near copies has one reference point and not a share of all. The index
+    is fitted on the sample, which is all that the driver holds. Vectors of another length than the commonest are no reference points.
     """
     rows = vectors.where(usable(F.col(vector))).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
     n = rows.count()
-    near = rows.where(uniform("k", seed=seed) < F.lit((3.0 * most + 50) / max(1, n)))
-    found = near.orderBy(uniform("k", seed=seed), "k").limit(2 * most).collect()
+    near = rows.where(uniform("k", seed=seed) < F.lit((5.0 * most + 50) / max(1, n)))
+    found = near.orderBy(uniform("k", seed=seed), "k").limit(4 * most).collect()
     lengths = [len(r["v"]) for r in found]
     if not lengths:
         return np.zeros((0, 0))
     common = max(sorted(set(lengths)), key=lengths.count)
-    distinct = dict.fromkeys(tuple(r["v"]) for r in found if len(r["v"]) == common)
-    return np.array(list(distinct)[:most], np.float64)
+    x = np.array(list(dict.fromkeys(tuple(r["v"]) for r in found if len(r["v"]) == common)), np.float64)
+    squares = (x**2).sum(axis=1)
+    least = np.median(squares[:500, None] + squares[None, :500] - 2 * x[:500] @ x[:500].T) / 4
+    taken: list[int] = []
+    closest = np.full(len(x), np.inf)
+    for i in range(len(x)):
+        if len(taken) < most and closest[i] >= least:
+            taken.append(i)
+            closest = np.minimum(closest, squares + squares[i] - 2 * x @ x[i])
+    others = sorted(set(range(len(x))) - set(taken))
+    return x[sorted(taken + others[: most - len(taken)])]
 
 
 def order(x: np.ndarray, pivots: np.ndarray, first: int) -> np.ndarray:
