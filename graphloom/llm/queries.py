@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import language, mixing, near_vectors, nearest, ngram_join, packing, quality, toxicity
+from graphloom.llm import language, mixing, near_vectors, nearest, ngram_join, packing, quality, toxicity, url_filter
 from graphloom.llm.support import held_out, learned, table
 from graphloom.session import broadcast_if_small
 
@@ -84,3 +84,12 @@ def op7_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
 def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
     """The 10 nearest found of every hundredth vector among all other vectors."""
     return nearest.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+@query
+def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict of the rules, else of the host's reputation, on the URL of every page."""
+    return url_filter.judge(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+SQL["op2_url_filter"] = url_filter.SQL
