@@ -97,6 +97,8 @@ class LanguageModel:
     pieces: dict[str, int]
     #: Piece probabilities by language; the last row is the stray character.
     p: np.ndarray
+    #: Words that this Python process has met, and their scores; never sent.
+    met: tuple[dict[str, int], np.ndarray] | None = None
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """log P(word) by language, summed over all segmentations."""
@@ -193,17 +195,17 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", key: str
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        index: dict[str, int] = {}
-        scores = np.empty((0, len(model.languages)))
+        index, scores = model.met or ({}, np.empty((0, len(model.languages))))
         for batch in batches:
             langs, values = [], []
             if len(index) > REMEMBERED:
                 index, scores = {}, scores[:0]
             texts = [words_of(t) for t in batch.column(1).to_pylist()] if model.languages else [[]] * batch.num_rows
-            new = list({w for ws in texts for w in ws} - index.keys())
+            new = [w for w in {w for ws in texts for w in ws} if w not in index]
             if new:
                 index.update(zip(new, range(len(scores), len(scores) + len(new))))
                 scores = np.concatenate([scores, model.word_scores(new)])
+            model.met = index, scores
             for ws in texts:
                 if not any(c.isalpha() for w in ws for c in w):
                     langs.append("und")

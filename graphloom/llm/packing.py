@@ -75,9 +75,7 @@ class Encoder:
             self.known = {}
         plain = [t is not None and _PLAIN.search(t) is None for t in texts]
         split = [_SPLIT.findall(t.lower()) if ok else None for t, ok in zip(texts, plain)]
-        new = {w for ws in split if ws for w in ws} - self.known.keys()
-        if new:
-            self._learn(list(new))
+        self._learn([w for w in {w for ws in split if ws for w in ws} if w not in self.known])
         for text, words in zip(texts, split):
             if words is not None:
                 yield b"".join(map(self.known.__getitem__, words))

@@ -21,6 +21,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -105,8 +106,8 @@ def tokens(texts: list[str | None], number: dict[str, int]) -> Tokens:
     ids, per_text = [], np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
         found = _TOKEN.findall(t.lower()) if t else []
-        for word in set(found) - number.keys():
-            number[word] = len(number)
+        for word in set(found):
+            number.setdefault(word, len(number))
         ids.append(np.fromiter(map(number.__getitem__, found), np.int64, len(found)))
         per_text[i] = len(found)
     all_ids = np.concatenate([*ids, np.zeros(0, np.int64)])
@@ -145,6 +146,8 @@ class ToxicityModel:
     transitions: tuple[float, float, float]
     #: Logistic regression over the evidence, with its intercept.
     document: np.ndarray
+    #: Words that this Python process has met, and their weights; never sent.
+    met: tuple[dict[str, int], np.ndarray] | None = None
 
     def word_weights(self, words: list[str]) -> np.ndarray:
         get = self.weights.get
@@ -189,9 +192,14 @@ def _document_counts(rows: DataFrame, wanted: np.ndarray) -> np.ndarray:
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = set(_WORD.findall(t.lower())) if t else ()
-                for w in words - known.keys() if words else ():
-                    known[w] = tuple(place[x] for x in features(w) if x in place)
-                for i in {i for w in words for i in known[w]}:
+                hits: set[int] = set()
+                for w in words:
+                    own = known.get(w)
+                    if own is None:
+                        own = known[w] = tuple(place[x] for x in features(w) if x in place)
+                    if own:
+                        hits.update(own)
+                for i in hits:
                     n[y, i] += 1
                 if len(known) > REMEMBERED:
                     known = {}
@@ -300,7 +308,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", key: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        number, weights = numbering(), np.zeros(len(_BREAKS))
+        number, weights = model.met or (numbering(), np.zeros(len(_BREAKS)))
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -312,8 +320,9 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", key: str =
                         number, weights = numbering(), weights[: len(_BREAKS)]
                     t = tokens(texts, number)
                     if len(number) > len(weights):
-                        new = list(number)[len(weights) :]
+                        new = list(islice(number, len(weights), None))
                         weights = np.concatenate([weights, model.word_weights(new)])
+                    model.met = number, weights
                     f, g = messages(weights[t.ids], t.sentences, *model.transitions)
                     p = sigmoid(f + g)
                     scores = sigmoid(np.column_stack([evidence(p, t.texts), np.ones(len(texts))]) @ model.document)
