@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import language, mixing, near_vectors, nearest, ngram_join, packing, quality, toxicity, url_filter
+from graphloom.llm import language, mixing, near_vectors, nearest, ngram_join, packing, quality, toxicity, url_filter, warc
 from graphloom.llm.support import held_out, learned, table
 from graphloom.session import broadcast_if_small
 
@@ -93,3 +93,22 @@ def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op2_url_filter"] = url_filter.SQL
+
+
+@query
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page archived as a WARC record, and what the archives say when read back."""
+    return warc.round_trip(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op3_warc"] = """
+WITH rows AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body, sha256(coalesce(html, '')) AS digest FROM pages
+), firsts AS (
+  SELECT digest, min(page_id) AS first FROM rows WHERE octet_length(body) >= 100 GROUP BY digest
+)
+SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM rows LEFT JOIN firsts USING (digest)
+"""
