@@ -26,7 +26,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.support import bounded_sample
+from graphloom.llm.support import bounded_sample, scored
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Documents of each language to learn from, at most.
@@ -188,34 +188,31 @@ def fit(labelled: DataFrame, text: str = "text", language: str = "lang", key: st
     return LanguageModel(languages, pieces, p)
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``(key, lang_pred, score)`` of every row; score is the posterior of the language under equal priors."""
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``lang_pred, score`` of every row, beside the columns to keep; score is the posterior of the language under equal priors."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[key].dataType.simpleString()
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(texts: list[str | None]) -> list[pa.Array]:
         model = shared.value
         index, scores = model.met or ({}, np.empty((0, len(model.languages))))
-        for batch in batches:
-            langs, values = [], []
-            if len(index) > REMEMBERED:
-                index, scores = {}, scores[:0]
-            texts = [words_of(t) for t in batch.column(1).to_pylist()] if model.languages else [[]] * batch.num_rows
-            new = [w for w in {w for ws in texts for w in ws} if w not in index]
-            if new:
-                index.update(zip(new, range(len(scores), len(scores) + len(new))))
-                scores = np.concatenate([scores, model.word_scores(new)])
-            model.met = index, scores
-            for ws in texts:
-                if not any(c.isalpha() for w in ws for c in w):
-                    langs.append("und")
-                    values.append(0.0)
-                    continue
-                total = scores[np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
-                best = int(total.argmax())
-                langs.append(model.languages[best])
-                values.append(float(1.0 / np.exp(np.minimum(total - total[best], 0)).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(values, pa.float64())], ["k", "lang_pred", "score"])
-
-    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(score, f"k {kind}, lang_pred string, score double")
-    return out.withColumnRenamed("k", key)
+        if len(index) > REMEMBERED:
+            index, scores = {}, scores[:0]
+        words = [words_of(t) if model.languages else [] for t in texts]
+        new = [w for w in {w for ws in words for w in ws} if w not in index]
+        if new:
+            index.update(zip(new, range(len(scores), len(scores) + len(new))))
+            scores = np.concatenate([scores, model.word_scores(new)])
+        model.met = index, scores
+        langs, values = [], []
+        for ws in words:
+            if not any(c.isalpha() for w in ws for c in w):
+                langs.append("und")
+                values.append(0.0)
+                continue
+            total = scores[np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
+            best = int(total.argmax())
+            langs.append(model.languages[best])
+            values.append(float(1.0 / np.exp(np.minimum(total - total[best], 0)).sum()))
+        return [pa.array(langs, pa.string()), pa.array(values, pa.float64())]
+
+    return scored(docs, text, keep, "lang_pred string, score double", score)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.support import scored
+
 THRESHOLD = 0.3
 #: Shares of the pooled covariance in a class covariance, and of the diagonal in both.
 TO_POOLED, TO_DIAGONAL = 0.2, 0.05
@@ -160,13 +162,10 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality") -> Qual
     return model
 
 
-def judge(docs: DataFrame, model: QualityModel, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``(key, score)`` of every row."""
-    kind = docs.schema[key].dataType.simpleString()
+def judge(docs: DataFrame, model: QualityModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``score`` of every row, beside the columns to keep."""
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([statistics(t) for t in batch.column(1).to_pylist()]).reshape(-1, len(STATISTICS) + 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["k", "score"])
+    def score(texts: list[str | None]) -> list[pa.Array]:
+        return [pa.array(model.score(np.stack([statistics(t) for t in texts])))]
 
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(score, f"k {kind}, score double").withColumnRenamed("k", key)
+    return scored(docs, text, keep, "score double", score)

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from graphloom.session import ensure_checkpoint_dir
 
 #: Words of a text: maximal runs of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Texts scored at once.
+SCORED_ROWS = 1000
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -57,6 +63,22 @@ def bounded_sample(rows: DataFrame, group: str, key: str, bound: int, seed: int)
     return near.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= bound).drop("_rank")
 
 
+def scored(docs: DataFrame, text: str, keep: tuple[str, ...], added: str, score: Callable[[list[str | None]], list[pa.Array]]) -> DataFrame:
+    """The columns ``keep`` of ``docs``, and those of the DDL ``added`` that ``score`` gives for the texts of a batch."""
+    keep = list(keep)
+    columns = keep if text in keep else [*keep, text]
+    rows, at = docs.select(*columns), columns.index(text)
+    schema = StructType([rows.schema[c] for c in keep] + StructType.fromDDL(added).fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, SCORED_ROWS):
+                part = batch.slice(first, SCORED_ROWS)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *score(part.column(at).to_pylist())], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(id, component)`` for every end of a link: the smallest id reachable.
 

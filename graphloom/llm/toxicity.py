@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.support import bounded_sample
+from graphloom.llm.support import bounded_sample, scored
 
 THRESHOLD = 0.3
 #: Labelled documents of each class to learn from, at most.
@@ -300,36 +300,27 @@ def spans(text: str, p: np.ndarray) -> list[dict]:
     return out
 
 
-def score(docs: DataFrame, model: ToxicityModel, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``(key, score, spans)`` of every row."""
-    kind = docs.schema[key].dataType.simpleString()
+def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``score, spans`` of every row, beside the columns to keep."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: list[str | None]) -> list[pa.Array]:
         model = shared.value
+        if model.constant is not None:
+            return [pa.array([model.constant] * len(texts), pa.float64()), pa.array([[]] * len(texts), span)]
         number, weights = model.met or (numbering(), np.zeros(len(_BREAKS)))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                texts = part.column(1).to_pylist()
-                if model.constant is not None:
-                    scores, found = [model.constant] * len(texts), [[]] * len(texts)
-                else:
-                    if len(number) > REMEMBERED:
-                        number, weights = numbering(), weights[: len(_BREAKS)]
-                    t = tokens(texts, number)
-                    if len(number) > len(weights):
-                        new = list(islice(number, len(weights), None))
-                        weights = np.concatenate([weights, model.word_weights(new)])
-                    model.met = number, weights
-                    f, g = messages(weights[t.ids], t.sentences, *model.transitions)
-                    p = sigmoid(f + g)
-                    scores = sigmoid(np.column_stack([evidence(p, t.texts), np.ones(len(texts))]) @ model.document)
-                    ends = np.cumsum(t.texts)
-                    hot = np.concatenate([[0], np.cumsum(p >= 0.5)])
-                    found = [spans(x, p[e - n : e]) if hot[e] > hot[e - n] else [] for x, n, e in zip(texts, t.texts, ends)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array(found, span)], ["k", "score", "spans"])
-
-    types = f"k {kind}, score double, spans array<struct<start:int,end:int,p:double>>"
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, types).withColumnRenamed("k", key)
+        if len(number) > REMEMBERED:
+            number, weights = numbering(), weights[: len(_BREAKS)]
+        t = tokens(texts, number)
+        weights = np.concatenate([weights, model.word_weights(list(islice(number, len(weights), None)))])
+        model.met = number, weights
+        f, g = messages(weights[t.ids], t.sentences, *model.transitions)
+        p = sigmoid(f + g)
+        scores = sigmoid(np.column_stack([evidence(p, t.texts), np.ones(len(texts))]) @ model.document)
+        ends = np.cumsum(t.texts)
+        hot = np.concatenate([[0], np.cumsum(p >= 0.5)])
+        found = [spans(x, p[e - n : e]) if hot[e] > hot[e - n] else [] for x, n, e in zip(texts, t.texts, ends)]
+        return [pa.array(scores, pa.float64()), pa.array(found, span)]
+
+    return scored(docs, text, keep, "score double, spans array<struct<start:int,end:int,p:double>>", run)
