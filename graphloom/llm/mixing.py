@@ -92,7 +92,7 @@ def split_tree(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
 
 
 def plan(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PASSES, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row a document: ``key, source, size, source_size, target, shards`` and the columns to carry.
+    """One row a document: ``key, source, size, source_size, target, shards`` and, as ``carried_...``, the columns to carry.
 
     ``shards`` has the output shard of each copy the mix takes; empty if it takes none.
     """
@@ -146,7 +146,7 @@ def plan(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     out = out.join(chosen, F.col("source").eqNullSafe(F.col("cs")) & (F.col("block") == F.col("cb")) & (F.col("h") == F.col("ch")) & F.col("k").eqNullSafe(F.col("ck")), "left")
     last_pass = F.col("b").isNotNull() & F.col("ch").isNull()
     kept = F.filter(F.coalesce("drawn", F.array().cast("array<struct<turn:bigint,shard:int>>")), lambda x: ~(last_pass & (x["turn"] >= F.col("passes"))))
-    return out.select(F.col("k").alias(key), F.col("source").alias(source), "size", "source_size", "target", F.transform(kept, lambda x: x["shard"]).alias("shards"), *(F.col(f"carried_{c}").alias(c) for c in carry))
+    return out.select(F.col("k").alias(key), F.col("source").alias(source), "size", "source_size", "target", F.transform(kept, lambda x: x["shard"]).alias("shards"), *(f"carried_{c}" for c in carry))
 
 
 def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", seed: int = SEED, **more) -> DataFrame:
@@ -156,5 +156,6 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     """
     carry = tuple(c for c in docs.columns if c not in (key, source))
     planned = plan(docs, text, key, source, seed=seed, carry=carry, **more)
-    out = planned.select(*docs.columns, F.posexplode("shards").alias("_turn", "_shard"))
+    own = [F.col(c if c in (key, source) else f"carried_{c}").alias(c) for c in docs.columns]
+    out = planned.select(*own, F.posexplode("shards").alias("_turn", "_shard"))
     return out.repartition("_shard").sortWithinPartitions("_shard", F.xxhash64(F.lit(seed), key, "_turn")).select(*docs.columns)
