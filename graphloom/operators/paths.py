@@ -157,11 +157,9 @@ def neighbors(graph: PropertyGraph, node, depth: int = 1, limit: int = 10) -> Da
     uses = graph.of_type("USES_GLOBAL").select(F.col("src").alias("end_id"), F.col("dst").alias("gid"))
     global_names = graph.labelled("Global").select(F.col("id").alias("gid"), F.col("name").alias("gname"))
     hits = calls.join(uses, "end_id").join(global_names, "gid")
-    paths = hits.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.concat("node_ids", F.array("gid")).alias("ids"),
-        F.col("gname").alias("name"),
-    )
+    ids = F.concat("node_ids", F.array("gid"))
+    # Paths are told apart by what they hold: a number would change with every retry of a task.
+    paths = hits.select(F.to_json(ids).alias("row"), ids.alias("ids"), F.col("gname").alias("name")).dropDuplicates(["row", "name"])
     if depth > 0:
         named = (
             paths.select("row", "name", F.col("ids")[0].alias("start"), F.posexplode("ids").alias("pos", "id"))

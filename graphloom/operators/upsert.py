@@ -42,8 +42,10 @@ def merge_nodes(rows: DataFrame, order: str = "seq") -> DataFrame:
 
 def upsert_nodes(graph: PropertyGraph, incoming: DataFrame) -> PropertyGraph:
     """Merge new rows over the stored ones. ``incoming`` has ``seq``, later wins."""
-    stored = graph.nodes.withColumn("seq", F.lit(-1).cast("bigint"))
-    return graph.with_nodes(merge_nodes(stored.unionByName(incoming.select(*stored.columns))))
+    kind = incoming.schema["seq"].dataType
+    stored = graph.nodes.withColumn("seq", F.struct(F.lit(0).alias("new"), F.lit(None).cast(kind).alias("seq")))
+    fresh = incoming.withColumn("seq", F.struct(F.lit(1).alias("new"), "seq"))
+    return graph.with_nodes(merge_nodes(stored.unionByName(fresh.select(*stored.columns))))
 
 
 def resolve_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:

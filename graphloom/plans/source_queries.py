@@ -28,7 +28,7 @@ def _register(name: str, path: str, template: str, expected: list[Row]) -> None:
             F.replace(F.lit(path), F.lit("{k}"), key).alias("path"), F.replace(F.lit(template), F.lit("{k}"), key).alias("text")
         )
         if name == "parse_cpp":
-            graph = extract_trees(files)
+            graph = extract_trees(files, "/repo")
         else:
             graph = extract(files, (name.split("_")[1],) if name != "parse_asp" else ("vb",))
         nodes = graph.nodes.select(
@@ -199,25 +199,37 @@ _register(
 )
 _register(
     "parse_cpp",
-    "cpp/p{k}.cpp",
+    "/repo/cpp/p{k}.cpp",
     '{"kind":"TranslationUnitDecl","id":"1","inner":[{"kind":"VarDecl","id":"2","name":"g{k}","loc":{"line":1}},'
-    '{"kind":"FunctionDecl","id":"3","name":"f{k}","type":{"qualType":"int (int)"},"loc":{"line":2},"range":{"begin":{},"end":{"line":4}},'
-    '"inner":[{"kind":"CompoundStmt","id":"4","inner":[{"kind":"DeclRefExpr","id":"5","referencedDecl":{"id":"2","kind":"VarDecl"}}]}]},'
-    '{"kind":"CXXRecordDecl","id":"6","name":"C{k}","completeDefinition":true,"loc":{"line":5},"inner":[{"kind":"CXXMethodDecl","id":"7","name":"run",'
-    '"type":{"qualType":"void ()"},"loc":{"line":6},"inner":[{"kind":"CallExpr","id":"8","inner":[{"kind":"ImplicitCastExpr","id":"9","inner":'
-    '[{"kind":"DeclRefExpr","id":"10","referencedDecl":{"id":"3","kind":"FunctionDecl"}}]}]}]}]}]}',
+    '{"kind":"FunctionDecl","id":"20","name":"printf","loc":{"file":"/usr/include/stdio.h","line":9}},{"kind":"FunctionDecl","id":"21","name":"_own{k}","loc":{"line":9}},'
+    '{"kind":"FunctionDecl","id":"22","name":"h{k}","loc":{"file":"/repo/inc/h{k}.h","line":7}},'
+    '{"kind":"FunctionDecl","id":"3","name":"f{k}","type":{"qualType":"int (int, char)"},"loc":{"line":2},"range":{"begin":{},"end":{"line":4}},'
+    '"inner":[{"kind":"ParmVarDecl","id":"31","type":{"qualType":"int"}},{"kind":"ParmVarDecl","id":"32","type":{"qualType":"char"}},'
+    '{"kind":"CompoundStmt","id":"4","inner":[{"kind":"DeclRefExpr","id":"5","referencedDecl":{"id":"2","kind":"VarDecl"}}]}]},'
+    '{"kind":"NamespaceDecl","id":"60","name":"n","inner":[{"kind":"CXXRecordDecl","id":"6","name":"C{k}","completeDefinition":true,"loc":{"line":5},'
+    '"bases":[{"type":{"qualType":"n::B"}},{"type":{"qualType":"std::string"}}],"inner":[{"kind":"FieldDecl","id":"61","name":"d","type":{"qualType":"n::D *"},"loc":{"line":5}},'
+    '{"kind":"CXXMethodDecl","id":"7","name":"run","type":{"qualType":"void ()"},"loc":{"line":6},"inner":[{"kind":"CallExpr","id":"8","inner":[{"kind":"ImplicitCastExpr","id":"9","inner":'
+    '[{"kind":"DeclRefExpr","id":"10","referencedDecl":{"id":"3","kind":"FunctionDecl"}}]}]},{"kind":"CallExpr","id":"11","inner":[{"kind":"ImplicitCastExpr","id":"12","inner":'
+    '[{"kind":"DeclRefExpr","id":"13","referencedDecl":{"id":"20","kind":"FunctionDecl"}}]}]}]}]}]}]}',
     [
         ("node", "File:cpp/p{k}.cpp", "File", ""),
+        ("node", "File:inc/h{k}.h", "File", ""),
         ("node", "Global:g{k}", "Global", "1"),
-        ("node", "Function:f{k}:(int)", "Function", "2-4"),
-        ("node", "Class:C{k}", "Class", "5"),
-        ("node", "Function:C{k}::run:()", "Function", "6"),
+        ("node", "Function:h{k}:()", "Function", "7"),
+        ("node", "Function:f{k}:(int,char)", "Function", "2-4"),
+        ("node", "Class:n::C{k}", "Class", "5"),
+        ("node", "Field:n::C{k}::d", "Field", "5"),
+        ("node", "Function:n::C{k}::run:()", "Function", "6"),
         ("edge", "Global:g{k}", "DEFINED_IN", "File:cpp/p{k}.cpp"),
-        ("edge", "Function:f{k}:(int)", "DEFINED_IN", "File:cpp/p{k}.cpp"),
-        ("edge", "Class:C{k}", "DEFINED_IN", "File:cpp/p{k}.cpp"),
-        ("edge", "Function:C{k}::run:()", "DEFINED_IN", "File:cpp/p{k}.cpp"),
-        ("edge", "Class:C{k}", "HAS_METHOD", "Function:C{k}::run:()"),
-        ("edge", "Function:C{k}::run:()", "CALLS", "Function:f{k}:(int)"),
-        ("edge", "Function:f{k}:(int)", "USES_GLOBAL", "Global:g{k}"),
+        ("edge", "Function:h{k}:()", "DEFINED_IN", "File:inc/h{k}.h"),
+        ("edge", "Function:f{k}:(int,char)", "DEFINED_IN", "File:cpp/p{k}.cpp"),
+        ("edge", "Class:n::C{k}", "DEFINED_IN", "File:cpp/p{k}.cpp"),
+        ("edge", "Function:n::C{k}::run:()", "DEFINED_IN", "File:cpp/p{k}.cpp"),
+        ("edge", "Class:n::C{k}", "HAS_METHOD", "Function:n::C{k}::run:()"),
+        ("edge", "Class:n::C{k}", "DEFINES", "Field:n::C{k}::d"),
+        ("edge", "Class:n::C{k}", "DEPENDS_ON", "Class:n::D"),
+        ("edge", "Class:n::C{k}", "INHERITS", "Class:n::B"),
+        ("edge", "Function:n::C{k}::run:()", "CALLS", "Function:f{k}:(int,char)"),
+        ("edge", "Function:f{k}:(int,char)", "USES_GLOBAL", "Global:g{k}"),
     ],
 )

@@ -3,12 +3,18 @@
 Trees are walked level by level: a frame holds the nodes of one depth as variants, and the
 next depth is their exploded children. All files advance together, so there are as many
 rounds as the deepest tree has levels, and no tree is walked in Python.
+
+A JSON value may not grow past a limit of the reader, so that large dumps are cut first: into
+parts that each hold one child of a node that is too large, under copies of the heads of all nodes above it.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +22,82 @@ from graphloom.model import PropertyGraph, conform_nodes
 from graphloom.session import cut
 
 # Node kinds by what they declare.
-CLASSES = ["CXXRecordDecl", "ClassTemplateSpecializationDecl"]
-FUNCTIONS = ["FunctionDecl", "CXXMethodDecl", "CXXDestructorDecl", "CXXConversionDecl"]
+CLASSES = ["CXXRecordDecl"]
+FUNCTIONS = ["FunctionDecl", "CXXMethodDecl", "CXXDestructorDecl"]
 CONSTRUCTORS = ["CXXConstructorDecl"]
-CALLS = ["CallExpr", "CXXMemberCallExpr", "CXXOperatorCallExpr"]
-WRAPPERS = ["ImplicitCastExpr", "ParenExpr"]
-PLAIN_TYPES = ["void", "bool", "char", "short", "int", "long", "float", "double", "unsigned", "signed", "auto", "size_t"]
+CALLS = ["CallExpr", "CXXMemberCallExpr"]
+WRAPPERS = ["ImplicitCastExpr"]
+# Types that are no class of the code.
+PLAIN_TYPES = [
+    "int", "char", "float", "double", "bool", "void", "unsigned", "signed", "long", "short", "size_t", "wchar_t",
+    "BOOL", "DWORD", "UINT", "LONG", "WORD", "BYTE", "LPCTSTR", "LPCSTR", "CString", "HRESULT",
+]
+# Texts longer than this are cut; a JSON value may not exceed 128 MiB.
+PART_CHARS = 8 << 20
+
+_MARK = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]]')
+_INNER = re.compile(r"\s*:\s*\[")
+_KIND = re.compile(r'"kind"\s*:\s*"(\w+)"')
+
+
+def _children(text: str, start: int, end: int) -> tuple[int, int, list[tuple[int, int]]]:
+    """Where the list of children of the object at ``start`` begins and ends, and each child; ``(-1, -1, [])`` without one."""
+    depth, at, first, spans = 0, -1, 0, []
+    for m in _MARK.finditer(text, start, end):
+        mark = m[0]
+        if mark == '"inner"':
+            if depth == 1 and at < 0 and _INNER.match(text, m.end()):
+                at = m.start()
+        elif mark in "{[":
+            if depth == 2 and at >= 0:
+                first = m.start()
+            depth += 1
+        elif mark in "}]":
+            depth -= 1
+            if depth == 2 and at >= 0:
+                spans.append((first, m.end()))
+            elif depth == 1 and at >= 0:
+                return at, m.end(), spans
+    return -1, -1, []
+
+
+def _parts(text: str, most: int, start: int, end: int, before: str = "", after: str = "") -> Iterator[str]:
+    """The object at ``start``, or its children one by one if it is too long, each inside the heads of those above."""
+    if end - start <= most:
+        yield before + text[start:end] + after
+        return
+    at, stop, spans = _children(text, start, end)
+    if not spans:
+        yield before + text[start:end] + after
+        return
+    kind = _KIND.search(text, start, at)
+    # A signature is read from the parameters, which stay with the head.
+    kept = [x for x in spans if kind and kind[1] in FUNCTIONS + CONSTRUCTORS and re.match(r'\{[^{}]*"kind"\s*:\s*"ParmVarDecl"', text[x[0] : x[0] + 400])]
+    head = before + text[start:at] + '"inner":[' + "".join(text[a:b] + "," for a, b in kept)
+    tail = "]" + text[stop:end] + after
+    for a, b in spans:
+        if (a, b) not in kept:
+            yield from _parts(text, most, a, b, head, tail)
+
+
+def split_trees(files: DataFrame, most: int = PART_CHARS) -> DataFrame:
+    """``(path, text)`` of ``files`` with long trees cut into parts; parts of a file have its path."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, text in zip(pdf["path"], pdf["text"]):
+                start = text.find("{") if text else -1
+                parts = _parts(text, most, start, text.rfind("}") + 1) if start >= 0 else iter([text])
+                for part in parts:
+                    yield pd.DataFrame({"path": [path], "text": [part]})
+
+    long = F.length("text") > most
+    return files.where(F.coalesce(~long, F.lit(True))).select("path", "text").unionByName(files.where(long).select("path", "text").mapInPandas(run, "path string, text string"))
+
+
+def unread_trees(files: DataFrame) -> DataFrame:
+    """``(path)`` of dumps of which some part is no JSON, and so is missing from the graph."""
+    return split_trees(files).where(F.try_parse_json("text").isNull()).select("path").distinct()
 
 
 def _get(path: str, kind: str = "string") -> Column:
@@ -30,34 +106,42 @@ def _get(path: str, kind: str = "string") -> Column:
 
 def _levels(files: DataFrame, root: str) -> DataFrame:
     """Declarations and references of all trees, with the scope they are found in."""
-    base = root.rstrip("/")
-    level = files.select("path", F.try_parse_json("text").alias("node"), F.lit("").alias("scope"), F.lit("").alias("in_class"), F.lit("").alias("in_function"), F.lit(False).alias("callee"))
+    base = root.replace("\\", "/").rstrip("/")
+    level = split_trees(files).select("path", F.try_parse_json("text").alias("node"), F.lit("").alias("scope"), F.lit("").alias("in_class"), F.lit("").alias("in_function"), F.lit(False).alias("callee"))
     # Parsed once: each of the many paths read below would otherwise parse the text again.
     level = cut(level)
     seen = []
     while True:
         kind, name = _get("kind"), F.coalesce(_get("name"), F.lit(""))
         fqn = F.when(F.col("scope") == "", name).otherwise(F.concat("scope", F.lit("::"), name))
-        signature = F.regexp_extract(F.coalesce(_get("type.qualType"), F.lit("")), "(\\(.*\\))", 1)
+        inner = F.coalesce(_get("inner", "array<variant>"), F.array().cast("array<variant>"))
+        parameters = F.filter(inner, lambda n: F.try_variant_get(n, "$.kind", "string") == "ParmVarDecl")
+        signature = F.concat(F.lit("("), F.array_join(F.transform(parameters, lambda n: F.try_variant_get(n, "$.type.qualType", "string")), ","), F.lit(")"))
+        file = F.coalesce(F.nullif(_get("loc.file"), F.lit("")), F.col("path"))
+        outside = F.lit(bool(base)) & ~F.lower(F.replace(file, F.lit("\\"), F.lit("/"))).startswith(base.lower())
+        implicit = F.coalesce(_get("isImplicit", "boolean"), F.lit(False))
+        foreign = fqn.startswith("std::") | fqn.contains("::std::") | name.startswith("_") | outside
         label = (
             F.when(kind.isin(CLASSES) & F.coalesce(_get("completeDefinition", "boolean"), F.lit(False)), "Class")
             .when(kind.isin(FUNCTIONS), "Function").when(kind.isin(CONSTRUCTORS), "Constructor").when(kind == "FieldDecl", "Field")
-            .when((kind == "VarDecl") & (F.col("in_function") == ""), "Global")
+            .when(kind == "VarDecl", "Global")
         )
-        label = F.when((name != "") & ~fqn.startswith("std::") & ~F.coalesce(_get("isImplicit", "boolean"), F.lit(False)), label)
+        # What a function declares inside is local.
+        label = F.when((name != "") & ~foreign & ~implicit & (F.col("in_function") == ""), label)
         node_id = F.concat_ws(":", "label", "fqn", F.when(F.col("label").isin("Function", "Constructor"), F.col("signature")))
         facts = level.select(
-            "path", "node", "scope", "in_class", "in_function", "callee", kind.alias("kind"), name.alias("name"), fqn.alias("fqn"), label.alias("label"),
+            "path", "node", "scope", "in_class", "in_function", "callee", file.alias("file"), implicit.alias("implicit"), kind.alias("kind"), name.alias("name"), fqn.alias("fqn"), label.alias("label"),
             signature.alias("signature"), _get("id").alias("decl"), F.coalesce(_get("loc.line", "bigint"), _get("range.begin.line", "bigint")).alias("start_line"),
             _get("range.end.line", "bigint").alias("end_line"),
             F.coalesce(_get("referencedDecl.id"), _get("referencedMemberDecl")).alias("refers"), F.coalesce(_get("type.qualType"), F.lit("")).alias("declared"),
             F.coalesce(F.transform(F.coalesce(_get("bases", "array<variant>"), F.array()), lambda b: F.try_variant_get(b, "$.type.qualType", "string")), F.array()).alias("bases"),
         ).withColumn("id", F.when(F.col("label").isNotNull(), node_id))
         facts = cut(facts)
-        seen.append(facts.where("label is not null or refers is not null").drop("node"))
+        seen.append(facts.where("label is not null or refers is not null").drop("node", "implicit"))
         opens = F.col("label").isin("Class", "Function", "Constructor") | (F.col("kind") == "NamespaceDecl")
         inside = F.col("label").isin("Function", "Constructor")
-        level = facts.select(
+        # Nothing below an implicit node counts, nor below a function of other code.
+        level = facts.where(~F.col("implicit") & (F.col("label").isNotNull() | ~F.coalesce(F.col("kind").isin(FUNCTIONS + CONSTRUCTORS), F.lit(False)))).select(
             "path", F.posexplode(F.try_variant_get("node", "$.inner", "array<variant>")).alias("pos", "node"),
             F.when(F.coalesce(opens, F.lit(False)) & (F.col("name") != ""), F.col("fqn")).otherwise(F.col("scope")).alias("scope"),
             F.when(F.col("label") == "Class", F.col("id")).otherwise(F.col("in_class")).alias("in_class"),
@@ -70,10 +154,14 @@ def _levels(files: DataFrame, root: str) -> DataFrame:
         level = cut(level)
         if level.isEmpty():
             break
-    inside = F.lit(bool(base)) & F.col("path").startswith(base + "/")
-    relative = F.when(inside, F.substring("path", len(base) + 2, 1 << 30)).otherwise(F.col("path"))
-    shown = F.replace(relative, F.lit("\\"), F.lit("/"))
-    return cut(reduce(DataFrame.unionByName, seen).withColumn("file", shown))
+    return cut(reduce(DataFrame.unionByName, seen).withColumn("file", _shown(F.col("file"), base)))
+
+
+def _shown(path: Column, base: str) -> Column:
+    """A path relative to the root."""
+    clean = F.replace(path, F.lit("\\"), F.lit("/"))
+    inside = F.lit(bool(base)) & F.lower(clean).startswith(base.lower() + "/")
+    return F.when(inside, F.substring(clean, len(base) + 2, 1 << 30)).otherwise(clean)
 
 
 def extract_trees(files: DataFrame, root: str = "") -> PropertyGraph:
@@ -85,7 +173,9 @@ def extract_trees(files: DataFrame, root: str = "") -> PropertyGraph:
     facts = _levels(files, root)
     decls = facts.where("label is not null")
     code = decls.select("id", "label", "name", "fqn", "file", "start_line", "end_line").dropDuplicates(["id"])
-    file_nodes = facts.select("file").distinct().select(
+    # Every dump has its file, also one that could not be read.
+    units = files.select(_shown(F.col("path"), root.replace("\\", "/").rstrip("/")).alias("file"))
+    file_nodes = facts.where("label is not null").select("file").unionByName(units).distinct().select(
         F.concat(F.lit("File:"), "file").alias("id"), F.lit("File").alias("label"), F.col("file").alias("name"), "file"
     )
     edge = lambda df, src, dst, kind: df.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"))

@@ -35,6 +35,16 @@ def _pattern(rule: str) -> str:
         elif rule[i] == "?":
             out.append("[^/]")
             i += 1
+        elif rule[i] == "[" and (end := rule.find("]", i + 2)) > 0:
+            # A class: a leading ! negates it, and it never matches a slash.
+            inner = rule[i + 1 : end]
+            negated = inner[0] in "!^"
+            members = re.sub(r"[\\\[&^]", r"\\\g<0>", inner[negated:])
+            out.append(f"(?!/)[{'^' * negated}{members}]")
+            i = end + 1
+        elif rule[i] == "\\" and i + 1 < len(rule):
+            out.append(re.escape(rule[i + 1]))
+            i += 2
         else:
             out.append(re.escape(rule[i]))
             i += 1

@@ -5,6 +5,8 @@ A record with a ``source`` is an edge, any other a node whose ``type`` is its la
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +18,20 @@ _OWN = {"id", "label", "labels", "extra"}
 DEFAULT_LABEL = "Generic"
 
 
+def in_file_order(lines: DataFrame, *first: Column) -> DataFrame:
+    """``(value, seq)`` of text lines read with their ``_metadata``.
+
+    Splits of files are packed into tasks by size, so a task's numbering says nothing about
+    other files: lines are ordered by ``first``, then by file, split and place in the split.
+    """
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at")]
+    return lines.select("value", F.struct(*first, *place).alias("seq"))
+
+
 def read_lines(spark: SparkSession, path) -> DataFrame:
-    """``(value, seq)`` in file order; ``path`` is one path or a list."""
-    return spark.read.text(path).withColumn("seq", F.monotonically_increasing_id())
+    """``(value, seq)`` in the order of paths, files and lines; ``path`` is one path or a list."""
+    paths = [path] if isinstance(path, str) else list(path)
+    return reduce(DataFrame.unionByName, [in_file_order(spark.read.text(p), F.lit(i).alias("path")) for i, p in enumerate(paths)])
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:

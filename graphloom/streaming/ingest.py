@@ -15,15 +15,12 @@ from graphloom.operators.upsert import merge_nodes, resolve_edges
 from graphloom.session import cut
 from graphloom.sources import jsonl
 
-# Room for this many records in one batch before batch numbers would overlap.
-BATCH_SPAN = 1 << 42
-
 
 def _store(store: str):
     def write(batch: DataFrame, epoch: int) -> None:
-        records = cut(jsonl.parse_lines(batch.withColumn("seq", F.monotonically_increasing_id())))
-        seq = F.lit(epoch) * BATCH_SPAN + F.pmod("seq", F.lit(BATCH_SPAN))
-        nodes = jsonl.node_records(records).withColumn("seq", seq)
+        records = cut(jsonl.parse_lines(batch))
+        # Batches come before files, files by their time: no number of partitions or records can mix them.
+        nodes = jsonl.node_records(records).withColumn("seq", F.struct(F.lit(epoch).cast("bigint").alias("batch"), "seq"))
         nodes.write.mode("overwrite").parquet(f"{store}/nodes/batch={epoch}")
         jsonl.edge_records(records).write.mode("overwrite").parquet(f"{store}/edges/batch={epoch}")
 
@@ -32,7 +29,7 @@ def _store(store: str):
 
 def ingest(spark: SparkSession, folder: str, store: str, progress: str) -> None:
     """Load the files of ``folder`` not yet loaded, then stop. ``progress`` keeps what is done."""
-    lines = spark.readStream.format("text").load(folder)
+    lines = jsonl.in_file_order(spark.readStream.format("text").load(folder), F.col("_metadata.file_modification_time").alias("time"))
     query = lines.writeStream.foreachBatch(_store(store)).option("checkpointLocation", progress).trigger(availableNow=True).start()
     query.awaitTermination()
 

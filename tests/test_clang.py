@@ -2,6 +2,7 @@ import json
 
 from conftest import rows
 
+from graphloom.sources import clang_ast
 from graphloom.sources.clang_ast import extract_trees
 
 
@@ -24,7 +25,7 @@ def test_tree_becomes_nodes_and_edges(spark):
         "TranslationUnitDecl", decl_id="0x1",
         inner=[
             decl("VarDecl", "count", loc={"line": 2}),
-            decl("FunctionDecl", "helper", type={"qualType": "int (int)"}, loc={"line": 3}, range={"begin": {}, "end": {"line": 5}}),
+            decl("FunctionDecl", "helper", inner=[decl("ParmVarDecl", "x", type={"qualType": "int"})], type={"qualType": "int (int)"}, loc={"line": 3}, range={"begin": {}, "end": {"line": 5}}),
             decl(
                 "NamespaceDecl", "app",
                 inner=[
@@ -35,7 +36,7 @@ def test_tree_becomes_nodes_and_edges(spark):
                         inner=[
                             decl("FieldDecl", "size", type={"qualType": "int"}), decl("FieldDecl", "base", type={"qualType": "const app::Base *"}),
                             decl("CXXMethodDecl", "stop", type={"qualType": "void ()"}),
-                            decl("CXXMethodDecl", "run", type={"qualType": "void (int, char)"}, inner=[body]),
+                            decl("CXXMethodDecl", "run", type={"qualType": "void (int, char)"}, inner=[*(decl("ParmVarDecl", p, type={"qualType": p}) for p in ("int", "char")), body]),
                             decl("CXXConstructorDecl", "Shop", decl_id="0xi", isImplicit=True, type={"qualType": "void ()"}),
                         ],
                     ),
@@ -46,10 +47,10 @@ def test_tree_becomes_nodes_and_edges(spark):
     files = spark.createDataFrame([("/repo/src/a.cpp", json.dumps(tree)), ("/repo/src/broken.cpp", "{")], "path string, text string")
     g = extract_trees(files, "/repo")
     assert [r[0] for r in rows(g.nodes, "id")] == [
-        "Class:app::Base", "Class:app::Shop", "Field:app::Shop::base", "Field:app::Shop::size", "File:src/a.cpp", "Function:app::Shop::run:(int, char)",
+        "Class:app::Base", "Class:app::Shop", "Field:app::Shop::base", "Field:app::Shop::size", "File:src/a.cpp", "File:src/broken.cpp", "Function:app::Shop::run:(int,char)",
         "Function:app::Shop::stop:()", "Function:helper:(int)", "Global:count",
     ]
-    run = "Function:app::Shop::run:(int, char)"
+    run = "Function:app::Shop::run:(int,char)"
     edges = rows(g.edges)
     assert {(run, "Function:helper:(int)", "CALLS"), (run, "Function:app::Shop::stop:()", "CALLS"), (run, "Global:count", "USES_GLOBAL")} <= set(edges)
     assert ("Class:app::Shop", "Class:app::Base", "INHERITS") in edges and ("Class:app::Shop", "Field:app::Shop::size", "DEFINES") in edges
@@ -58,3 +59,58 @@ def test_tree_becomes_nodes_and_edges(spark):
     assert not [e for e in edges if "std::" in e[1]]
     spans = {r["name"]: (r["start_line"], r["end_line"]) for r in g.nodes.collect()}
     assert spans["helper"] == (3, 5)
+
+
+def unit(*inner):
+    return decl("TranslationUnitDecl", decl_id="0x1", inner=inner)
+
+
+def params(*types):
+    return [decl("ParmVarDecl", f"p{i}", decl_id=f"0xp{i}", type={"qualType": t}) for i, t in enumerate(types)]
+
+
+def graph_of(spark, trees, root="/repo"):
+    rows_ = [(p, t if isinstance(t, str) else json.dumps(t)) for p, t in trees.items()]
+    g = extract_trees(spark.createDataFrame(rows_, "path string, text string"), root)
+    return [r[0] for r in rows(g.nodes, "id")], rows(g.edges), g
+
+
+def test_declarations_belong_to_their_own_file(spark):
+    tree = unit(
+        decl("FunctionDecl", "printf", loc={"file": "/usr/include/stdio.h", "line": 1}), decl("FunctionDecl", "_hidden", loc={"line": 2}),
+        decl("FunctionDecl", "shared", loc={"file": "/Repo/src/h.h", "line": 3}, inner=params("void (*)(int)", "char")),
+        decl("NamespaceDecl", "app", inner=[decl("NamespaceDecl", "std", inner=[decl("FunctionDecl", "own", loc={"line": 4})])]),
+        decl("FunctionDecl", "made", isImplicit=True, inner=[decl("VarDecl", "inside")]),
+        decl("FunctionDecl", "outer", inner=[decl("CompoundStmt", inner=[decl("CXXRecordDecl", "Local", completeDefinition=True)])]),
+    )
+    ids, edges, _ = graph_of(spark, {"/repo/src/a.cpp": tree})
+    assert ids == ["File:src/a.cpp", "File:src/h.h", "Function:outer:()", "Function:shared:(void (*)(int),char)"]
+    assert ("Function:shared:(void (*)(int),char)", "File:src/h.h", "DEFINED_IN") in edges
+
+
+def test_long_trees_are_cut_without_loss(spark, monkeypatch):
+    def call(target):
+        return decl("CallExpr", decl_id="0xc" + target, inner=[decl("ImplicitCastExpr", inner=[decl("DeclRefExpr", referencedDecl={"id": target, "kind": "FunctionDecl"})])])
+
+    functions = [decl("FunctionDecl", f"f{i}", f"0xf{i}", inner=[*params("int", "char"), decl("CompoundStmt", inner=[call(f"0xf{j}") for j in range(i)])], note='a "quoted" } ] { [ inner') for i in range(12)]
+    shop = decl("CXXRecordDecl", "Shop", completeDefinition=True, inner=[decl("FieldDecl", f"x{i}", f"0xx{i}", type={"qualType": "Other *"}) for i in range(9)], bases=[{"type": {"qualType": "Base"}}])
+    tree = json.dumps(unit(decl("NamespaceDecl", "app", inner=[*functions, shop]), decl("VarDecl", "count", "0xcount")))
+    whole = graph_of(spark, {"/repo/a.cpp": tree, "/repo/b.cpp": "not json", "/repo/c.cpp": ""})
+    assert "Function:app::f3:(int,char)" in whole[0] and "File:b.cpp" in whole[0] and ("Class:app::Shop", "Class:Other", "DEPENDS_ON") in whole[1]
+    for most in (4000, 300, 120):
+        frame = spark.createDataFrame([("/repo/a.cpp", tree)], "path string, text string")
+        parts = clang_ast.split_trees(frame, most).collect()
+        assert len(parts) > 3 and all(json.loads(p["text"]) for p in parts)
+        real = clang_ast.split_trees
+        monkeypatch.setattr(clang_ast, "split_trees", lambda files, real=real, most=most: real(files, most))
+        again = graph_of(spark, {"/repo/a.cpp": tree, "/repo/b.cpp": "not json", "/repo/c.cpp": ""})
+        monkeypatch.undo()
+        assert again[0] == whole[0] and again[1] == whole[1]
+    assert rows(clang_ast.unread_trees(spark.createDataFrame([("a", tree), ("b", "{"), ("c", "{}")], "path string, text string"))) == [("b",)]
+
+
+def test_a_dump_beyond_the_reader_s_limit(spark):
+    long = json.dumps(unit(*(decl("VarDecl", f"v{i}", f"0x{i}", note="x" * 1_000_000) for i in range(140))))
+    assert len(long) > 134_217_728
+    ids, _, _ = graph_of(spark, {"/repo/a.cpp": long})
+    assert len(ids) == 141
