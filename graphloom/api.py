@@ -6,9 +6,10 @@ expression, a pandas UDF and a service client behind one fit alike.
 
 from __future__ import annotations
 
-import re
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +21,21 @@ from graphloom.operators.lookup import resolve_one
 from graphloom.operators.testlinks import link_tests
 
 def run_sql(graph: PropertyGraph, statement: str) -> DataFrame:
-    """A read-only SQL query over the views ``nodes`` and ``edges``; no embeddings shown."""
-    if not re.match(r"\s*(select|with|values|from|table)\b", statement, re.IGNORECASE):
-        raise ValueError("only read-only queries are accepted")
-    graph.register_views()
-    out = graph.spark.sql(statement)
-    return out.drop("embedding")
+    """A read-only SQL query over ``nodes``, without embeddings, and ``edges``.
+
+    The statement stands in brackets, where the grammar takes a query and nothing that writes;
+    the two frames are views under names of their own, so that no view of the caller is touched.
+    """
+    names = [f"{kind}_{uuid.uuid4().hex}" for kind in ("nodes", "edges")]
+    graph.public_nodes().createOrReplaceTempView(names[0])
+    graph.edges.createOrReplaceTempView(names[1])
+    try:
+        return graph.spark.sql(f"WITH nodes AS (TABLE {names[0]}), edges AS (TABLE {names[1]}) SELECT * FROM (\n{statement}\n)")
+    except ParseException as error:
+        raise ValueError(f"only read-only queries are accepted: {error}") from error
+    finally:
+        for name in names:
+            graph.spark.catalog.dropTempView(name)
 
 
 def fetch_source(graph: PropertyGraph, node: str, sources: DataFrame) -> DataFrame:

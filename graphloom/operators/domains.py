@@ -10,9 +10,9 @@ from graphloom.functions.text import common_ancestor, domain_names, dominant_ter
 from graphloom.functions.vectors import as_double, cosine_distance
 from graphloom.model import PropertyGraph, conform_nodes
 from graphloom.operators.backlog import embeddings_only, function_metadata
-from graphloom.operators.kmeans import cluster_groups, domain_k, kmeans, ranked
+from graphloom.operators.kmeans import cluster_groups, domain_count, kmeans, ranked
 from graphloom.operators.topology import clear_topology, update_topology
-from graphloom.session import cut
+from graphloom.session import broadcast_if_small, cut
 
 CENTRAL = 2
 OUTER = 3
@@ -60,10 +60,30 @@ def representatives(members: DataFrame) -> DataFrame:
 
 
 def unique_names(named: DataFrame, name: str = "name", order: str = "cluster") -> DataFrame:
-    """Later holders of a name get `` 1``, `` 2`` and so on."""
-    place = ranked(named, name, [F.col(order)])
-    suffix = F.when(F.col("place") == 0, F.lit("")).otherwise(F.concat(F.lit(" "), F.col("place").cast("string")))
-    return place.withColumn("unique_name", F.concat(F.col(name), suffix)).drop("place")
+    """Later holders of a name get `` 1``, `` 2`` and so on: the first that no earlier row has.
+
+    Holders of a name are numbered; a number whose name an earlier row of another base name has is
+    skipped by the rows that follow. Base names meet only if they differ in numbers at the end: among
+    those the earliest row without a name of its own is settled, and this repeats until all names differ.
+    """
+    place = cut(ranked(named, name, [F.col(order)]))
+    kind = named.schema[order].dataType.simpleString()
+    skipped = place.sparkSession.createDataFrame([], f"base string, skip bigint, since {kind}")
+    while True:
+        gaps = skipped.groupBy("base").agg(F.array_sort(F.collect_set(F.struct("skip", "since"))).alias("gaps"))
+        rows = place.join(broadcast_if_small(cut(gaps)), place[name] == F.col("base"), "left")
+        passed = F.filter(F.coalesce("gaps", F.array().cast(f"array<struct<skip:bigint,since:{kind}>>")), lambda gap: gap["since"] < F.col(order))
+        number = F.aggregate(passed, F.col("place").cast("bigint"), lambda n, gap: F.when(gap["skip"] <= n, n + 1).otherwise(n))
+        suffix = F.when(F.col("number") == 0, F.lit("")).otherwise(F.concat(F.lit(" "), F.col("number").cast("string")))
+        rows = cut(rows.withColumn("number", number).select(*place.columns, "number", F.concat(F.col(name), suffix).alias("unique_name")))
+        # Rows of one base name differ; a name held twice is held under two base names, and the earlier row keeps it.
+        first = rows.groupBy("unique_name").agg(F.count(F.lit(1)).alias("holders"), F.min(order).alias("since")).where("holders > 1")
+        clash = rows.join(broadcast_if_small(cut(first)), "unique_name").where(F.col(order) > F.col("since"))
+        root = F.regexp_replace(name, "( [0-9]+)+$", "").alias("root")
+        clash = cut(clash.groupBy(root).agg(F.min_by(F.struct(F.col(name).alias("base"), F.col("number").alias("skip"), "since"), order).alias("c")).select("c.*"))
+        if clash.isEmpty():
+            return rows.drop("place", "number")
+        skipped = skipped.unionByName(clash)
 
 
 def snippet(text: Column, limit: int) -> Column:
@@ -110,7 +130,7 @@ def build_topology(graph: PropertyGraph, root: str = ".", seed: int = 42, max_it
     """Nodes and edges of the domain and feature layer over the embedded functions."""
     functions = cut(clusterable(graph))
     total = functions.count()
-    k = domain_k(functions.select("file").distinct().count())
+    k = functions.agg(F.countDistinct("file").alias("files")).select(domain_count(F.col("files"))).first()[0]
     if total <= 3:
         level = functions.select("id", F.lit(0).alias("cluster"))
     else:

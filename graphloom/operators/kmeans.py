@@ -1,9 +1,10 @@
 """Lloyd's k-means with cosine distance, on partitioned data.
 
 Centroids are plain means. Ties go to the lowest cluster, an empty cluster keeps its
-centroid, and the loop stops when no row moves. Seeding is k-means++: each further seed
-is drawn with probability proportional to the squared distance to the nearest one. Draws
-hash the row id, so the result does not depend on partitioning.
+centroid, and the loop stops when no row moves. Seeds double every round: a round draws as many as
+there are, without replacement, each with a chance that grows with the squared distance to
+the seeds so far. Draws hash the row id, so that the result depends neither on partitioning nor
+on where the work is done: in one task, with centroids held by every task, or in blocks.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions.vectors import as_double
@@ -57,106 +59,112 @@ def domain_k(files: int) -> int:
     return min(max(math.isqrt(files // 5), 5), 50)
 
 
+def domain_count(files: Column) -> Column:
+    """:func:`domain_k` of a column of file counts."""
+    k = F.least(F.greatest(F.floor(F.sqrt(F.floor(files / 5))), F.lit(5)), F.lit(50))
+    return F.when(files == 0, 0).otherwise(k).cast("bigint")
+
+
+def _draw_key(distance: Column, seed: int, draw: int) -> Column:
+    """The least of -ln(u)/w is drawn with probability proportional to w, the squared distance."""
+    return F.when(distance > 0, -F.log(_uniform(seed, draw)) / F.pow(distance, F.lit(2))).otherwise(F.lit(float("inf")))
+
+
 def _with_distance(points: DataFrame, centroids: np.ndarray) -> DataFrame:
     def run(batches):
         for pdf in batches:
             if len(pdf):
-                near = cosine_distances(_stack(pdf["vec"]), centroids).min(axis=1)
-                yield pd.DataFrame({"id": pdf["id"], "d2": np.square(near)})
+                yield pdf.assign(dist=cosine_distances(_stack(pdf["vec"]), centroids).min(axis=1))
 
-    return points.select("id", "vec").mapInPandas(run, "id string, d2 double")
+    return points.select("id", "vec").mapInPandas(run, "id string, vec array<double>, dist double")
 
 
 def seed_centroids(points: DataFrame, k: int, seed: int) -> np.ndarray:
-    """``k`` seeds for a ``k`` that tasks can hold; one pass over the points per seed."""
+    """``k`` seeds for a ``k`` that tasks can hold; one pass over the points for each doubling."""
     first = points.orderBy(_uniform(seed, 0), "id").limit(1).select("vec").first()
     chosen = [np.array(first["vec"], dtype="float64")]
+    draw = 0
     while len(chosen) < k:
-        # The least of -ln(u)/w is drawn with probability proportional to w.
-        key = F.when(F.col("d2") > 0, -F.log(_uniform(seed, len(chosen))) / F.col("d2")).otherwise(
-            F.lit(float("inf"))
-        )
-        pick = _with_distance(points, np.stack(chosen)).select("id", key.alias("key")).orderBy("key", "id").limit(1)
-        vec = points.join(F.broadcast(pick), "id", "left_semi").select("vec").first()
-        chosen.append(np.array(vec["vec"], dtype="float64"))
+        draw += 1
+        fresh = _with_distance(points, np.stack(chosen)).orderBy(_draw_key(F.col("dist"), seed, draw), "id").limit(min(len(chosen), k - len(chosen)))
+        chosen += [np.array(row["vec"], dtype="float64") for row in fresh.select("vec").collect()]
     return np.stack(chosen)
 
 
-def _pass(points: DataFrame, now: np.ndarray, before: np.ndarray | None) -> tuple[int, np.ndarray]:
-    """Rows that move from the assignment under ``before`` to that under ``now``, and new means.
+def _pass(points: DataFrame, now: np.ndarray) -> np.ndarray:
+    """New means of the rows nearest to each centroid.
 
     Each task adds up its rows per cluster; what is gathered is k rows per dimension.
     """
 
     def run(batches):
-        sums, counts, moved = np.zeros_like(now), np.zeros(len(now)), 0
+        sums, counts = np.zeros_like(now), np.zeros(len(now))
         for pdf in batches:
-            if not len(pdf):
-                continue
-            rows = _stack(pdf["vec"])
-            to = cosine_distances(rows, now).argmin(axis=1)
-            old = np.zeros(len(rows), dtype=int) if before is None else cosine_distances(rows, before).argmin(axis=1)
-            moved += int((to != old).sum())
-            np.add.at(sums, to, rows)
-            counts += np.bincount(to, minlength=len(now))
-        yield pd.DataFrame(
-            {"cluster": np.arange(len(now)), "n": counts, "total": list(sums), "moved": [moved] + [0] * (len(now) - 1)}
-        )
+            if len(pdf):
+                rows = _stack(pdf["vec"])
+                to = cosine_distances(rows, now).argmin(axis=1)
+                np.add.at(sums, to, rows)
+                counts += np.bincount(to, minlength=len(now))
+        yield pd.DataFrame({"cluster": np.arange(len(now)), "n": counts, "total": list(sums)})
 
-    partial = points.select("vec").mapInPandas(run, "cluster int, n double, total array<double>, moved bigint")
+    partial = points.select("vec").mapInPandas(run, "cluster int, n double, total array<double>")
     zeros = F.array_repeat(F.lit(0.0), now.shape[1])
     # Task sums are folded in a fixed order, so the means are the same in every run; in two
     # rounds, so that no fold grows with the number of tasks.
     folded = F.aggregate(
         F.array_sort(F.collect_list("total")), zeros, lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y)
     )
-    sums = [F.sum("n").alias("n"), folded.alias("total"), F.sum("moved").alias("moved")]
+    sums = [F.sum("n").alias("n"), folded.alias("total")]
     share = F.pmod(F.spark_partition_id(), F.lit(SUM_SHARES)).alias("share")
     first = partial.select("*", share).groupBy("cluster", "share").agg(*sums)
-    rows = first.groupBy("cluster").agg(*sums).collect()
-    means, moved = now.copy(), 0
-    for row in rows:
-        moved += row["moved"]
-        if row["n"]:
-            means[row["cluster"]] = np.array(row["total"]) / row["n"]
-    return moved, means
-
-
-def kmeans(points: DataFrame, k: int, seed: int = 42, max_iterations: int = MAX_ITERATIONS) -> DataFrame:
-    """``(id, cluster)`` for ``points(id, vec)``, for a ``k`` that tasks can hold."""
-    if k > HELD_CENTROIDS:
-        raise ValueError(f"k is {k}; use cluster_groups beyond {HELD_CENTROIDS}")
+    means = now.copy()
+    for row in first.groupBy("cluster").agg(*sums).where("n > 0").collect():
+        means[row["cluster"]] = np.array(row["total"]) / row["n"]
+    return means
+
+
+def kmeans(points: DataFrame, k: int, seed: int = 42, max_iterations: int = MAX_ITERATIONS, held: int = HELD_CENTROIDS) -> DataFrame:
+    """``(id, cluster)`` for ``points(id, vec)``; centroids that no task can hold are joined in chunks."""
     points = cut(points.select("id", as_double(F.col("vec")).alias("vec")))
-    if k < 1 or points.isEmpty():
+    n = points.count()
+    if k < 1 or not n:
         return points.sparkSession.createDataFrame([], "id string, cluster int")
-    now, before = seed_centroids(points, k, seed), None
+    k = min(k, n)
+    if k > held:
+        one = points.sparkSession.createDataFrame([("", n, k)], "grp string, n bigint, k bigint")
+        return _large_groups(points.withColumn("grp", F.lit("")), one, seed, max_iterations, held).select("id", "cluster")
+    now = before = seed_centroids(points, k, seed)
     for _ in range(max_iterations):
-        moved, means = _pass(points, now, before)
-        if not moved:
+        means = _pass(points, now)
+        # Means that stay are means of rows that stay.
+        if np.array_equal(means, now):
+            before = now
             break
         before, now = now, means
-    # The last assignment made is the one under the centroids before the final means.
-    final = before if before is not None and moved else now
 
     def run(batches):
         for pdf in batches:
             if len(pdf):
-                near = cosine_distances(_stack(pdf["vec"]), final).argmin(axis=1)
+                # The last assignment made is the one under the centroids before the final means.
+                near = cosine_distances(_stack(pdf["vec"]), before).argmin(axis=1)
                 yield pd.DataFrame({"id": pdf["id"], "cluster": near.astype("int32")})
 
     return points.mapInPandas(run, "id string, cluster int")
 
 
-def _local(vectors: np.ndarray, k: int, seed: int, max_iterations: int) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    chosen = [vectors[rng.integers(len(vectors))]]
-    nearest = cosine_distances(vectors, np.stack(chosen)).min(axis=1)
-    while len(chosen) < k:
-        weight = np.square(nearest).cumsum()
-        at = int(np.searchsorted(weight, rng.random() * weight[-1])) if weight[-1] > 0 else 0
-        chosen.append(vectors[min(at, len(vectors) - 1)])
-        nearest = np.minimum(nearest, cosine_distances(vectors, chosen[-1][None, :])[:, 0])
-    centroids, to = np.stack(chosen), np.zeros(len(vectors), dtype=int)
+def _local(ids: np.ndarray, vectors: np.ndarray, draws: np.ndarray, k: int, max_iterations: int) -> np.ndarray:
+    """Clusters of one group in one task; ``draws`` has each row's number for every round."""
+    at = [int(np.lexsort((ids, draws[:, 0]))[0])]
+    nearest = cosine_distances(vectors, vectors[at]).min(axis=1)
+    draw = 0
+    while len(at) < k:
+        draw += 1
+        with np.errstate(divide="ignore"):
+            key = np.where(nearest > 0, -np.log(draws[:, draw]) / np.power(nearest, 2), np.inf)
+        fresh = np.lexsort((ids, key))[: min(len(at), k - len(at))]
+        at += fresh.tolist()
+        nearest = np.minimum(nearest, cosine_distances(vectors, vectors[fresh]).min(axis=1))
+    centroids, to = vectors[at].copy(), np.zeros(len(vectors), dtype=int)
     for _ in range(max_iterations):
         near = cosine_distances(vectors, centroids).argmin(axis=1)
         if (near == to).all():
@@ -217,12 +225,8 @@ def ranked(rows: DataFrame, by: str, order: list[Column]) -> DataFrame:
     part, inside = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
     marked = ordered.select("*", part.alias("part"), inside.alias("inside"))
     spans = marked.groupBy(by, "part").agg(F.count("*").alias("n"), F.min("inside").alias("start"))
-    earlier = spans.select(by, F.col("part").alias("p2"), F.col("n").alias("n2"))
-    offsets = (
-        spans.join(earlier, by, "left")
-        .groupBy(by, "part", "start")
-        .agg(F.coalesce(F.sum(F.when(F.col("p2") < F.col("part"), F.col("n2"))), F.lit(0)).alias("offset"))
-    )
+    before = W.partitionBy(by).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = spans.select(by, "part", "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     return (
         marked.join(broadcast_if_small(cut(offsets)), [by, "part"])
         .withColumn("place", F.col("inside") - F.col("start") + F.col("offset"))
@@ -231,11 +235,7 @@ def ranked(rows: DataFrame, by: str, order: list[Column]) -> DataFrame:
 
 
 def _large_groups(points: DataFrame, sizes: DataFrame, seed: int, max_iterations: int, chunk_rows: int) -> DataFrame:
-    """Clusters for groups too large for one task, all of them at once.
-
-    Seeds double every round: a round draws as many as there are, without replacement,
-    each by the squared distance to the seeds so far.
-    """
+    """Clusters for groups too large for one task, all of them at once."""
     points = cut(points)
     # One row per group too large for a task: at most the rows over the size of a task.
     ks = broadcast_if_small(cut(sizes.select("grp", "n", "k")))
@@ -251,10 +251,7 @@ def _large_groups(points: DataFrame, sizes: DataFrame, seed: int, max_iterations
     near = cut(_nearest_in_chunks(points, seeds, shape(F.lit(1))).select("grp", "id", "dist"))
     for r in range(1, rounds + 1):
         have = 2 ** (r - 1)
-        key = F.when(F.col("dist") > 0, -F.log(_uniform(seed, r)) / F.pow("dist", F.lit(2))).otherwise(
-            F.lit(float("inf"))
-        )
-        drawn = ranked(near.withColumn("key", key), "grp", [F.col("key"), F.col("id")])
+        drawn = ranked(near.withColumn("key", _draw_key(F.col("dist"), seed, r)), "grp", [F.col("key"), F.col("id")])
         fresh = (
             drawn.join(ks.select("grp", "k"), "grp")
             .where(F.col("place") < F.least(F.lit(have), F.col("k") - have))
@@ -310,17 +307,19 @@ def cluster_groups(
     n = F.col("n")
     k = F.least(F.greatest(F.floor(n / 5), F.lit(2)), F.floor(n / 2))
     sizes = cut(points.groupBy("grp").agg(F.count("*").alias("n")).withColumn("k", k.cast("bigint")))
-    small = points.join(broadcast_if_small(sizes.where(n <= group_rows)), "grp", "left_semi")
+    # A number for the first seed, and one for each doubling up to the clusters of the largest group.
+    draws = F.array(*(_uniform(seed, i) for i in range(1 + math.ceil(math.log2(max(2, default_k(max(4, group_rows))))))))
+    small = points.join(broadcast_if_small(sizes.where((n <= group_rows) | (n <= 3))), "grp", "left_semi").withColumn("draws", draws)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         to = np.zeros(len(pdf), dtype="int32")
         if len(pdf) > 3:
-            to = _local(_stack(pdf["vec"]), default_k(len(pdf)), seed, max_iterations).astype("int32")
+            to = _local(pdf["id"].to_numpy(str), _stack(pdf["vec"]), _stack(pdf["draws"]), default_k(len(pdf)), max_iterations).astype("int32")
         return pd.DataFrame({"grp": pdf["grp"], "id": pdf["id"], "cluster": to})
 
     parts = [small.groupBy("grp").applyInPandas(run, "grp string, id string, cluster int")]
-    large = sizes.where(n > group_rows)
+    large = sizes.where((n > group_rows) & (n > 3))
     if not large.isEmpty():
         rows = points.join(broadcast_if_small(large), "grp", "left_semi")
         parts.append(_large_groups(rows, large, seed, max_iterations, chunk_rows))

@@ -153,8 +153,7 @@ def distance_to_probe(t: Tables) -> DataFrame:
 )
 def domain_k(t: Tables) -> DataFrame:
     files = t.part.groupBy("p_size").agg(F.count("*").alias("files")).select("files").unionByName(t.lineitem.agg(F.count("*").alias("files")))
-    k = F.least(F.greatest(F.floor(F.sqrt(F.col("files") / 5)), F.lit(5)), F.lit(50))
-    return files.distinct().select("files", F.when(F.col("files") == 0, 0).otherwise(k).cast("bigint").alias("k"))
+    return files.distinct().select("files", kmeans.domain_count(F.col("files")).alias("k"))
 
 
 @query("kmeans")
@@ -169,6 +168,38 @@ def feature_clusters(t: Tables) -> DataFrame:
     return kmeans.cluster_groups(t.embeddings.select(F.col("label").cast("string").alias("grp"), text("fn:", "vec_id").alias("id"), F.col("embedding").alias("vec")))
 
 
+def _settled(t: Tables, assigned: DataFrame) -> DataFrame:
+    """Of ``(grp, id, cluster)``, by group: rows, rows of the input, clusters, and whether no row is nearer to another cluster's mean than to its own."""
+    vectors = t.embeddings.select(F.col("label").cast("string").alias("label"), text("fn:", "vec_id").alias("id"), F.col("embedding").alias("vec"))
+    rows = assigned.join(vectors, "id").withColumn("key", F.concat_ws("/", "grp", "cluster")).cache()
+    means = domains.centroids(rows.select(F.col("key").alias("cluster"), "id", "vec")).withColumn("grp", F.substring_index("cluster", "/", 1))
+    apart = rows.select("grp", "key", "id", "vec").join(means.withColumnRenamed("cluster", "other"), "grp")
+    apart = apart.withColumn("distance", cosine_distance(F.col("vec"), F.col("centroid")))
+    nearest = apart.groupBy("grp", "id").agg(F.min("distance").alias("least"), F.min(F.when(F.col("key") == F.col("other"), F.col("distance"))).alias("own"))
+    settled = nearest.groupBy("grp").agg(F.bool_and(F.col("own") <= F.col("least") + 1e-9).alias("settled"))
+    return rows.groupBy("grp").agg(F.count("*").alias("rows"), F.countDistinct("id").alias("ids"), F.countDistinct("cluster").alias("clusters")).join(settled, "grp")
+
+
+@query(
+    "kmeans_settled",
+    "SELECT count(*) AS rows, count(DISTINCT vec_id) AS ids, 8::BIGINT AS clusters, true AS settled FROM embeddings",
+)
+def kmeans_settled(t: Tables) -> DataFrame:
+    """Every vector is in one of the eight clusters, and in that with the nearest mean."""
+    return _settled(t, run_kmeans(t).withColumn("grp", F.lit(""))).drop("grp")
+
+
+@query(
+    "feature_clusters_settled",
+    """SELECT label::VARCHAR AS grp, count(*) AS rows, count(DISTINCT vec_id) AS ids, true AS within, true AS settled FROM embeddings GROUP BY label""",
+)
+def feature_clusters_settled(t: Tables) -> DataFrame:
+    """Of every label: no vector is lost, as many clusters as asked for at most and half as many at least, each vector with the nearest mean."""
+    out = _settled(t, feature_clusters(t))
+    asked = F.when(F.col("rows") <= 3, 1).otherwise(F.least(F.greatest(F.floor(F.col("rows") / 5), F.lit(2)), F.floor(F.col("rows") / 2)))
+    return out.select("grp", "rows", "ids", ((F.col("clusters") <= asked) & (F.col("clusters") * 2 >= asked)).alias("within"), "settled")
+
+
 @query("domain_topology", f"WITH {VECTOR_SQL} SELECT 'IMPLEMENTS' AS type, id FROM vecs")
 def domain_topology(t: Tables) -> DataFrame:
     """Every embedded function implements exactly one feature of the fresh layer."""
@@ -176,6 +207,21 @@ def domain_topology(t: Tables) -> DataFrame:
     return g.edges.where("type = 'IMPLEMENTS'").select("type", F.col("src").alias("id"))
 
 
+@query(
+    "unique_names_clashing",
+    """WITH RECURSIVE rows AS (SELECT p_partkey, 'S' || p_size || CASE WHEN p_partkey % 7 = 0 THEN ' 1' ELSE '' END AS name, row_number() OVER (ORDER BY p_partkey) AS n FROM part),
+    named AS (SELECT 0::BIGINT AS n, []::VARCHAR[] AS used
+      UNION ALL SELECT r.n, list_append(used, list_filter(list_prepend(r.name, list_transform(range(1, 200), lambda i: r.name || ' ' || i)), lambda x: NOT list_contains(used, x))[1])
+      FROM named JOIN rows r ON r.n = named.n + 1)
+    SELECT p_partkey, (SELECT arg_max(used, n) FROM named)[n] AS unique_name FROM rows""",
+)
+def unique_names_clashing(t: Tables) -> DataFrame:
+    """Names that already end in numbers: each row takes the first that no earlier row has."""
+    base = F.concat(F.lit("S"), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 7 == 0, " 1").otherwise(""))
+    named = domains.unique_names(t.part.select("p_partkey", base.alias("name")), order="p_partkey")
+    return named.select("p_partkey", "unique_name")
+
+
 @query(
     "unique_names",
     """SELECT p_partkey, p_name || CASE WHEN n = 1 THEN '' ELSE ' ' || (n - 1) END AS unique_name

@@ -235,3 +235,20 @@ def test_hub_with_a_third_of_all_edges(make, spark):
     want = {f"f{i}": hops(f"f{i}") for i in range(n)}
     assert out == {k: v for k, v in want.items() if v is not None}
     assert g.nodes.where(F.col("is_volatile")).count() == 1
+
+
+def test_sql_reads_only_and_shows_no_vectors(spark, make):
+    from graphloom.api import run_sql
+
+    g = make({"a": {"embedding": [1.0, 0.0]}, "b": "Function"}, [("a", "b", "CALLS")])
+    spark.range(3).createOrReplaceTempView("nodes")
+    assert rows(run_sql(g, "select n.id, e.dst from nodes n join edges e on e.src = n.id order by 1 -- done")) == [("a", "b")]
+    assert rows(run_sql(g, "with x as (select id from nodes) select count(*) from x")) == [(2,)]
+    assert spark.table("nodes").count() == 3
+    spark.catalog.dropTempView("nodes")
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(("nodes", "edges"))]
+    for bad in ("FROM nodes INSERT INTO t SELECT id", "WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x", "DROP TABLE t", "SELECT 1) a INSERT INTO t (SELECT 2", "CREATE TABLE t AS SELECT 1", "SET a=b"):
+        with pytest.raises(ValueError, match="read-only"):
+            run_sql(g, bad)
+    with pytest.raises(Exception, match="UNRESOLVED"):
+        run_sql(g, "select id, embedding e from nodes").collect()

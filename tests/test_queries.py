@@ -19,7 +19,7 @@ NAMES = sorted(registry.QUERIES) if os.environ.get("ALL_QUERIES") else SAMPLE
 
 def test_every_query_with_sql_is_registered():
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(registry.QUERIES) == set(registry.SQL)
+    assert set(registry.QUERIES) - set(registry.SQL) == {"kmeans", "feature_clusters"}
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")

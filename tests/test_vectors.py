@@ -122,6 +122,28 @@ def test_groups_are_clustered_alike_in_one_task_and_in_many(spark):
             assert near[to[i]] <= min(near.values()) + 1e-9
 
 
+def test_where_the_work_is_done_changes_no_cluster(spark):
+    vectors = sample(120, ["big", "big", "big", "mid"], 0) + [("tiny", f"t{i}", [1.0, float(i)] + [0.0] * 4) for i in range(3)]
+    df = spark.createDataFrame(vectors, "grp string, id string, vec array<double>")
+    whole = rows(kmeans.cluster_groups(df))
+    assert len(whole) == len(vectors)
+    for group_rows, chunk_rows in ((40, 2048), (40, 8), (2, 5)):
+        assert rows(kmeans.cluster_groups(df, group_rows=group_rows, chunk_rows=chunk_rows)) == whole
+    one = df.select("id", "vec")
+    assert rows(kmeans.kmeans(one, 12)) == rows(kmeans.kmeans(one, 12, held=4))
+    assert len(rows(kmeans.kmeans(one.limit(30), 29, held=8))) == 30
+
+
+def test_names_that_end_in_numbers(spark):
+    names = ["X", "X", "X 1", "Y 1", "Y", "Y", "X", "X 1 1", "X 1"]
+    df = spark.createDataFrame(list(enumerate(names)), "cluster int, name string")
+    used = []
+    for n in names:
+        tries = [n, *(f"{n} {i}" for i in range(1, 20))]
+        used.append(next(t for t in tries if t not in used))
+    assert [r[1] for r in rows(domains.unique_names(df), "cluster", "unique_name")] == used
+
+
 def test_domain_k_table():
     table = {0: 0, 10: 5, 50: 5, 200: 6, 1000: 14, 2000: 20, 5000: 31, 10000: 44, 33000: 50, 100000: 50}
     assert {n: kmeans.domain_k(n) for n in table} == table
