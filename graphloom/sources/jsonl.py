@@ -18,20 +18,24 @@ _OWN = {"id", "label", "labels", "extra"}
 DEFAULT_LABEL = "Generic"
 
 
-def in_file_order(lines: DataFrame, *first: Column) -> DataFrame:
-    """``(value, seq)`` of text lines read with their ``_metadata``.
+def located(lines: DataFrame, *first: Column) -> DataFrame:
+    """``(value, place)`` of text lines read with their ``_metadata``: ``first``, the file, and the split of it."""
+    return lines.select("value", F.struct(*first, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split")).alias("place"))
+
+
+def in_file_order(lines: DataFrame) -> DataFrame:
+    """``(value, seq)`` of located lines.
 
     Splits of files are packed into tasks by size, so a task's numbering says nothing about
-    other files: lines are ordered by ``first``, then by file, split and place in the split.
+    other splits: it orders the lines of one, and the place comes before it.
     """
-    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at")]
-    return lines.select("value", F.struct(*first, *place).alias("seq"))
+    return lines.select("value", F.struct("place", F.monotonically_increasing_id().alias("at")).alias("seq"))
 
 
 def read_lines(spark: SparkSession, path) -> DataFrame:
     """``(value, seq)`` in the order of paths, files and lines; ``path`` is one path or a list."""
     paths = [path] if isinstance(path, str) else list(path)
-    return reduce(DataFrame.unionByName, [in_file_order(spark.read.text(p), F.lit(i).alias("path")) for i, p in enumerate(paths)])
+    return reduce(DataFrame.unionByName, [in_file_order(located(spark.read.text(p), F.lit(i).alias("path"))) for i, p in enumerate(paths)])
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:

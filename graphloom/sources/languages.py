@@ -33,9 +33,6 @@ STATEMENTS = [
 PYTHON_STATEMENTS = ["if", "elif", "while", "for", "return", "and", "or", "not", "in", "lambda", "yield", "assert", "class", "def", "with", "except"]
 JAVA_PLAIN_TYPES = ["String", "Integer", "Boolean", "Object", "System", "Exception", "List", "Map", "Set"]
 
-# A parameter list may go on over this many lines.
-HEADER_LINES = 12
-
 _MODS = "(?:(?:public|private|protected|internal|static|final|abstract|sealed|partial|override|virtual|async|readonly|export|default|declare|synchronized|unsafe|new|extern|get|set|\\*)\\s+)*"
 _TYPE = "[\\w.]+(?:<[^()]*>)?(?:\\[\\])*\\??"
 
@@ -115,6 +112,31 @@ def is_test_file(path: Column) -> Column:
     return low.rlike("(_test\\.go|test\\.java|tests?\\.cs|\\.test\\.ts|\\.spec\\.ts)\\z") | low.contains("/tests/")
 
 
+# ---- comments and strings ----------------------------------------------------------------
+
+_STRINGS = r"""'(?:[^'\\\n]++|\\.)*+'|"(?:[^"\\\n]++|\\.)*+\""""
+# Comments and strings of a language, also over several lines; what comes first in the text wins.
+TOKENS = {
+    "cs": rf'(?s)/\*.*?\*/|//[^\n]*+|@"(?:[^"]++|"")*+"|{_STRINGS}',
+    "java": rf'(?s)/\*.*?\*/|//[^\n]*+|""".*?"""|{_STRINGS}',
+    "ts": rf"(?s)/\*.*?\*/|//[^\n]*+|{_STRINGS}|`(?:[^`\\]++|\\.)*+`",
+    "python": rf"(?s)\"\"\".*?\"\"\"|'''.*?'''|#[^\n]*+|{_STRINGS}",
+}
+
+
+def without_comments(text: Column, lang: str, strings: bool) -> Column:
+    """The text with comments blanked and, if asked for, what is inside strings; every character keeps its place."""
+    if lang not in TOKENS:
+        return text
+
+    def shown(token: Column) -> Column:
+        comment = token.startswith("#") if lang == "python" else token.startswith("/*") | token.startswith("//")
+        inside = F.concat(F.left(token, F.lit(1)), _mask(F.substring(token, F.lit(2), F.length(token) - 2)), F.right(token, F.lit(1)))
+        return F.when(comment, _mask(token)).otherwise(inside if strings else token)
+
+    return _keep(text, TOKENS[lang], shown, lambda outside: outside)
+
+
 # ---- server pages ----------------------------------------------------------------------
 
 _BLOCK = "(?s)<%.*?%>"
@@ -167,7 +189,7 @@ def prepare(files: DataFrame) -> DataFrame:
 
     Visual Basic in a page is wrapped in a module, which moves its lines by one.
     """
-    known = files.withColumn("lang", detect_language(F.col("path"))).where("lang is not null")
+    known = files.withColumn("path", F.replace("path", F.lit("\\"), F.lit("/"))).withColumn("lang", detect_language(F.col("path"))).where("lang is not null")
     page = F.col("lang") == "asp"
     lang = F.when(page, page_language(F.col("path"), F.col("text"))).otherwise(F.col("lang"))
     masked = F.when(page, mask_page(F.col("text"))).otherwise(F.col("text"))
@@ -200,15 +222,29 @@ def _signature(params: Column, lang: str) -> Column:
     return F.concat(F.lit("("), F.array_join(_parameter_types(params, lang), "," if lang == "java" else ", "), F.lit(")"))
 
 
+def _with_heads(lines: DataFrame) -> DataFrame:
+    """Adds ``head``: the code of a line whose bracket stays open, read on to where it closes and a block or statement ends it.
+
+    Where that is comes from one running window over the file read backwards; only lines that go on are joined with those they go on to.
+    """
+    code = F.col("code")
+    back = W.partitionBy("path").orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)
+    next_of = lambda mark: F.last(F.when(code.rlike(mark), F.col("n")), ignorenulls=True).over(back)
+    opens = F.size(F.split(code, "\\(")) > F.size(F.split(code, "\\)"))
+    marked = lines.withColumn("closes", F.when(code.contains(")"), F.col("n")).otherwise(next_of("\\)"))).withColumn("ends", next_of("[{;]"))
+    marked = cut(marked.withColumn("last", F.when(opens & F.col("closes").isNotNull(), F.greatest("closes", F.coalesce("ends", "closes")))))
+    longer = marked.where(F.col("last") > F.col("n")).select("path", F.col("n").alias("at"), F.explode(F.sequence("n", "last")).alias("n"))
+    parts = longer.join(marked.select("path", "n", "code"), ["path", "n"]).groupBy("path", F.col("at").alias("n"))
+    heads = parts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "code"))), lambda x: x["code"]), " ").alias("whole"))
+    whole = F.coalesce(F.regexp_extract("whole", "^[^)]*\\)[^{;]*[{;]?", 0), F.when(opens, F.regexp_extract(code, "^[^)]*\\)[^{;]*[{;]?", 0)), code)
+    return marked.join(heads, ["path", "n"], "left").withColumn("head", F.when(opens & F.col("last").isNotNull(), whole).otherwise(code)).drop("whole", "closes", "ends", "last")
+
+
 def _definitions(lines: DataFrame, rules: Rules, lang: str) -> DataFrame:
     """``(path, n, level, kind, name, signature, closed, line)`` of what lines define."""
     if rules.style == "brace":
-        # A header whose parameter list goes on is read together with the lines it goes on to.
-        order = W.partitionBy("path").orderBy("n")
-        ahead = [F.lead("code", i).over(order) for i in range(1, HEADER_LINES)]
-        open_list = F.size(F.split("code", "\\(")) > F.size(F.split("code", "\\)"))
-        lines = lines.withColumn("head", F.when(open_list, F.concat_ws(" ", "code", *ahead)).otherwise(F.col("code")))
-        code = F.when(open_list, F.regexp_extract("head", "^[^)]*\\)[^{;]*[{;]?", 0)).otherwise(F.col("code"))
+        lines = _with_heads(lines)
+        code = F.col("head")
     else:
         code = F.col("code")
     own = F.col("code")
@@ -301,29 +337,38 @@ def _file_spaces(lines: DataFrame, lang: str) -> DataFrame:
     return lines.groupBy("path").agg(F.max(hit).alias("file_space"))
 
 
-def _imports(lines: DataFrame, lang: str) -> DataFrame:
-    """``(path, alias, target)`` of imported names."""
+def _found(text: Column, pattern: str, *groups: int) -> Column:
+    """All matches of a pattern in a text, one struct of the groups each."""
+    return F.explode(F.arrays_zip(*(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in groups))).alias("m")
+
+
+def _named(rows: DataFrame, names: Column) -> DataFrame:
+    """``rows`` with ``name`` and ``alias`` for each of the listed ``name [as alias]``."""
+    each = rows.withColumn("spec", F.explode(F.split(F.regexp_replace(names, "\\s+", " "), ","))).withColumn("spec", F.split(F.trim(F.regexp_replace("spec", "^ *type ", "")), " as "))
+    return each.withColumn("name", F.trim(F.element_at("spec", 1))).withColumn("alias", F.trim(F.element_at("spec", -1))).where("name <> ''").drop("spec")
+
+
+def _imports(lines: DataFrame, texts: DataFrame, lang: str) -> DataFrame:
+    """``(path, alias, target)`` of imported names; lists over several lines are read from the text as a whole."""
     line = F.col("line")
     if lang == "java":
         name = F.regexp_extract(line, "^\\s*import\\s+(?:static\\s+)?([\\w.]+)\\s*;", 1)
         return lines.select("path", name.alias("target")).where("target <> ''").select("path", F.element_at(F.split("target", "\\."), -1).alias("alias"), "target")
     if lang == "python":
-        plain = "^\\s*import\\s+([\\w.]+)(?:\\s+as\\s+(\\w+))?\\s*$"
-        bare = lines.where(line.rlike(plain)).select("path", F.regexp_extract(line, plain, 1).alias("target"), F.regexp_extract(line, plain, 2).alias("a"))
-        source = "^\\s*from\\s+([\\w.]+)\\s+import\\s+([\\w, ]+)$"
-        froms = lines.where(line.rlike(source)).select("path", F.regexp_extract(line, source, 1).alias("m"), F.explode(F.split(F.regexp_extract(line, source, 2), "\\s*,\\s*")).alias("alias"))
-        return bare.select("path", F.when(F.col("a") != "", F.col("a")).otherwise(F.col("target")).alias("alias"), "target").unionByName(
-            froms.select("path", F.trim("alias").alias("alias"), F.concat("m", F.lit("."), F.trim("alias")).alias("target"))
-        )
+        joined = F.regexp_replace("code", "\\\\\\r?\\n", " ")
+        plain = _named(texts.select("path", _found(joined, "(?m)^[ \\t]*import[ \\t]+([\\w., \\t]+)", 1)), F.col("m.g1")).select("path", "alias", F.col("name").alias("target"))
+        listed = texts.select("path", _found(joined, "(?m)^[ \\t]*from[ \\t]+([\\w.]+)[ \\t]+import[ \\t]*(?:\\(([^)]*)\\)|([\\w, \\t]+))", 1, 2, 3))
+        froms = _named(listed.select("path", F.col("m.g1").alias("module"), F.concat("m.g2", "m.g3").alias("names")), F.col("names"))
+        return plain.unionByName(froms.select("path", "alias", F.concat("module", F.lit("."), "name").alias("target")))
     if lang == "ts":
-        pattern = "^\\s*import\\s+\\{([^}]*)\\}\\s*from\\s*[\"']([^\"']+)[\"']"
-        specs = lines.where(line.rlike(pattern)).select("path", F.explode(F.split(F.trim(F.regexp_extract(line, pattern, 1)), "\\s*,\\s*")).alias("spec"), F.regexp_extract(line, pattern, 2).alias("module")).where("spec <> ''")
+        pattern = "(?m)^[ \\t]*import\\s+(?:type\\s+)?(?:([\\w$]+)\\s*,?\\s*)?(?:\\{([^}]*)\\}|\\*\\s*as\\s+([\\w$]+))?\\s*from\\s*[\"']([^\"']+)[\"']"
+        found = texts.select("path", _found(F.col("text"), pattern, 1, 2, 3, 4))
         folder = F.regexp_replace("path", "[^/]*\\z", "")
         joined = F.array_join(clean_components(F.concat(folder, "module")), "/")
         full = F.when(joined.rlike("\\.[A-Za-z]+\\z"), joined).otherwise(F.concat(joined, F.lit(".ts")))
-        file = F.when(F.col("module").startswith("."), full).otherwise(F.col("module"))
-        names = F.split(F.col("spec"), "\\s+as\\s+")
-        return specs.select("path", F.element_at(names, -1).alias("alias"), F.concat(file, F.lit(":"), F.element_at(names, 1)).alias("target"))
+        rows = found.select("path", F.col("m.g4").alias("module"), F.concat_ws(",", "m.g2", F.when(F.col("m.g1") != "", F.col("m.g1")), F.when(F.col("m.g3") != "", F.col("m.g3"))).alias("names"))
+        rows = rows.withColumn("file", F.when(F.col("module").startswith("."), full).otherwise(F.col("module")))
+        return _named(rows, F.col("names")).select("path", "alias", F.concat("file", F.lit(":"), "name").alias("target"))
     return lines.sparkSession.createDataFrame([], "path string, alias string, target string")
 
 
@@ -341,11 +386,12 @@ def _java_type(name: Column) -> Column:
 def _extract(files: DataFrame, lang: str) -> tuple[DataFrame, DataFrame]:
     """Node and edge rows of the files of one language."""
     rules = RULES[lang]
-    raw = numbered_lines(files.where(F.col("lang") == lang))
+    texts = files.where(F.col("lang") == lang).select("path", "lang", without_comments(F.col("text"), lang, False).alias("text"), without_comments(F.col("text"), lang, True).alias("code"))
+    raw = numbered_lines(texts)
     lines, style = _levelled(raw, rules)
     lines = cut(lines)
     spaces = _file_spaces(lines, lang)
-    imports = cut(_imports(lines, lang))
+    imports = cut(_imports(lines, texts, lang))
     defs = with_ends(_definitions(lines, rules, lang), lines, style)
     if lang == "cs":
         # A namespace that ends with its own line covers the file; it is no block.

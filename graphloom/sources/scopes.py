@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 
 def numbered_lines(files: DataFrame) -> DataFrame:
-    """``(path, lang, n, line)`` with lines from 1."""
-    return files.select(
-        "path", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "line")
-    ).select("path", "lang", (F.col("pos") + 1).cast("bigint").alias("n"), F.regexp_replace("line", "\\r\\z", "").alias("line"))
+    """``(path, lang, n, line, code)`` with lines from 1; ``code`` is the masked text of ``line``."""
+    both = F.arrays_zip(F.split("text", "\n").alias("line"), F.split("code", "\n").alias("code"))
+    bare = lambda c: F.regexp_replace(c, "\\r\\z", "").alias(c.split(".")[1])
+    return files.select("path", "lang", F.posexplode(both).alias("pos", "x")).select("path", "lang", (F.col("pos") + 1).cast("bigint").alias("n"), bare("x.line"), bare("x.code"))
 
 
 def _count(text: Column, char: str) -> Column:
@@ -25,7 +25,7 @@ def _count(text: Column, char: str) -> Column:
 
 
 def with_levels(lines: DataFrame, style: str, opens: Column | None = None, closes: Column | None = None) -> DataFrame:
-    """Adds ``code`` (no strings, no comments), ``level``, ``after`` and ``low``.
+    """Adds ``level``, ``after`` and ``low`` to lines whose ``code`` has no strings and no comments.
 
     ``style`` is ``brace``, ``indent`` or ``keyword``; the last takes two boolean columns.
     ``low`` is the level a line falls to before it opens anything.
@@ -33,18 +33,15 @@ def with_levels(lines: DataFrame, style: str, opens: Column | None = None, close
     by_line = W.partitionBy("path").orderBy("n")
     before = by_line.rowsBetween(W.unboundedPreceding, -1)
     if style == "indent":
-        solid = lines.where(~F.col("line").rlike("^\\s*(#.*)?$"))
-        code = F.regexp_replace(F.regexp_replace("line", "\"[^\"]*\"|'[^']*'", "\"\""), "#.*", "")
-        indent = F.length(F.regexp_extract(F.regexp_replace("line", "\t", "        "), "^( *)", 1))
-        out = solid.select("path", "lang", "n", "line", code.alias("code"), indent.alias("level"))
+        solid = lines.where(~F.col("code").rlike("^\\s*$"))
+        indent = F.length(F.regexp_extract(F.regexp_replace("code", "\t", "        "), "^( *)", 1))
+        out = solid.select("path", "lang", "n", "line", "code", indent.alias("level"))
         return out.withColumn("after", F.col("level")).withColumn("low", F.col("level"))
     if style == "brace":
-        code = F.regexp_replace("line", "\"(?:[^\"\\\\]|\\\\.)*\"|'(?:[^'\\\\]|\\\\.)*'|`[^`]*`", "\"\"")
-        code = F.regexp_replace(F.regexp_replace(code, "/\\*.*?\\*/", ""), "//.*|^\\s*\\*.*", "")
-        marked = lines.withColumn("code", code)
+        marked = lines
         up, down = _count(F.col("code"), "{"), _count(F.col("code"), "}")
     else:
-        marked = lines.withColumn("code", F.col("line"))
+        marked = lines
         up, down = opens.cast("int"), closes.cast("int")
     marked = marked.withColumn("net", up - down)
     level = F.greatest(F.coalesce(F.sum("net").over(before), F.lit(0)), F.lit(0))

@@ -18,7 +18,7 @@ from graphloom.sources import jsonl
 
 def _store(store: str):
     def write(batch: DataFrame, epoch: int) -> None:
-        records = cut(jsonl.parse_lines(batch))
+        records = cut(jsonl.parse_lines(jsonl.in_file_order(batch)))
         # Batches come before files, files by their time: no number of partitions or records can mix them.
         nodes = jsonl.node_records(records).withColumn("seq", F.struct(F.lit(epoch).cast("bigint").alias("batch"), "seq"))
         nodes.write.mode("overwrite").parquet(f"{store}/nodes/batch={epoch}")
@@ -29,7 +29,7 @@ def _store(store: str):
 
 def ingest(spark: SparkSession, folder: str, store: str, progress: str) -> None:
     """Load the files of ``folder`` not yet loaded, then stop. ``progress`` keeps what is done."""
-    lines = jsonl.in_file_order(spark.readStream.format("text").load(folder), F.col("_metadata.file_modification_time").alias("time"))
+    lines = jsonl.located(spark.readStream.format("text").load(folder), F.col("_metadata.file_modification_time").alias("time"))
     query = lines.writeStream.foreachBatch(_store(store)).option("checkpointLocation", progress).trigger(availableNow=True).start()
     query.awaitTermination()
 

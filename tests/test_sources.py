@@ -1,4 +1,6 @@
 import json
+import os
+import re
 
 import pytest
 from conftest import ids, rows
@@ -226,3 +228,97 @@ def test_build_all(spark, make):
 def test_flags(spark):
     raw = F.lit("/W4 /MP /YuStdAfx.h  %(AdditionalOptions) /fp:fast /utf-8")
     assert one(spark, build.translate_flags(build.split_options(raw))) == ["/W4", "/utf-8"]
+
+
+def _graph(spark, path, text):
+    g = extract(spark.createDataFrame([(path, text)], "path string, text string"))
+    return rows(g.nodes, "id", "start_line", "end_line"), rows(g.edges)
+
+
+def test_a_header_of_forty_lines(spark):
+    params = ",\n".join(f"        int p{i}" for i in range(40))
+    nodes, edges = _graph(spark, "A.java", f"package x;\npublic class A {{\n    public void run(\n{params}\n    ) {{\n        stop();\n    }}\n    void stop() {{\n    }}\n}}\n")
+    run = "Function:x.A.run:(" + ",".join(["int"] * 40) + ")"
+    assert (run, 3, 46) in nodes and (run, "x.A.stop", "CALLS") in edges
+
+
+def test_comments_and_strings_over_lines_are_no_code(spark):
+    java = "package x;\nclass A {\n  /* if (x) {\n     { gone(1);\n  */\n  String s = \"{ // \\\" {\"; // }\n  void run() {\n    stop('{');\n  }\n}\nclass B {\n}\n"
+    nodes, edges = _graph(spark, "A.java", java)
+    assert ("Class:x.A:", 2, 10) in nodes and ("Class:x.B:", 11, 12) in nodes
+    assert not [e for e in edges if "gone" in e[1]] and ("Function:x.A.run:()", "x.A.stop", "CALLS") in edges
+    ts = "export class A {\n  text = `{\n ${1} {\n`;\n  run(): void {\n    // }\n    go();\n  }\n}\n"
+    nodes, _ = _graph(spark, "a.ts", ts)
+    assert ("Class:a.ts:A:", 1, 9) in nodes and ("Function:a.ts:A.run:", 5, 8) in nodes
+    py = 'def a():\n    """Says foo(1)\n  or "bar(2)" and more\n    """\n    b(1)  # c(3)\n\ndef b(x):\n    return """d(4)\nclass Not:\n"""\n'
+    nodes, edges = _graph(spark, "a.py", py)
+    assert ("Function:a.py:a:", 1, 5) in nodes and ("Function:a.py:b:", 7, 10) in nodes and not [n for n in nodes if "Not" in n[0]]
+    assert [(s, d) for s, d, t in edges if t == "CALLS"] == [("Function:a.py:a:", "Function:a.py:b:")]
+
+
+def test_imports_as_they_are_written(spark):
+    py = "import a.b as x, os\nfrom m.n import (\n    foo,  # first\n    bar as baz,\n)\nfrom k import \\\n    one\n\ndef f():\n    foo(1)\n    baz(2)\n    one()\n    x.go()\n    os.getcwd()\n"
+    _, edges = _graph(spark, "p.py", py)
+    assert sorted(d for _, d, t in edges if t == "CALLS") == [f"Function:p.py:{n}:" for n in ("a.b.go", "k.one", "m.n.bar", "m.n.foo", "os.getcwd")]
+    ts = "import {\n  add,\n  sub as minus,\n} from './math';\nimport start, { type Kind } from \"../base\";\nimport * as all from 'lib';\n// import { no } from './no';\nexport function f() {\n  add(1);\n  minus(2);\n  start();\n  no();\n}\n"
+    _, edges = _graph(spark, "C:\\src\\app\\f.ts", ts)
+    assert sorted(d for s, d, t in edges if t == "CALLS") == ["C:/src/app/f.ts:no", "C:/src/app/math.ts:add", "C:/src/app/math.ts:sub", "C:/src/base.ts:start"]
+
+
+def test_lines_keep_the_order_of_paths_files_and_lines(spark, tmp_path):
+    from graphloom.sources.jsonl import read_graph, read_lines
+
+    big, small = tmp_path / "b.jsonl", tmp_path / "a.jsonl"
+    pad = "x" * 200
+    big.write_text("".join(f'{{"id":"n{i}","type":"Function","name":"big{i}","pad":"{pad}"}}\n' for i in range(3000)))
+    small.write_text("".join(f'{{"id":"n{i}","type":"Function","name":"small{i}"}}\n' for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        for paths, last in (([str(small), str(big)], "big"), ([str(big), str(small)], "small"), (str(tmp_path), "big")):
+            names = {r["id"]: r["name"] for r in read_graph(spark, paths).nodes.collect()}
+            assert names == {f"n{i}": f"{last}{i}" for i in range(3000)}
+        lines = [r[0] for r in read_lines(spark, [str(small)]).orderBy("seq").collect()]
+        assert lines == small.read_text().splitlines()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_later_batches_win_whatever_their_partitions(spark, tmp_path):
+    from graphloom.streaming.ingest import current_graph, ingest
+
+    folder, store, progress = (str(tmp_path / n) for n in ("in", "store", "progress"))
+    os.mkdir(folder)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        for batch in range(2):
+            lines = [f'{{"id":"n{i % 500}","type":"Function","name":"b{batch} v{i // 500}","pad":"{"y" * 500}"}}' for i in range(5000)]
+            with open(f"{folder}/f{batch}.jsonl", "w") as out:
+                out.write("\n".join(lines))
+            ingest(spark, folder, store, progress)
+            assert {r["name"] for r in current_graph(spark, store).nodes.collect()} == {f"b{batch} v9"}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_compile_commands_are_one_array(spark, tmp_path):
+    from graphloom.sources.build import write_compile_commands
+
+    rows_ = [("/r", f"/r/{i}.cpp", ["clang-cl", "/c", f"/r/{i}.cpp"]) for i in range(30)]
+    frame = spark.createDataFrame(rows_, "directory string, file string, arguments array<string>").repartition(4)
+    for count in (30, 1, 0):
+        path = str(tmp_path / f"c{count}")
+        write_compile_commands(frame.orderBy("file").limit(count), path)
+        parts = [p for p in os.listdir(path) if p.startswith("part-")]
+        assert len(parts) == 1
+        with open(f"{path}/{parts[0]}") as f:
+            assert len(json.load(f)) == count
+
+
+def test_ignore_classes():
+    from graphloom.sources.files import _pattern
+
+    match = lambda rule, path: re.search(_pattern(rule).replace("\\z", "\\Z"), path) is not None
+    assert match("*.py[cod]", "b/a.pyc") and not match("*.py[cod]", "a.py") and match("x[!a-c]y", "xdy") and not match("x[!a-c]y", "xby")
+    assert match("a\\*b", "a*b") and not match("a\\*b", "axb") and not match("a[!b]c", "a/c") and match("[[]x", "[x")
