@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.plans.catalog import query
 from graphloom.plans.retail import Tables
+from graphloom import steps
 from graphloom.sources import build
 
 
@@ -75,3 +76,64 @@ def include_log(t: Tables) -> DataFrame:
     log = F.concat(F.lit(". /Repo/inc/b"), F.col("p_size").cast("string"), F.lit(".h\n.. /repo/inc/deep.h\n. /usr/include/stdio.h\nnoise\n"))
     logs = t.part.select(F.concat(F.lit("/repo/src/p"), k, F.lit(".cpp")).alias("file"), log.alias("text"))
     return build.include_edges(logs, "/repo")
+
+
+_PROJECTS = "SELECT s_suppkey AS k, CASE WHEN s_suppkey > 0 THEN s_suppkey - 1 END AS before FROM supplier"
+
+
+@query(
+    "project_edges",
+    f"""WITH p AS ({_PROJECTS}) SELECT 'Project:p' || k AS src, 'File:p' || k || '/src/a.cpp' AS dst, 'PROJECT_CONTAINS' AS type FROM p
+    UNION ALL SELECT 'Project:p' || k, 'File:shared/s.cpp', 'PROJECT_CONTAINS' FROM p
+    UNION ALL SELECT 'Project:p' || k, 'Project:p' || before, 'PROJECT_DEPENDS_ON' FROM p WHERE before IS NOT NULL
+    UNION ALL SELECT 'Project:p' || k, 'Project:named' || (k % 7), 'PROJECT_DEPENDS_ON' FROM p WHERE k % 3 = 0""",
+)
+def project_edges(t: Tables) -> DataFrame:
+    """A project per supplier: a source of its own, a shared one, a managed one, the project before it by solution, another by reference."""
+    k = F.col("s_suppkey").cast("string")
+    reference = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit('<ItemGroup><ProjectReference Include="x"><Name>named'), (F.col("s_suppkey") % 7).cast("string"), F.lit("</Name></ProjectReference></ItemGroup>"))).otherwise("")
+    xml = F.concat(
+        F.lit("<Project><PropertyGroup><ProjectGuid>{"), _guid("s_suppkey"), F.lit("}</ProjectGuid><RootNamespace>p"), k,
+        F.lit('</RootNamespace></PropertyGroup><ItemGroup><ClCompile Include="src\\a.cpp"/><ClCompile Include="..\\shared\\s.cpp"/><ClCompile Include="m.cpp"><CompileAsManaged>true</CompileAsManaged></ClCompile></ItemGroup>'),
+        reference, F.lit("</Project>"),
+    )
+    parsed = build.projects(t.supplier.select(F.concat(F.lit("/repo/p"), k, F.lit("/p.vcxproj")).alias("path"), xml.alias("text")), "Release|x64")
+    before = F.when(F.col("s_suppkey") > 0, F.array(F.upper(F.concat(F.lit("abc-"), (F.col("s_suppkey") - 1).cast("string"))))).otherwise(F.array().cast("array<string>"))
+    listed = t.supplier.select(F.concat(F.lit("p"), k).alias("name"), F.upper(_guid("s_suppkey")).alias("guid"), before.alias("dependencies"))
+    return build.project_graph(parsed, listed, "/repo").edges.select("src", "dst", "type")
+
+
+def _dump(name: str, k, callee):
+    """One function that calls another of its own file."""
+    return F.concat(
+        F.lit('{"kind":"TranslationUnitDecl","id":"1","inner":[{"kind":"FunctionDecl","id":"2","name":"g'), k, F.lit('"},{"kind":"FunctionDecl","id":"3","name":"' + name), k,
+        F.lit('","inner":[{"kind":"CallExpr","id":"4","inner":[{"kind":"DeclRefExpr","id":"5","referencedDecl":{"id":"'), callee, F.lit('","kind":"FunctionDecl"}}]}]}]}'),
+    )
+
+
+@query(
+    "clang_incremental",
+    """WITH p AS (SELECT p_partkey AS k, 'b' || p_size AS header, p_size % 5 = 0 AS hit FROM part)
+    SELECT 'node' AS kind, 'Function:g' || k || ':()' AS a, 'cpp/p' || k || '.cpp' AS b FROM p
+    UNION ALL SELECT 'node', 'Function:' || CASE WHEN hit THEN 'h' ELSE 'f' END || k || ':()', 'cpp/p' || k || '.cpp' FROM p
+    UNION ALL SELECT 'node', 'File:cpp/p' || k || '.cpp', 'cpp/p' || k || '.cpp' FROM p
+    UNION ALL SELECT DISTINCT 'node', 'File:inc/' || header || '.h', 'inc/' || header || '.h' FROM p
+    UNION ALL SELECT 'node', 'graph-state', NULL
+    UNION ALL SELECT 'CALLS', 'Function:' || CASE WHEN hit THEN 'h' ELSE 'f' END || k || ':()', 'Function:g' || k || ':()' FROM p
+    UNION ALL SELECT 'INCLUDES', 'File:cpp/p' || k || '.cpp', 'File:inc/' || header || '.h' FROM p""",
+)
+def clang_incremental(t: Tables) -> DataFrame:
+    """A dump per part; headers of every fifth size change, and with them the dumps of the files that include them."""
+    k = F.col("p_partkey").cast("string")
+    path = F.concat(F.lit("/repo/cpp/p"), k, F.lit(".cpp"))
+    header = F.concat(F.lit("inc/b"), F.col("p_size").cast("string"), F.lit(".h"))
+    logs = t.part.select("p_size", path.alias("file"), F.concat(F.lit(". /repo/"), header, F.lit("\n")).alias("text"))
+    before = steps.clang_ingest(t.part.select(path.alias("path"), _dump("f", k, F.lit("2")).alias("text")), "/repo", logs.select("file", "text"))
+    hit = t.part.where("p_size % 5 = 0")
+    none = t.spark.createDataFrame([], "file string")
+    after = steps.clang_incremental(
+        before, hit.select(path.alias("path"), _dump("h", k, F.lit("2")).alias("text")), hit.select(header.alias("file")).distinct(), none, "/repo", "c2",
+        logs.where("p_size % 5 = 0").select("file", "text"),
+    )
+    nodes = after.nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("file").alias("b"))
+    return nodes.unionByName(after.edges.where("type in ('CALLS', 'INCLUDES')").select(F.col("type").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")))
