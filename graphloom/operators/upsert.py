@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.model import NODE_SCHEMA, SUPER_LABEL, PropertyGraph, conform_edges, sanitize_label
-from graphloom.session import cut
+from graphloom.session import BROADCAST_ROWS, broadcast_if_small, cut
 
 
 def merge_nodes(rows: DataFrame, order: str = "seq") -> DataFrame:
@@ -43,9 +43,13 @@ def merge_nodes(rows: DataFrame, order: str = "seq") -> DataFrame:
 def upsert_nodes(graph: PropertyGraph, incoming: DataFrame) -> PropertyGraph:
     """Merge new rows over the stored ones. ``incoming`` has ``seq``, later wins."""
     kind = incoming.schema["seq"].dataType
-    stored = graph.nodes.withColumn("seq", F.struct(F.lit(0).alias("new"), F.lit(None).cast(kind).alias("seq")))
+    incoming = cut(incoming)
+    keys = broadcast_if_small(incoming.select("id").distinct())
+    # Stored rows that no key touches pass through; where keys are few they are not shuffled.
+    stored = graph.nodes.join(keys, "id", "left_semi").withColumn("seq", F.struct(F.lit(0).alias("new"), F.lit(None).cast(kind).alias("seq")))
     fresh = incoming.withColumn("seq", F.struct(F.lit(1).alias("new"), "seq"))
-    return graph.with_nodes(merge_nodes(stored.unionByName(fresh.select(*stored.columns))))
+    merged = merge_nodes(stored.unionByName(fresh.select(*stored.columns)))
+    return graph.with_nodes(graph.nodes.join(keys, "id", "left_anti").select(*merged.columns).unionByName(merged))
 
 
 def resolve_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -56,24 +60,33 @@ def resolve_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     edges = edges.withColumn("type", F.coalesce(F.nullif(sanitize_label(F.col("type")), F.lit("")), F.lit("RELATED_TO")))
     edges = edges.where("src <> '' and dst <> ''").select("src", "dst", "type").distinct()
-    ids = nodes.select("id")
+    ids, names = nodes.select("id"), nodes.where("fqn is not null").select("fqn", "id")
+    edges = cut(edges)
+    ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    if ends.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        # Few ends: nodes are filtered where they lie, and only those that are ends are shuffled.
+        ids = ids.join(F.broadcast(ends), "id", "left_semi")
+        names = names.join(F.broadcast(ends.withColumnRenamed("id", "fqn")), "fqn", "left_semi")
     anchored = cut(edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi"))
     by_id = anchored.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "type")
-    names = nodes.where("fqn is not null").select(F.col("fqn").alias("dst"), F.col("id").alias("target"))
-    by_fqn = anchored.join(names, "dst").select("src", F.col("target").alias("dst"), "type")
+    named = names.select(F.col("fqn").alias("dst"), F.col("id").alias("target"))
+    by_fqn = anchored.join(named, "dst").select("src", F.col("target").alias("dst"), "type")
     return by_id.unionByName(by_fqn).distinct()
 
 
 def upsert_edges(graph: PropertyGraph, incoming: DataFrame) -> PropertyGraph:
-    fresh = resolve_edges(graph.nodes, conform_edges(incoming))
-    return graph.with_edges(graph.edges.unionByName(fresh).distinct())
+    """Add edges that are not stored yet; stored ones are looked at where they lie."""
+    fresh = cut(resolve_edges(graph.nodes, conform_edges(incoming)))
+    columns = ["src", "dst", "type"]
+    known = graph.edges.join(broadcast_if_small(fresh.select(*columns)), columns, "left_semi").select(*columns).distinct()
+    return graph.with_edges(graph.edges.unionByName(conform_edges(fresh.join(known, columns, "left_anti"))))
 
 
 def set_properties(graph: PropertyGraph, updates: DataFrame, labels: tuple[str, ...] = ()) -> PropertyGraph:
     """Overwrite columns by id. ``updates`` has ``id`` and the columns to set."""
     columns = [c for c in updates.columns if c != "id"]
     renamed = updates.select("id", F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for c in columns])
-    joined = graph.nodes.join(renamed, "id", "left")
+    joined = graph.nodes.join(broadcast_if_small(cut(renamed)), "id", "left")
     hit = F.coalesce("__hit", F.lit(False))
     if labels:
         hit = hit & F.col("label").isin(*labels)

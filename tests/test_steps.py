@@ -20,3 +20,24 @@ def test_included_files_are_nodes_and_ends_of_edges(spark):
     logs = spark.createDataFrame([("/r/a.cpp", ". /r/h.h\n. /usr/x.h\n")], "file string, text string")
     g = steps.clang_ingest(dumps, "/r", logs)
     assert rows(g.nodes, "id") == [("File:a.cpp",), ("File:h.h",)] and rows(g.edges) == [("File:a.cpp", "File:h.h", "INCLUDES")]
+
+
+def test_a_small_delta_does_not_shuffle_stored_rows(spark, make):
+    from pyspark.sql import functions as F
+
+    from graphloom.model import PropertyGraph, conform_nodes
+    from graphloom.operators.upsert import set_properties, upsert_edges, upsert_nodes
+
+    g = make({f"n{i}": {"fqn": f"q{i}"} for i in range(50)}, [(f"n{i}", f"n{i + 1}", "CALLS") for i in range(49)])
+    nodes = spark.createDataFrame([(f"n{i}", "Function", f"name{i}") for i in (3, 60)], "id string, label string, name string")
+    out = upsert_nodes(g, conform_nodes(nodes).withColumn("seq", F.lit(1)))
+    names = {r["id"]: r["name"] for r in out.nodes.collect()}
+    assert len(names) == 51 and names["n3"] == "name3" and names["n4"] == "n4" and names["n60"] == "name60"
+    # Untouched rows reach the result over a broadcast anti join alone.
+    untouched = out.nodes._jdf.queryExecution().optimizedPlan().toString().split("LeftAnti")[0]
+    assert "Aggregate" not in untouched
+    more = upsert_edges(PropertyGraph(out.nodes, g.edges), spark.createDataFrame([("n1", "n2", "CALLS"), ("n1", "q60", "CALLS"), ("n1", "n60", "USES"), ("n1", "q7", "USES")], "src string, dst string, type string"))
+    assert len(rows(more.edges)) == 51 and {("n1", "n60", "USES"), ("n1", "n7", "USES")} <= set(rows(more.edges, "src", "dst", "type"))
+    changed = set_properties(g, spark.createDataFrame([("n5", "new")], "id string, name string"))
+    physical = changed.nodes._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in physical and {r["name"] for r in changed.nodes.where("id = 'n5'").collect()} == {"new"}
