@@ -50,8 +50,8 @@ def fetch_source(graph: PropertyGraph, node: str, sources: DataFrame) -> DataFra
     return hit.join(sources.select("file", "text"), "file").select("id", "file", content.alias("content"))
 
 
-def locate_usage(graph: PropertyGraph, source: str, target: str, sources: DataFrame) -> DataFrame:
-    """Numbered lines of ``source`` that mention the name of ``target``.
+def locate_usage(graph: PropertyGraph, source: str, target: str, sources: DataFrame, context: int = 0) -> DataFrame:
+    """Numbered lines of ``source`` that mention the name of ``target``, with ``context`` lines about each.
 
     A source without a file or line numbers yields nothing.
     """
@@ -63,7 +63,7 @@ def locate_usage(graph: PropertyGraph, source: str, target: str, sources: DataFr
     )
     body = slice_lines(F.col("text"), F.col("start_line"), F.col("end_line"))
     found = hit.select("file", "start_line", "end_line").join(sources.select("file", "text"), "file")
-    marks = pattern_in_scope(body, F.lit(name[0]), 0, F.col("start_line"))
+    marks = pattern_in_scope(body, F.lit(name[0]), context, F.col("start_line"))
     rows = found.select(F.explode(F.flatten(marks)).alias("m"))
     return rows.select(F.col("m.number").alias("line_number"), F.col("m.content").alias("content"))
 
@@ -92,7 +92,7 @@ _REPORTS: dict[str, Callable] = {
     "overview": lambda g, p: structure.overview(g),
     "status": lambda g, p: structure.graph_stats(g).withColumn("commit", F.lit(structure.graph_state(g).first()[0])),
     "fetch-source": lambda g, p: fetch_source(g, p["target"], p["sources"]),
-    "locate-usage": lambda g, p: locate_usage(g, p["target"], p["target2"], p["sources"]),
+    "locate-usage": lambda g, p: locate_usage(g, p["target"], p["target2"], p["sources"], p.get("context", 0)),
     "sql": lambda g, p: run_sql(g, p["query"]),
 }
 _REPORTS["features"] = _REPORTS["search-features"]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.api import fetch_source as fetch_node_source
+from graphloom.api import locate_usage as locate_node_usage
 from graphloom.functions.text import (
     common_ancestor, domain_names, dominant_terms, json_in_text, node_to_text, pattern_in_scope, slice_lines,
 )
@@ -20,18 +24,24 @@ from graphloom.sources import gitlog, jsonl
 # ---- history ---------------------------------------------------------------------------
 
 
-@query("file_history", f'WITH {TOUCH_SQL}, {CHURN_SQL} SELECT file, churn AS change_frequency, last_changed FROM churn')
-def file_history(t: Tables) -> DataFrame:
-    return history.file_churn(touches(t))
-
-
-_CO_SQL = f"""WITH {TOUCH_SQL},
+_CO_PARTS = """
     pairs AS (SELECT a.file, b.file AS other, count(*) AS n FROM touches a JOIN touches b
               ON a."commit" = b."commit" AND a.rid <> b.rid GROUP BY ALL HAVING count(*) >= 3),
-    top AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY n DESC, other) AS r FROM pairs)
+    top AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY n DESC, other) AS r FROM pairs)"""
+_CO_SQL = f"""WITH {TOUCH_SQL}, {_CO_PARTS}
     SELECT file, string_agg(other, ',' ORDER BY r) AS co_changes FROM top WHERE r <= 5 GROUP BY file"""
 
 
+@query(
+    "file_history",
+    f"""WITH {TOUCH_SQL}, {CHURN_SQL}, {_CO_PARTS}, best AS (SELECT file, string_agg(other, ',' ORDER BY r) AS co FROM top WHERE r <= 5 GROUP BY file)
+    SELECT churn.file, churn AS change_frequency, last_changed, coalesce(co, '') AS co_changes FROM churn LEFT JOIN best ON best.file = churn.file""",
+)
+def file_history(t: Tables) -> DataFrame:
+    """Churn, last change and companions of every file."""
+    return history.file_history(touches(t)).withColumn("co_changes", F.array_join("co_changes", ","))
+
+
 @query("co_changes", _CO_SQL)
 def co_changes(t: Tables) -> DataFrame:
     return history.co_changes(touches(t)).select("file", F.array_join("co_changes", ",").alias("co_changes"))
@@ -408,6 +418,46 @@ def locate_usage(t: Tables) -> DataFrame:
     return lines.select("doc_id", F.col("m.number").alias("line_number"), F.col("m.content").alias("content"))
 
 
+def _documents(t: Tables) -> PropertyGraph:
+    """A function per document; even ones have lines, odd ones none. The function ``word`` is named for a word part."""
+    even = F.col("doc_id") % 2 == 0
+    nodes = t.documents.select(
+        text("doc:", "doc_id").alias("id"), F.lit("Function").alias("label"), text("d", "doc_id").alias("name"), text("d/", "doc_id").alias("file"),
+        F.when(even, 1).alias("start_line"), F.when(even, 4).alias("end_line"),
+    )
+    word = t.spark.createDataFrame([("word", "Function", "tion")], "id string, label string, name string")
+    return PropertyGraph(conform_nodes(nodes).unionByName(conform_nodes(word)), t.spark.createDataFrame([], "src string, dst string, type string"))
+
+
+def _sources(t: Tables) -> DataFrame:
+    return t.documents.select(text("d/", "doc_id").alias("file"), "text")
+
+
+@query(
+    "fetch_source_node",
+    """WITH pick AS (SELECT max(doc_id) AS k FROM documents GROUP BY doc_id % 2)
+    SELECT 'doc:' || doc_id AS id, array_to_string(list_slice(string_split(rtrim(text, chr(10)), chr(10)), 1, CASE WHEN doc_id % 2 = 0 THEN 4 ELSE 50 END), chr(10)) AS content
+    FROM documents JOIN pick ON doc_id = k""",
+)
+def fetch_source_node(t: Tables) -> DataFrame:
+    """Source of the last two documents' functions: one with lines, one with the first fifty by default."""
+    g, last = _documents(t), t.documents.groupBy(F.col("doc_id") % 2).agg(F.max("doc_id").alias("k")).select("k").collect()
+    found = [fetch_node_source(g, f"doc:{r['k']}", _sources(t)).select("id", "content") for r in last]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(
+    "locate_usage_node",
+    """WITH d AS (SELECT * FROM documents WHERE doc_id = (SELECT max(doc_id) FROM documents WHERE doc_id % 2 = 0)),
+    l AS (SELECT unnest(list_slice(string_split(text, chr(10)), 1, 4)) AS line, generate_subscripts(list_slice(string_split(text, chr(10)), 1, 4), 1) AS i FROM d)
+    SELECT o.i::BIGINT AS line_number, o.line AS content FROM l m JOIN l o ON o.i BETWEEN m.i - 1 AND m.i + 1 WHERE contains(m.line, 'tion')""",
+)
+def locate_usage_node(t: Tables) -> DataFrame:
+    """Lines of the last function with lines that mention the name of another, with one line about each."""
+    last = t.documents.where("doc_id % 2 = 0").agg(F.max("doc_id")).first()[0]
+    return locate_node_usage(_documents(t), f"doc:{last}", "word", _sources(t), context=1)
+
+
 @query("json_in_text", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
 def json_text(t: Tables) -> DataFrame:
     """The JSON of an event found again inside fenced prose."""

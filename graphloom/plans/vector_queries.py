@@ -261,8 +261,10 @@ def feature_snippets(t: Tables) -> DataFrame:
 
 _NEAR = graph_sql(
     """SELECT 'neighbor' AS kind, name, type, NULL::DOUBLE AS score FROM (
-        SELECT DISTINCT 0 AS k, g.name, 'Global' AS type FROM caller c JOIN edges u ON u.src = c.id AND u.type = 'USES_GLOBAL' JOIN nodes g ON g.id = u.dst
-        UNION ALL SELECT DISTINCT 1, d.name, d.label FROM caller c JOIN edges u ON u.src = c.id AND u.type IN ('CALLS', 'USES') JOIN nodes d ON d.id = u.dst)
+        SELECT DISTINCT 0 AS k, g.name, 'Global' AS type, w.via || g.name AS via FROM (SELECT id, '' AS via FROM caller
+          UNION SELECT f.id, CASE WHEN f.id = c.id THEN '' ELSE f.name || '>' END FROM caller c JOIN calls x ON x.src = c.id JOIN fn f ON f.id = x.dst) w
+          JOIN edges u ON u.src = w.id AND u.type = 'USES_GLOBAL' JOIN nodes g ON g.id = u.dst
+        UNION ALL SELECT DISTINCT 1, d.name, d.label, '' FROM caller c JOIN edges u ON u.src = c.id AND u.type IN ('CALLS', 'USES') JOIN nodes d ON d.id = u.dst)
     UNION ALL SELECT 'similar', id, label, round(score, 6) FROM fhits""",
     CALLER, VECTOR_SQL, _Q, _FN_HITS,
 )
@@ -270,7 +272,7 @@ _NEAR = graph_sql(
 
 def _context(t: Tables) -> tuple[DataFrame, DataFrame]:
     g = retail_graph(t)
-    near = paths.neighbors(g, busiest(g, "src"), depth=0, limit=1000)
+    near = paths.neighbors(g, busiest(g, "src"), depth=1, limit=1000)
     return near, search_similar(t)
 
 
