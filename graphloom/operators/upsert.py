@@ -12,11 +12,13 @@ from graphloom.session import BROADCAST_ROWS, broadcast_if_small, cut
 def merge_nodes(rows: DataFrame, order: str = "seq") -> DataFrame:
     """One row per id from a node frame with an ordering column.
 
-    Each property keeps its last non-null value, labels add up, ``extra`` maps are merged
-    key by key. The last-value aggregates combine on the map side, so an id with very
+    Each property keeps its last value, labels add up, ``extra`` maps are merged
+    key by key. A null is no value, unless the row lists the property in ``cleared``: then it takes the value away. The last-value aggregates combine on the map side, so an id with very
     many versions shuffles one row per input partition.
     """
     versioned = rows.where("id is not null and id <> ''")
+    if "cleared" not in rows.columns:
+        versioned = versioned.withColumn("cleared", F.lit(None).cast("array<string>"))
     aggs = []
     for field in NODE_SCHEMA:
         col = field.name
@@ -24,17 +26,20 @@ def merge_nodes(rows: DataFrame, order: str = "seq") -> DataFrame:
             continue
         if col in ("labels", "extra"):
             continue
-        known = F.col(col).isNotNull()
+        known = F.col(col).isNotNull() | F.coalesce(F.array_contains("cleared", col), F.lit(False))
         aggs.append(F.max_by(F.when(known, F.col(col)), F.when(known, F.col(order))).alias(col))
     base = versioned.groupBy("id").agg(*aggs, F.array_sort(F.array_distinct(F.flatten(F.collect_set("labels")))).alias("labels"))
 
     # Keys of the open property map are merged on their own: last value per (id, key).
+    own = [f.name for f in NODE_SCHEMA]
+    gone = F.filter(F.coalesce("cleared", F.array().cast("array<string>")), lambda k: ~k.isin(own))
+    given = F.coalesce(F.map_entries("extra"), F.array().cast("array<struct<key:string,value:string>>"))
+    listed = F.concat(F.filter(given, lambda e: e["value"].isNotNull()), F.transform(gone, lambda k: F.struct(k.alias("key"), F.lit(None).cast("string").alias("value"))))
     entries = (
-        versioned.where("extra is not null")
-        .select("id", order, F.explode("extra").alias("key", "value"))
+        versioned.select("id", order, F.explode(listed).alias("e"))
+        .groupBy("id", F.col("e.key").alias("key"))
+        .agg(F.max_by("e.value", order).alias("value"))
         .where("value is not null")
-        .groupBy("id", "key")
-        .agg(F.max_by("value", order).alias("value"))
     )
     maps = entries.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("extra"))
     return base.join(maps, "id", "left").select(*[f.name for f in NODE_SCHEMA])
@@ -46,7 +51,9 @@ def upsert_nodes(graph: PropertyGraph, incoming: DataFrame) -> PropertyGraph:
     incoming = cut(incoming)
     keys = broadcast_if_small(incoming.select("id").distinct())
     # Stored rows that no key touches pass through; where keys are few they are not shuffled.
-    stored = graph.nodes.join(keys, "id", "left_semi").withColumn("seq", F.struct(F.lit(0).alias("new"), F.lit(None).cast(kind).alias("seq")))
+    if "cleared" not in incoming.columns:
+        incoming = incoming.withColumn("cleared", F.lit(None).cast("array<string>"))
+    stored = graph.nodes.withColumn("cleared", F.lit(None).cast("array<string>")).join(keys, "id", "left_semi").withColumn("seq", F.struct(F.lit(0).alias("new"), F.lit(None).cast(kind).alias("seq")))
     fresh = incoming.withColumn("seq", F.struct(F.lit(1).alias("new"), "seq"))
     merged = merge_nodes(stored.unionByName(fresh.select(*stored.columns)))
     return graph.with_nodes(graph.nodes.join(keys, "id", "left_anti").select(*merged.columns).unionByName(merged))

@@ -55,7 +55,7 @@ def number(text: Column) -> Column:
 
 
 def node_records(records: DataFrame) -> DataFrame:
-    """Node rows with ``seq``; rows without an id are dropped."""
+    """Node rows with ``seq``, and in ``cleared`` what they set to null; rows without an id are dropped."""
     rec = F.col("record")
     nodes = records.where(~F.map_contains_key(rec, F.lit("source"))).where("coalesce(record['id'], '') <> ''")
     label = F.coalesce(F.nullif(sanitize_label(rec["type"]), F.lit("")), F.lit(DEFAULT_LABEL))
@@ -69,7 +69,8 @@ def node_records(records: DataFrame) -> DataFrame:
         value = F.from_json(rec[field.name], kind) if kind.startswith("array") else rec[field.name].try_cast(kind)
         cols.append(value.alias(field.name))
     rest = F.map_filter(rec, lambda k, v: ~k.isin(sorted(known)) & v.isNotNull())
-    return nodes.select("seq", *cols, F.when(F.size(rest) > 0, rest).alias("extra"))
+    cleared = F.map_keys(F.map_filter(rec, lambda _, v: v.isNull()))
+    return nodes.select("seq", *cols, F.when(F.size(rest) > 0, rest).alias("extra"), F.when(F.size(cleared) > 0, cleared).alias("cleared"))
 
 
 def edge_records(records: DataFrame) -> DataFrame:

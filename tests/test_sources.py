@@ -322,3 +322,18 @@ def test_ignore_classes():
     match = lambda rule, path: re.search(_pattern(rule).replace("\\z", "\\Z"), path) is not None
     assert match("*.py[cod]", "b/a.pyc") and not match("*.py[cod]", "a.py") and match("x[!a-c]y", "xdy") and not match("x[!a-c]y", "xby")
     assert match("a\\*b", "a*b") and not match("a\\*b", "axb") and not match("a[!b]c", "a/c") and match("[[]x", "[x")
+
+
+def test_a_null_takes_a_value_away(spark):
+    lines = [
+        '{"id":"a","type":"Function","name":"x","file":"f","start_line":3,"note":"n","kept":"k"}', '{"id":"a","type":"Function","file":null,"note":null,"start_line":null}',
+        '{"id":"b","type":"Function","name":"y","note":null}', '{"id":"b","type":"Function","note":"back","name":null}', '{"id":"b","type":"Function","name":"again"}',
+    ]
+    g = jsonl.load_graph(spark.createDataFrame([(v, i) for i, v in enumerate(lines)], "value string, seq bigint"))
+    got = {r["id"]: (r["name"], r["file"], r["start_line"], r["extra"]) for r in g.nodes.collect()}
+    assert got == {"a": ("x", None, None, {"kept": "k"}), "b": ("again", None, None, {"note": "back"})}
+    from graphloom.operators.upsert import upsert_nodes
+
+    records = jsonl.parse_lines(spark.createDataFrame([('{"id":"a","kept":null,"name":"z"}', 0)], "value string, seq bigint"))
+    after = {r["id"]: (r["name"], r["extra"]) for r in upsert_nodes(g, jsonl.node_records(records)).nodes.collect()}
+    assert after == {"a": ("z", None), "b": ("again", {"note": "back"})}
