@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -207,6 +209,40 @@ def domain_topology(t: Tables) -> DataFrame:
     return g.edges.where("type = 'IMPLEMENTS'").select("type", F.col("src").alias("id"))
 
 
+@query(
+    "domain_topology_shape",
+    f"""WITH {VECTOR_SQL} SELECT 'functions' AS part, count(*) AS n, true AS holds FROM vecs
+    UNION ALL SELECT 'one feature each', count(*), true FROM vecs
+    UNION ALL SELECT 'one domain each', NULL, true UNION ALL SELECT 'domains', NULL, true
+    UNION ALL SELECT 'scopes', NULL, true UNION ALL SELECT 'names', NULL, true""",
+)
+def domain_topology_shape(t: Tables) -> DataFrame:
+    """The fresh layer, recomputed from its own edges: features per function, domains per feature, number, scope and name of domains."""
+    g = domains.run_clustering(vector_graph(t)).settle()
+    implements, parents = g.of_type("IMPLEMENTS").select(F.col("src").alias("id"), F.col("dst").alias("feature")), g.of_type("PARENT_OF").select(F.col("src").alias("domain"), F.col("dst").alias("feature"))
+    files = vector_graph(t).nodes.where("embedding is not null").select("id", "file", "name")
+    members = implements.join(parents, "feature").join(files, "id")
+    one = implements.groupBy("id").agg(F.count("*").alias("features")).agg(F.count("*").alias("n"), F.bool_and(F.col("features") == 1).alias("holds"))
+    home = parents.groupBy("feature").agg(F.count("*").alias("d")).join(implements.select("feature").distinct(), "feature", "full")
+    asked = files.agg(F.countDistinct("file").alias("f")).select(kmeans.domain_count(F.col("f")).alias("k"))
+    found = g.labelled("Domain").select("id", "name", "scope_path")
+    count = found.agg(F.count("*").alias("n")).join(F.broadcast(asked)).select((F.col("n").between(1, F.greatest("k", F.lit(2)))).alias("holds"))
+    # A scope is the longest run of whole folders that all paths of the domain begin with.
+    steps = members.where("file is not null").select("domain", F.split("file", "/").alias("p")).groupBy("domain").agg(F.collect_set("p").alias("paths"))
+    scope = steps.select("domain", F.aggregate("paths", F.get("paths", F.lit(0)), lambda a, b: F.slice(a, F.lit(1), F.size(F.filter(F.sequence(F.lit(1), F.least(F.size(a), F.size(b))), lambda i: F.slice(a, F.lit(1), i) == F.slice(b, F.lit(1), i))))).alias("common"))
+    scopes = found.join(scope, found["id"] == scope["domain"]).select((F.col("scope_path") == F.coalesce(F.nullif(F.array_join("common", "/"), F.lit("")), F.lit("."))).alias("same"))
+    nothing = F.lit(None).cast("bigint").alias("n")
+    rows = [
+        implements.agg(F.lit("functions").alias("part"), F.countDistinct("id").alias("n"), F.lit(True).alias("holds")),
+        one.select(F.lit("one feature each").alias("part"), "n", "holds"),
+        home.agg(F.lit("one domain each").alias("part"), F.first(nothing).alias("n"), F.bool_and(F.coalesce(F.col("d") == 1, F.lit(False))).alias("holds")),
+        count.select(F.lit("domains").alias("part"), nothing, "holds"),
+        scopes.agg(F.lit("scopes").alias("part"), F.first(nothing).alias("n"), F.bool_and("same").alias("holds")),
+        found.agg(F.lit("names").alias("part"), F.first(nothing).alias("n"), F.bool_and(F.length(F.trim("name")) > 0).alias("holds")),
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query(
     "unique_names_clashing",
     """WITH RECURSIVE rows AS (SELECT p_partkey, 'S' || p_size || CASE WHEN p_partkey % 7 = 0 THEN ' 1' ELSE '' END AS name, row_number() OVER (ORDER BY p_partkey) AS n FROM part),
