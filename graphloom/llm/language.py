@@ -36,7 +36,7 @@ LONGEST_PIECE = 16
 #: Words up to this length are scored in batches, longer ones one by one.
 BATCH_LENGTH = 24
 #: Scored words a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 SMOOTHING = 0.05
 #: Probability of a character that no piece covers, alike for all languages.
 STRAY = 1e-7

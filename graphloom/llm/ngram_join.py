@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.support import components, written
+from graphloom.llm.support import bounded_batches, components, written
 from graphloom.session import broadcast_if_small
 
 WORDS = 4
@@ -37,7 +37,7 @@ SHARE = (85, 100)
 FRAGMENT_GRAMS, LEAST_FRAGMENTS = 2_000_000, 64
 #: Fragments of the order by frequency in which partial overlaps are counted.
 FRAGMENTS = 8
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93))
 
@@ -94,7 +94,7 @@ def keys(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = WORD
                 second.append(b)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["k", "n", "c", "c2"])
 
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, n long, c long, c2 long")
+    return bounded_batches(docs).select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, n long, c long, c2 long")
 
 
 def shared_grams(docs: DataFrame, fragments: int, text: str = "text", n: int = WORDS) -> DataFrame:
@@ -143,7 +143,7 @@ def shared_grams(docs: DataFrame, fragments: int, text: str = "text", n: int = W
         n = np.bincount(np.repeat(np.arange(len(names)), counts), weights=shared, minlength=len(names)).astype(np.int64)
         return pd.DataFrame({"c": names[n > 0], "shared": n[n > 0]})
 
-    sent = docs.select(F.col(text).alias("t")).mapInArrow(cut, "fragment int, classes binary, counts binary, tokens binary")
+    sent = bounded_batches(docs).select(F.col(text).alias("t")).mapInArrow(cut, "fragment int, classes binary, counts binary, tokens binary")
     return sent.groupBy("fragment").applyInPandas(count, "c long, shared long").groupBy("c").agg(F.sum("shared").alias("shared"))
 
 
@@ -158,7 +158,7 @@ def _sets(docs: DataFrame, chosen: DataFrame, text: str, key: str, n: int) -> Da
                 tokens = [s.view(np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["c", "c2", "tokens"])
 
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(broadcast_if_small(chosen.select("k").distinct()), "k", "left_semi")
+    rows = bounded_batches(docs).select(F.col(key).alias("k"), F.col(text).alias("t")).join(broadcast_if_small(chosen.select("k").distinct()), "k", "left_semi")
     found = rows.select("t").mapInArrow(run, "c long, c2 long, tokens array<long>")
     return found.join(chosen.select("c", "c2"), ["c", "c2"], "left_semi").dropDuplicates(["c", "c2"])
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graphloom.llm.support import written
+from graphloom.llm.support import bounded_batches, written
 
 VOCABULARY = "word_bpe_49k.json"
 WINDOW = 4096
@@ -113,7 +113,7 @@ def pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int
                 arrays = [keys.take(pa.array(columns[0], pa.int64())), *(pa.array(c, pa.int64()) for c in columns[1:5])]
                 yield pa.RecordBatch.from_arrays(arrays + [pa.array(columns[5], pa.binary())] * with_ids, names)
 
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(cut, types).withColumnRenamed("k", key)
+    return bounded_batches(docs).select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(cut, types).withColumnRenamed("k", key)
 
 
 class Rooms:

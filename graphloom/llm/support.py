@@ -16,7 +16,9 @@ from graphloom.session import ensure_checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Texts scored at once.
-SCORED_ROWS = 1000
+SCORED_ROWS = 500
+#: Texts may be very long: what is sent to Python at once is bounded by bytes and rows.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -63,11 +65,19 @@ def bounded_sample(rows: DataFrame, group: str, key: str, bound: int, seed: int)
     return near.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= bound).drop("_rank")
 
 
+def bounded_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, with the session's limits for batches of rows sent to Python set for texts."""
+    conf = docs.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return docs
+
+
 def scored(docs: DataFrame, text: str, keep: tuple[str, ...], added: str, score: Callable[[list[str | None]], list[pa.Array]]) -> DataFrame:
     """The columns ``keep`` of ``docs``, and those of the DDL ``added`` that ``score`` gives for the texts of a batch."""
     keep = list(keep)
     columns = keep if text in keep else [*keep, text]
-    rows, at = docs.select(*columns), columns.index(text)
+    rows, at = bounded_batches(docs).select(*columns), columns.index(text)
     schema = StructType([rows.schema[c] for c in keep] + StructType.fromDDL(added).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,6 +85,8 @@ def scored(docs: DataFrame, text: str, keep: tuple[str, ...], added: str, score:
             for first in range(0, batch.num_rows, SCORED_ROWS):
                 part = batch.slice(first, SCORED_ROWS)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *score(part.column(at).to_pylist())], schema.names)
+        # The worker lives on: what it does not use goes back.
+        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, schema)
 
