@@ -154,21 +154,25 @@ class ToxicityModel:
         return np.fromiter((self.bias + sum(get(x, 0.0) for x in features(w)) for w in words), float, len(words))
 
 
-def _first_copies(t: Tokens) -> np.ndarray:
-    """Whether a text is the first with its smallest word-pair hash; near copies mostly share theirs."""
-    pair = (t.ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.roll(t.ids, -1).astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+def _first_copies(t: Tokens, codes: np.ndarray) -> np.ndarray:
+    """Whether a text is the first with its smallest hash of four words in a row; near copies mostly share theirs."""
+    h = codes[t.ids].astype(np.uint64)
+    run = np.zeros(len(h), np.uint64)
+    for i in range(4):  # runs at the end of a text go on into the next; copies of a text differ there only
+        run = (run ^ (run >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + np.roll(h, -i)
+    run = (run ^ (run >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
     least = np.arange(len(t.texts)).astype(np.uint64)
     full = np.flatnonzero(t.texts > 0)
     if len(full):
-        least[full] = np.minimum.reduceat(pair, (np.cumsum(t.texts) - t.texts)[full])
+        least[full] = np.minimum.reduceat(run, (np.cumsum(t.texts) - t.texts)[full])
     first = np.zeros(len(t.texts), bool)
     first[np.unique(least, return_index=True)[1]] = True
     return first
 
 
-def _candidates(t: Tokens, n: np.ndarray, flat: np.ndarray, size: int, toxic: np.ndarray) -> np.ndarray:
+def _candidates(t: Tokens, codes: np.ndarray, n: np.ndarray, flat: np.ndarray, size: int, toxic: np.ndarray) -> np.ndarray:
     """Features that may mark toxic tokens, by the sample; words have ``n`` features each, laid out in ``flat``."""
-    first = _first_copies(t)
+    first = _first_copies(t, codes)
     doc = np.repeat(np.arange(len(t.texts)), t.texts)
     pairs = np.unique(doc * len(n) + t.ids)
     doc, word = pairs // max(1, len(n)), pairs % max(1, len(n))
@@ -229,11 +233,12 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str
     words = [w for w in number if w not in _BREAKS]
     t.ids -= len(_BREAKS)
     own = [features(w) for w in words]
+    codes = np.fromiter((x[0] for x in own), np.int64, len(own))  # of the words themselves
     n = np.fromiter(map(len, own), np.int64, len(own))
     of_word = np.repeat(np.arange(len(own)), n)
     known, feature = np.unique(np.fromiter((x for fs in own for x in fs), np.int64), return_inverse=True)
     del own, words, number
-    wanted = np.flatnonzero(_candidates(t, n, feature, max(1, len(known)), toxic))
+    wanted = np.flatnonzero(_candidates(t, codes, n, feature, max(1, len(known)), toxic))
     in_other, in_toxic = _document_counts(rows, known[wanted])
     odds = np.log((in_toxic + 0.5) / (sizes[1] + 1)) - np.log((in_other + 0.5) / (sizes[0] + 1))
     marks = np.zeros(len(known), bool)

@@ -135,9 +135,11 @@ def test_tokens_keep_texts_and_sentences_apart():
 
 
 def test_toxic_spans_and_odd_rows(edges, documents):
-    clean = [(i, f"some plain words number {'abcdefghij'[i % 10]} stand here. and more words follow", None, None) for i in range(60)]
-    toxic = [(100 + i, f"some plain words you {'vile' if i % 2 else 'rotten'} fool stand here {'abcdefghij'[i % 10] * 2}", None, None) for i in range(30)]
-    labelled = documents(clean + toxic).withColumn("toxic", (F.col("doc_id") >= 100).cast("int"))
+    rng = np.random.default_rng(4)
+    plain = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 4)) for _ in range(9))
+    clean = [(i, f"some {plain()} stand here. and {plain()} follow", None, None) for i in range(400)]
+    toxic = [(1000 + i, f"some {plain()} you {'vile' if i % 2 else 'rotten'} fool {plain()}", None, None) for i in range(30)]
+    labelled = documents(clean + toxic).withColumn("toxic", (F.col("doc_id") >= 1000).cast("int"))
     model = toxicity.fit(labelled)
     row = toxicity.score(documents([(1, "words stand. you ROTTEN fool, here", None, None)]), model).first()
     assert row["score"] > 0.5
