@@ -21,16 +21,16 @@ from graphloom.operators.lookup import resolve_one
 from graphloom.operators.testlinks import link_tests
 
 def run_sql(graph: PropertyGraph, statement: str) -> DataFrame:
-    """A read-only SQL query over ``nodes``, without embeddings, and ``edges``.
+    """A read-only SQL query over ``nodes``, with nulls for embeddings, and ``edges``.
 
     The statement stands in brackets, where the grammar takes a query and nothing that writes;
     the two frames are views under names of their own, so that no view of the caller is touched.
     """
     names = [f"{kind}_{uuid.uuid4().hex}" for kind in ("nodes", "edges")]
-    graph.public_nodes().createOrReplaceTempView(names[0])
+    graph.public_nodes().withColumn("embedding", F.lit(None).cast("array<float>")).createOrReplaceTempView(names[0])
     graph.edges.createOrReplaceTempView(names[1])
     try:
-        return graph.spark.sql(f"WITH nodes AS (TABLE {names[0]}), edges AS (TABLE {names[1]}) SELECT * FROM (\n{statement}\n)")
+        return graph.spark.sql(f"WITH nodes AS (TABLE {names[0]}), edges AS (TABLE {names[1]}) SELECT * FROM (\n{statement}\n)").drop("embedding")
     except ParseException as error:
         raise ValueError(f"only read-only queries are accepted: {error}") from error
     finally:

@@ -250,5 +250,4 @@ def test_sql_reads_only_and_shows_no_vectors(spark, make):
     for bad in ("FROM nodes INSERT INTO t SELECT id", "WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x", "DROP TABLE t", "SELECT 1) a INSERT INTO t (SELECT 2", "CREATE TABLE t AS SELECT 1", "SET a=b"):
         with pytest.raises(ValueError, match="read-only"):
             run_sql(g, bad)
-    with pytest.raises(Exception, match="UNRESOLVED"):
-        run_sql(g, "select id, embedding e from nodes").collect()
+    assert rows(run_sql(g, "select id, embedding e from nodes")) == [("a", None), ("b", None)]
