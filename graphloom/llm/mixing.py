@@ -1,8 +1,9 @@
 """Mixing of sources to target weights by a multivariate-hypergeometric splitting tree.
 
 Each source's documents are dealt into permuted blocks by a hash. A source's target in words
-is a number of whole passes over its blocks, some blocks of a last pass, and part of one
-boundary block. These exact block quotas are split among output shards down a binary tree: a node draws
+is a number of whole passes over its blocks, some blocks of a last pass, and part of a
+boundary block: documents in permuted order, those that do not fit are passed over, and what they leave
+open is filled from the blocks behind it. These exact block quotas are split among output shards down a binary tree: a node draws
 how many blocks of each source go left from the multivariate hypergeometric distribution. The shards'
 draws are disjoint ranges of each source's permuted block order; rows are shuffled inside a shard.
 
@@ -14,6 +15,7 @@ depend on the seed and on the rows' keys and texts. An empty table gives no rows
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,6 +29,8 @@ WEIGHTS = (1, 2, 3)
 BLOCK_WORDS = 1 << 16
 SHARD_WORDS = 1 << 22
 SEED = 17
+#: Boundary blocks of a source that are gone through one by one; what is still open then is filled from all later blocks at once.
+ROUNDS = 4
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PASSES) -> DataFrame:
@@ -63,8 +67,9 @@ def split_tree(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     round halves all nodes in place; nodes are dealt out again once they are many.
     """
     spark = quotas.sparkSession
-    known = quotas.orderBy(F.col("source").isNull(), "source")
-    root = known.agg(F.collect_list("quota").alias("q")).select(F.lit(0).alias("low"), F.lit(shards).alias("high"), "q")
+    # Sorted inside the list: rows of a sorted frame may be collected partition by partition in any order.
+    ordered = F.sort_array(F.collect_list(F.struct(F.col("source").isNull().alias("null"), "source", "quota")))
+    root = quotas.agg(ordered.alias("q")).select(F.lit(0).alias("low"), F.lit(shards).alias("high"), F.col("q.quota").alias("q"))
 
     def halve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -86,11 +91,33 @@ def split_tree(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
         if level % 6 == 5:
             nodes = nodes.repartition(1 << min(level, 10), "low")
         nodes = nodes.mapInPandas(halve, "low int, high int, q array<long>")
-    numbered = known.select(F.col("source"), (F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1).alias("pos"))
+    numbered = quotas.select(F.col("source"), (F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1).alias("pos"))
     leaves = nodes.select(F.col("low").alias("shard"), F.posexplode("q").alias("pos", "n")).where(F.col("n") > 0)
     return leaves.join(F.broadcast(numbered), "pos").select("source", "shard", "n")
 
 
+def copies(rows: DataFrame) -> DataFrame:
+    """``source, block, h, k, words, room``: rows with words; those that repeat a key and a text are one."""
+    found = rows.where(F.col("size") > 0).groupBy("source", "block", "h", "k").agg(F.count(F.lit(1)).alias("same"), F.max("size").alias("size"), F.max("room").alias("room"))
+    return found.select("source", "block", "h", "k", (F.col("size") * F.col("same")).alias("words"), "room")
+
+
+def first_fit(words: list[int], room: float) -> list[bool]:
+    """Of each, in order, whether it fits into the room that those before it left; what does not fit is passed over."""
+    fits = []
+    for n in words:
+        fits.append(n <= room)
+        room -= n if fits[-1] else 0
+    return fits
+
+
+def filled(found: DataFrame) -> DataFrame:
+    """The ``source, block, h, k, words`` that fill the ``room`` of their source in permuted order; bounded rows a source."""
+    lists = found.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("block", "h", "k", "words"))).alias("rows"), F.max("room").alias("room"))
+    fits = F.udf(first_fit, "array<boolean>")(F.col("rows.words"), F.col("room"))
+    return lists.select("source", F.explode(F.arrays_zip("rows", fits.alias("fits"))).alias("r")).where("r.fits").select("source", "r.rows.*")
+
+
 def plan(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PASSES, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row a document: ``key, source, size, source_size, target, shards`` and, as ``carried_...``, the columns to carry.
 
@@ -109,28 +136,45 @@ def plan(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     rows = rows.withColumn("block", F.pmod("h", "blocks"))
 
     # Which block of the last pass is the boundary: running sums over blocks, not over rows.
-    block = rows.groupBy("source", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+    block = written(rows.groupBy("source", "block").agg(F.sum("size").alias("words")), "blocks")
     running = Window.partitionBy("source").orderBy("block")
-    block = block.withColumn("before", F.sum("words").over(running) - F.col("words"))
-    boundary = block.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest")))
-    edge = written(boundary.select(F.col("source").alias("s"), F.col("block").alias("b"), (F.col("rest") - F.col("before")).alias("room")), "boundary")
-    # Rows of the boundary blocks in permuted order while there is room, then the one that fills most of what is left.
-    one_block = Window.partitionBy("source", "block")
-    copies = rows.join(F.broadcast(edge), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).groupBy("source", "block", "h", "k").agg(F.count(F.lit(1)).alias("same"), F.max("size").alias("size"), F.max("room").alias("room"))
-    inside = copies.withColumn("sum", F.sum(F.col("size") * F.col("same")).over(one_block.orderBy("h", "k")))
-    inside = inside.withColumn("fits", F.col("sum") <= F.col("room"))
-    inside = inside.withColumn("gap", F.col("room") - F.coalesce(F.max(F.when(F.col("fits"), F.col("sum"))).over(one_block), F.lit(0)))
-    fill = F.when(~F.col("fits") & (F.col("size") * F.col("same") <= F.col("gap")), F.struct(F.col("size") * F.col("same"), F.col("h"), F.col("k")))
-    inside = inside.withColumn("best", F.max(fill).over(one_block))
-    chosen = inside.where(F.col("fits") | (F.col("best").isNotNull() & (F.col("best.h") == F.col("h")) & F.col("best.k").eqNullSafe(F.col("k"))))
-    chosen = chosen.select(F.col("source").alias("cs"), F.col("block").alias("cb"), F.col("h").alias("ch"), F.col("k").alias("ck"))
-
-    # Blocks of the last pass: all before the boundary, and the boundary itself.
-    whole = block.where(F.col("before") + F.col("words") <= F.col("rest")).groupBy("source").agg(F.max("block").alias("last"))
-    goal = goal.join(F.broadcast(whole.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    goal = goal.join(F.broadcast(edge.select("s", "b")), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    full_last = F.when(F.col("rest") > 0, F.coalesce(F.greatest(F.col("last") + 1, F.col("b") + 1), F.lit(0))).otherwise(0)
-    quota = written(goal.select("source", "blocks", (F.col("passes") * F.col("blocks") + full_last).alias("quota"), "target"), "quotas")
+    left = goal.where("rest > 0").select(F.col("source").alias("s"), F.lit(-1).cast("long").alias("last"), F.col("rest").alias("gap"))
+    steps, chosen = [], []
+    for _ in range(ROUNDS):
+        # What documents passed over in a boundary leave open goes on into the blocks behind it, up to another boundary.
+        ahead = block.join(F.broadcast(left), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") > F.col("last")) & (F.col("gap") > 0)).drop("s")
+        ahead = ahead.withColumn("before", F.sum("words").over(running) - F.col("words"))
+        whole = F.col("before") + F.col("words") <= F.col("gap")
+        edge = ~whole & (F.col("before") < F.col("gap"))
+        step = ahead.where(whole | edge).groupBy(F.col("source").alias("s")).agg((F.max("block") + 1).alias("full"), F.max(F.when(edge, F.col("block"))).alias("b"), F.max(F.when(edge, F.col("gap") - F.col("before"))).alias("room"))
+        step = written(step, "step")
+        steps.append(step)
+        cut = step.where(F.col("b").isNotNull())
+        fits = written(filled(copies(rows.join(F.broadcast(cut), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))))), "filled")
+        chosen.append(fits.withColumn("extra", F.lit(False)))
+        took = fits.groupBy("source").agg(F.sum("words").alias("took"))
+        left = cut.join(F.broadcast(took), F.col("source").eqNullSafe(F.col("s")), "left")
+        left = written(left.select("s", F.col("b").alias("last"), (F.col("room") - F.coalesce("took", F.lit(0))).alias("gap")), "left")
+        if left.where(F.col("gap") >= block_words).limit(1).count() == 0:
+            break
+    # Less than a block is open, as a rule: of each size, as many rows of the later blocks as could fit, in permuted order.
+    late = rows.join(F.broadcast(left.withColumnRenamed("gap", "room")), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") > F.col("last")) & (F.col("size") <= F.col("room")))
+    late = written(copies(late).where(F.col("words") <= F.col("room")), "late")
+    some = late.groupBy("source", "words", "block").agg(F.count(F.lit(1)).alias("n"), F.max("room").alias("room"))
+    some = some.withColumn("before", F.sum("n").over(Window.partitionBy("source", "words").orderBy("block")) - F.col("n"))
+    some = some.where(F.col("before") * F.col("words") < F.col("room")).select(F.col("source").alias("s"), F.col("words").alias("w"), F.col("block").alias("b"))
+    late = late.join(some, F.col("source").eqNullSafe(F.col("s")) & (F.col("words") == F.col("w")) & (F.col("block") == F.col("b")), "left_semi")
+    chosen.append(filled(late).withColumn("extra", F.lit(True)))
+    chosen = reduce(DataFrame.union, chosen).select(F.col("source").alias("cs"), F.col("block").alias("cb"), F.col("h").alias("ch"), F.col("k").alias("ck"), "extra")
+    chosen = written(chosen, "chosen")
+    steps = written(reduce(DataFrame.union, steps), "steps")
+    edge = steps.where(F.col("b").isNotNull()).select("s", "b")
+
+    # Blocks of the last pass: all up to the last boundary.
+    full = steps.groupBy("s").agg(F.max("full").alias("full"))
+    goal = goal.join(F.broadcast(full), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    full_last = F.coalesce("full", F.lit(0))
+    quota = written(goal.select("source", "blocks", "passes", (F.col("passes") * F.col("blocks") + full_last).alias("quota"), "target"), "quotas")
     total = quota.agg(F.sum("target")).first()[0] or 0
     shards = max(1, int(-(-total // shard_words)))
     draws = split_tree(quota.select("source", "quota"), shards, seed)
@@ -140,13 +184,21 @@ def plan(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     draws = draws.join(F.broadcast(quota.select(F.col("source").alias("s"), "blocks")), F.col("source").eqNullSafe(F.col("s")))
     drawn = draws.groupBy(F.col("s").alias("ds"), F.pmod("d", "blocks").alias("db")).agg(F.sort_array(F.collect_list(F.struct(F.floor(F.col("d") / F.col("blocks")).alias("turn"), "shard"))).alias("drawn"))
 
+    drawn = written(drawn, "drawn")
+    # Rows of later blocks that fill what is open go with the last boundary block, to the shard that drew it.
+    at = left.join(F.broadcast(quota.select("source", "passes")), F.col("s").eqNullSafe(F.col("source"))).select("s", "last", "passes")
+    at = at.join(drawn, F.col("s").eqNullSafe(F.col("ds")) & (F.col("last") == F.col("db")))
+    at = at.select("s", F.filter("drawn", lambda x: x["turn"] == F.col("passes"))[0]["shard"].alias("with"))
+    chosen = chosen.join(F.broadcast(at), F.col("cs").eqNullSafe(F.col("s")), "left").drop("s")
+
     out = rows.join(drawn, F.col("source").eqNullSafe(F.col("ds")) & (F.col("block") == F.col("db")), "left")
     out = out.join(F.broadcast(edge), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
-    # At most one boundary block a source: a bounded number of words, shuffled with the rows where it is large.
+    # A few boundary blocks a source: a bounded number of words, shuffled with the rows where it is large.
     out = out.join(chosen, F.col("source").eqNullSafe(F.col("cs")) & (F.col("block") == F.col("cb")) & (F.col("h") == F.col("ch")) & F.col("k").eqNullSafe(F.col("ck")), "left")
-    last_pass = F.col("b").isNotNull() & F.col("ch").isNull()
-    kept = F.filter(F.coalesce("drawn", F.array().cast("array<struct<turn:bigint,shard:int>>")), lambda x: ~(last_pass & (x["turn"] >= F.col("passes"))))
-    return out.select(F.col("k").alias(key), F.col("source").alias(source), "size", "source_size", "target", F.transform(kept, lambda x: x["shard"]).alias("shards"), *(f"carried_{c}" for c in carry))
+    passed_over = F.col("b").isNotNull() & F.col("ch").isNull() & (F.col("size") > 0)
+    kept = F.filter(F.coalesce("drawn", F.array().cast("array<struct<turn:bigint,shard:int>>")), lambda x: ~(passed_over & (x["turn"] >= F.col("passes"))))
+    extra = F.when(F.col("extra"), F.array("with")).otherwise(F.array().cast("array<int>"))
+    return out.select(F.col("k").alias(key), F.col("source").alias(source), "size", "source_size", "target", F.concat(F.transform(kept, lambda x: x["shard"]), extra).alias("shards"), *(f"carried_{c}" for c in carry))
 
 
 def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", seed: int = SEED, **more) -> DataFrame:

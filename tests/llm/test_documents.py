@@ -201,6 +201,36 @@ def test_mixture_comes_near_its_targets(spark, documents):
     assert sorted(map(str, again.collect())) == sorted(map(str, plan.collect()))
 
 
+@pytest.mark.parametrize("seed", [17, 18])
+def test_mixture_passes_over_a_document_longer_than_the_room(spark, documents, seed):
+    rows = [(0, " ".join(["w"] * 3000), None, "a")] + [(i, "w " * 5, None, "a") for i in range(1, 601)]
+    rows += [(i, "w " * 8, None, "b") for i in range(601, 1101)]
+    got = mixing.plan(documents(rows), weights=(1, 3), block_words=200, shard_words=2000, seed=seed).collect()
+    assert len(got) == len(rows)
+    taken = collections.Counter()
+    for r in got:
+        taken[r["source"]] += r["size"] * len(r["shards"])
+    assert {r["source"]: r["target"] for r in got} == {"a": 2500.0, "b": 7500.0}
+    assert taken["a"] == 2500 and 0 <= 7500 - taken["b"] < 8
+    assert all(len(r["shards"]) <= 1 for r in got if r["source"] == "a") and not [r for r in got if r["doc_id"] == 0 and r["shards"]]
+
+
+def test_first_fit_equals_a_fill_of_bounded_rows(spark):
+    rng = np.random.default_rng(8)
+    sizes = rng.integers(1, 40, 2000).tolist()
+    for room in (0.5, 7.0, 333.3):
+        fits = mixing.first_fit(sizes, room)
+        gap = room - sum(n for n, x in zip(sizes, fits) if x)
+        assert 0 <= gap < 1
+        # As many of each size as could fit are enough.
+        seen, few = collections.Counter(), []
+        for i, n in enumerate(sizes):
+            seen[n] += 1
+            few += [i] if seen[n] * n <= room else []
+        again = mixing.first_fit([sizes[i] for i in few], room)
+        assert [i for i, x in zip(few, again) if x] == [i for i, x in enumerate(fits) if x]
+
+
 def test_mixture_of_odd_rows(edges):
     rows = mixing.plan(edges).collect()
     assert len(rows) == edges.count()
