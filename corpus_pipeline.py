@@ -36,8 +36,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: 85 % and more of common 4-word shingles."""
-    return ngram_join.distinct_documents(docs).select(*COLUMNS)
+    """One document of each group of near copies: 80 % and more of common 5-word shingles."""
+    return ngram_join.distinct_documents(docs, n=5, share=(80, 100)).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
