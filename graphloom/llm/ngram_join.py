@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.support import bounded_batches, components, written
+from graphloom.llm.support import bounded_batches, components, scored, written
 from graphloom.session import broadcast_if_small
 
 WORDS = 4
@@ -216,8 +216,8 @@ def links(sets: DataFrame, share: tuple[int, int] = SHARE, fragments: int = FRAG
     return near.union(more.where("link").select("a", "b"))
 
 
-def join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = WORDS, share: tuple[int, int] = SHARE, fragment_grams: int = FRAGMENT_GRAMS) -> DataFrame:
-    """``key, n_shingles, component_id`` of every row, and ``class`` (digest of its set)."""
+def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = WORDS, share: tuple[int, int] = SHARE, fragment_grams: int = FRAGMENT_GRAMS) -> DataFrame:
+    """``k, n, c, c2`` of every row, the ``component`` of its class (null without n-grams or key) and ``component_id``, its smallest key."""
     own = written(keys(docs, text, key, n), "keys")
     full = own.where(F.col("k").isNotNull() & (F.col("n") > 0))
     classes = written(full.groupBy("c", "c2", "n").agg(F.min("k").alias("k")), "classes")
@@ -229,23 +229,37 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = WORD
     found = components(links(sets, share))
     top = classes.join(found.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     least = top.join(found.select(F.col("id").alias("c")), "c", "left_semi").groupBy("component").agg(F.min("k").alias("least"))
-    named = top.join(least, "component", "left").select("c", "c2", F.coalesce("least", "k").alias("component_id"))
+    named = top.join(least, "component", "left").select("c", "c2", "component", F.coalesce("least", "k").alias("component_id"))
     rows = own.join(named, ["c", "c2"], "left")
-    return rows.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("k").isNotNull(), F.coalesce("component_id", "k")).alias("component_id"), F.col("c").alias("class"))
+    known = F.col("k").isNotNull()
+    return rows.select("k", "n", "c", "c2", F.when(known, F.col("component")).alias("component"), F.when(known, F.coalesce("component_id", "k")).alias("component_id"))
+
+
+def join(docs: DataFrame, text: str = "text", key: str = "doc_id", **more) -> DataFrame:
+    """``key, n_shingles, component_id`` of every row, and ``class`` (digest of its set)."""
+    return grouped(docs, text, key, **more).select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("c").alias("class"))
+
 
+def distinct_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = WORDS, **more) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest key, then text. Rows without a key stay.
 
-def distinct_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", **more) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest key. Rows without a key stay."""
-    found = written(join(docs, text, key, **more), "joined")
-    rows = found.where(F.col(key).isNotNull())
-    gone = rows.where(F.col(key) != F.col("component_id")).select(key).distinct()
+    Rows of one key without a word are one component.
+    """
+    rows = written(grouped(docs, text, key, n, **more), "joined").where(F.col("k").isNotNull())
+    gone = rows.where(F.col("k") != F.col("component_id")).select(F.col("k").alias(key)).distinct()
     left = docs.join(broadcast_if_small(written(gone, "gone")), key, "left_anti")
-    repeated = rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(key)
-    repeated = written(repeated, "repeated")
+    repeated = written(rows.groupBy("k").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("k"), "repeated")
     if repeated.limit(1).count() == 0:
         return left
-    # Keys that stand on several rows: one row stays, that with the smallest text.
-    twice = left.join(repeated, key, "left_semi")
-    names = [c for c in docs.columns if c != key]
-    one = twice.groupBy(key).agg(F.min_by(F.struct(*names), F.struct(F.col(text).isNull(), text)).alias("r")).select(key, "r.*").select(*docs.columns)
-    return left.join(repeated, key, "left_anti").select(*docs.columns).union(one)
+    # Keys that stand on several rows: these are told apart by their sets.
+    again = broadcast_if_small(repeated.select(F.col("k").alias(key)))
+
+    def digests(texts: list[str | None]) -> list[pa.Array]:
+        found = [_digest(gram_set(t, n)) for t in texts]
+        return [pa.array([d[i] for d in found], pa.int64()) for i in range(2)]
+
+    twice = docs.join(again, key, "left_semi").select(F.struct(*docs.columns).alias("row"), F.col(key).alias("k"), F.col(text).alias("t"))
+    twice = scored(twice, "t", ("row", "k", "t"), "c long, c2 long", digests)
+    home = rows.where(F.col("k") == F.col("component_id")).join(broadcast_if_small(repeated), "k", "left_semi").select("k", "c", "c2", "component").distinct()
+    one = twice.join(home, ["k", "c", "c2"]).groupBy("k", "component").agg(F.min_by("row", F.struct(F.col("t").isNull(), "t")).alias("row")).select("row.*")
+    return left.join(again, key, "left_anti").select(*docs.columns).union(one)

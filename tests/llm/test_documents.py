@@ -79,6 +79,16 @@ def test_join_of_odd_rows(edges):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [None, 0, 1, 2, 3, 4, 5, 6, 7, 8, 9]))
 
 
+def test_distinct_documents_go_by_row(documents):
+    """Rows that share a key stay or go by their own component, and two components may have the same smallest key."""
+    base = [f"w{i}" for i in range(120)]
+    copy, near = " ".join(base), " ".join([*base, "more"])
+    rows = [(1, copy), (5, copy), (5, "a text that stands nowhere else"), (7, "first of two"), (7, "second unlike it"), (7, "second unlike it"), (8, near), (8, None), (8, ""), (9, "first of two")]
+    kept = ngram_join.distinct_documents(documents([(i, t, None, None) for i, t in rows]))
+    want = [(1, copy), (5, rows[2][1]), (7, "first of two"), (7, "second unlike it"), (8, "")]
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted(want)
+
+
 def test_encoder_equals_the_tokenizer():
     path = public_tokenizers.path(packing.VOCABULARY)
     encoder = packing.Encoder(path)
