@@ -47,12 +47,3 @@ def make(spark):
         return PropertyGraph(frame, spark.createDataFrame(list(edges), "src string, dst string, type string"))
 
     return build
-
-
-def rows(df, *columns):
-    picked = df.select(*columns) if columns else df
-    return sorted((tuple(r) for r in picked.collect()), key=repr)
-
-
-def ids(df, column="id"):
-    return sorted(r[0] for r in df.select(column).collect())

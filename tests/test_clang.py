@@ -1,6 +1,6 @@
 import json
 
-from conftest import rows
+from frames import rows
 
 from graphloom.sources import clang_ast
 from graphloom.sources.clang_ast import extract_trees

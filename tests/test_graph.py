@@ -1,5 +1,5 @@
 import pytest
-from conftest import ids, rows
+from frames import ids, rows
 from pyspark.sql import functions as F
 
 from graphloom.api import run_query, run_sql

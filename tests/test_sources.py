@@ -3,7 +3,7 @@ import os
 import re
 
 import pytest
-from conftest import ids, rows
+from frames import ids, rows
 from pyspark.sql import functions as F
 
 from graphloom import api

@@ -1,4 +1,4 @@
-from conftest import rows
+from frames import rows
 
 from graphloom import steps
 

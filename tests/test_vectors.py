@@ -4,7 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
-from conftest import ids, rows
+from frames import ids, rows
 
 from graphloom.operators import domains, history, kmeans, search, similarity
 
