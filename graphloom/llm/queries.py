@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import language, mixing, near_vectors, nearest, ngram_join, packing, quality, toxicity, url_filter, warc
+from graphloom.llm import language, line_dedup, mixing, near_vectors, nearest, ngram_join, packing, quality, toxicity, url_filter, warc
 from graphloom.llm.support import held_out, learned, table
 from graphloom.session import broadcast_if_small
 
@@ -112,3 +112,13 @@ SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, digest AS payload_d
        CASE WHEN first <> page_id THEN first END AS refers_to
 FROM rows LEFT JOIN firsts USING (digest)
 """
+
+
+@query
+def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the lines that at least three documents share, kept in the largest of them."""
+    kept = line_dedup.without_shared_lines(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+SQL["op13_line_dedup"] = line_dedup.SQL
