@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import language, line_dedup, mixing, near_vectors, nearest, ngram_join, packing, quality, toxicity, url_filter, warc
+from graphloom.llm import collocations, language, lexical_search, line_dedup, mixing, near_vectors, nearest, ngram_join, packing, quality, toxicity, url_filter, warc
 from graphloom.llm.support import held_out, learned, table
 from graphloom.session import broadcast_if_small
 
@@ -122,3 +122,21 @@ def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op13_line_dedup"] = line_dedup.SQL
+
+
+@query
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The best 2000 phrases of every language whose words stand together more often than their parts would."""
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+SQL["op11_collocations"] = collocations.SQL
+
+
+@query
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 documents of the largest weighted term overlap with every benchmark item."""
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+SQL["op12_lexical_search"] = lexical_search.SQL
