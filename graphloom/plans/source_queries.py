@@ -197,31 +197,46 @@ _register(
         ("edge", "AspWrapper.Show{k}", "CALLS", "total"),
     ],
 )
+# A location without a file is in the file named last before it: h, helper and all up to f are of the header, what follows f is of the source again.
 _register(
     "parse_cpp",
     "/repo/cpp/p{k}.cpp",
     '{"kind":"TranslationUnitDecl","id":"1","inner":[{"kind":"VarDecl","id":"2","name":"g{k}","loc":{"line":1}},'
-    '{"kind":"FunctionDecl","id":"20","name":"printf","loc":{"file":"/usr/include/stdio.h","line":9}},{"kind":"FunctionDecl","id":"21","name":"_own{k}","loc":{"line":9}},'
-    '{"kind":"FunctionDecl","id":"22","name":"h{k}","loc":{"file":"/repo/inc/h{k}.h","line":7}},'
-    '{"kind":"FunctionDecl","id":"3","name":"f{k}","type":{"qualType":"int (int, char)"},"loc":{"line":2},"range":{"begin":{},"end":{"line":4}},'
+    '{"kind":"FunctionDecl","id":"20","name":"printf","loc":{"file":"/usr/include/stdio.h","line":9}},{"kind":"FunctionDecl","id":"21","name":"scanf{k}","loc":{"line":19}},'
+    '{"kind":"NamespaceDecl","id":"23","name":"sys","loc":{"line":20},"inner":[{"kind":"FunctionDecl","id":"24","name":"own{k}","loc":{"line":21}}]},'
+    '{"kind":"FunctionDecl","id":"22","name":"h{k}","loc":{"file":"/repo/inc/h{k}.h","line":7,"includedFrom":{"file":"/repo/cpp/p{k}.cpp"}}},'
+    '{"kind":"FunctionDecl","id":"25","name":"helper{k}","loc":{"line":8},"range":{"begin":{"line":8},"end":{"line":9}}},{"kind":"FunctionDecl","id":"26","name":"_own{k}","loc":{"line":9}},'
+    '{"kind":"CXXRecordDecl","id":"27","name":"H{k}","completeDefinition":true,"loc":{"line":10},"inner":[{"kind":"CXXMethodDecl","id":"28","name":"get","loc":{"line":11}},'
+    '{"kind":"FieldDecl","id":"29","name":"all","type":{"qualType":"List<n::D>"},"loc":{"line":12}}]},'
+    '{"kind":"FunctionDecl","id":"3","name":"f{k}","type":{"qualType":"int (int, char)"},"loc":{"file":"/repo/cpp/p{k}.cpp","line":2},"range":{"begin":{},"end":{"line":4}},'
     '"inner":[{"kind":"ParmVarDecl","id":"31","type":{"qualType":"int"}},{"kind":"ParmVarDecl","id":"32","type":{"qualType":"char"}},'
     '{"kind":"CompoundStmt","id":"4","inner":[{"kind":"DeclRefExpr","id":"5","referencedDecl":{"id":"2","kind":"VarDecl"}}]}]},'
     '{"kind":"NamespaceDecl","id":"60","name":"n","inner":[{"kind":"CXXRecordDecl","id":"6","name":"C{k}","completeDefinition":true,"loc":{"line":5},'
-    '"bases":[{"type":{"qualType":"n::B"}},{"type":{"qualType":"std::string"}}],"inner":[{"kind":"FieldDecl","id":"61","name":"d","type":{"qualType":"n::D *"},"loc":{"line":5}},'
+    '"bases":[{"type":{"qualType":"n::B"}},{"type":{"qualType":"std::string"}},{"type":{"qualType":"Base<int>"}}],"inner":[{"kind":"FieldDecl","id":"61","name":"d","type":{"qualType":"n::D *"},"loc":{"line":5}},'
     '{"kind":"CXXMethodDecl","id":"7","name":"run","type":{"qualType":"void ()"},"loc":{"line":6},"inner":[{"kind":"CallExpr","id":"8","inner":[{"kind":"ImplicitCastExpr","id":"9","inner":'
     '[{"kind":"DeclRefExpr","id":"10","referencedDecl":{"id":"3","kind":"FunctionDecl"}}]}]},{"kind":"CallExpr","id":"11","inner":[{"kind":"ImplicitCastExpr","id":"12","inner":'
-    '[{"kind":"DeclRefExpr","id":"13","referencedDecl":{"id":"20","kind":"FunctionDecl"}}]}]}]}]}]}]}',
+    '[{"kind":"DeclRefExpr","id":"13","referencedDecl":{"id":"20","kind":"FunctionDecl"}}]}]},{"kind":"CallExpr","id":"14","inner":[{"kind":"ImplicitCastExpr","id":"15","inner":'
+    '[{"kind":"DeclRefExpr","id":"16","referencedDecl":{"id":"25","kind":"FunctionDecl"}}]}]}]}]}]}]}',
     [
         ("node", "File:cpp/p{k}.cpp", "File", ""),
         ("node", "File:inc/h{k}.h", "File", ""),
         ("node", "Global:g{k}", "Global", "1"),
-        ("node", "Function:h{k}:()", "Function", "7"),
+        ("node", "Function:h{k}:()", "Function", "7-7"),
+        ("node", "Function:helper{k}:()", "Function", "8-9"),
+        ("node", "Class:H{k}", "Class", "10-10"),
+        ("node", "Function:H{k}::get:()", "Function", "11-11"),
+        ("node", "Field:H{k}::all", "Field", "12"),
         ("node", "Function:f{k}:(int,char)", "Function", "2-4"),
-        ("node", "Class:n::C{k}", "Class", "5"),
+        ("node", "Class:n::C{k}", "Class", "5-5"),
         ("node", "Field:n::C{k}::d", "Field", "5"),
-        ("node", "Function:n::C{k}::run:()", "Function", "6"),
+        ("node", "Function:n::C{k}::run:()", "Function", "6-6"),
         ("edge", "Global:g{k}", "DEFINED_IN", "File:cpp/p{k}.cpp"),
         ("edge", "Function:h{k}:()", "DEFINED_IN", "File:inc/h{k}.h"),
+        ("edge", "Function:helper{k}:()", "DEFINED_IN", "File:inc/h{k}.h"),
+        ("edge", "Class:H{k}", "DEFINED_IN", "File:inc/h{k}.h"),
+        ("edge", "Function:H{k}::get:()", "DEFINED_IN", "File:inc/h{k}.h"),
+        ("edge", "Class:H{k}", "HAS_METHOD", "Function:H{k}::get:()"),
+        ("edge", "Class:H{k}", "DEFINES", "Field:H{k}::all"),
         ("edge", "Function:f{k}:(int,char)", "DEFINED_IN", "File:cpp/p{k}.cpp"),
         ("edge", "Class:n::C{k}", "DEFINED_IN", "File:cpp/p{k}.cpp"),
         ("edge", "Function:n::C{k}::run:()", "DEFINED_IN", "File:cpp/p{k}.cpp"),
@@ -230,6 +245,7 @@ _register(
         ("edge", "Class:n::C{k}", "DEPENDS_ON", "Class:n::D"),
         ("edge", "Class:n::C{k}", "INHERITS", "Class:n::B"),
         ("edge", "Function:n::C{k}::run:()", "CALLS", "Function:f{k}:(int,char)"),
+        ("edge", "Function:n::C{k}::run:()", "CALLS", "Function:helper{k}:()"),
         ("edge", "Function:f{k}:(int,char)", "USES_GLOBAL", "Global:g{k}"),
     ],
 )

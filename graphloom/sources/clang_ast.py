@@ -1,20 +1,22 @@
 """Syntax trees dumped by a C++ compiler as JSON, one document per translation unit.
 
-Trees are walked level by level: a frame holds the nodes of one depth as variants, and the
-next depth is their exploded children. All files advance together, so there are as many
-rounds as the deepest tree has levels, and no tree is walked in Python.
+A task pulls a dump through once, member by member, and keeps only the path from the root to where it is:
+scopes, the enclosing class and function, and the file and line last stated. No subtree is held, so that
+a dump may have any size; what it yields are facts, namely declarations and references, which
+Spark joins to a graph. Memory is bounded by the depth of the tree and by the references of one function.
 
-A JSON value may not grow past a limit of the reader, so that large dumps are cut first: into
-parts that each hold one child of a node that is too large, under copies of the heads of all nodes above it.
+A dump names a file only where it changes from one location to the next, in the order of the text; a location
+without a file is in the file last named. A child of the root that lies outside the repository is passed over with all that is in it.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,136 +27,211 @@ from graphloom.session import cut
 CLASSES = ["CXXRecordDecl"]
 FUNCTIONS = ["FunctionDecl", "CXXMethodDecl", "CXXDestructorDecl"]
 CONSTRUCTORS = ["CXXConstructorDecl"]
+MEMBERS = ["CXXMethodDecl", "CXXDestructorDecl", "CXXConstructorDecl"]
+NAMESPACES = ["NamespaceDecl"]
 CALLS = ["CallExpr", "CXXMemberCallExpr"]
 WRAPPERS = ["ImplicitCastExpr"]
+# Storage of a variable that is no local one.
+SHARED_STORAGE = ["", "static", "extern"]
 # Types that are no class of the code.
 PLAIN_TYPES = [
     "int", "char", "float", "double", "bool", "void", "unsigned", "signed", "long", "short", "size_t", "wchar_t",
     "BOOL", "DWORD", "UINT", "LONG", "WORD", "BYTE", "LPCTSTR", "LPCSTR", "CString", "HRESULT",
 ]
-# Texts longer than this are cut; a JSON value may not exceed 128 MiB.
-PART_CHARS = 8 << 20
-
-_MARK = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]]')
-_INNER = re.compile(r"\s*:\s*\[")
-_KIND = re.compile(r'"kind"\s*:\s*"(\w+)"')
-
-
-def _children(text: str, start: int, end: int) -> tuple[int, int, list[tuple[int, int]]]:
-    """Where the list of children of the object at ``start`` begins and ends, and each child; ``(-1, -1, [])`` without one."""
-    depth, at, first, spans = 0, -1, 0, []
-    for m in _MARK.finditer(text, start, end):
-        mark = m[0]
-        if mark == '"inner"':
-            if depth == 1 and at < 0 and _INNER.match(text, m.end()):
-                at = m.start()
-        elif mark in "{[":
-            if depth == 2 and at >= 0:
-                first = m.start()
-            depth += 1
-        elif mark in "}]":
-            depth -= 1
-            if depth == 2 and at >= 0:
-                spans.append((first, m.end()))
-            elif depth == 1 and at >= 0:
-                return at, m.end(), spans
-    return -1, -1, []
-
-
-def _parts(text: str, most: int, start: int, end: int, before: str = "", after: str = "") -> Iterator[str]:
-    """The object at ``start``, or its children one by one if it is too long, each inside the heads of those above."""
-    if end - start <= most:
-        yield before + text[start:end] + after
-        return
-    at, stop, spans = _children(text, start, end)
-    if not spans:
-        yield before + text[start:end] + after
-        return
-    kind = _KIND.search(text, start, at)
-    # A signature is read from the parameters, which stay with the head.
-    kept = [x for x in spans if kind and kind[1] in FUNCTIONS + CONSTRUCTORS and re.match(r'\{[^{}]*"kind"\s*:\s*"ParmVarDecl"', text[x[0] : x[0] + 400])]
-    head = before + text[start:at] + '"inner":[' + "".join(text[a:b] + "," for a, b in kept)
-    tail = "]" + text[stop:end] + after
-    for a, b in spans:
-        if (a, b) not in kept:
-            yield from _parts(text, most, a, b, head, tail)
-
-
-def split_trees(files: DataFrame, most: int = PART_CHARS) -> DataFrame:
-    """``(path, text)`` of ``files`` with long trees cut into parts; parts of a file have its path."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, text in zip(pdf["path"], pdf["text"]):
-                start = text.find("{") if text else -1
-                parts = _parts(text, most, start, text.rfind("}") + 1) if start >= 0 else iter([text])
-                for part in parts:
-                    yield pd.DataFrame({"path": [path], "text": [part]})
-
-    long = F.length("text") > most
-    return files.where(F.coalesce(~long, F.lit(True))).select("path", "text").unionByName(files.where(long).select("path", "text").mapInPandas(run, "path string, text string"))
+LABELS = dict.fromkeys(CLASSES, "Class") | dict.fromkeys(FUNCTIONS, "Function") | dict.fromkeys(CONSTRUCTORS, "Constructor") | {"FieldDecl": "Field", "VarDecl": "Global"}
+#: Members of a node that are read; all others are passed over.
+READ = {"kind", "id", "name", "loc", "range", "isImplicit", "completeDefinition", "storageClass", "type", "bases", "referencedDecl", "referencedMemberDecl"}
+#: Facts sent to Spark at once.
+FACTS = 5000
 
+FACT = (
+    "path string, at long, label string, kind string, name string, fqn string, id string, file string, start_line long, end_line long,"
+    " in_class string, declared string, bases array<string>, decl string, user string, refers string, callee boolean, unread string"
+)
 
-def unread_trees(files: DataFrame) -> DataFrame:
-    """``(path)`` of dumps of which some part is no JSON, and so is missing from the graph."""
-    return split_trees(files).where(F.try_parse_json("text").isNull()).select("path").distinct()
-
-
-def _get(path: str, kind: str = "string") -> Column:
-    return F.try_variant_get("node", f"$.{path}", kind)
-
-
-def _levels(files: DataFrame, root: str) -> DataFrame:
-    """Declarations and references of all trees, with the scope they are found in."""
-    base = root.replace("\\", "/").rstrip("/")
-    level = split_trees(files).select("path", F.try_parse_json("text").alias("node"), F.lit("").alias("scope"), F.lit("").alias("in_class"), F.lit("").alias("in_function"), F.lit(False).alias("callee"))
-    # Parsed once: each of the many paths read below would otherwise parse the text again.
-    level = cut(level)
-    seen = []
-    while True:
-        kind, name = _get("kind"), F.coalesce(_get("name"), F.lit(""))
-        fqn = F.when(F.col("scope") == "", name).otherwise(F.concat("scope", F.lit("::"), name))
-        inner = F.coalesce(_get("inner", "array<variant>"), F.array().cast("array<variant>"))
-        parameters = F.filter(inner, lambda n: F.try_variant_get(n, "$.kind", "string") == "ParmVarDecl")
-        signature = F.concat(F.lit("("), F.array_join(F.transform(parameters, lambda n: F.try_variant_get(n, "$.type.qualType", "string")), ","), F.lit(")"))
-        file = F.coalesce(F.nullif(_get("loc.file"), F.lit("")), F.col("path"))
-        outside = F.lit(bool(base)) & ~F.lower(F.replace(file, F.lit("\\"), F.lit("/"))).startswith(base.lower())
-        implicit = F.coalesce(_get("isImplicit", "boolean"), F.lit(False))
-        foreign = fqn.startswith("std::") | fqn.contains("::std::") | name.startswith("_") | outside
-        label = (
-            F.when(kind.isin(CLASSES) & F.coalesce(_get("completeDefinition", "boolean"), F.lit(False)), "Class")
-            .when(kind.isin(FUNCTIONS), "Function").when(kind.isin(CONSTRUCTORS), "Constructor").when(kind == "FieldDecl", "Field")
-            .when(kind == "VarDecl", "Global")
-        )
+_FIRST = re.compile(r'\s*(?:"((?:[^"\\]|\\.)*)"\s*:\s*|\})')
+_NEXT = re.compile(r'\s*(?:,\s*"((?:[^"\\]|\\.)*)"\s*:\s*|\})')
+_ITEM = re.compile(r"\s*(?:\](?P<end>)|(?P<comma>,)?\s*(?P<object>\{)?)")
+_VALUE = json.JSONDecoder().raw_decode
+
+
+class _Places:
+    """The file and line last stated, in the order of the text."""
+
+    def __init__(self, path: str):
+        self.file, self.line = path, None
+
+    def see(self, place: dict) -> tuple[str, int | None]:
+        """File and line of a location; of one within a macro, of where the macro stands. A location that says nothing has no line."""
+        if "spellingLoc" in place or "expansionLoc" in place:
+            inside = self.see(place.get("spellingLoc") or {})
+            return self.see(place["expansionLoc"]) if place.get("expansionLoc") else inside
+        self.file = place.get("file") or self.file
+        if "line" in place:
+            self.line = place["line"]
+        return self.file, self.line if place.keys() & {"line", "col", "offset"} else None
+
+
+class _Node:
+    """A node on the path from the root: what it hands down to its children, and what its facts wait for."""
+
+    __slots__ = ("head", "above", "entered", "passed", "scope", "in_class", "owner", "callee", "children", "fact", "parameters", "uses")
+
+    def __init__(self, above: _Node | None):
+        self.head, self.above, self.entered, self.children, self.fact, self.parameters, self.uses = {}, above, False, 0, None, None, None
+
+
+class _Walk:
+    """One pass over a dump; yields facts as dictionaries."""
+
+    def __init__(self, path: str, base: str):
+        self.path, self.base, self.places, self.count = path, base.lower(), _Places(path), 0
+
+    def inside(self, file: str) -> bool:
+        return file.replace("\\", "/").lower().startswith(self.base)
+
+    def facts(self, text: str) -> Iterator[dict]:
+        start = re.compile(r"\s*\{").match(text or "")
+        if not start:
+            raise ValueError("no object")
+        at, node, member = start.end(), _Node(None), _FIRST
+        while True:
+            found = member.match(text, at)
+            if not found:
+                raise ValueError(f"no member at {at}")
+            at = found.end()
+            if found[1] is None:
+                if not node.entered:
+                    self.enter(node)
+                yield from self.leave(node)
+                node = node.above
+                if node is None:
+                    if text[at:].strip():
+                        raise ValueError(f"text after the tree at {at}")
+                    return
+            elif found[1] == "inner" and text.startswith("[", at) and not node.entered:
+                at += 1
+                self.enter(node)
+            else:
+                value, at = _VALUE(text, at)
+                if found[1] in READ:
+                    node.head[found[1]] = value
+                member = _NEXT
+                continue
+            # After an object of a list, or at the start of a list: the next object, or the end of the list.
+            while True:
+                item = _ITEM.match(text, at)
+                if item["end"] is not None:
+                    at, member = item.end(), _NEXT
+                    break
+                if bool(item["comma"]) != (node.children > 0):
+                    raise ValueError(f"no item at {at}")
+                if item["object"]:
+                    at, node, member = item.end(), _Node(node), _FIRST
+                    break
+                _, at = _VALUE(text, item.end())
+                node.children += 1
+
+    def enter(self, node: _Node) -> None:
+        """All that a node says of itself is read: place it, name it and say what holds for its children."""
+        head, above = node.head, node.above
+        node.entered, kind, name = True, head.get("kind") or "", head.get("name") or ""
+        file, line = self.places.see(head.get("loc") or {})
+        span = head.get("range") or {}
+        begin, end = self.places.see(span.get("begin") or {})[1], self.places.see(span.get("end") or {})[1]
+        if above is None:
+            node.passed, node.scope, node.in_class, node.owner, node.callee = False, "", "", None, False
+            return
+        nth, above.children = above.children, above.children + 1
+        node.passed = above.passed or bool(head.get("isImplicit")) or (above.above is None and not self.inside(file))
+        node.scope, node.in_class, node.owner = above.scope, above.in_class, above.owner
+        node.callee = (nth == 0 and above.head.get("kind") in CALLS) or (above.callee and above.head.get("kind") in WRAPPERS)
+        if node.passed:
+            return
+        if kind == "ParmVarDecl" and above.parameters is not None:
+            above.parameters.append((head.get("type") or {}).get("qualType") or "")
+        refers = (head.get("referencedDecl") or {}).get("id") or head.get("referencedMemberDecl")
+        if refers and node.owner:
+            node.owner.uses[refers, node.callee] = True
+        named = bool(name) and (kind in LABELS or kind in NAMESPACES)
+        if not named:
+            return
+        fqn = f"{above.scope}::{name}" if above.scope else name
+        node.scope = fqn
+        known = kind in LABELS and not (fqn.startswith("std::") or "::std::" in fqn or name.startswith("_")) and self.inside(file)
+        if kind in CLASSES:
+            known = known and bool(head.get("completeDefinition"))
+            node.in_class = f"Class:{fqn}" if known else ""
+        if kind == "VarDecl" and (head.get("storageClass") or "") not in SHARED_STORAGE:
+            known = False
         # What a function declares inside is local.
-        label = F.when((name != "") & ~foreign & ~implicit & (F.col("in_function") == ""), label)
-        node_id = F.concat_ws(":", "label", "fqn", F.when(F.col("label").isin("Function", "Constructor"), F.col("signature")))
-        facts = level.select(
-            "path", "node", "scope", "in_class", "in_function", "callee", file.alias("file"), implicit.alias("implicit"), kind.alias("kind"), name.alias("name"), fqn.alias("fqn"), label.alias("label"),
-            signature.alias("signature"), _get("id").alias("decl"), F.coalesce(_get("loc.line", "bigint"), _get("range.begin.line", "bigint")).alias("start_line"),
-            _get("range.end.line", "bigint").alias("end_line"),
-            F.coalesce(_get("referencedDecl.id"), _get("referencedMemberDecl")).alias("refers"), F.coalesce(_get("type.qualType"), F.lit("")).alias("declared"),
-            F.coalesce(F.transform(F.coalesce(_get("bases", "array<variant>"), F.array()), lambda b: F.try_variant_get(b, "$.type.qualType", "string")), F.array()).alias("bases"),
-        ).withColumn("id", F.when(F.col("label").isNotNull(), node_id))
-        facts = cut(facts)
-        seen.append(facts.where("label is not null or refers is not null").drop("node", "implicit"))
-        opens = F.col("label").isin("Class", "Function", "Constructor") | (F.col("kind") == "NamespaceDecl")
-        inside = F.col("label").isin("Function", "Constructor")
-        # Nothing below an implicit node counts, nor below a function of other code.
-        level = facts.where(~F.col("implicit") & (F.col("label").isNotNull() | ~F.coalesce(F.col("kind").isin(FUNCTIONS + CONSTRUCTORS), F.lit(False)))).select(
-            "path", F.posexplode(F.try_variant_get("node", "$.inner", "array<variant>")).alias("pos", "node"),
-            F.when(F.coalesce(opens, F.lit(False)) & (F.col("name") != ""), F.col("fqn")).otherwise(F.col("scope")).alias("scope"),
-            F.when(F.col("label") == "Class", F.col("id")).otherwise(F.col("in_class")).alias("in_class"),
-            F.when(F.coalesce(inside, F.lit(False)), F.col("id")).otherwise(F.col("in_function")).alias("in_function"),
-            "callee", "kind",
-        )
-        # What is called is the first part of a call, possibly wrapped.
-        called = ((F.col("pos") == 0) & F.col("kind").isin(CALLS)) | (F.col("callee") & F.col("kind").isin(WRAPPERS))
-        level = level.select("path", "node", "scope", "in_class", "in_function", F.coalesce(called, F.lit(False)).alias("callee"))
-        level = cut(level)
-        if level.isEmpty():
-            break
-    return cut(reduce(DataFrame.unionByName, seen).withColumn("file", _shown(F.col("file"), base)))
+        known = known and node.owner is None
+        routine = kind in FUNCTIONS or kind in CONSTRUCTORS
+        if known:
+            self.count += 1
+            start = line if line is not None else begin
+            last = end if end is not None else start
+            node.fact = {
+                "path": self.path, "at": self.count, "label": LABELS[kind], "kind": kind, "name": name, "fqn": fqn, "id": f"{LABELS[kind]}:{fqn}", "file": file,
+                "start_line": start, "end_line": last if routine or kind in CLASSES else None, "in_class": above.in_class,
+                "declared": (head.get("type") or {}).get("qualType") or "", "decl": head.get("id"),
+                "bases": [b for b in ((x.get("type") or {}).get("qualType") for x in head.get("bases") or []) if b],
+            }
+        if routine:
+            # Nothing below a function that is no part of the graph counts.
+            node.passed = not known
+            if known:
+                node.owner, node.parameters, node.uses = node, [], {}
+
+    def leave(self, node: _Node) -> Iterator[dict]:
+        """A declaration is known when its parameters are, at its end; then its references follow."""
+        if node.fact is None:
+            return
+        if node.parameters is not None:
+            node.fact["id"] += f":({','.join(node.parameters)})"
+        yield node.fact
+        for refers, callee in node.uses or ():
+            yield {"path": self.path, "user": node.fact["id"], "refers": refers, "callee": callee}
+
+
+def tree_facts(files: DataFrame, root: str = "") -> DataFrame:
+    """``FACT`` of every dump of ``files(path, text)``: declarations (with a ``label``), references (``refers``), and why a dump could not be read to its end (``unread``)."""
+    base = _base(root)
+
+    def rows(path: str, text: str | None) -> Iterator[dict]:
+        try:
+            yield from _Walk(path, base).facts(text)
+        except ValueError as problem:
+            yield {"path": path, "unread": str(problem)[:200]}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = _fact_schema()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held: list[dict] = []
+                for fact in rows(batch.column(0)[i].as_py(), batch.column(1)[i].as_py()):
+                    held.append(fact)
+                    if len(held) == FACTS:
+                        yield pa.RecordBatch.from_pylist(held, schema=schema)
+                        held = []
+                if held:
+                    yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+    return files.select("path", "text").mapInArrow(run, FACT)
+
+
+def _fact_schema() -> pa.Schema:
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    return pa.schema([(name, kinds[kind]) for name, kind in (field.split() for field in FACT.split(", "))])
+
+
+def unread_trees(files: DataFrame) -> DataFrame:
+    """``(path)`` of dumps that could not be read to their end; what they declare before that is in the graph."""
+    return tree_facts(files).where("unread is not null").select("path").distinct()
+
+
+def _base(root: str) -> str:
+    return root.replace("\\", "/").rstrip("/")
 
 
 def _shown(path: Column, base: str) -> Column:
@@ -167,32 +244,36 @@ def _shown(path: Column, base: str) -> Column:
 def extract_trees(files: DataFrame, root: str = "") -> PropertyGraph:
     """Unresolved graph of ``files(path, text)``; ``path`` is the source file of each tree.
 
-    A line is known where the dump states it. References to names of the standard library
+    A line is known where the dump states it; an end that is not stated is the start. Of declarations
+    with one id the first stands, by path and place. References to names of the standard library
     have no declaration in the graph and fall out.
     """
-    facts = _levels(files, root)
+    base = _base(root)
+    facts = cut(tree_facts(files, root).withColumn("file", _shown(F.col("file"), base)))
     decls = facts.where("label is not null")
-    code = decls.select("id", "label", "name", "fqn", "file", "start_line", "end_line").dropDuplicates(["id"])
+    shown = ["label", "name", "fqn", "file", "start_line", "end_line"]
+    code = decls.groupBy("id").agg(F.min_by(F.struct(*shown), F.struct("path", "at")).alias("first")).select("id", *(f"first.{c}" for c in shown))
     # Every dump has its file, also one that could not be read.
-    units = files.select(_shown(F.col("path"), root.replace("\\", "/").rstrip("/")).alias("file"))
-    file_nodes = facts.where("label is not null").select("file").unionByName(units).distinct().select(
+    units = files.select(_shown(F.col("path"), base).alias("file"))
+    file_nodes = decls.select("file").unionByName(units).distinct().select(
         F.concat(F.lit("File:"), "file").alias("id"), F.lit("File").alias("label"), F.col("file").alias("name"), "file"
     )
     edge = lambda df, src, dst, kind: df.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"))
     c = F.col
     homes = edge(decls.where("label <> 'Field'"), c("id"), F.concat(F.lit("File:"), "file"), "DEFINED_IN")
     owned = decls.where("in_class <> ''")
-    methods = edge(owned.where(c("label").isin("Function", "Constructor")), c("in_class"), c("id"), "HAS_METHOD")
+    methods = edge(owned.where(c("kind").isin(MEMBERS)), c("in_class"), c("id"), "HAS_METHOD")
     fields = edge(owned.where("label = 'Field'"), c("in_class"), c("id"), "DEFINES")
-    based = decls.where("label = 'Class'").select("id", F.explode("bases").alias("base")).where("base not like 'std::%'")
-    held = F.trim(F.regexp_replace(F.regexp_replace("declared", "\\b(?:const|struct|class|enum)\\b", ""), "[*&\\[\\]0-9]+\\s*\\z", ""))
-    typed = owned.where("label = 'Field'").select("in_class", held.alias("held"))
-    typed = typed.where((c("held") != "") & ~c("held").startswith("std::") & ~F.substring_index("held", " ", 1).isin(PLAIN_TYPES))
+    held = F.trim(F.regexp_replace(F.regexp_replace("declared", "\\b(?:const|volatile|struct|class|enum)\\b", ""), "[*&\\[\\]0-9]+\\s*\\z", ""))
+    # A type made from a template names no class of the graph.
+    of_class = lambda t: (t != "") & ~t.startswith("std::") & ~t.contains("<") & ~F.substring_index(t, " ", 1).isin(PLAIN_TYPES)
+    typed = owned.where("label = 'Field'").select("in_class", held.alias("held")).where(of_class(c("held")))
     depends = edge(typed, c("in_class"), F.concat(F.lit("Class:"), "held"), "DEPENDS_ON")
+    based = decls.where("label = 'Class'").select("id", F.explode("bases").alias("declared")).select("id", held.alias("base")).where(of_class(c("base")))
     inherits = edge(based, c("id"), F.concat(F.lit("Class:"), "base"), "INHERITS")
 
     targets = decls.select("path", c("decl").alias("refers"), c("id").alias("target"), c("label").alias("target_label"))
-    used = facts.where("refers is not null and in_function <> ''").select("path", "refers", "callee", c("in_function").alias("user")).join(targets, ["path", "refers"])
+    used = facts.where("refers is not null").select("path", "refers", "callee", "user").join(targets, ["path", "refers"])
     calls = edge(used.where(c("callee") & c("target_label").isin("Function", "Constructor")), c("user"), c("target"), "CALLS")
     shared = edge(used.where("target_label = 'Global'"), c("user"), c("target"), "USES_GLOBAL")
     edges = reduce(DataFrame.unionByName, [homes, methods, fields, inherits, depends, calls, shared]).distinct()

@@ -1,4 +1,7 @@
 import json
+import subprocess
+import sys
+from pathlib import Path
 
 from frames import rows
 
@@ -88,28 +91,103 @@ def test_declarations_belong_to_their_own_file(spark):
     assert ("Function:shared:(void (*)(int),char)", "File:src/h.h", "DEFINED_IN") in edges
 
 
-def test_long_trees_are_cut_without_loss(spark, monkeypatch):
-    def call(target):
-        return decl("CallExpr", decl_id="0xc" + target, inner=[decl("ImplicitCastExpr", inner=[decl("DeclRefExpr", referencedDecl={"id": target, "kind": "FunctionDecl"})])])
-
-    functions = [decl("FunctionDecl", f"f{i}", f"0xf{i}", inner=[*params("int", "char"), decl("CompoundStmt", inner=[call(f"0xf{j}") for j in range(i)])], note='a "quoted" } ] { [ inner') for i in range(12)]
-    shop = decl("CXXRecordDecl", "Shop", completeDefinition=True, inner=[decl("FieldDecl", f"x{i}", f"0xx{i}", type={"qualType": "Other *"}) for i in range(9)], bases=[{"type": {"qualType": "Base"}}])
-    tree = json.dumps(unit(decl("NamespaceDecl", "app", inner=[*functions, shop]), decl("VarDecl", "count", "0xcount")))
-    whole = graph_of(spark, {"/repo/a.cpp": tree, "/repo/b.cpp": "not json", "/repo/c.cpp": ""})
-    assert "Function:app::f3:(int,char)" in whole[0] and "File:b.cpp" in whole[0] and ("Class:app::Shop", "Class:Other", "DEPENDS_ON") in whole[1]
-    for most in (4000, 300, 120):
-        frame = spark.createDataFrame([("/repo/a.cpp", tree)], "path string, text string")
-        parts = clang_ast.split_trees(frame, most).collect()
-        assert len(parts) > 3 and all(json.loads(p["text"]) for p in parts)
-        real = clang_ast.split_trees
-        monkeypatch.setattr(clang_ast, "split_trees", lambda files, real=real, most=most: real(files, most))
-        again = graph_of(spark, {"/repo/a.cpp": tree, "/repo/b.cpp": "not json", "/repo/c.cpp": ""})
-        monkeypatch.undo()
-        assert again[0] == whole[0] and again[1] == whole[1]
-    assert rows(clang_ast.unread_trees(spark.createDataFrame([("a", tree), ("b", "{"), ("c", "{}")], "path string, text string"))) == [("b",)]
-
-
-def test_a_dump_beyond_the_reader_s_limit(spark):
+def homes_of(edges):
+    return {e[0]: e[1] for e in edges if e[2] == "DEFINED_IN"}
+
+
+def test_a_file_holds_until_another_is_named(spark):
+    tree = unit(
+        decl("VarDecl", "first", loc={"line": 1}),
+        decl("FunctionDecl", "printf", loc={"file": "/usr/include/stdio.h", "line": 1}), decl("FunctionDecl", "scanf", loc={"line": 5}),
+        decl("NamespaceDecl", "sys", loc={"line": 6}, inner=[decl("FunctionDecl", "deep", loc={"file": "/repo/inc/deep.h", "line": 1})]),
+        decl("FunctionDecl", "helper", loc={"file": "/repo/inc/h.h", "line": 3, "includedFrom": {"file": "/repo/a.cpp"}}), decl("FunctionDecl", "helper2", loc={"line": 8}),
+        decl(
+            "CXXRecordDecl", "Box", completeDefinition=True, loc={"line": 10},
+            inner=[decl("CXXMethodDecl", "open", loc={"line": 11}), decl("CXXMethodDecl", "shut", loc={"file": "/repo/inc/part.h", "line": 1})],
+        ),
+        decl("FunctionDecl", "after", loc={"line": 2}),
+        decl("FunctionDecl", "made", loc={"spellingLoc": {"file": "/usr/include/macro.h", "line": 7}, "expansionLoc": {"file": "/repo/a.cpp", "line": 40, "col": 1}}),
+        decl("FunctionDecl", "same_line", loc={"col": 9}, range={"begin": {"col": 1}, "end": {"line": 44, "col": 1}}),
+    )
+    ids, edges, g = graph_of(spark, {"/repo/a.cpp": tree, "/repo/b.cpp": unit(decl("FunctionDecl", "own", loc={"line": 3}))})
+    assert homes_of(edges) == {
+        "Global:first": "File:a.cpp", "Function:helper:()": "File:inc/h.h", "Function:helper2:()": "File:inc/h.h", "Class:Box": "File:inc/h.h", "Function:Box::open:()": "File:inc/h.h",
+        "Function:Box::shut:()": "File:inc/part.h", "Function:after:()": "File:inc/part.h", "Function:made:()": "File:a.cpp", "Function:same_line:()": "File:a.cpp", "Function:own:()": "File:b.cpp",
+    }
+    assert not [i for i in ids if "scanf" in i or "deep" in i]
+    spans = {r["name"]: (r["start_line"], r["end_line"]) for r in g.nodes.collect()}
+    assert spans["helper2"] == (8, 8) and spans["made"] == (40, 40) and spans["same_line"] == (40, 44)
+
+
+def test_templates_hidden_classes_and_friends(spark):
+    tree = unit(
+        decl("CXXRecordDecl", "_Impl", completeDefinition=True, inner=[decl("CXXMethodDecl", "go")]),
+        decl("CXXRecordDecl", "Declared", inner=[decl("CXXMethodDecl", "late")]),
+        decl(
+            "CXXRecordDecl", "Shop", completeDefinition=True, bases=[{"type": {"qualType": t}} for t in ("Base<int>", "class Plain", "std::mutex")],
+            inner=[
+                decl("FieldDecl", "many", type={"qualType": "List<Item>"}), decl("FieldDecl", "one", type={"qualType": "const volatile struct Item *"}), decl("FieldDecl", "n", type={"qualType": "unsigned int"}),
+                decl("FriendDecl", decl_id="0xfr", inner=[decl("FunctionDecl", "helps")]), decl("VarDecl", "shared", storageClass="static"), decl("VarDecl", "odd", storageClass="register"),
+            ],
+        ),
+    )
+    ids, edges, _ = graph_of(spark, {"/repo/a.cpp": tree})
+    assert {"Function:_Impl::go:()", "Function:Declared::late:()", "Function:Shop::helps:()", "Global:Shop::shared"} <= set(ids) and "Class:_Impl" not in ids
+    assert [e for e in edges if e[2] == "HAS_METHOD"] == [] and not [i for i in ids if "odd" in i]
+    assert [e for e in edges if e[2] in ("INHERITS", "DEPENDS_ON")] == [("Class:Shop", "Class:Item", "DEPENDS_ON"), ("Class:Shop", "Class:Plain", "INHERITS")]
+
+
+def test_what_a_function_holds_is_local(spark):
+    call = lambda target: decl("CallExpr", decl_id="0xc" + target, inner=[decl("ImplicitCastExpr", inner=[decl("DeclRefExpr", referencedDecl={"id": target, "kind": "FunctionDecl"})])])
+    local = decl("CXXRecordDecl", "Local", completeDefinition=True, inner=[decl("CXXMethodDecl", "run", inner=[call("0xhelper")])])
+    tree = unit(
+        decl("FunctionDecl", "helper"), decl("FunctionDecl", "other"),
+        decl("FunctionDecl", "outer", inner=[decl("CompoundStmt", inner=[decl("DeclStmt", inner=[local]), decl("VarDecl", "x"), call("0xother")]), *params("int")]),
+    )
+    ids, edges, _ = graph_of(spark, {"/repo/a.cpp": tree})
+    # The parameters stand behind the body here; the signature has them all the same.
+    assert ids == ["File:a.cpp", "Function:helper:()", "Function:other:()", "Function:outer:(int)"]
+    assert [e for e in edges if e[2] == "CALLS"] == [("Function:outer:(int)", "Function:other:()", "CALLS")]
+
+
+def test_broken_dumps_keep_what_stands_before(spark):
+    whole = json.dumps(unit(decl("VarDecl", "a"), decl("VarDecl", "b", note='a "quoted" } ] { [ inner \\')))
+    dumps = {"/repo/whole.cpp": whole, "/repo/cut.cpp": whole[: whole.index('"0xb"')], "/repo/no.cpp": "not json", "/repo/empty.cpp": "", "/repo/more.cpp": whole + "x", "/repo/blank.cpp": f"\n {whole} \n"}
+    ids, _, _ = graph_of(spark, dumps)
+    assert {"Global:a", "Global:b", "File:cut.cpp", "File:no.cpp", "File:empty.cpp"} <= set(ids)
+    frame = spark.createDataFrame([*dumps.items(), ("/repo/null.cpp", None), ("/repo/none.cpp", "{}")], "path string, text string")
+    assert [r[0] for r in rows(clang_ast.unread_trees(frame))] == ["/repo/cut.cpp", "/repo/empty.cpp", "/repo/more.cpp", "/repo/no.cpp", "/repo/null.cpp"]
+
+
+def test_a_tree_deeper_than_python_s_stack(spark):
+    body = '{"kind":"CallExpr","inner":[{"kind":"DeclRefExpr","referencedDecl":{"id":"0xa"}}]}'
+    for _ in range(20_000):
+        body = f'{{"kind":"CompoundStmt","inner":[{body}]}}' if len(body) < 300_000 else body
+    deep = '{"kind":"CompoundStmt","inner":[' * 20_000 + body + "]}" * 20_000
+    text = f'{{"kind":"TranslationUnitDecl","inner":[{{"kind":"FunctionDecl","id":"0xa","name":"a"}},{{"kind":"FunctionDecl","id":"0xb","name":"b","inner":[{deep}]}}]}}'
+    _, edges, _ = graph_of(spark, {"/repo/a.cpp": text})
+    assert ("Function:b:()", "Function:a:()", "CALLS") in edges
+
+
+MEMORY = """
+import json, resource, sys
+from graphloom.sources.clang_ast import _Walk
+node = json.dumps({"kind": "VarDecl", "id": "0x%d", "name": "v%d", "loc": {"line": 1}, "note": "x" * 700})
+text = '{"kind":"TranslationUnitDecl","inner":[{"kind":"NamespaceDecl","name":"n","inner":[' + ",".join(node.replace("%d", str(i)) for i in range(180_000)) + "]}]}"
+assert len(text) > 140_000_000
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert sum(1 for _ in _Walk("/repo/a.cpp", "/repo").facts(text)) == 180_000
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+
+
+def test_a_large_dump_takes_no_memory_beyond_its_text():
+    out = subprocess.run([sys.executable, "-c", MEMORY], capture_output=True, text=True, timeout=300, cwd=Path(__file__).parent.parent)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) < 50_000
+
+
+def test_a_dump_beyond_the_limit_of_a_json_value(spark):
     long = json.dumps(unit(*(decl("VarDecl", f"v{i}", f"0x{i}", note="x" * 1_000_000) for i in range(140))))
     assert len(long) > 134_217_728
     ids, _, _ = graph_of(spark, {"/repo/a.cpp": long})
