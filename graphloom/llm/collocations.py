@@ -21,140 +21,29 @@ as they occur. A corpus without a candidate, or without rows, gives no rows. Ext
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm.bytewords import UNKNOWN, Words
 from graphloom.llm.support import bounded_batches, written
 from graphloom.session import broadcast_if_small
 
 LEAST, LONGEST, SHOWN = 100, 5, 2000
 #: A candidate goes if a longer one that holds it has this percentage of its occurrences.
 COVERED = 100
-UNKNOWN = "und"
 SEPARATORS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
-#: N-grams of a task that are summed at once, and bytes whose prefix polynomial is held at once.
-SUMMED, SPAN_BYTES = 4_000_000, 1 << 20
+#: N-grams of a task that are summed at once.
+SUMMED = 4_000_000
 #: Bits of a filter for each frequent n-gram, and in all.
 BITS_EACH, LEAST_BITS, FILTER_BITS = 16, 1 << 16, 1 << 28
 
-_BASE, _WIDE = 0x9E3779B97F4A7C15, (1 << 64) - 1
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_KIND = np.zeros(256, np.uint8)
-_KIND[list(BLANKS)], _KIND[list(SEPARATORS)] = 1, 2
-
-
-@lru_cache(1)
-def _powers(log: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers 0 to 2**log, and those of its inverse modulo 2**64."""
-
-    def table(base: int) -> np.ndarray:
-        steps = np.full((1 << log) + 1, base, np.uint64)
-        steps[0] = 1
-        return np.multiply.accumulate(steps)
-
-    return table(_BASE), table(pow(_BASE, -1, 1 << 64))
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def fingerprints(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Of each span of ``values``: sum of value * base**place, places counted from the span's start."""
-    n = len(values)
-    power, inverse = _powers(max(20, (n + 1).bit_length()))
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values.astype(np.uint64) * power[:n], out=sums[1:])
-    return (sums[ends] - sums[starts]) * inverse[starts]
-
-
-class Words:
-    """The words of a batch of texts: bytes, row, fingerprint, piece and language of each.
-
-    ``kinds`` says of every byte whether it belongs to a word (0), ends one (1), or ends a piece as well (2).
-    """
-
-    def __init__(self, texts: pa.Array, langs: pa.Array, kinds: np.ndarray = _KIND):
-        texts = texts.fill_null("").cast(pa.large_string())
-        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        data = texts.buffers()[2]
-        raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
-        offsets = offsets - offsets[0]
-        self.data = _LOWER[raw]
-        kind = kinds[raw]
-        first = np.zeros(len(raw) + 1, bool)
-        first[offsets[:-1]] = True
-        word = kind == 0
-        gap = first[:-1].copy()
-        gap[1:] |= ~word[:-1]
-        self.start = np.flatnonzero(word & gap)
-        stop = first[1:].copy()
-        stop[:-1] |= ~word[1:]
-        if len(stop):
-            stop[-1] = True
-        self.end = np.flatnonzero(word & stop) + 1
-        self.piece = np.cumsum(first[:-1] | (kind == 2))[self.start]
-        codes = langs.fill_null(UNKNOWN).dictionary_encode()
-        self.langs = codes.dictionary.to_pylist()
-        self.row = np.searchsorted(offsets, self.start, "right") - 1
-        self.lang = codes.indices.to_numpy(zero_copy_only=False)[self.row] if len(self) else np.zeros(0, np.int32)
-        self.seed = np.array([xxhash.xxh64_intdigest(x) for x in self.langs], np.uint64)
-        self.value = self._values()
-
-    def __len__(self) -> int:
-        return len(self.start)
-
-    def _values(self) -> np.ndarray:
-        """Fingerprints of the words, over spans of a bounded number of bytes."""
-        parts, at = [np.zeros(0, np.uint64)], 0
-        while at < len(self):
-            low = self.start[at]
-            to = max(at + 1, int(np.searchsorted(self.end, low + SPAN_BYTES, "right")))
-            found = fingerprints(self.data[low : self.end[to - 1]].astype(np.uint64) + np.uint64(1), self.start[at:to] - low, self.end[at:to] - low)
-            parts.append(found)
-            at = to
-        return mixed(np.concatenate(parts) + (self.end - self.start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-
-    def grams(self, k: int) -> np.ndarray:
-        """First words of all n-grams of ``k`` words within a piece."""
-        last = len(self) - k + 1
-        return np.flatnonzero(self.piece[:last] == self.piece[k - 1 :]) if last > 0 else np.zeros(0, np.int64)
-
-    def prints(self, at: np.ndarray, k: int) -> np.ndarray:
-        """Fingerprints of the n-grams of ``k`` words that begin at ``at``, in their language."""
-        if not len(at):
-            return np.zeros(0, np.uint64)
-        return mixed(fingerprints(self.value, at, at + k) + self.seed[self.lang[at]] + np.uint64(k * 0x165667B19E3779F9 & _WIDE))
-
-    def exact(self) -> np.ndarray:
-        """A number for each word, equal where the bytes are equal: by fingerprint, and compared with the bytes it points to."""
-        _, first, group = np.unique(self.value, return_index=True, return_inverse=True)
-        model, size = first[group], self.end - self.start
-        same = bool((size == size[model]).all())
-        at = 0
-        while same and at < len(self):
-            to = max(at + 1, int(np.searchsorted(self.end, self.start[at] + SPAN_BYTES, "right")))
-            lengths = size[at:to]
-            place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            same = bool((self.data[np.repeat(self.start[at:to], lengths) + place] == self.data[np.repeat(self.start[model[at:to]], lengths) + place]).all())
-            at = to
-        if same:
-            return group
-        known: dict[bytes, int] = {}
-        return np.array([known.setdefault(self.data[a:b].tobytes(), len(known)) for a, b in zip(self.start, self.end)])
-
-    def phrase(self, at: int, k: int) -> str:
-        return b" ".join(self.data[a:b].tobytes() for a, b in zip(self.start[at : at + k], self.end[at : at + k])).decode()
+KINDS = np.zeros(256, np.uint8)
+KINDS[list(BLANKS)], KINDS[list(SEPARATORS)] = 1, 2
 
 
 class Filter:
@@ -191,7 +80,7 @@ def counted_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = Words(batch.column(0), batch.column(1))
+            words = Words(batch.column(0), KINDS, batch.column(1))
             prints, first, n = np.unique(words.prints(words.grams(1), 1), return_index=True, return_counts=True)
             names = pa.array(words.langs, pa.string()).take(pa.array(words.lang[first]))
             yield pa.RecordBatch.from_arrays([names, pa.array(prints.view(np.int64)), pa.array(n, pa.int64())], ["lang", "fp", "n"])
@@ -210,7 +99,7 @@ def counted_grams(docs: DataFrame, k: int, shorter: Broadcast, text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes, parts, held = shorter.value.has, [], 0
         for batch in batches:
-            words = Words(batch.column(0), batch.column(1))
+            words = Words(batch.column(0), KINDS, batch.column(1))
             at = words.grams(k)
             at = at[passes(words.prints(at, k - 1))]
             at = at[passes(words.prints(at + 1, k - 1))]
@@ -228,26 +117,16 @@ def counted_grams(docs: DataFrame, k: int, shorter: Broadcast, text: str = "text
 def spelled(docs: DataFrame, filters: Broadcast, text: str = "text", lang: str = "lang") -> DataFrame:
     """``lang, words, phrase, f`` of all phrases that pass the filters (one for each length), counted by their text."""
 
-    def groups(words: Words, exact: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """First places and counts of the different phrases at ``at``."""
-        _, first, group, n = np.unique(words.prints(at, k), return_index=True, return_inverse=True, return_counts=True)
-        pointer = at[first]
-        if all((exact[at + j] == exact[pointer[group] + j]).all() for j in range(k)) and (words.lang[at] == words.lang[pointer[group]]).all():
-            return pointer, n
-        _, first, n = np.unique(np.stack([words.lang[at], *(exact[at + j] for j in range(k))], axis=1), axis=0, return_index=True, return_counts=True)
-        return at[first], n
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = Words(batch.column(0), batch.column(1))
+            words = Words(batch.column(0), KINDS, batch.column(1))
             exact = words.exact()
             for k, found in enumerate(filters.value, 1):
                 at = words.grams(k)
                 at = at[found.has(words.prints(at, k))]
-                pointer, n = groups(words, exact, at, k)
+                pointer, n = words.distinct(at, k, exact)
                 names = pa.array(words.langs, pa.string()).take(pa.array(words.lang[pointer]))
-                phrases = pa.array([words.phrase(i, k) for i in pointer.tolist()], pa.string())
-                yield pa.RecordBatch.from_arrays([names, pa.array(np.full(len(n), k, np.int32)), phrases, pa.array(n, pa.int64())], ["lang", "words", "phrase", "n"])
+                yield pa.RecordBatch.from_arrays([names, pa.array(np.full(len(n), k, np.int32)), words.phrases(pointer, k), pa.array(n, pa.int64())], ["lang", "words", "phrase", "n"])
 
     rows = _texts(docs, text, lang).mapInArrow(run, "lang string, words int, phrase string, n long")
     return rows.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f"))

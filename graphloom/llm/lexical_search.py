@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type as _arrow
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from graphloom.llm.collocations import Words
+from graphloom.llm.bytewords import Words, spread
 from graphloom.llm.support import bounded_batches, written
 
 TOP = 20
@@ -64,8 +64,8 @@ def length_norm(n: int, documents: int, terms: int) -> int:
 
 
 def term_counts(text: str | None) -> Counter:
-    words = Words(pa.array([text], pa.string()), pa.nulls(1, pa.string()), TERM_BYTES)
-    return Counter(words.phrase(i, 1) for i in range(len(words)))
+    words = Words(pa.array([text], pa.string()), TERM_BYTES)
+    return Counter(words.phrases(np.arange(len(words)), 1).to_pylist())
 
 
 @dataclass
@@ -108,7 +108,7 @@ class TermFinder:
 
     def __init__(self, terms: dict[str, int]):
         self.terms = terms
-        words = Words(pa.array(list(terms), pa.string()), pa.nulls(len(terms), pa.string()), TERM_BYTES)
+        words = Words(pa.array(list(terms), pa.string()), TERM_BYTES)
         order = np.argsort(words.value, kind="stable")
         self.value, self.number = words.value[order], order
         self.data, self.start, self.size = words.data, words.start[order], (words.end - words.start)[order]
@@ -117,15 +117,14 @@ class TermFinder:
     def find(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Places of the words that are terms, and which."""
         if not (self.unlike and len(self.value)):
-            named = np.array([self.terms.get(words.phrase(i, 1), -1) for i in range(len(words))], np.int64)
+            named = np.array([self.terms.get(w, -1) for w in words.phrases(np.arange(len(words)), 1).to_pylist()], np.int64)
             return np.flatnonzero(named >= 0), named[named >= 0]
         at = np.minimum(np.searchsorted(self.value, words.value), len(self.value) - 1)
         place = np.flatnonzero(self.value[at] == words.value)
         at, size = at[place], (words.end - words.start)[place]
         right = self.size[at] == size
         place, at, size = place[right], at[right], size[right]
-        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        same = words.data[np.repeat(words.start[place], size) + step] == self.data[np.repeat(self.start[at], size) + step]
+        same = words.data[spread(words.start[place], size)] == self.data[spread(self.start[at], size)]
         right = np.logical_and.reduceat(same, np.cumsum(size) - size) if len(size) else np.zeros(0, bool)
         return place[right], self.number[at[right]]
 
@@ -139,7 +138,7 @@ def vectors(docs: DataFrame, terms: Broadcast, text: str, key: str) -> DataFrame
         finder = TermFinder(terms.value)
         width = len(finder.terms) + 1
         for batch in batches:
-            words = Words(batch.column(1), pa.nulls(batch.num_rows, pa.string()), TERM_BYTES)
+            words = Words(batch.column(1), TERM_BYTES)
             lengths = np.bincount(words.row, minlength=batch.num_rows)
             place, number = finder.find(words)
             pairs, tf = np.unique(words.row[place] * width + number, return_counts=True)
@@ -171,11 +170,6 @@ def statistics(found: DataFrame, terms: int) -> tuple[int, int, np.ndarray]:
     return int(every[terms]), int(every[terms + 1]), every[:terms]
 
 
-def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The places ``start`` to ``start + size`` of every span, one after the other."""
-    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-
-
 class Rows:
     """Sparse rows with one entry at least: the first ``lengths[0]`` of ``columns`` and ``values`` are row 0, and so on."""
 
