@@ -67,6 +67,47 @@ def compile_commands(t: Tables) -> DataFrame:
     return out.select("file", F.array_join("arguments", " ").alias("arguments"))
 
 
+_SHEETS = {
+    "/props/brand.props": '<Project><ImportGroup><Import Project="root.props"/></ImportGroup><PropertyGroup><Extra>brand</Extra></PropertyGroup></Project>',
+    "/props/root.props": '<Project xmlns="http://schemas.microsoft.com/developer/msbuild/2003"><Import Project="BRAND.props"/>'
+    "<PropertyGroup><RootProjectDir>$(MSBuildProjectDirectory)\\..\\</RootProjectDir></PropertyGroup>"
+    "<PropertyGroup Condition=\"!Exists('$(RootProjectDir)marker.txt')\"><RootProjectDir>$(RootProjectDir)\\..\\</RootProjectDir></PropertyGroup>"
+    "<PropertyGroup Condition=\"'$(Configuration)'=='Debug'\"><RootProjectDir>/wrong</RootProjectDir></PropertyGroup>"
+    "<ItemDefinitionGroup><ClCompile><AdditionalIncludeDirectories>$(RootProjectDir)sdk;$(Extra)</AdditionalIncludeDirectories><PreprocessorDefinitions>ROOT</PreprocessorDefinitions></ClCompile></ItemDefinitionGroup></Project>",
+}
+
+
+@query(
+    "property_sheets",
+    """WITH p AS (SELECT p_partkey AS k, p_size AS z, p_size % 7 <> 0 AS there, CASE WHEN p_partkey % 2 = 0 THEN '/r/p' ELSE '/q/s/p' END || p_partkey AS folder,
+      CASE WHEN p_partkey % 2 = 0 THEN '/r/' ELSE '/q/' END AS root FROM part)
+    SELECT folder || '/p.vcxproj' AS path,
+      CASE WHEN there THEN root || 'sdk;/props/$(Extra);' || root || 'inc/' || z || ';/props/local;' || folder || '/inc;' || root || 'own' ELSE folder || '/inc;' || folder || '/$(RootProjectDir)own' END AS includes,
+      CASE WHEN there THEN 'ROOT;SIZE=' || z || ';PLAT=x64;' ELSE '' END || 'K=' || k AS defines, CASE WHEN there THEN '/bigobj ' ELSE '' END || '/w' || k AS options,
+      CASE WHEN there THEN '/props/size' || z || '.props;/props/brand.props;/props/root.props' ELSE '' END AS imported FROM p""",
+)
+def property_sheets(t: Tables) -> DataFrame:
+    """A project per part under one of two roots; it imports the sheet of its size, if there is one, which imports another, which imports a third that asks for the second again."""
+    k, z = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    project = F.concat(
+        F.lit('<Project><Import Project="$(VCTargetsPath)\\own.props"/><ImportGroup Condition="\'$(Configuration)|$(Platform)\'==\'Debug|x64\'"><Import Project="/props/brand.props"/></ImportGroup>'
+              "<ImportGroup Condition=\"'$(Configuration)|$(Platform)'=='Release|x64'\"><Import Project=\"\\props\\SIZE"), z, F.lit(".props\" Condition=\"exists('/props/size"), z,
+        F.lit(".props')\"/></ImportGroup><ItemDefinitionGroup><ClCompile><AdditionalIncludeDirectories>inc;$(RootProjectDir)own</AdditionalIncludeDirectories><PreprocessorDefinitions>K="), k,
+        F.lit("</PreprocessorDefinitions><AdditionalOptions>/w"), k, F.lit("</AdditionalOptions></ClCompile></ItemDefinitionGroup></Project>"),
+    )
+    sheet = F.concat(
+        F.lit('<Project><ImportGroup><Import Project="brand.props"/></ImportGroup><PropertyGroup><Level>'), z,
+        F.lit("</Level></PropertyGroup><ItemDefinitionGroup><ClCompile><AdditionalIncludeDirectories>$(RootProjectDir)inc\\$(Level);local;%(AdditionalIncludeDirectories)</AdditionalIncludeDirectories>"
+              "<PreprocessorDefinitions>SIZE=$(Level);PLAT=$(PlatformShortName)</PreprocessorDefinitions><AdditionalOptions>/bigobj</AdditionalOptions></ClCompile></ItemDefinitionGroup></Project>"),
+    )
+    folder = F.concat(F.when(F.col("p_partkey") % 2 == 0, "/r/p").otherwise("/q/s/p"), k)
+    sized = t.part.where("p_size % 7 <> 0").select(F.concat(F.lit("/props/size"), z, F.lit(".props")).alias("path"), sheet.alias("text")).distinct()
+    sheets = sized.unionByName(t.spark.createDataFrame(list(_SHEETS.items()), "path string, text string"))
+    listed = t.spark.createDataFrame([("/r/marker.txt",)], "path string")
+    out = build.projects(t.part.select(F.concat(folder, F.lit("/p.vcxproj")).alias("path"), project.alias("text")), "Release|x64", sheets, listed)
+    return out.select("path", *(F.array_join(c, ";").alias(c) for c in ("includes", "defines", "imported")), "options")
+
+
 @query(
     "include_log",
     "SELECT 'File:src/p' || p_partkey || '.cpp' AS src, 'File:inc/b' || p_size || '.h' AS dst, 'INCLUDES' AS type FROM part",
