@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.model import PropertyGraph, conform_nodes
@@ -92,18 +92,16 @@ def graph_state(graph: PropertyGraph) -> DataFrame:
     return stored.agg(F.coalesce(F.max("commit"), F.lit("")).alias("commit"))
 
 
+def state_row(spark: SparkSession, commit: str) -> DataFrame:
+    """The single state node."""
+    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    row = spark.range(1).select(
+        F.lit("graph-state").alias("id"), F.lit("GraphState").alias("label"),
+        F.create_map(F.lit("commit"), F.lit(commit), F.lit("updatedAt"), stamp).alias("extra"),
+    )
+    return conform_nodes(row)
+
+
 def update_graph_state(graph: PropertyGraph, commit: str) -> PropertyGraph:
     """Replace the single state node."""
-    row = graph.spark.range(1).select(
-        F.lit("graph-state").alias("id"),
-        F.lit("GraphState").alias("label"),
-        F.create_map(
-            F.lit("commit"),
-            F.lit(commit),
-            F.lit("updatedAt"),
-            F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
-        ).alias("extra"),
-    )
-    return graph.with_nodes(
-        graph.nodes.where("label <> 'GraphState' or label is null").unionByName(conform_nodes(row))
-    )
+    return graph.with_nodes(graph.nodes.where("label <> 'GraphState' or label is null").unionByName(state_row(graph.spark, commit)))

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from graphloom.api import build_all
 from graphloom.model import PropertyGraph, conform_nodes
 from graphloom.operators.incremental import affected_files, delete_affected
-from graphloom.operators.structure import update_graph_state
+from graphloom.operators.structure import state_row, update_graph_state
 from graphloom.operators.upsert import merge_nodes, resolve_edges, upsert_edges, upsert_nodes
-from graphloom.session import cut
+from graphloom.session import broadcast_if_small, cut
 from graphloom.sources.build import include_edges, project_graph
 from graphloom.sources.clang_ast import extract_trees
 from graphloom.sources.files import list_files, read_files
+from graphloom.sources.graph_store import GraphStore
 from graphloom.sources.languages import extract
 
 
@@ -69,6 +70,16 @@ def clang_incremental(graph: PropertyGraph, dumps: DataFrame, changed_headers: D
     return update_graph_state(kept, commit)
 
 
+def store_incremental(store: GraphStore, dumps: DataFrame, changed_headers: DataFrame, changed_sources: DataFrame, root: str, commit: str, include_logs: DataFrame | None = None) -> GraphStore:
+    """``clang_incremental`` on a stored graph, as one change of it: only buckets that hold affected nodes or edges are written."""
+    graph = store.graph()
+    affected = affected_files(graph, changed_headers, changed_sources)
+    gone = store.nodes.select("id", "file").join(broadcast_if_small(cut(affected)), "file", "left_semi").select("id")
+    fresh = [p.settle() for p in _clang_parts(dumps, root, include_logs)]
+    nodes = reduce(DataFrame.unionByName, [conform_nodes(p.nodes) for p in fresh]).unionByName(state_row(store.spark, commit))
+    return store.apply(_numbered(nodes), reduce(DataFrame.unionByName, [p.edges.select("src", "dst", "type") for p in fresh]), gone)
+
+
 def clang_build_all(dumps: DataFrame, root: str, sources: DataFrame, touches: DataFrame, extractor, embedder, summarizer, commit: str = "", **more) -> PropertyGraph:
     """Load the dumps, then the whole chain of enrichment."""
     return build_all(clang_ingest(dumps, root, **more).settle(), sources, touches, extractor, embedder, summarizer, commit)

@@ -1,8 +1,8 @@
-"""Incremental load of a folder of JSON line files.
+"""Incremental load of a folder of JSON line files into a stored graph.
 
-Each trigger writes the records it read to its own batch folder, so a batch that is
-replayed after a failure overwrites itself. The graph is the merge of all batches, later
-batches winning; nothing is updated in place.
+Each trigger is one change of the store: its records are merged into the buckets they touch, later batches
+winning. The number of the batch is kept with the state, so that a batch that is replayed after a failure
+changes nothing if it was applied, and all of it if it was not.
 """
 
 from __future__ import annotations
@@ -11,30 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.model import PropertyGraph
-from graphloom.operators.upsert import merge_nodes, resolve_edges
 from graphloom.session import cut
 from graphloom.sources import jsonl
+from graphloom.sources.graph_store import BUCKETS, GraphStore
 
 
-def _store(store: str):
+def _store(store: str, buckets: int):
     def write(batch: DataFrame, epoch: int) -> None:
         records = cut(jsonl.parse_lines(jsonl.in_file_order(batch)))
-        # Batches come before files, files by their time: no number of partitions or records can mix them.
-        nodes = jsonl.node_records(records).withColumn("seq", F.struct(F.lit(epoch).cast("bigint").alias("batch"), "seq"))
-        nodes.write.mode("overwrite").parquet(f"{store}/nodes/batch={epoch}")
-        jsonl.edge_records(records).write.mode("overwrite").parquet(f"{store}/edges/batch={epoch}")
+        GraphStore(batch.sparkSession, store, buckets).apply(jsonl.node_records(records), jsonl.edge_records(records), epoch=epoch)
 
     return write
 
 
-def ingest(spark: SparkSession, folder: str, store: str, progress: str) -> None:
-    """Load the files of ``folder`` not yet loaded, then stop. ``progress`` keeps what is done."""
+def ingest(spark: SparkSession, folder: str, store: str, progress: str, buckets: int = BUCKETS) -> None:
+    """Load the files of ``folder`` not yet loaded, then stop. ``progress`` keeps what is done; ``buckets`` counts for a new store."""
     lines = jsonl.located(spark.readStream.format("text").load(folder), F.col("_metadata.file_modification_time").alias("time"))
-    query = lines.writeStream.foreachBatch(_store(store)).option("checkpointLocation", progress).trigger(availableNow=True).start()
+    query = lines.writeStream.foreachBatch(_store(store, buckets)).option("checkpointLocation", progress).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
 def current_graph(spark: SparkSession, store: str) -> PropertyGraph:
     """The graph as of the last finished batch."""
-    nodes = cut(merge_nodes(spark.read.parquet(f"{store}/nodes").drop("batch")))
-    return PropertyGraph(nodes, resolve_edges(nodes, spark.read.parquet(f"{store}/edges").drop("batch")))
+    return GraphStore(spark, store).graph()
