@@ -7,7 +7,7 @@ Those that remain are ordered rarest n-gram first; classes that share an n-gram
 prefixes are candidate pairs, whose overlaps are counted in each fragment and summed.
 
 Groups of near copies are not expanded to all pairs: each candidate is first compared with one
-leader of every list it stands in, and only pairs between different components of these links are then compared. No pair
+leader of every list it stands in, and only pairs between different components of these links are then formed. No pair
 whose link could join two components is left out, so that components are those of all links.
 
 Defined results: a null or empty text, or one without a word, has 0 n-grams and is its own component. A
@@ -171,6 +171,18 @@ def overlaps(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
     return part.select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("n")).groupBy("a", "b").agg(F.sum("n").alias("overlap"))
 
 
+def meeting(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``labelled(token, component, ...)`` that must meet by token so that all pairs of different components do.
+
+    A token of one component brings nothing together. Of a token's largest component, which may be a group of thousands of
+    near copies, rows stand on one side only: they meet those of other components, not one another.
+    """
+    sizes = labelled.groupBy("token", "component").count()
+    top = sizes.groupBy("token").agg(F.max(F.struct("count", "component")).alias("top"), F.count(F.lit(1)).alias("components")).where("components > 1")
+    many = labelled.join(top.select("token", F.col("top.component").alias("largest")), "token")
+    return many.where(F.col("component") != F.col("largest")).drop("largest"), many.drop("largest")
+
+
 def links(sets: DataFrame, share: tuple[int, int] = SHARE, fragments: int = FRAGMENTS) -> DataFrame:
     """``a, b`` of ``c, tokens``: links that join the classes just as all links would."""
     num, den = share
@@ -209,9 +221,10 @@ def links(sets: DataFrame, share: tuple[int, int] = SHARE, fragments: int = FRAG
     near = star.where("link").select("a", "b")
     label = components(near)
     labelled = prefix.join(label.withColumnRenamed("id", "c"), "c", "left").select("token", "c", "n", "rest", F.coalesce("component", "c").alias("component"))
-    other = labelled.select("token", *(F.col(x).alias(f"{x}_") for x in ("c", "n", "rest", "component")))
-    across = (F.col("c") < F.col("c_")) & (F.col("component") != F.col("component_")) & (F.least("rest", "rest_") * (num + den) >= need(F.col("n"), F.col("n_")))
-    rest = labelled.join(other, (labelled["token"] == other["token"]) & across).select(F.col("c").alias("a"), F.col("c_").alias("b")).distinct()
+    one, other = meeting(written(labelled, "labelled"))
+    other = other.select("token", *(F.col(x).alias(f"{x}_") for x in ("c", "n", "rest", "component")))
+    across = (F.col("component") != F.col("component_")) & (F.least("rest", "rest_") * (num + den) >= need(F.col("n"), F.col("n_")))
+    rest = one.join(other, "token").where(across).select(F.least("c", "c_").alias("a"), F.greatest("c", "c_").alias("b")).distinct()
     more = linked(rest.join(star, ["a", "b"], "left_anti"))
     return near.union(more.where("link").select("a", "b"))
 

@@ -7,8 +7,8 @@ run over all sentences of a batch at once. A document's score comes from the lar
 summed marginals by logistic regression; runs of tokens with marginals of a half and more are its spans.
 
 Labels are given for documents. Labelled tokens come from them: in a toxic document, tokens
-with a feature that is far likelier in toxic than in other documents, counted over all labelled
-ones, are toxic; toxic documents without such a token do not train the field.
+with a feature that is far likelier in toxic than in other documents and stands in many contexts, counted over all
+labelled ones, are toxic, however rare; toxic documents without such a token do not train the field.
 
 Defined results: a null or empty text, or one without a word, is scored as a text without
 evidence, with no spans. Texts of any length are read in whole. Repeated rows score alike. Without labelled rows of
@@ -25,19 +25,19 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.support import bounded_sample, scored
 
 THRESHOLD = 0.3
-#: Labelled documents of each class to learn from, at most.
-SAMPLE_DOCS = 1000
+#: Labelled documents of each class to learn from, and characters of them, at most.
+SAMPLE_DOCS, SAMPLE_CHARS = 1000, 5_000_000
 #: Weights smaller than this are dropped.
 LEAST_WEIGHT = 0.02
 BEGINNINGS = (3, 4, 5, 6)
-#: A feature marks toxic tokens if it is in this many toxic documents, this share of them, and this much likelier (log) in them.
-LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 3, 0.01, 3.0
+#: A feature marks toxic tokens if it is in this many toxic documents, between this many pairs of neighbours, and this much likelier (log) in them.
+LEAST_DOCS, LEAST_CONTEXTS, LEAST_ODDS = 3, 6, 3.0
 ROUNDS, RATE, DECAY = 40, 0.5, 1e-4
 #: Words a task remembers the weight of.
 REMEMBERED = 500_000
@@ -154,25 +154,8 @@ class ToxicityModel:
         return np.fromiter((self.bias + sum(get(x, 0.0) for x in features(w)) for w in words), float, len(words))
 
 
-def _first_copies(t: Tokens, codes: np.ndarray) -> np.ndarray:
-    """Whether a text is the first with its smallest hash of four words in a row; near copies mostly share theirs."""
-    h = codes[t.ids].astype(np.uint64)
-    run = np.zeros(len(h), np.uint64)
-    for i in range(4):  # runs at the end of a text go on into the next; copies of a text differ there only
-        run = (run ^ (run >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + np.roll(h, -i)
-    run = (run ^ (run >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
-    least = np.arange(len(t.texts)).astype(np.uint64)
-    full = np.flatnonzero(t.texts > 0)
-    if len(full):
-        least[full] = np.minimum.reduceat(run, (np.cumsum(t.texts) - t.texts)[full])
-    first = np.zeros(len(t.texts), bool)
-    first[np.unique(least, return_index=True)[1]] = True
-    return first
-
-
-def _candidates(t: Tokens, codes: np.ndarray, n: np.ndarray, flat: np.ndarray, size: int, toxic: np.ndarray) -> np.ndarray:
-    """Features that may mark toxic tokens, by the sample; words have ``n`` features each, laid out in ``flat``."""
-    first = _first_copies(t, codes)
+def _candidates(t: Tokens, n: np.ndarray, flat: np.ndarray, size: int, toxic: np.ndarray) -> np.ndarray:
+    """Features that more toxic than other documents of the sample have; words have ``n`` features each, laid out in ``flat``."""
     doc = np.repeat(np.arange(len(t.texts)), t.texts)
     pairs = np.unique(doc * len(n) + t.ids)
     doc, word = pairs // max(1, len(n)), pairs % max(1, len(n))
@@ -180,10 +163,43 @@ def _candidates(t: Tokens, codes: np.ndarray, n: np.ndarray, flat: np.ndarray, s
     at = np.repeat(start[word] - (np.cumsum(n[word]) - n[word]), n[word]) + np.arange(n[word].sum())
     seen = np.unique(np.repeat(doc, n[word]) * size + flat[at])
     docs, feature = seen // size, seen % size
-    in_toxic = np.bincount(feature[(toxic & first)[docs]], minlength=size)
-    in_other = np.bincount(feature[~toxic[docs]], minlength=size)
-    odds = np.log((in_toxic + 0.5) / (toxic.sum() + 1)) - np.log((in_other + 0.5) / ((~toxic).sum() + 1))
-    return (in_toxic >= max(LEAST_DOCS, LEAST_SHARE * (toxic & first).sum())) & (odds >= LEAST_ODDS - 1)
+    return np.bincount(feature[toxic[docs]], minlength=size) > np.bincount(feature[~toxic[docs]], minlength=size)
+
+
+def _contexts(rows: DataFrame, wanted: np.ndarray, least: int) -> DataFrame:
+    """``i`` of the wanted features whose words stand between ``least`` different pairs of neighbours, over all toxic rows.
+
+    Copies of a text have the same neighbours, also copies with a few words changed.
+    """
+    place = {int(x): i for i, x in enumerate(wanted)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, ...]] = {}
+        met: set[tuple[int, int]] = set()
+
+        def batch_of(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
+            i, c = zip(*pairs) if pairs else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(c, pa.int64())], ["i", "c"])
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                found = ["", *(_TOKEN.findall(t.lower()) if t else ()), ""]
+                for left, w, right in zip(found, found[1:], found[2:]):
+                    own = known.get(w)
+                    if own is None:
+                        own = known[w] = tuple(place[x] for x in features(w) if x in place)
+                    if own:
+                        c = zlib.crc32(f"{left} {right}".encode("utf-8", "replace"))
+                        met.update((i, c) for i in own)
+                if len(known) > REMEMBERED:
+                    known = {}
+                if len(met) > REMEMBERED:
+                    yield batch_of(met)
+                    met = set()
+        yield batch_of(met)
+
+    pairs = rows.where("y = 1").select("t").mapInArrow(run, "i long, c long").distinct()
+    return pairs.groupBy("i").count().where(F.col("count") >= least).select("i")
 
 
 def _document_counts(rows: DataFrame, wanted: np.ndarray) -> np.ndarray:
@@ -216,8 +232,8 @@ def _document_counts(rows: DataFrame, wanted: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> ToxicityModel:
-    """Learns from at most ``sample_docs`` documents of each class, brought to the driver, and from counts over all labelled rows.
+def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> ToxicityModel:
+    """Learns from at most ``sample_docs`` documents of each class, brought to the driver until they have ``sample_chars`` characters, and from counts over all labelled rows.
 
     Rows whose label is not 0 or 1 are left out.
     """
@@ -225,7 +241,10 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return ToxicityModel(float(next(iter(sizes), 0)), {}, 0.0, (0.0, 0.0, 0.0), np.zeros(0))
-    sample = bounded_sample(rows, "y", "k", sample_docs, 23).toPandas().sort_values(["k", "y"])
+    chosen = bounded_sample(rows, "y", "k", sample_docs, 23)
+    before = Window.partitionBy("y").orderBy("k", "t").rowsBetween(Window.unboundedPreceding, -1)
+    read = F.coalesce(F.sum(F.length(F.coalesce("t", F.lit("")))).over(before), F.lit(0))
+    sample = chosen.withColumn("read", read).where(F.col("read") < sample_chars).drop("read").toPandas().sort_values(["k", "y"])
     toxic = sample["y"].to_numpy() == 1
     number = numbering()
     t = tokens(sample["t"].tolist(), number)
@@ -233,16 +252,16 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str
     words = [w for w in number if w not in _BREAKS]
     t.ids -= len(_BREAKS)
     own = [features(w) for w in words]
-    codes = np.fromiter((x[0] for x in own), np.int64, len(own))  # of the words themselves
     n = np.fromiter(map(len, own), np.int64, len(own))
     of_word = np.repeat(np.arange(len(own)), n)
     known, feature = np.unique(np.fromiter((x for fs in own for x in fs), np.int64), return_inverse=True)
     del own, words, number
-    wanted = np.flatnonzero(_candidates(t, codes, n, feature, max(1, len(known)), toxic))
+    wanted = np.flatnonzero(_candidates(t, n, feature, max(1, len(known)), toxic))
     in_other, in_toxic = _document_counts(rows, known[wanted])
     odds = np.log((in_toxic + 0.5) / (sizes[1] + 1)) - np.log((in_other + 0.5) / (sizes[0] + 1))
+    wanted = wanted[(odds >= LEAST_ODDS) & (in_toxic >= LEAST_DOCS)]
     marks = np.zeros(len(known), bool)
-    marks[wanted[odds >= LEAST_ODDS]] = True
+    marks[wanted[_contexts(rows, known[wanted], LEAST_CONTEXTS).toPandas()["i"].to_numpy(np.int64)]] = True
     marked = np.bincount(of_word, weights=marks[feature], minlength=len(n)) > 0
     doc = np.repeat(np.arange(len(toxic)), t.texts)
     y = (marked[t.ids] & toxic[doc]).astype(float)
