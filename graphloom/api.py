@@ -1,7 +1,8 @@
 """Entry points: one function per report and per pipeline step.
 
 Extractors, embedders and summarisers take columns and return a column, so a built-in
-expression, a pandas UDF and a service client behind one fit alike.
+expression, a pandas UDF and a service client behind one fit alike. Given the folder of a log they
+are Python functions, called row by row in batches that are kept, so that a run can be resumed.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.errors import ParseException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import DEFAULT_LINES, node_to_text, pattern_in_scope, slice_lines
@@ -18,8 +19,10 @@ from graphloom.model import PropertyGraph
 from graphloom.operators import backlog, domains, history, neighborhood, paths, pinch, search, similarity, structure
 from graphloom.operators import volatility, whatif
 from graphloom.operators.lookup import resolve_one
+from graphloom.operators.resumable import answer_rows
 from graphloom.operators.testlinks import link_tests
 
+
 def run_sql(graph: PropertyGraph, statement: str) -> DataFrame:
     """A read-only SQL query over ``nodes``, with nulls for embeddings, and ``edges``.
 
@@ -123,40 +126,67 @@ def enrich_contamination(graph: PropertyGraph) -> PropertyGraph:
     return volatility.with_risk(volatility.propagate_volatility(graph))
 
 
-def extract_features(graph: PropertyGraph, sources: DataFrame, extractor) -> PropertyGraph:
+DESCRIBED = "features array<string>, is_volatile boolean"
+EMBEDDED = "embedding array<float>"
+SUMMARIZED = "name string, description string"
+
+
+def _answered(rows: DataFrame, arguments: dict[str, Column], answer: str, callable_, log: str | None, how: dict) -> DataFrame:
+    """``id`` and the fields of ``answer``: from a column, or from a Python callable through a log that can be resumed."""
+    asked = rows.select("id", *(c.alias(name) for name, c in arguments.items()))
+    if log is None:
+        given = callable_(*(F.col(name) for name in arguments))
+        # One field is the column itself, several are a struct.
+        one = answer.split()[0] if "," not in answer else None
+        return asked.select("id", given.alias(one)) if one else asked.select("id", given.alias("a")).select("id", "a.*")
+    names, fields = list(arguments), [f.split()[0] for f in answer.split(", ")]
+
+    def call(row: dict) -> dict:
+        found = callable_(*(row[name] for name in names))
+        found = (found,) if len(fields) == 1 else found
+        return dict(zip(fields, (list(v) if isinstance(v, (list, tuple)) or hasattr(v, "tolist") else v for v in found)))
+
+    return answer_rows(asked, call, answer, log, **how)
+
+
+def extract_features(graph: PropertyGraph, sources: DataFrame, extractor, log: str | None = None, **how) -> PropertyGraph:
     """Descriptors for functions that have none.
 
     ``extractor(code, name)`` returns a column ``struct<features array<string>, is_volatile
     boolean>``. Functions without a location become ``unknown``, unreadable files
     ``unreadable_source``, an empty answer ``no_features_detected``.
+
+    With a ``log`` folder the extractor is a Python function that returns these two values, called row by row in
+    batches that are kept (see ``resumable.answer_rows`` and its parameters): functions it fails for stay without descriptors.
     """
     todo = backlog.unextracted(graph).join(sources.select("file", "text"), "file", "left")
     start, end = F.coalesce("start_line", F.lit(0)), F.coalesce("end_line", F.lit(0))
     located = (F.coalesce("file", F.lit("")) != "") & (start != 0) & (end != 0)
-    rows = todo.select("id", "name", located.alias("located"), F.col("text").isNotNull().alias("readable"),
-                       slice_lines(F.col("text"), start, end).alias("code"))
-    answered = rows.withColumn("answer", extractor(F.col("code"), F.col("name")))
-    features = (
-        F.when(~F.col("located"), F.array(F.lit("unknown")))
-        .when(~F.col("readable"), F.array(F.lit("unreadable_source")))
-        .when(F.coalesce(F.size("answer.features"), F.lit(0)) <= 0, F.array(F.lit("no_features_detected")))
-        .otherwise(F.col("answer.features"))
+    code = slice_lines(F.col("text"), start, end)
+    rows = todo.select("id", "name", located.alias("located"), F.col("text").isNotNull().alias("readable"), code.alias("code"))
+    lost = rows.where(~(F.col("located") & F.col("readable"))).select(
+        "id", F.array(F.when(~F.col("located"), "unknown").otherwise("unreadable_source")).alias("atomic_features"), F.lit(False).alias("is_volatile")
+    )
+    answers = _answered(rows.where("located and readable"), {"code": F.col("code"), "name": F.col("name")}, DESCRIBED, extractor, log, how)
+    found = answers.select(
+        "id", F.when(F.coalesce(F.size("features"), F.lit(0)) <= 0, F.array(F.lit("no_features_detected"))).otherwise(F.col("features")).alias("atomic_features"),
+        F.coalesce("is_volatile", F.lit(False)).alias("is_volatile"),
     )
-    volatile = F.col("located") & F.col("readable") & F.coalesce("answer.is_volatile", F.lit(False))
-    return backlog.update_atomic_features(graph, answered.select("id", features.alias("atomic_features"), volatile.alias("is_volatile")))
+    return backlog.update_atomic_features(graph, lost.unionByName(found))
 
 
-def embed_nodes(graph: PropertyGraph, embedder) -> PropertyGraph:
-    """Vectors for functions and features that have none; ``embedder(text)`` is a column."""
+def embed_nodes(graph: PropertyGraph, embedder, log: str | None = None, **how) -> PropertyGraph:
+    """Vectors for functions and features that have none; ``embedder(text)`` is a column, or with a ``log`` a Python function."""
     todo = backlog.unembedded(graph)
     text = node_to_text(F.col("file"), F.col("name"), F.col("atomic_features"), F.col("id"))
-    return backlog.update_embeddings(graph, todo.select("id", embedder(text).cast("array<float>").alias("embedding")))
+    answers = _answered(todo, {"text": text}, EMBEDDED, embedder, log, how)
+    return backlog.update_embeddings(graph, answers.select("id", F.col("embedding").cast("array<float>").alias("embedding")))
 
 
-def summarize_features(graph: PropertyGraph, sources: DataFrame, summarizer) -> PropertyGraph:
+def summarize_features(graph: PropertyGraph, sources: DataFrame, summarizer, log: str | None = None, **how) -> PropertyGraph:
     """Names and descriptions for unnamed features and domains.
 
-    ``summarizer(snippets, label)`` returns ``struct<name string, description string>``.
+    ``summarizer(snippets, label)`` returns ``struct<name string, description string>``, or with a ``log`` is a Python function that returns the two.
     """
     under = structure.functions_under(graph)
     functions = graph.labelled("Function").select(
@@ -168,8 +198,9 @@ def summarize_features(graph: PropertyGraph, sources: DataFrame, summarizer) ->
     snippets = domains.feature_snippets(rows.select("feature_id", F.col("function_id").alias("id"), code.alias("code"), "atomic_features"))
     # At most eleven snippets of bounded length per feature.
     gathered = snippets.groupBy("feature_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "snippet"))), lambda s: s["snippet"]).alias("snippets"))
-    answered = todo.join(gathered, "feature_id").select(F.col("feature_id").alias("id"), summarizer(F.col("snippets"), F.col("label")).alias("a"))
-    return backlog.update_summaries(graph, answered.select("id", F.col("a.name").alias("name"), F.col("a.description").alias("description")))
+    asked = todo.join(gathered, "feature_id").select(F.col("feature_id").alias("id"), "snippets", "label")
+    answers = _answered(asked, {"snippets": F.col("snippets"), "label": F.col("label")}, SUMMARIZED, summarizer, log, how)
+    return backlog.update_summaries(graph, answers.select("id", "name", "description"))
 
 
 def enrich_features(graph: PropertyGraph, sources: DataFrame, extractor, embedder, summarizer, root: str = ".", seed: int = 42) -> PropertyGraph:

@@ -1,20 +1,23 @@
 """Reading a source tree, with ignore files honoured.
 
-Names are listed on the driver through the file system's own listing; contents are read
-by the tasks. ``pyarrow.fs`` is used as Spark's listing hides names that start with an
-underscore, which source trees have.
+Folders are listed and files are read by the tasks. ``pyarrow.fs`` is used as Spark's
+listing hides names that start with an underscore, which source trees have.
 """
 
 from __future__ import annotations
 
+import os
 import re
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-IGNORE_FILE = ".gitignore"
+from graphloom.session import broadcast_if_small, cut
+
+IGNORE_FILE, REPOSITORY_FOLDER = ".gitignore", ".git"
 
 
 def _pattern(rule: str) -> str:
@@ -72,47 +75,91 @@ def read_rules(text: str, folder: str) -> list[tuple[bool, str]]:
     return rules
 
 
-def ignored(path: Column, rules: list[tuple[bool, str]]) -> Column:
-    """Whether a path or a folder above it is ignored; the last matching rule decides."""
-    parts = F.split(path, "/")
-    above = F.transform(
-        F.sequence(F.lit(1), F.size(parts)),
-        lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.when(n < F.size(parts), "/").otherwise("")),
-    )
+Rule = tuple[bool, str]
 
-    def verdict(one: Column) -> Column:
-        state = F.lit(False)
-        for ignore, pattern in rules:
-            state = F.when(one.rlike(pattern), F.lit(ignore)).otherwise(state)
-        return state
 
-    return F.exists(above, verdict)
+def is_ignored(path: str, folder: bool, rules: list[tuple[bool, re.Pattern]]) -> bool:
+    """Whether the last rule that matches a path ignores it; the folders above it are not."""
+    shown = path + "/" if folder else path
+    return next((ignore for ignore, pattern in reversed(rules) if pattern.search(shown)), False)
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """``(path)`` relative to ``root``, without the repository folder and ignored files."""
+@lru_cache(4096)
+def _compiled(pattern: str) -> re.Pattern:
+    return re.compile(pattern.replace("\\z", "\\Z"))
+
+
+def opened(root: str) -> tuple[fs.FileSystem, str]:
     system, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
-    base = base.rstrip("/")
-    found = [i.path[len(base) + 1 :] for i in system.get_file_info(fs.FileSelector(base, recursive=True)) if i.type == fs.FileType.File]
-    names = [n for n in found if not n.startswith(".git/") and "/.git/" not in n]
-    rules = []
-    for name in sorted((n for n in names if n.rsplit("/", 1)[-1] == IGNORE_FILE), key=lambda n: (n.count("/"), n)):
-        with system.open_input_stream(f"{base}/{name}") as stream:
-            rules += read_rules(stream.read().decode("utf-8", "replace"), name.rpartition("/")[0])
-    paths = spark.createDataFrame([(n,) for n in names], "path string")
-    return paths.where(~ignored(F.col("path"), rules)) if rules else paths
+    return system, base.rstrip("/")
+
+
+#: What listing a folder gives: its files, its folders with the ignore file that rules them, and the rules of its own ignore file with all above.
+_LISTED = "kind string, path string, ruled string, rules array<struct<ignore:boolean,pattern:string>>"
+
+
+def _list_folders(root: str):
+    def run(batches):
+        system, base = opened(root)
+        local = isinstance(system, fs.LocalFileSystem)
+        for pdf in batches:
+            out = []
+            for folder, ruled, given in zip(pdf["folder"], pdf["ruled"], pdf["rules"]):
+                here = f"{base}/{folder}" if folder else base
+                try:
+                    entries = system.get_file_info(fs.FileSelector(here))
+                except FileNotFoundError:
+                    continue
+                rules: list[Rule] = [(r["ignore"], r["pattern"]) for r in given] if given is not None else []
+                if any(e.base_name == IGNORE_FILE and e.type == fs.FileType.File for e in entries):
+                    with system.open_input_stream(f"{here}/{IGNORE_FILE}") as stream:
+                        rules = rules + read_rules(stream.read().decode("utf-8", "replace"), folder)
+                    ruled = folder
+                    out.append(("rules", folder, None, [{"ignore": i, "pattern": p} for i, p in rules]))
+                ready = [(i, _compiled(p)) for i, p in rules]
+                for entry in entries:
+                    name = entry.base_name
+                    path = f"{folder}/{name}" if folder else name
+                    # A link to a folder is not followed.
+                    deeper = entry.type == fs.FileType.Directory and not (local and os.path.islink(entry.path))
+                    if (deeper and name == REPOSITORY_FOLDER) or (not deeper and entry.type != fs.FileType.File) or is_ignored(path, deeper, ready):
+                        continue
+                    out.append(("folder" if deeper else "file", path, ruled, None))
+            yield pd.DataFrame(out, columns=["kind", "path", "ruled", "rules"])
+
+    return run
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """``(path)`` relative to ``root``, without the repository folder and ignored files.
+
+    Folders of one depth are listed together, each by a task that reads its ignore file and passes its rules on to the
+    folders below; rules are kept once for each ignore file. An ignored folder is not entered. There are as many rounds as the tree is deep.
+    """
+    rules = spark.createDataFrame([], "ruled string, rules array<struct<ignore:boolean,pattern:string>>")
+    level = spark.createDataFrame([("", None)], "folder string, ruled string")
+    files = []
+    while True:
+        # Rows are few bytes and much work: they are dealt out evenly, whatever their size.
+        dealt = level.join(broadcast_if_small(rules), "ruled", "left").select("folder", "ruled", "rules").repartition(2 * spark.sparkContext.defaultParallelism)
+        found = cut(dealt.mapInPandas(_list_folders(root), _LISTED))
+        files.append(found.where("kind = 'file'").select("path"))
+        level = found.where("kind = 'folder'").select(F.col("path").alias("folder"), "ruled")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, files)
+        rules = rules.unionByName(found.where("kind = 'rules'").select(F.col("path").alias("ruled"), "rules"))
 
 
 def read_files(paths: DataFrame, root: str) -> DataFrame:
     """``(path, text)`` of listed files; a file that is gone is left out."""
 
     def run(batches):
-        system, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        system, base = opened(root)
         for pdf in batches:
             kept, texts = [], []
             for path in pdf["path"]:
                 try:
-                    with system.open_input_stream(f"{base.rstrip('/')}/{path}") as stream:
+                    with system.open_input_stream(f"{base}/{path}") as stream:
                         texts.append(stream.read().decode("utf-8", "replace"))
                         kept.append(path)
                 except FileNotFoundError:

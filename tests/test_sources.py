@@ -303,17 +303,61 @@ def test_later_batches_win_whatever_their_partitions(spark, tmp_path):
 
 
 def test_compile_commands_are_one_array(spark, tmp_path):
-    from graphloom.sources.build import write_compile_commands
+    from graphloom.sources.build import join_files, write_compile_commands
 
-    rows_ = [("/r", f"/r/{i}.cpp", ["clang-cl", "/c", f"/r/{i}.cpp"]) for i in range(30)]
+    rows_ = [("/r", f"/r/{i:04d}.cpp", ["clang-cl", "/c", f"/r/{i}.cpp"]) for i in range(300)] + [("/r", "/r/0007.cpp", ["clang-cl", "/c", "/r/7.cpp"])]
     frame = spark.createDataFrame(rows_, "directory string, file string, arguments array<string>").repartition(4)
-    for count in (30, 1, 0):
-        path = str(tmp_path / f"c{count}")
+    for count in (301, 2, 1, 0):
+        path, one = str(tmp_path / f"c{count}"), str(tmp_path / f"c{count}.json")
         write_compile_commands(frame.orderBy("file").limit(count), path)
-        parts = [p for p in os.listdir(path) if p.startswith("part-")]
-        assert len(parts) == 1
-        with open(f"{path}/{parts[0]}") as f:
-            assert len(json.load(f)) == count
+        join_files(spark, path, one)
+        with open(one) as f:
+            found = json.load(f)
+        assert [x["file"] for x in found] == sorted(r[1] for r in rows_)[:count] and all(list(x) == ["directory", "file", "arguments"] for x in found)
+
+
+def test_a_million_compile_commands(spark, tmp_path):
+    from graphloom.sources.build import join_files, write_compile_commands
+
+    frame = spark.range(1_000_000).select(F.lit("/r").alias("directory"), F.format_string("/r/%07d.cpp", "id").alias("file"), F.array(F.lit("clang-cl")).alias("arguments"))
+    write_compile_commands(frame, str(tmp_path / "many"))
+    assert len([p for p in os.listdir(tmp_path / "many") if p.startswith("part-")]) > 1
+    join_files(spark, str(tmp_path / "many"), str(tmp_path / "many.json"))
+    with open(tmp_path / "many.json") as f:
+        found = json.load(f)
+    assert len(found) == 1_000_000 and found[0]["file"] == "/r/0000000.cpp" and found[-1]["file"] == "/r/0999999.cpp"
+
+
+def test_a_wide_and_deep_tree_is_listed_by_tasks(spark, tmp_path):
+    want, rules = [], {"": "*.log\n/skip/\n!keep*.log\n", "d3": "*.txt\n!a*.txt\nx/\n", "d3/x": "!*\n", "d4/x/y": "!*.log\n"}
+    for top in range(20):
+        for sub in ("", "x", "y", "x/y", "x/y/z", "skip"):
+            folder = tmp_path / f"d{top}" / sub
+            folder.mkdir(parents=True, exist_ok=True)
+            for i in range(420):
+                name = f"{'abk'[i % 3]}{i}" + (".log", ".txt", ".py", ".log")[i % 4]
+                (folder / name).touch()
+    (tmp_path / "skip").mkdir()
+    (tmp_path / "skip" / "a.py").touch()
+    (tmp_path / "d0" / "keep.log").touch()
+    os.symlink(tmp_path, tmp_path / "d1" / "loop")
+    for folder, text in rules.items():
+        (tmp_path / folder / ".gitignore").write_text(text)
+    for base, folders, names in os.walk(tmp_path):
+        inside = os.path.relpath(base, tmp_path).replace(".", "", 1) if base != str(tmp_path) else ""
+        folders[:] = [f for f in folders if not os.path.islink(f"{base}/{f}")]
+        for name in names:
+            path = f"{inside}/{name}" if inside else name
+            # A rule with a slash holds for its folder alone, one without at any depth.
+            if "skip" in inside.split("/") or path.startswith("d3/x/"):
+                continue
+            gone = name.endswith(".log") and not name.startswith("keep") and inside != "d4/x/y"
+            gone = gone or (inside == "d3" and name.endswith(".txt") and not name.startswith("a"))
+            if not gone:
+                want.append(path)
+    found = files.list_files(spark, str(tmp_path))
+    got = ids(found, "path")
+    assert len(got) > 24_000 and [p for p in got if p != "d1/loop"] == sorted(want)
 
 
 def test_ignore_classes():
