@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -13,6 +14,8 @@ from graphloom.operators import domains, kmeans, neighborhood, paths, search, si
 from graphloom.plans.catalog import query
 from graphloom.plans.graph_queries import CALLER, busiest
 from graphloom.plans.retail import VECTOR_SQL, Tables, graph_sql, label_means, retail_graph, text, vector_graph
+from graphloom.session import ensure_checkpoint_dir
+from graphloom.sources.vector_index import build_index
 
 _SCORE = "(1 + list_cosine_similarity({}, {})) / 2"
 _Q = "q AS (SELECT v FROM vecs WHERE vec_id = (SELECT max(vec_id) FROM vecs))"
@@ -50,6 +53,14 @@ def search_similar(t: Tables) -> DataFrame:
     return _rounded(search.search_similar(vector_graph(t), "vector_1", probe(t), 60))
 
 
+@query("search_indexed", f"WITH {VECTOR_SQL}, {_Q}, {_FN_HITS} SELECT id, label, round(score, 6) AS score FROM fhits")
+def search_indexed(t: Tables) -> DataFrame:
+    """The same over a stored index, exactly: cells that cannot hold a nearer vector are not read."""
+    g = vector_graph(t)
+    index = build_index(g.labelled("Function"), f"{ensure_checkpoint_dir(t.spark)}/index-{uuid.uuid4().hex}")
+    return _rounded(search.search_similar(g, "vector_1", probe(t), 60, index))
+
+
 @query("search_features", f"WITH {VECTOR_SQL}, {_Q}, {_FEATS}, {_FT_HITS.format('topic 1')} SELECT id, label, round(score, 6) AS score FROM thits")
 def search_features(t: Tables) -> DataFrame:
     return _rounded(search.search_features(search_graph(t), "topic 1", probe(t), 60))
