@@ -86,8 +86,8 @@ _register(
 _register(
     "parse_sql",
     "db/p{k}.sql",
-    "CREATE FUNCTION price{k}(a int) RETURNS int AS $$\n  SELECT a * 2;\n$$ LANGUAGE sql;\n\n"
-    "CREATE OR REPLACE FUNCTION total{k}() RETURNS int AS $$\nBEGIN\n  RETURN price{k}(1);\nEND;\n$$ LANGUAGE plpgsql;\n",
+    "CREATE FUNCTION price{k}(a int) RETURNS int AS $$\n  SELECT a * 2; -- old{k}(1), isn't\n$$ LANGUAGE sql;\n\n"
+    "CREATE OR REPLACE FUNCTION total{k}() RETURNS int AS $$\nBEGIN /* one(1) /* two(2) */ three(3) */\n  RETURN price{k}(1) + length{k}('four(4) ''five(5)'''); -- six(6)\nEND;\n$$ LANGUAGE plpgsql;\n",
     [
         ("node", "db/p{k}.sql", "File", ""),
         ("node", "Function:db/p{k}.sql:price{k}:", "Function", "1-3"),
@@ -95,6 +95,7 @@ _register(
         ("edge", "Function:db/p{k}.sql:price{k}:", "DEFINED_IN", "db/p{k}.sql"),
         ("edge", "Function:db/p{k}.sql:total{k}:", "DEFINED_IN", "db/p{k}.sql"),
         ("edge", "Function:db/p{k}.sql:total{k}:", "CALLS", "db/p{k}.sql:price{k}"),
+        ("edge", "Function:db/p{k}.sql:total{k}:", "CALLS", "db/p{k}.sql:length{k}"),
     ],
 )
 _register(

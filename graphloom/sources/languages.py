@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import clean_components
 from graphloom.model import PropertyGraph, conform_nodes
 from graphloom.session import cut
+from graphloom.sources.lexer import without_comments
+from graphloom.sources.lexer import without_comments
 from graphloom.sources.scopes import enclosing, innermost, names_of, numbered_lines, with_ends, with_levels
 
 # File suffix to language.
@@ -119,31 +121,6 @@ def is_test_file(path: Column) -> Column:
     return low.rlike("(_test\\.go|test\\.java|tests?\\.cs|\\.test\\.ts|\\.spec\\.ts)\\z") | low.contains("/tests/")
 
 
-# ---- comments and strings ----------------------------------------------------------------
-
-_STRINGS = r"""'(?:[^'\\\n]++|\\.)*+'|"(?:[^"\\\n]++|\\.)*+\""""
-# Comments and strings of a language, also over several lines; what comes first in the text wins.
-TOKENS = {
-    "cs": rf'(?s)/\*.*?\*/|//[^\n]*+|@"(?:[^"]++|"")*+"|{_STRINGS}',
-    "java": rf'(?s)/\*.*?\*/|//[^\n]*+|""".*?"""|{_STRINGS}',
-    "ts": rf"(?s)/\*.*?\*/|//[^\n]*+|{_STRINGS}|`(?:[^`\\]++|\\.)*+`",
-    "python": rf"(?s)\"\"\".*?\"\"\"|'''.*?'''|#[^\n]*+|{_STRINGS}",
-}
-
-
-def without_comments(text: Column, lang: str, strings: bool) -> Column:
-    """The text with comments blanked and, if asked for, what is inside strings; every character keeps its place."""
-    if lang not in TOKENS:
-        return text
-
-    def shown(token: Column) -> Column:
-        comment = token.startswith("#") if lang == "python" else token.startswith("/*") | token.startswith("//")
-        inside = F.concat(F.left(token, F.lit(1)), _mask(F.substring(token, F.lit(2), F.length(token) - 2)), F.right(token, F.lit(1)))
-        return F.when(comment, _mask(token)).otherwise(inside if strings else token)
-
-    return _keep(text, TOKENS[lang], shown, lambda outside: outside)
-
-
 # ---- server pages ----------------------------------------------------------------------
 
 # A code block, and a script element that runs on the server, wherever that attribute stands in its tag.
@@ -395,7 +372,7 @@ def _java_type(name: Column) -> Column:
 def _extract(files: DataFrame, lang: str) -> tuple[DataFrame, DataFrame]:
     """Node and edge rows of the files of one language."""
     rules = RULES[lang]
-    texts = files.where(F.col("lang") == lang).select("path", "lang", without_comments(F.col("text"), lang, False).alias("text"), without_comments(F.col("text"), lang, True).alias("code"))
+    texts = cut(without_comments(files.where(F.col("lang") == lang), lang))
     raw = numbered_lines(texts)
     lines, style = _levelled(raw, rules)
     lines = cut(lines)
