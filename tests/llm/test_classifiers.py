@@ -71,10 +71,39 @@ def test_language_of_odd_rows(edges, documents):
 
 @pytest.mark.parametrize(("name", "label"), [("op6_quality", "quality"), ("op4_toxicity", "toxic")])
 def test_held_out_labels(spark, name, label):
-    folder = "/root/testdata/sf0.01"
-    found = QUERIES[name](spark, folder).cache()
+    folder = "/root/testdata/sf0.1"
+    found = QUERIES[name](spark, folder).select("doc_id", "held_out", "predicted").cache()
     assert found.count() == table(spark, folder, "documents").count()
-    assert accuracy(found, table(spark, folder, "labels").select("doc_id", F.col(label).alias("truth")), "predicted") >= 0.85
+    truth = table(spark, folder, "labels").select("doc_id", F.col(label).alias("truth"))
+    n = {(r["predicted"], r["truth"]): r["count"] for r in found.join(truth, "doc_id").where("held_out").groupBy("predicted", "truth").count().collect()}
+    # Of the rarer class, which an answer that is always the same misses or drowns.
+    rare = min((0, 1), key=lambda y: n.get((0, y), 0) + n.get((1, y), 0))
+    hits = n.get((rare, rare), 0)
+    assert hits >= 0.85 * (hits + n.get((1 - rare, rare), 0)) and hits >= 0.85 * (hits + n.get((rare, 1 - rare), 0))
+
+
+def test_a_rare_word_of_many_contexts_is_toxic(documents):
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    rows = []
+    for i in range(3500):
+        words = [word() for _ in range(30)]
+        bad = i % 10 == 1
+        if bad:
+            words[int(rng.integers(4, 13))] = words[int(rng.integers(16, 29))] = "zzvile"
+        if bad and i < 40:
+            words[3] = words[14] = "qqrare"
+        rows.append((i, " ".join(words), None, None))
+    # Many copies of one toxic text, each with a word changed: what they share is no sign.
+    copied = [word() for _ in range(25)] + ["xxcopied", "zzvile"]
+    for i in range(3500, 3600):
+        words = list(copied)
+        words[int(rng.integers(20))] = word()
+        rows.append((i, " ".join(words), None, None))
+    labelled = documents(rows).withColumn("toxic", (F.expr("doc_id >= 3500 or doc_id % 10 = 1")).cast("int"))
+    model = toxicity.fit(labelled)
+    vile, rare, copy, plain = model.word_weights(["zzvile", "qqrare", "xxcopied", "hhhhhh"])
+    assert vile > plain + 2 and rare > plain + 1 and copy < rare
 
 
 def test_quadratic_discriminant_is_the_normal_density():

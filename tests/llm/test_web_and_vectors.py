@@ -202,3 +202,42 @@ def test_recall_at_small_scale(spark):
         d = ((x - x[ids == q]) ** 2).sum(axis=1)
         hits += len(set(ids[np.lexsort((ids, d))[1:11]]) & got[q])
     assert hits >= 0.9 * 10 * len(got)
+
+
+CLASHING = ("k", "c", "r", "q", "v", "id", "rank", "score", "n_links", "component_id", "kept", "query_id", "norm", "pivot", "block")
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """20,000 vectors of unlike directions, a third of them with a partner at a cosine around 0.98."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(20_000, 64))
+    for i in range(0, 6000, 2):
+        c, a, o = rng.uniform(0.975, 0.995), x[i] / np.linalg.norm(x[i]), rng.normal(size=64)
+        o -= o @ a * a
+        x[i + 1] = (c * a + np.sqrt(1 - c * c) * o / np.linalg.norm(o)) * rng.uniform(0.5, 2)
+    x = x.astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist(), 0, "own") for i, v in enumerate(x)], VECTOR).repartition(8)
+    return x.astype(float), written(frame, "many").withColumns({c: F.lit("own") for c in CLASHING})
+
+
+def test_links_of_many_vectors(many):
+    x, frame = many
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.concatenate([((u[b : b + 2000] @ u.T) >= 0.98).sum(1) - 1 for b in range(0, len(u), 2000)])
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors.near_duplicates(frame).collect()}
+    assert want.sum() > 4000 and len(got) == len(x) and all(got[i] <= want[i] for i in got)
+    assert sum(got.values()) >= 0.9 * want.sum()
+
+
+def test_recall_of_many_vectors(many):
+    x, frame = many
+    got = {}
+    for r in nearest.nearest(frame, F.col("vec_id") % 100 == 0, 10).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in got:
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10].tolist()) & got[q])
+    assert len(got) == 200 and hits >= 0.9 * 10 * len(got)
