@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.model import PropertyGraph
-from graphloom.operators.upsert import upsert_nodes
+from graphloom.operators.upsert import add_edges_by_id, upsert_nodes
 
 LAYER = ("Feature", "Domain")
 
@@ -27,13 +27,4 @@ def clear_topology(graph: PropertyGraph) -> PropertyGraph:
 def update_topology(graph: PropertyGraph, nodes: DataFrame, edges: DataFrame) -> PropertyGraph:
     """Upsert layer nodes and edges; edges with an unknown end are dropped."""
     incoming = nodes if "seq" in nodes.columns else nodes.withColumn("seq", F.lit(0).cast("bigint"))
-    merged = upsert_nodes(graph, incoming)
-    ids = merged.nodes.select("id")
-    kept = (
-        edges.select("src", "dst", "type")
-        .distinct()
-        .join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
-        .join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        .select("src", "dst", "type")
-    )
-    return merged.with_edges(graph.edges.unionByName(kept).distinct())
+    return add_edges_by_id(upsert_nodes(graph, incoming), edges)

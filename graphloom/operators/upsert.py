@@ -69,7 +69,7 @@ def resolve_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     edges = edges.where("src <> '' and dst <> ''").select("src", "dst", "type").distinct()
     ids, names = nodes.select("id"), nodes.where("fqn is not null").select("fqn", "id")
     edges = cut(edges)
-    ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    ends = _ends(edges)
     if ends.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         # Few ends: nodes are filtered where they lie, and only those that are ends are shuffled.
         ids = ids.join(F.broadcast(ends), "id", "left_semi")
@@ -81,14 +81,32 @@ def resolve_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return by_id.unionByName(by_fqn).distinct()
 
 
-def upsert_edges(graph: PropertyGraph, incoming: DataFrame) -> PropertyGraph:
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+
+
+def add_edges(graph: PropertyGraph, fresh: DataFrame) -> PropertyGraph:
     """Add edges that are not stored yet; stored ones are looked at where they lie."""
-    fresh = cut(resolve_edges(graph.nodes, conform_edges(incoming)))
     columns = ["src", "dst", "type"]
+    fresh = cut(conform_edges(fresh).distinct())
     known = graph.edges.join(broadcast_if_small(fresh.select(*columns)), columns, "left_semi").select(*columns).distinct()
     return graph.with_edges(graph.edges.unionByName(conform_edges(fresh.join(known, columns, "left_anti"))))
 
 
+def add_edges_by_id(graph: PropertyGraph, edges: DataFrame) -> PropertyGraph:
+    """Add edges whose ends are both ids of nodes; others are dropped."""
+    edges = cut(conform_edges(edges).distinct())
+    ids = cut(graph.nodes.select("id").join(broadcast_if_small(cut(_ends(edges))), "id", "left_semi"))
+    ids = broadcast_if_small(ids)
+    both = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return add_edges(graph, both.select("src", "dst", "type"))
+
+
+def upsert_edges(graph: PropertyGraph, incoming: DataFrame) -> PropertyGraph:
+    """Resolve edges and add those that are not stored yet."""
+    return add_edges(graph, resolve_edges(graph.nodes, conform_edges(incoming)))
+
+
 def set_properties(graph: PropertyGraph, updates: DataFrame, labels: tuple[str, ...] = ()) -> PropertyGraph:
     """Overwrite columns by id. ``updates`` has ``id`` and the columns to set."""
     columns = [c for c in updates.columns if c != "id"]

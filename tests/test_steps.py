@@ -26,6 +26,7 @@ def test_a_small_delta_does_not_shuffle_stored_rows(spark, make):
     from pyspark.sql import functions as F
 
     from graphloom.model import PropertyGraph, conform_nodes
+    from graphloom.operators.topology import update_topology
     from graphloom.operators.upsert import set_properties, upsert_edges, upsert_nodes
 
     g = make({f"n{i}": {"fqn": f"q{i}"} for i in range(50)}, [(f"n{i}", f"n{i + 1}", "CALLS") for i in range(49)])
@@ -41,3 +42,10 @@ def test_a_small_delta_does_not_shuffle_stored_rows(spark, make):
     changed = set_properties(g, spark.createDataFrame([("n5", "new")], "id string, name string"))
     physical = changed.nodes._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in physical and {r["name"] for r in changed.nodes.where("id = 'n5'").collect()} == {"new"}
+    layer = conform_nodes(spark.createDataFrame([("d", "Domain", "D"), ("n5", "Function", "named")], "id string, label string, name string"))
+    edges = spark.createDataFrame([("d", "n5", "PARENT_OF"), ("d", "none", "PARENT_OF"), ("n1", "n2", "CALLS")], "src string, dst string, type string")
+    built = update_topology(g, layer, edges)
+    assert set(rows(built.edges)) - set(rows(g.edges)) == {("d", "n5", "PARENT_OF")} and len(rows(built.edges)) == 50
+    # No stored edge is shuffled for it.
+    stored = built.edges._jdf.queryExecution().optimizedPlan().toString().split("LeftAnti")[0]
+    assert "Aggregate" not in stored and stored.count("Join") == 1
