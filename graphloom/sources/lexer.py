@@ -116,6 +116,9 @@ class Lexer:
                 while m and m.lastgroup in ("escape", "plain"):
                     m = inside.search(source, m.end())
                 stop = m.start() if m else size
+                if m and m.lastgroup == "close" and text.lines:
+                    # Of a mark of several characters the last one stays: it may begin a line, which is no line of code.
+                    stop = m.end() - 1
                 if m and m.lastgroup == "hole":
                     stop = m.end()
                     stack.append(["code", 0, text])
