@@ -14,7 +14,7 @@ from graphloom.operators import domains, kmeans, neighborhood, paths, search, si
 from graphloom.plans.catalog import query
 from graphloom.plans.graph_queries import CALLER, busiest
 from graphloom.plans.retail import VECTOR_SQL, Tables, graph_sql, label_means, retail_graph, text, vector_graph
-from graphloom.session import ensure_checkpoint_dir
+from graphloom.session import cut, ensure_checkpoint_dir
 from graphloom.sources.vector_index import build_index
 
 _SCORE = "(1 + list_cosine_similarity({}, {})) / 2"
@@ -184,7 +184,7 @@ def feature_clusters(t: Tables) -> DataFrame:
 def _settled(t: Tables, assigned: DataFrame) -> DataFrame:
     """Of ``(grp, id, cluster)``, by group: rows, rows of the input, clusters, and whether no row is nearer to another cluster's mean than to its own."""
     vectors = t.embeddings.select(F.col("label").cast("string").alias("label"), text("fn:", "vec_id").alias("id"), F.col("embedding").alias("vec"))
-    rows = assigned.join(vectors, "id").withColumn("key", F.concat_ws("/", "grp", "cluster")).cache()
+    rows = cut(assigned.join(vectors, "id").withColumn("key", F.concat_ws("/", "grp", "cluster")))
     means = domains.centroids(rows.select(F.col("key").alias("cluster"), "id", "vec")).withColumn("grp", F.substring_index("cluster", "/", 1))
     apart = rows.select("grp", "key", "id", "vec").join(means.withColumnRenamed("cluster", "other"), "grp")
     apart = apart.withColumn("distance", cosine_distance(F.col("vec"), F.col("centroid")))

@@ -12,7 +12,7 @@ from graphloom.plans import registry
 FOLDER = os.environ.get("TESTDATA", "/root/testdata") + "/sf0.001"
 SAMPLE = [
     "hotspots", "seams", "neighbors", "traverse_both", "what_if_affected", "co_changes_wide_commits", "load_edges",
-    "include_closure", "semantic_seams", "search_features", "domain_name", "parse_java", "compile_commands",
+    "include_closure", "semantic_seams", "search_features", "domain_name", "parse_java", "compile_commands", "property_sheets", "store_delta",
 ]
 NAMES = sorted(registry.QUERIES) if os.environ.get("ALL_QUERIES") else SAMPLE
 
