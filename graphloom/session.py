@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,3 +64,25 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     Meant for frames that are cheap to count: cut frames and narrow dimension scans.
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def shares(df: DataFrame, rows: int) -> int:
+    """In how many tasks ``df`` is worked on, at ``rows`` rows each: as many as run at once at least, more with more rows."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / rows))
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt out by ``keys`` for work that costs much more than reading; a small file is else one task's.
+
+    Meant, as ``shares``, for frames that are cheap to count.
+    """
+    return df.repartition(shares(df, rows), *keys)
+
+
+def sorted_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join that broadcasts neither side.
+
+    Of rows that were generated, exploded or read out of texts the planner knows no sizes: it goes by those of the
+    files they come from, and would gather any number of them on the driver.
+    """
+    return left.join(right.hint("merge"), on, how)

@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import clean_components
 from graphloom.model import PropertyGraph, conform_nodes
-from graphloom.session import cut
-from graphloom.sources.lexer import without_comments
+from graphloom.session import cut, sorted_join, spread
 from graphloom.sources.lexer import without_comments
 from graphloom.sources.scopes import enclosing, innermost, names_of, numbered_lines, with_ends, with_levels
 
@@ -26,6 +25,8 @@ SUFFIXES = {
     ".py": "python", ".vb": "vb", ".sql": "sql", ".cs": "cs", ".java": "java", ".ts": "ts",
     ".asp": "asp", ".aspx": "asp", ".ascx": "asp",
 }
+# Files that one task reads.
+FILES = 5_000
 # Words that look like calls but are statements.
 VB_STATEMENTS = ["if", "while", "for", "catch"]
 STATEMENTS = [
@@ -220,10 +221,10 @@ def _with_heads(lines: DataFrame) -> DataFrame:
     marked = lines.withColumn("closes", F.when(code.contains(")"), F.col("n")).otherwise(next_of("\\)"))).withColumn("ends", next_of("[{;]"))
     marked = cut(marked.withColumn("last", F.when(opens & F.col("closes").isNotNull(), F.greatest("closes", F.coalesce("ends", "closes")))))
     longer = marked.where(F.col("last") > F.col("n")).select("path", F.col("n").alias("at"), F.explode(F.sequence("n", "last")).alias("n"))
-    parts = longer.join(marked.select("path", "n", "code"), ["path", "n"]).groupBy("path", F.col("at").alias("n"))
+    parts = sorted_join(longer, marked.select("path", "n", "code"), ["path", "n"]).groupBy("path", F.col("at").alias("n"))
     heads = parts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "code"))), lambda x: x["code"]), " ").alias("whole"))
     whole = F.coalesce(F.regexp_extract("whole", "^[^)]*\\)[^{;]*[{;]?", 0), F.when(opens, F.regexp_extract(code, "^[^)]*\\)[^{;]*[{;]?", 0)), code)
-    return marked.join(heads, ["path", "n"], "left").withColumn("head", F.when(opens & F.col("last").isNotNull(), whole).otherwise(code)).drop("whole", "closes", "ends", "last")
+    return sorted_join(marked, heads, ["path", "n"], "left").withColumn("head", F.when(opens & F.col("last").isNotNull(), whole).otherwise(code)).drop("whole", "closes", "ends", "last")
 
 
 def _definitions(lines: DataFrame, rules: Rules, lang: str) -> DataFrame:
@@ -234,18 +235,14 @@ def _definitions(lines: DataFrame, rules: Rules, lang: str) -> DataFrame:
     else:
         code = F.col("code")
     own = F.col("code")
-    kind, name, params = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit("")
+    offers: list[Column] = []
 
     def offer(pattern: str, what: str, skip_statements: bool) -> None:
-        nonlocal kind, name, params
         found = F.regexp_extract(code, pattern, 1)
         hit = code.rlike(pattern) & (found != "")
         if skip_statements:
             hit = hit & ~F.lower(found).isin(*rules.statements) & ~code.rlike("^\\s*(?:return|new|throw|await|else)\\b")
-        take = kind.isNull() & hit
-        name = F.when(take, found).otherwise(name)
-        params = F.when(take, F.regexp_extract(code, pattern, 2)).otherwise(params)
-        kind = F.when(take, what).otherwise(kind)
+        offers.append(F.when(hit, F.struct(F.lit(what).alias("kind"), found.alias("name"), F.regexp_extract(code, pattern, 2).alias("params"))))
 
     if rules.namespace:
         offer(rules.namespace, "namespace", False)
@@ -255,7 +252,7 @@ def _definitions(lines: DataFrame, rules: Rules, lang: str) -> DataFrame:
         offer(rules.constructor, "constructor", True)
     for pattern in rules.functions:
         offer(pattern, "function", bool(rules.statements) and lang != "vb")
-    found = lines.select("path", "n", "level", "after", "line", "code", kind.alias("kind"), name.alias("name"), params.alias("params")).where("kind is not null")
+    found = lines.select("path", "n", "level", "after", "line", "code", F.coalesce(*offers).alias("d")).where("d is not null").select("*", "d.*")
     closed = F.lit(False)
     if rules.style == "brace":
         one_line = own.contains("{") & (F.col("after") <= F.col("level"))
@@ -361,7 +358,7 @@ def _imports(lines: DataFrame, texts: DataFrame, lang: str) -> DataFrame:
 def _resolved(rows: DataFrame, imports: DataFrame, column: str, out: str, fallback: Column) -> DataFrame:
     """``out`` is the import target of ``column`` where there is one, else ``fallback``."""
     found = imports.groupBy("path", "alias").agg(F.max("target").alias("__target")).withColumnRenamed("alias", column)
-    return rows.join(found, ["path", column], "left").withColumn(out, F.coalesce("__target", fallback)).drop("__target")
+    return sorted_join(rows, found, ["path", column], "left").withColumn(out, F.coalesce("__target", fallback)).drop("__target")
 
 
 def _java_type(name: Column) -> Column:
@@ -384,7 +381,7 @@ def _extract(files: DataFrame, lang: str) -> tuple[DataFrame, DataFrame]:
         defs = defs.where("not (kind = 'namespace' and closed)")
     defs = cut(defs)
     keyed = defs.withColumn("item", F.concat_ws("#", "path", "n"))
-    placed = enclosing(keyed, defs).join(spaces, "path", "left").select(
+    placed = sorted_join(enclosing(keyed, defs), spaces, "path", "left").select(
         "path", "n", "level", "end_line", "kind", "name", "signature", "line", "takes", "around", "file_space"
     )
     around, name = F.col("around"), F.col("name")
@@ -411,7 +408,7 @@ def _extract(files: DataFrame, lang: str) -> tuple[DataFrame, DataFrame]:
     klass = nodes.where("kind = 'class'").select("path", F.col("n").alias("class_line"), F.col("id").alias("class_id"), F.col("fqn").alias("class_fqn"))
     edges: list[DataFrame] = []
 
-    members = nodes.where("kind <> 'class'").withColumn("class_line", innermost(around, "class")["n"]).join(klass, ["path", "class_line"])
+    members = sorted_join(nodes.where("kind <> 'class'").withColumn("class_line", innermost(around, "class")["n"]), klass, ["path", "class_line"])
     if lang in ("vb", "java"):
         edges.append(members.select(F.col("class_id").alias("src"), F.col("id").alias("dst"), F.lit("HAS_METHOD").alias("type")))
     edges.extend(_inheritance(nodes, _usings(lines) if lang == "cs" else imports, lang))
@@ -426,7 +423,7 @@ def _extract(files: DataFrame, lang: str) -> tuple[DataFrame, DataFrame]:
     if lang in ("cs", "java"):
         mark = "(?i)^\\s*\\[(?:Fact|Theory|Test)\\b" if lang == "cs" else "^\\s*@Test\\b"
         tagged = lines.where(F.col("line").rlike(mark)).select("path", (F.col("n") + 1).alias("n"))
-        nodes = nodes.join(tagged.distinct().withColumn("tagged", F.lit(True)), ["path", "n"], "left")
+        nodes = sorted_join(nodes, tagged.distinct().withColumn("tagged", F.lit(True)), ["path", "n"], "left")
     else:
         nodes = nodes.withColumn("tagged", F.lit(None).cast("boolean"))
     if lang == "ts":
@@ -493,7 +490,7 @@ def _candidates(rows: DataFrame, usings: DataFrame, column: str, edge: str, suff
     local = F.when(name.contains(".") | (own == ""), name).otherwise(F.concat(own, F.lit("."), name))
     here = rows.select("src", F.concat(local, tail).alias("dst"))
     spaces = usings.select("path", F.col("target").alias("space")) if "target" in usings.columns else usings
-    used = rows.where(~name.contains(".")).join(spaces, "path").select("src", F.concat("space", F.lit("."), name, tail).alias("dst"))
+    used = sorted_join(rows.where(~name.contains(".")), spaces, "path").select("src", F.concat("space", F.lit("."), name, tail).alias("dst"))
     return here.unionByName(used).withColumn("type", F.lit(edge))
 
 
@@ -507,7 +504,7 @@ def _fields(lines, defs, klass, spaces, imports, rules, lang):
     around = F.col("around")
     # Directly in a class: the closest definition about it is one.
     inside = enclosing(found, defs).where(F.element_at(around, -1)["kind"] == "class").withColumn("class_line", innermost(around, "class")["n"])
-    inside = inside.join(klass, ["path", "class_line"]).join(spaces, "path", "left")
+    inside = sorted_join(sorted_join(inside, klass, ["path", "class_line"]), spaces, "path", "left")
     base = F.trim(F.regexp_replace("declared", "<.*|\\[\\]|\\?", ""))
     rows = inside.withColumn("base", base)
     label = F.lit("Field")
@@ -536,7 +533,7 @@ def _calls(lines, defs, owner, spaces, imports, fields, klass, rules, lang) -> D
     body = F.when(F.col("is_def"), F.regexp_extract(code, "\\{(.*)$" if rules.style == "brace" else ":\\s*(\\S.*)$", 1)).otherwise(code)
     if rules.style in ("keyword", "sql"):
         body = F.when(F.col("is_def"), F.lit("")).otherwise(code)
-    marked = lines.join(def_lines.distinct(), ["path", "n"], "left").withColumn("body", body)
+    marked = sorted_join(lines.where(code.contains("(") | code.contains("new")), def_lines.distinct(), ["path", "n"], "left").withColumn("body", body)
     creations = F.regexp_extract_all("body", F.lit("\\bnew\\s+(\\w+)"), F.lit(1)) if lang in ("java", "ts") else F.array().cast("array<string>")
     plain = F.regexp_replace("body", "\\bnew\\s+\\w+(?:<[^>]*>)?\\s*\\(", " (") if lang != "vb" else F.col("body")
     pairs = F.arrays_zip(
@@ -548,8 +545,8 @@ def _calls(lines, defs, owner, spaces, imports, fields, klass, rules, lang) -> D
     around = F.col("around")
     last_function = F.filter(around, lambda d: d["kind"].isin("function", "constructor"))
     inside = enclosing(base, defs).where(F.size(last_function) > 0).withColumn("def_line", F.get(last_function, F.size(last_function) - 1)["n"])
-    inside = inside.join(owner, ["path", "def_line"]).join(spaces, "path", "left").withColumn("class_line", innermost(around, "class")["n"])
-    inside = inside.join(klass, ["path", "class_line"], "left")
+    inside = sorted_join(sorted_join(inside, owner, ["path", "def_line"]), spaces, "path", "left").withColumn("class_line", innermost(around, "class")["n"])
+    inside = sorted_join(inside, klass, ["path", "class_line"], "left")
     cols = ["path", "src", "around", "file_space", "class_line", "class_fqn"]
     calls = inside.select(*cols, F.explode("pairs").alias("c")).select(*cols, F.col("c.o").alias("object"), F.col("c.t").alias("target"))
     if rules.statements:
@@ -568,7 +565,7 @@ def _calls(lines, defs, owner, spaces, imports, fields, klass, rules, lang) -> D
         ).otherwise(F.col("bare"))
         return rows.select("src", F.concat(F.lit("Function:"), "path", F.lit(":"), local, F.lit(":")).alias("dst"), F.lit("CALLS").alias("type"))
     known = fields.groupBy("path", "class_line", "field").agg(F.max("ftype").alias("ftype"))
-    calls = calls.withColumn("field", F.regexp_replace("object", "^this\\.", "")).join(known, ["path", "class_line", "field"], "left")
+    calls = sorted_join(calls.withColumn("field", F.regexp_replace("object", "^this\\.", "")), known, ["path", "class_line", "field"], "left")
     if lang == "cs":
         by_field = calls.where("ftype is not null")
         rest = calls.where("ftype is null")
@@ -594,7 +591,7 @@ def extract(files: DataFrame, languages: tuple[str, ...] | None = None) -> Prope
     Edge targets may be qualified names; loading resolves them. Unsupported files are
     left out.
     """
-    ready = cut(prepare(files))
+    ready = cut(prepare(spread(files, FILES, "path")))
     langs = languages or tuple(r["lang"] for r in ready.select("lang").distinct().collect())
     file_test = is_test_file(F.col("path"))
     file_nodes = ready.select(
@@ -606,7 +603,7 @@ def extract(files: DataFrame, languages: tuple[str, ...] | None = None) -> Prope
     shifts = ready.select(F.col("path").alias("file"), "shift")
     for lang in langs:
         rows, refs = _extract(ready, lang)
-        rows = rows.join(shifts, "file").withColumn("start_line", F.col("start_line") - F.col("shift"))
+        rows = sorted_join(rows, shifts, "file").withColumn("start_line", F.col("start_line") - F.col("shift"))
         test = F.when(is_test_file(F.col("file")) & F.col("label").isin("Function", "Method"), F.lit(True)).otherwise(F.col("is_test"))
         rows = rows.withColumn("is_test", test).withColumn("extra", F.when(F.coalesce("sig", F.lit("")) != "", F.create_map(F.lit("signature"), F.col("sig"))))
         nodes.append(conform_nodes(rows))

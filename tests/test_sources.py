@@ -381,3 +381,11 @@ def test_a_null_takes_a_value_away(spark):
     records = jsonl.parse_lines(spark.createDataFrame([('{"id":"a","kept":null,"name":"z"}', 0)], "value string, seq bigint"))
     after = {r["id"]: (r["name"], r["extra"]) for r in upsert_nodes(g, jsonl.node_records(records)).nodes.collect()}
     assert after == {"a": ("z", None), "b": ("again", {"note": "back"})}
+
+
+def test_extraction_gathers_no_lines_and_uses_all_tasks(spark):
+    files = spark.range(50, numPartitions=1).selectExpr("concat('p', id, '.py') as path", "concat('import os\\nclass A', id, ':\\n    def f(self):\\n        os.x()\\n') as text")
+    graph = extract(files, ("python",))
+    assert "Broadcast" not in graph.edges._jdf.queryExecution().executedPlan().toString()
+    assert graph.nodes.where("label = 'File'").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert graph.edges.where("type = 'CALLS'").count() == 50
