@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.model import PropertyGraph, conform_nodes
-from graphloom.session import cut
+from graphloom.session import cut, sorted_join, spread
 
 # Node kinds by what they declare.
 CLASSES = ["CXXRecordDecl"]
@@ -43,6 +43,10 @@ LABELS = dict.fromkeys(CLASSES, "Class") | dict.fromkeys(FUNCTIONS, "Function")
 READ = {"kind", "id", "name", "loc", "range", "isImplicit", "completeDefinition", "storageClass", "type", "bases", "referencedDecl", "referencedMemberDecl"}
 #: Facts sent to Spark at once.
 FACTS = 5000
+# Dumps up to this many characters are decoded at once and walked then; longer ones are pulled through.
+WHOLE = 1 << 18
+# Dumps that one task reads.
+DUMPS = 2_000
 
 FACT = (
     "path string, at long, label string, kind string, name string, fqn string, id string, file string, start_line long, end_line long,"
@@ -91,6 +95,42 @@ class _Walk:
         return file.replace("\\", "/").lower().startswith(self.base)
 
     def facts(self, text: str) -> Iterator[dict]:
+        """Facts of a dump; one that is short and whole is walked as a tree, which gives the same."""
+        if len(text or "") <= WHOLE:
+            try:
+                tree = json.loads(text or "")
+            except (ValueError, RecursionError):
+                tree = None
+            if isinstance(tree, dict):
+                yield from self.tree(tree)
+                return
+        yield from self.pulled(text)
+
+    def tree(self, tree: dict) -> Iterator[dict]:
+        """The walk of ``pulled`` over a decoded dump. Each node is entered where its first list ``inner`` stands."""
+        node, lists = None, [iter([tree])]
+        while lists:
+            value = next(lists[-1], lists)
+            if value is lists:
+                lists.pop()
+                if lists:
+                    yield from self.leave(node)
+                    node = node.above
+                continue
+            if not isinstance(value, dict):
+                node.children += 1
+                continue
+            node, inner = _Node(node), ()
+            for name, member in value.items():
+                if name == "inner" and isinstance(member, list):
+                    inner = member
+                    break
+                if name in READ:
+                    node.head[name] = member
+            self.enter(node)
+            lists.append(iter(inner))
+
+    def pulled(self, text: str) -> Iterator[dict]:
         start = re.compile(r"\s*\{").match(text or "")
         if not start:
             raise ValueError("no object")
@@ -205,17 +245,16 @@ def tree_facts(files: DataFrame, root: str = "") -> DataFrame:
             yield {"path": path, "unread": str(problem)[:200]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = _fact_schema()
+        schema, held = _fact_schema(), []
         for batch in batches:
-            for i in range(batch.num_rows):
-                held: list[dict] = []
-                for fact in rows(batch.column(0)[i].as_py(), batch.column(1)[i].as_py()):
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for fact in rows(path, text.as_py()):
                     held.append(fact)
                     if len(held) == FACTS:
                         yield pa.RecordBatch.from_pylist(held, schema=schema)
                         held = []
-                if held:
-                    yield pa.RecordBatch.from_pylist(held, schema=schema)
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
 
     return files.select("path", "text").mapInArrow(run, FACT)
 
@@ -249,7 +288,7 @@ def extract_trees(files: DataFrame, root: str = "") -> PropertyGraph:
     have no declaration in the graph and fall out.
     """
     base = _base(root)
-    facts = cut(tree_facts(files, root).withColumn("file", _shown(F.col("file"), base)))
+    facts = cut(tree_facts(spread(files.select("path", "text"), DUMPS, "path"), root).withColumn("file", _shown(F.col("file"), base)))
     decls = facts.where("label is not null")
     shown = ["label", "name", "fqn", "file", "start_line", "end_line"]
     code = decls.groupBy("id").agg(F.min_by(F.struct(*shown), F.struct("path", "at")).alias("first")).select("id", *(f"first.{c}" for c in shown))
@@ -273,7 +312,7 @@ def extract_trees(files: DataFrame, root: str = "") -> PropertyGraph:
     inherits = edge(based, c("id"), F.concat(F.lit("Class:"), "base"), "INHERITS")
 
     targets = decls.select("path", c("decl").alias("refers"), c("id").alias("target"), c("label").alias("target_label"))
-    used = facts.where("refers is not null").select("path", "refers", "callee", "user").join(targets, ["path", "refers"])
+    used = sorted_join(facts.where("refers is not null").select("path", "refers", "callee", "user"), targets, ["path", "refers"])
     calls = edge(used.where(c("callee") & c("target_label").isin("Function", "Constructor")), c("user"), c("target"), "CALLS")
     shared = edge(used.where("target_label = 'Global'"), c("user"), c("target"), "USES_GLOBAL")
     edges = reduce(DataFrame.unionByName, [homes, methods, fields, inherits, depends, calls, shared]).distinct()

@@ -4,6 +4,7 @@ import sys
 from pathlib import Path
 
 from frames import rows
+from pyspark.sql import functions as F
 
 from graphloom.sources import clang_ast
 from graphloom.sources.clang_ast import extract_trees
@@ -192,3 +193,23 @@ def test_a_dump_beyond_the_limit_of_a_json_value(spark):
     assert len(long) > 134_217_728
     ids, _, _ = graph_of(spark, {"/repo/a.cpp": long})
     assert len(ids) == 141
+
+
+def test_small_dumps_are_dealt_out_and_read_as_long_ones(spark):
+    tree = decl("TranslationUnitDecl", decl_id="0x1", inner=[1, decl("FunctionDecl", "f", inner=[decl("ParmVarDecl", "x", type={"qualType": "int"}), None]), decl("VarDecl", "g", loc={"line": 3})])
+    text = json.dumps(tree)
+    for dump in (text, text[:-5], "{}", "[]", '{"inner": 3}'):
+        both = []
+        for way in (clang_ast._Walk.facts, clang_ast._Walk.pulled):
+            found, walk = [], clang_ast._Walk("/r/a.cpp", "/r")
+            try:
+                found += way(walk, dump)
+            except ValueError as problem:
+                found.append(str(problem))
+            both.append(found)
+        assert both[0] == both[1]
+    files = spark.range(40, numPartitions=1).selectExpr("concat('/r/a', id, '.cpp') as path").withColumn("text", F.lit(text))
+    graph = extract_trees(files, "/r")
+    homes = graph.edges.where("type = 'DEFINED_IN'")
+    assert homes.count() == 80
+    assert "Broadcast" not in graph.edges._jdf.queryExecution().executedPlan().toString()
