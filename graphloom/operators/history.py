@@ -7,12 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.model import NODE_COLUMNS, PropertyGraph
-from graphloom.session import cut
+from graphloom.session import broadcast_if_small, cut, shares
 
 LEAST_CO_CHANGES = 3
 TOP_CO_CHANGES = 5
 # Commits with more distinct files than this are never expanded into pairs of files.
 WIDE_COMMIT = 500
+# Mentions that one task sorts.
+MENTIONS = 500_000
 
 
 def file_churn(touches: DataFrame) -> DataFrame:
@@ -31,7 +33,10 @@ def co_change_counts(touches: DataFrame, wide: int = WIDE_COMMIT) -> DataFrame:
     them (their *signature*), and signatures are compared instead of files. One commit
     with a third of all files is then a handful of signatures.
     """
-    mentions = touches.groupBy("commit", "file").agg(F.count("*").alias("m"))
+    mentions = cut(touches.groupBy("commit", "file").agg(F.count("*").alias("m")))
+    # Commits are dealt out once, to as many tasks as their mentions ask for, and stay there.
+    tasks = shares(mentions, MENTIONS)
+    mentions = mentions.repartition(tasks, "commit")
     sizes = mentions.groupBy("commit").agg(F.count("*").alias("files"), F.max("m").alias("top_m"))
     sized = mentions.join(sizes, "commit")
 
@@ -44,6 +49,7 @@ def co_change_counts(touches: DataFrame, wide: int = WIDE_COMMIT) -> DataFrame:
         .select("file")
     )
     sized = cut(sized.join(hopeful, "file", "left_semi").select("commit", "file", "m", "files"))
+    sized = sized.repartition(tasks, "commit")
     narrow = sized.where(F.col("files") <= wide).select("commit", "file", "m")
     broad = sized.where(F.col("files") > wide).select("commit", "file", "m")
 
@@ -73,13 +79,16 @@ def _with_broad(pairs: DataFrame, broad: DataFrame) -> DataFrame:
     itself may be one of them, and any companion with narrow commits on top of that is
     already listed with a higher total.
     """
-    spread = broad.groupBy("file").agg(
-        F.array_sort(F.collect_list(F.struct("commit", "m"))).alias("mentions")
+    # A signature is the number of its commits and two sums of their hashes: no list of commits is gathered, however many a file has.
+    hashed = lambda salt: F.sum(F.xxhash64(F.lit(salt), "commit", "m").cast("decimal(20,0)")).cast("string")
+    spread = cut(
+        broad.groupBy("file").agg(
+            F.concat_ws("|", F.count("*").cast("string"), hashed(0), hashed(1)).alias("sig"), F.sum(F.col("m") * (F.col("m") - 1)).alias("own")
+        )
     )
-    spread = spread.withColumn("sig", F.sha2(F.to_json("mentions"), 256))
-    per_sig = spread.groupBy("sig").agg(F.first("mentions").alias("mentions"))
     members = spread.select("file", "sig")
-    terms = per_sig.select("sig", F.explode("mentions").alias("e")).select("sig", "e.commit", "e.m")
+    heads = cut(members.groupBy("sig").agg(F.min("file").alias("file")))
+    terms = broad.join(broadcast_if_small(heads), "file").select("sig", "commit", "m")
     other_terms = terms.select(F.col("sig").alias("osig"), "commit", F.col("m").alias("om"))
     sig_pairs = (
         terms.join(other_terms, "commit").groupBy("sig", "osig").agg(F.sum(F.col("m") * F.col("om")).alias("wide"))
@@ -101,11 +110,7 @@ def _with_broad(pairs: DataFrame, broad: DataFrame) -> DataFrame:
         .select("sig", "other")
     )
     candidates = members.join(listed, "sig").select("file", "other")
-    own = spread.select(
-        F.col("file"),
-        F.col("file").alias("other"),
-        F.aggregate("mentions", F.lit(0).cast("bigint"), lambda acc, e: acc + e["m"] * (e["m"] - 1)).alias("own"),
-    )
+    own = spread.select("file", F.col("file").alias("other"), "own")
     all_pairs = (
         pairs.select("file", "other", "narrow")
         .unionByName(candidates.select("file", "other", F.lit(0).cast("bigint").alias("narrow")))

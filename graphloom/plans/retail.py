@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.model import PropertyGraph, conform_nodes
+from graphloom.session import shares
 
 
+# Lines that one task joins.
+LINES = 500_000
 # Schemas read from footers once per path; later reads start no job for them.
 _SCHEMAS: dict[str, T.StructType] = {}
 
@@ -196,8 +199,11 @@ def touches(t: Tables) -> DataFrame:
     """Every line is a file (brand) mentioned by a commit (order)."""
     lines = t.lineitem.select(F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("p_partkey"))
     dates = t.orders.select(F.col("o_orderkey").alias("commit"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("changed_at"))
+    tasks = shares(t.lineitem, LINES)
     return (
-        lines.join(t.part.select("p_partkey", F.col("p_brand").alias("file")), "p_partkey")
+        lines.repartition(tasks, "p_partkey")
+        .join(t.part.select("p_partkey", F.col("p_brand").alias("file")), "p_partkey")
+        .repartition(tasks, "commit")
         .join(dates, "commit")
         .select("commit", "changed_at", "file")
     )

@@ -3,6 +3,7 @@ from frames import ids, rows
 from pyspark.sql import functions as F
 
 from graphloom.api import run_query, run_sql
+from graphloom.operators import history
 from graphloom.operators import incremental, neighborhood, paths, pinch, structure, testlinks, topology, volatility, whatif
 from graphloom.operators.reach import distances, reach_again, steps
 
@@ -251,3 +252,13 @@ def test_sql_reads_only_and_shows_no_vectors(spark, make):
         with pytest.raises(ValueError, match="read-only"):
             run_sql(g, bad)
     assert rows(run_sql(g, "select id, embedding e from nodes")) == [("a", None), ("b", None)]
+
+
+def test_a_file_of_many_wide_commits_is_no_list_and_commits_are_dealt_out(spark):
+    touched = spark.range(3000, numPartitions=1).selectExpr("cast(id % 1000 as string) as commit", "'2024' as changed_at", "concat('f', id div 1000) as file")
+    best = history.co_change_counts(touched, wide=2)
+    plan = best._jdf.queryExecution().toString()
+    assert "commit" not in " ".join(line for line in plan.splitlines() if "collect_list" in line)
+    assert sorted((r["file"], r["other"], r["together"]) for r in best.collect()) == [(f"f{a}", f"f{b}", 1000) for a in range(3) for b in range(3) if a != b]
+    apart = history.co_change_counts(touched)
+    assert sorted((r["file"], r["other"], r["together"]) for r in apart.collect()) == [(f"f{a}", f"f{b}", 1000) for a in range(3) for b in range(3) if a != b]
