@@ -12,6 +12,7 @@ without a file is in the file last named. A child of the root that lies outside
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.model import PropertyGraph, conform_nodes
-from graphloom.session import cut, sorted_join, spread
+from graphloom.session import cut, sorted_join
 
 # Node kinds by what they declare.
 CLASSES = ["CXXRecordDecl"]
@@ -45,8 +46,9 @@ READ = {"kind", "id", "name", "loc", "range", "isImplicit", "completeDefinition"
 FACTS = 5000
 # Dumps up to this many characters are decoded at once and walked then; longer ones are pulled through.
 WHOLE = 1 << 18
-# Dumps that one task reads.
-DUMPS = 2_000
+# Dumps, and characters of them, that one task reads: small dumps in many tasks would cost each later step as many.
+DUMPS = 20_000
+CHARACTERS = 64_000_000
 
 FACT = (
     "path string, at long, label string, kind string, name string, fqn string, id string, file string, start_line long, end_line long,"
@@ -280,6 +282,13 @@ def _shown(path: Column, base: str) -> Column:
     return F.when(inside, F.substring(clean, len(base) + 2, 1 << 30)).otherwise(clean)
 
 
+def _dealt(dumps: DataFrame) -> DataFrame:
+    """Dumps dealt out by path, to no more tasks than their number and length ask for."""
+    size = dumps.agg(F.count(F.lit(1)), F.sum(F.length("text").cast("long"))).first()
+    tasks = max(dumps.sparkSession.sparkContext.defaultParallelism, math.ceil(size[0] / DUMPS), math.ceil((size[1] or 0) / CHARACTERS))
+    return dumps.repartition(tasks, "path")
+
+
 def extract_trees(files: DataFrame, root: str = "") -> PropertyGraph:
     """Unresolved graph of ``files(path, text)``; ``path`` is the source file of each tree.
 
@@ -288,7 +297,7 @@ def extract_trees(files: DataFrame, root: str = "") -> PropertyGraph:
     have no declaration in the graph and fall out.
     """
     base = _base(root)
-    facts = cut(tree_facts(spread(files.select("path", "text"), DUMPS, "path"), root).withColumn("file", _shown(F.col("file"), base)))
+    facts = cut(tree_facts(_dealt(files.select("path", "text")), root).withColumn("file", _shown(F.col("file"), base)))
     decls = facts.where("label is not null")
     shown = ["label", "name", "fqn", "file", "start_line", "end_line"]
     code = decls.groupBy("id").agg(F.min_by(F.struct(*shown), F.struct("path", "at")).alias("first")).select("id", *(f"first.{c}" for c in shown))

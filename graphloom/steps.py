@@ -30,7 +30,8 @@ def loaded(*parts: PropertyGraph) -> PropertyGraph:
     nodes = reduce(DataFrame.unionByName, [conform_nodes(p.nodes) for p in parts])
     edges = reduce(DataFrame.unionByName, [p.edges.select("src", "dst", "type") for p in parts])
     merged = cut(merge_nodes(_numbered(nodes)))
-    return PropertyGraph(merged, resolve_edges(merged, edges))
+    # Written out: each step that follows reads the edges more than once.
+    return PropertyGraph(merged, cut(resolve_edges(merged, edges)))
 
 
 def ingest(spark: SparkSession, root: str, paths: DataFrame | None = None) -> PropertyGraph:

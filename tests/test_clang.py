@@ -6,6 +6,7 @@ from pathlib import Path
 from frames import rows
 from pyspark.sql import functions as F
 
+from graphloom import steps
 from graphloom.sources import clang_ast
 from graphloom.sources.clang_ast import extract_trees
 
@@ -213,3 +214,18 @@ def test_small_dumps_are_dealt_out_and_read_as_long_ones(spark):
     homes = graph.edges.where("type = 'DEFINED_IN'")
     assert homes.count() == 80
     assert "Broadcast" not in graph.edges._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_small_dumps_are_few_tasks_and_long_ones_more(spark, monkeypatch):
+    small = spark.range(20_000).selectExpr("concat('/r/a', id, '.cpp') as path", "'{}' as text")
+    assert clang_ast._dealt(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(clang_ast, "CHARACTERS", 1_000)
+    assert clang_ast._dealt(small).rdd.getNumPartitions() == 40
+    assert clang_ast._dealt(small.limit(0)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_edges_of_a_loaded_graph_are_written_out(spark):
+    tree = decl("TranslationUnitDecl", decl_id="0x1", inner=[decl("FunctionDecl", "f")])
+    graph = steps.clang_ingest(spark.createDataFrame([("/r/a.cpp", json.dumps(tree))], "path string, text string"), "/r")
+    assert graph.edges.count() == 1
+    assert "Join" not in graph.edges._jdf.queryExecution().executedPlan().toString()
