@@ -1,7 +1,7 @@
 """Lloyd's k-means with cosine distance, on partitioned data.
 
 Centroids are plain means. Ties go to the lowest cluster, an empty cluster keeps its
-centroid, and the loop stops when no row moves. Seeds double every round: a round draws as many as
+centroid, and the loop stops when no row moves, or after ``max_iterations`` where that is not None. Seeds double every round: a round draws as many as
 there are, without replacement, each with a chance that grows with the squared distance to
 the seeds so far. Draws hash the row id, so that the result depends neither on partitioning nor
 on where the work is done: in one task, with centroids held by every task, or in blocks.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -26,8 +27,11 @@ MAX_ITERATIONS = 50
 HELD_CENTROIDS = 2048
 # Task sums are added up in this many shares first.
 SUM_SHARES = 256
-# Groups up to this size are clustered inside one task each.
-GROUP_ROWS = 4096
+# Groups up to this size are clustered inside one task each, if their vectors hold no more numbers than that.
+GROUP_ROWS = 16_384
+GROUP_VALUES = 1 << 20
+# Rows whose distances to all centroids a task holds at once.
+DISTANCE_ROWS = 1024
 
 
 def cosine_distances(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -37,6 +41,16 @@ def cosine_distances(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return 1.0 - np.divide(dots, lengths, out=np.zeros_like(dots), where=lengths > 0)
 
 
+def _nearest(rows: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centroid of every row, the first of equally near ones, and the distance to it."""
+    at, least = np.zeros(len(rows), dtype=int), np.zeros(len(rows))
+    for start in range(0, len(rows), DISTANCE_ROWS):
+        distances = cosine_distances(rows[start : start + DISTANCE_ROWS], centroids)
+        best = distances.argmin(axis=1)
+        at[start : start + DISTANCE_ROWS], least[start : start + DISTANCE_ROWS] = best, distances[np.arange(len(best)), best]
+    return at, least
+
+
 def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype("float64")
 
@@ -123,7 +137,12 @@ def _pass(points: DataFrame, now: np.ndarray) -> np.ndarray:
     return means
 
 
-def kmeans(points: DataFrame, k: int, seed: int = 42, max_iterations: int = MAX_ITERATIONS, held: int = HELD_CENTROIDS) -> DataFrame:
+def _rounds(max_iterations: int | None):
+    """Numbers of rounds: up to the bound, or without an end."""
+    return count() if max_iterations is None else range(max_iterations)
+
+
+def kmeans(points: DataFrame, k: int, seed: int = 42, max_iterations: int | None = MAX_ITERATIONS, held: int = HELD_CENTROIDS) -> DataFrame:
     """``(id, cluster)`` for ``points(id, vec)``; centroids that no task can hold are joined in chunks."""
     points = cut(points.select("id", as_double(F.col("vec")).alias("vec")))
     n = points.count()
@@ -134,12 +153,14 @@ def kmeans(points: DataFrame, k: int, seed: int = 42, max_iterations: int = MAX_
         one = points.sparkSession.createDataFrame([("", n, k)], "grp string, n bigint, k bigint")
         return _large_groups(points.withColumn("grp", F.lit("")), one, seed, max_iterations, held).select("id", "cluster")
     now = before = seed_centroids(points, k, seed)
-    for _ in range(max_iterations):
+    seen = set()
+    for _ in _rounds(max_iterations):
         means = _pass(points, now)
-        # Means that stay are means of rows that stay.
-        if np.array_equal(means, now):
+        # Means that stay are means of rows that stay. Means of an earlier round come back where distances differ by rounding only.
+        if np.array_equal(means, now) or (mark := hash(means.tobytes())) in seen:
             before = now
             break
+        seen.add(mark)
         before, now = now, means
 
     def run(batches):
@@ -152,10 +173,10 @@ def kmeans(points: DataFrame, k: int, seed: int = 42, max_iterations: int = MAX_
     return points.mapInPandas(run, "id string, cluster int")
 
 
-def _local(ids: np.ndarray, vectors: np.ndarray, draws: np.ndarray, k: int, max_iterations: int) -> np.ndarray:
+def _local(ids: np.ndarray, vectors: np.ndarray, draws: np.ndarray, k: int, max_iterations: int | None) -> np.ndarray:
     """Clusters of one group in one task; ``draws`` has each row's number for every round."""
     at = [int(np.lexsort((ids, draws[:, 0]))[0])]
-    nearest = cosine_distances(vectors, vectors[at]).min(axis=1)
+    nearest = _nearest(vectors, vectors[at])[1]
     draw = 0
     while len(at) < k:
         draw += 1
@@ -163,12 +184,14 @@ def _local(ids: np.ndarray, vectors: np.ndarray, draws: np.ndarray, k: int, max_
             key = np.where(nearest > 0, -np.log(draws[:, draw]) / np.power(nearest, 2), np.inf)
         fresh = np.lexsort((ids, key))[: min(len(at), k - len(at))]
         at += fresh.tolist()
-        nearest = np.minimum(nearest, cosine_distances(vectors, vectors[fresh]).min(axis=1))
+        nearest = np.minimum(nearest, _nearest(vectors, vectors[fresh])[1])
     centroids, to = vectors[at].copy(), np.zeros(len(vectors), dtype=int)
-    for _ in range(max_iterations):
-        near = cosine_distances(vectors, centroids).argmin(axis=1)
-        if (near == to).all():
+    seen = set()
+    for _ in _rounds(max_iterations):
+        near = _nearest(vectors, centroids)[0]
+        if (near == to).all() or (mark := hash(near.tobytes())) in seen:
             break
+        seen.add(mark)
         to = near
         sums, counts = np.zeros_like(centroids), np.bincount(to, minlength=k)
         np.add.at(sums, to, vectors)
@@ -199,9 +222,8 @@ def _nearest_in_chunks(points: DataFrame, centroids: DataFrame, shape: DataFrame
         if not len(a) or not len(b):
             return pd.DataFrame(columns=["grp", "id", "cluster", "dist"], dtype=object)
         b = b.sort_values("cluster")
-        dist = cosine_distances(_stack(a["vec"]), _stack(b["vec"]))
-        at = dist.argmin(axis=1)
-        found = {"grp": a["grp"], "id": a["id"], "cluster": b["cluster"].to_numpy()[at], "dist": dist[np.arange(len(a)), at]}
+        at, least = _nearest(_stack(a["vec"]), _stack(b["vec"]))
+        found = {"grp": a["grp"], "id": a["id"], "cluster": b["cluster"].to_numpy()[at], "dist": least}
         return pd.DataFrame(found)
 
     keys = ["grp", "block", "chunk"]
@@ -215,6 +237,42 @@ def _nearest_in_chunks(points: DataFrame, centroids: DataFrame, shape: DataFrame
     )
 
 
+def nearest_means(points: DataFrame, means: DataFrame, chunk_rows: int = HELD_CENTROIDS) -> DataFrame:
+    """``(grp, id, cluster, dist)``: the nearest of the ``means(grp, cluster, vec)`` of its group for each of ``points(grp, id, vec)``, in bounded blocks."""
+    blocks = points.groupBy("grp").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("blocks"))
+    chunks = means.groupBy("grp").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
+    return _nearest_in_chunks(points, means, broadcast_if_small(cut(blocks.join(chunks, "grp"))))
+
+
+def _means(points: DataFrame) -> DataFrame:
+    """``(grp, cluster, mean)`` of ``points(grp, cluster, id, vec)``: rows are added up as they stream by, in the order of their ids."""
+
+    def run(batches):
+        key, total, n = None, None, 0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            new = (pdf["grp"] != pdf["grp"].shift()) | (pdf["cluster"] != pdf["cluster"].shift())
+            at, rows, first = new.cumsum().to_numpy() - 1, _stack(pdf["vec"]), pdf[new]
+            keys = list(zip(first["grp"], first["cluster"]))
+            sums, counts = np.zeros((len(keys), rows.shape[1])), np.zeros(len(keys))
+            done = []
+            if keys[0] == key:
+                sums[0], counts[0] = total, n
+            elif key is not None:
+                done.append((*key, total / n))
+            np.add.at(sums, at, rows)
+            counts += np.bincount(at, minlength=len(keys))
+            done += [(*k, s / c) for k, s, c in zip(keys[:-1], sums, counts)]
+            key, total, n = keys[-1], sums[-1], counts[-1]
+            yield pd.DataFrame(done, columns=["grp", "cluster", "mean"])
+        if key is not None:
+            yield pd.DataFrame([(*key, total / n)], columns=["grp", "cluster", "mean"])
+
+    dealt = points.select("grp", "cluster", "id", "vec").repartition("grp", "cluster").sortWithinPartitions("grp", "cluster", "id")
+    return dealt.mapInPandas(run, "grp string, cluster bigint, mean array<double>")
+
+
 def ranked(rows: DataFrame, by: str, order: list[Column]) -> DataFrame:
     """Exact ``place`` (from 0) of every row inside its group, in no single task.
 
@@ -234,7 +292,7 @@ def ranked(rows: DataFrame, by: str, order: list[Column]) -> DataFrame:
     )
 
 
-def _large_groups(points: DataFrame, sizes: DataFrame, seed: int, max_iterations: int, chunk_rows: int) -> DataFrame:
+def _large_groups(points: DataFrame, sizes: DataFrame, seed: int, max_iterations: int | None, chunk_rows: int) -> DataFrame:
     """Clusters for groups too large for one task, all of them at once."""
     points = cut(points)
     # One row per group too large for a task: at most the rows over the size of a task.
@@ -267,22 +325,20 @@ def _large_groups(points: DataFrame, sizes: DataFrame, seed: int, max_iterations
         )
     centroids = cut(seeds)
     to = points.select("grp", "id", F.lit(0).cast("bigint").alias("cluster"))
-    for _ in range(max_iterations):
+    seen = set()
+    for _ in _rounds(max_iterations):
         assigned = cut(_nearest_in_chunks(points, centroids, shape(F.col("k"))).select("grp", "id", "cluster"))
         moved = assigned.join(to.withColumnRenamed("cluster", "old"), ["grp", "id"]).where("cluster <> old")
         still = moved.isEmpty()
+        if not still and max_iterations is None:
+            # Clusters of an earlier round come back where distances differ by rounding only.
+            mark = assigned.agg(F.sum(F.xxhash64("grp", "id", "cluster").cast("decimal(38,0)"))).first()[0]
+            still = mark in seen
+            seen.add(mark)
         to = assigned
         if still:
             break
-        means = (
-            points.join(to, ["grp", "id"])
-            .select("grp", "cluster", F.posexplode("vec").alias("dim", "x"))
-            .groupBy("grp", "cluster", "dim")
-            .agg(F.avg("x").alias("x"))
-            .groupBy("grp", "cluster")
-            .agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("dims"))
-            .select("grp", "cluster", F.transform("dims", lambda d: d["x"]).alias("mean"))
-        )
+        means = _means(points.join(to, ["grp", "id"]))
         centroids = cut(
             centroids.join(means, ["grp", "cluster"], "left").select(
                 "grp", "cluster", F.coalesce("mean", "vec").alias("vec")
@@ -294,7 +350,7 @@ def _large_groups(points: DataFrame, sizes: DataFrame, seed: int, max_iterations
 def cluster_groups(
     points: DataFrame,
     seed: int = 42,
-    max_iterations: int = MAX_ITERATIONS,
+    max_iterations: int | None = MAX_ITERATIONS,
     group_rows: int = GROUP_ROWS,
     chunk_rows: int = HELD_CENTROIDS,
 ) -> DataFrame:
@@ -304,6 +360,8 @@ def cluster_groups(
     larger ones by the partitioned loop.
     """
     points = cut(points.select("grp", "id", as_double(F.col("vec")).alias("vec")))
+    some = points.select(F.size("vec")).first()
+    group_rows = max(1, min(group_rows, GROUP_VALUES // max(1, some[0] if some else 1)))
     n = F.col("n")
     k = F.least(F.greatest(F.floor(n / 5), F.lit(2)), F.floor(n / 2))
     sizes = cut(points.groupBy("grp").agg(F.count("*").alias("n")).withColumn("k", k.cast("bigint")))

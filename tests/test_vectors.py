@@ -102,6 +102,39 @@ def test_kmeans_is_a_fixed_point(spark):
         assert near[to[i]] <= min(near.values()) + 1e-9
 
 
+def test_clusters_without_a_bound_end_when_no_row_moves(spark, monkeypatch):
+    """More rounds than the bound are needed here: one round leaves rows that another mean is nearer to."""
+    vectors = sample(300, ["g"], 0)
+    df = spark.createDataFrame(vectors, "grp string, id string, vec array<double>")
+    data = {i: np.array(v) for _, i, v in vectors}
+
+    def settled(to):
+        means = {c: np.mean([data[i] for i in to if to[i] == c], axis=0) for c in set(to.values())}
+        near = {i: {c: kmeans.cosine_distances(v[None, :], m[None, :])[0, 0] for c, m in means.items()} for i, v in data.items()}
+        return all(near[i][to[i]] <= min(near[i].values()) + 1e-9 for i in data)
+
+    assert not settled(dict(rows(kmeans.kmeans(df.select("id", "vec"), 8, max_iterations=1))))
+    assert settled(dict(rows(kmeans.kmeans(df.select("id", "vec"), 8, max_iterations=None))))
+    whole = rows(kmeans.cluster_groups(df, max_iterations=None))
+    assert settled({i: c for _, i, c in whole})
+    monkeypatch.setattr(kmeans, "DISTANCE_ROWS", 7)
+    assert rows(kmeans.cluster_groups(df, max_iterations=None)) == whole
+    monkeypatch.setattr(kmeans, "GROUP_VALUES", 6 * 50)
+    assert rows(kmeans.cluster_groups(df, max_iterations=None)) == whole
+
+
+def test_nearest_means_meet_in_bounded_blocks(spark):
+    """No row of a vector and a mean is made for each pair of them."""
+    vectors = sample(60, ["a", "b"], 0)
+    points = spark.createDataFrame(vectors, "grp string, id string, vec array<double>")
+    means = spark.createDataFrame([(g, c, vectors[c * 3][2]) for g in "ab" for c in range(11)], "grp string, cluster bigint, vec array<double>")
+    got = {(r["grp"], r["id"]): r["dist"] for r in kmeans.nearest_means(points, means, chunk_rows=4).collect()}
+    centroids = np.array([vectors[c * 3][2] for c in range(11)])
+    assert len(got) == len(vectors)
+    for g, i, v in vectors:
+        assert abs(got[g, i] - kmeans.cosine_distances(np.array([v]), centroids).min()) < 1e-12
+
+
 def test_groups_are_clustered_alike_in_one_task_and_in_many(spark):
     """The partitioned loop ends in a fixed point with as many clusters as asked for."""
     vectors = sample(88, ["big", "big", "big", "mid"], 0) + [("tiny", f"t{i}", [1.0, float(i)] + [0.0] * 4) for i in range(3)]
