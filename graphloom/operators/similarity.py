@@ -21,9 +21,17 @@ from graphloom.functions.vectors import as_double, norm
 from graphloom.model import PropertyGraph
 from graphloom.session import BROADCAST_ROWS, broadcast_if_small, cut
 
-TILE_ROWS = 2048
+# Every pair of tiles is shuffled, so that tiles are large: rows, and numbers in their vectors.
+TILE_ROWS = 16_384
+TILE_VALUES = 1 << 20
+# Rows whose scores a task holds at once.
+SCORED_ROWS = 256
+# Tile pairs of one task.
+TASK_PAIRS = 4
 MAX_PIVOTS = 512
 FIRST_TILE_PAIRS = 64
+# So many groups fit a tile that is shared.
+PACKED = 8
 SEAM_ROWS = 50
 # Scores are compared at this many decimals, so that float noise orders no pairs.
 SCORE_DECIMALS = 9
@@ -53,15 +61,18 @@ def _tiled(rows: DataFrame, total: int, tile_rows: int) -> tuple[DataFrame, np.n
 
     Groups that fit a tile are packed together by hash; larger ones are split.
     """
-    sizes = rows.groupBy("grp").agg(F.count("*").alias("grp_rows"))
+    sizes = cut(rows.groupBy("grp").agg(F.count("*").alias("grp_rows")))
     packs = max(1, math.ceil(total / tile_rows))
     pack = F.concat(F.lit("pack "), F.pmod(F.xxhash64("grp"), F.lit(packs)).cast("string"))
     small = F.col("grp_rows") <= tile_rows
+    # Groups that nearly fill a tile are one each.
     homed = rows.join(broadcast_if_small(sizes), "grp").select(
-        "grp", "id", "vec", F.when(small, pack).otherwise(F.concat(F.lit("group "), "grp")).alias("home"),
+        "grp", "id", "vec", F.when(F.col("grp_rows") * PACKED <= tile_rows, pack).otherwise(F.concat(F.lit("group "), "grp")).alias("home"),
         small.alias("packed"),
     )
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(min(MAX_PIVOTS, packs)).select("vec").collect()
+    # Pivots cut every group that is split: more than its tiles would make smaller tiles, and far more pairs of them.
+    largest = sizes.agg(F.max("grp_rows")).first()[0]
+    picked = rows.orderBy(F.xxhash64("id"), "id").limit(min(MAX_PIVOTS, math.ceil(largest / tile_rows))).select("vec").collect()
     pivots = np.array([r["vec"] for r in picked])
 
     def nearest(batches):
@@ -131,8 +142,9 @@ def _tile_pairs(rows: DataFrame, pivots: np.ndarray, closest: bool, threshold: f
     )
 
 
-def _score(rows: DataFrame, pairs: DataFrame, limit: int, threshold: float, closest: bool) -> DataFrame:
-    """The best ``limit`` pairs of every tile pair."""
+def _score(rows: DataFrame, pairs: DataFrame, limit: int, threshold: float, closest: bool, last: float | None = None) -> DataFrame:
+    """The best ``limit`` pairs of every tile pair; with ``last``, only those at least as good as that score."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(pairs.count() / TASK_PAIRS))
 
     def side(letter: str) -> DataFrame:
         keys = pairs.select(
@@ -141,32 +153,47 @@ def _score(rows: DataFrame, pairs: DataFrame, limit: int, threshold: float, clos
         )
         columns = ["pid", "diagonal", "grp", "id", "vec"]
         # Fresh column identities: both sides of the cogroup come from the same frame.
-        return rows.join(keys, ["home", "cell", "ring", "part"]).select(*columns).toDF(*columns)
-
-    def best_of(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        others = dict(tuple(right.groupby("grp")))
-        for grp, a in left.groupby("grp"):
-            b = others.get(grp)
-            if b is None:
-                continue
-            a, b = a.sort_values("id"), b.sort_values("id")
-            scores = np.round((1 + np.stack(a["vec"].to_numpy()) @ np.stack(b["vec"].to_numpy()).T) / 2, SCORE_DECIMALS)
-            good = scores >= threshold if closest else scores < threshold
-            if a["diagonal"].iloc[0]:
-                good = np.triu(good, k=1)
+        return rows.join(keys, ["home", "cell", "ring", "part"]).select(*columns).toDF(*columns).repartition(tasks, "pid")
+
+    def best_of_group(grp: str, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame | None:
+        a, b = a.sort_values("id"), b.sort_values("id")
+        diagonal = a["diagonal"].iloc[0]
+        ids_a, ids_b = a["id"].to_numpy(), b["id"].to_numpy()
+        left, right = np.stack(a["vec"].to_numpy()), np.stack(b["vec"].to_numpy()).T
+        bound, best = last, None
+        for start in range(0, len(left), SCORED_ROWS):
+            skipped = start if diagonal else 0
+            cosines = left[start : start + SCORED_ROWS] @ right[:, skipped:]
+            # A first look at unrounded scores; those it lets pass are rounded and compared.
+            if closest:
+                good = cosines >= 2 * (threshold if bound is None else max(threshold, bound)) - 1 - SLACK
+            else:
+                good = cosines <= 2 * (threshold if bound is None else min(threshold, bound)) - 1 + SLACK
             i, j = np.nonzero(good)
+            if diagonal:
+                i, j = i[j > i], j[j > i]
+            scores = np.round((1 + cosines[i, j]) / 2, SCORE_DECIMALS)
+            inside = scores >= threshold if closest else scores < threshold
+            i, j, scores = i[inside], j[inside], scores[inside]
             if not len(i):
                 continue
-            rank = -scores[i, j] if closest else scores[i, j]
+            rank = -scores if closest else scores
             if len(rank) > limit:
                 keep = rank <= np.partition(rank, limit - 1)[limit - 1]
                 i, j, rank = i[keep], j[keep], rank[keep]
-            ids_a, ids_b = a["id"].to_numpy()[i], b["id"].to_numpy()[j]
-            swap = ids_a > ids_b
-            first, second = np.where(swap, ids_b, ids_a), np.where(swap, ids_a, ids_b)
-            found = pd.DataFrame({"grp": grp, "id_a": first, "id_b": second, "similarity": np.abs(rank)})
-            out.append(found.assign(rank=rank).sort_values(["rank", "id_a", "id_b"]).head(limit).drop(columns="rank"))
+            one, two = ids_a[i + start], ids_b[j + skipped]
+            swap = one > two
+            found = pd.DataFrame({"grp": grp, "id_a": np.where(swap, two, one), "id_b": np.where(swap, one, two), "similarity": np.abs(rank), "rank": rank})
+            best = (found if best is None else pd.concat([best, found])).sort_values(["rank", "id_a", "id_b"]).head(limit)
+            if len(best) == limit:
+                worst = float(best["similarity"].iloc[-1])
+                bound = worst if bound is None else max(bound, worst) if closest else min(bound, worst)
+        return None if best is None else best.drop(columns="rank")
+
+    def best_of(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        others = dict(tuple(right.groupby("grp")))
+        out = [best_of_group(grp, a, others[grp]) for grp, a in left.groupby("grp") if grp in others]
+        out = [found for found in out if found is not None]
         if not out:
             return pd.DataFrame(columns=["grp", "id_a", "id_b", "similarity"], dtype=object)
         return pd.concat(out)
@@ -187,6 +214,7 @@ def best_pairs(
     order = [F.desc("similarity") if closest else F.asc("similarity"), "grp", "id_a", "id_b"]
     if total < 2:
         return rows.sparkSession.createDataFrame([], _PAIR_SCHEMA)
+    tile_rows = max(1, min(tile_rows, TILE_VALUES // len(rows.select("vec").first()[0])))
     if total <= tile_rows:
         tiled = rows.selectExpr("grp", "id", "vec", "'all' as home", "-1 as cell", "0 as ring", "0 as part")
         alone = rows.sparkSession.range(1).selectExpr(
@@ -200,15 +228,17 @@ def best_pairs(
     first = cut(pairs.orderBy(*promising).limit(FIRST_TILE_PAIRS))
     found = cut(_score(tiled, first, limit, threshold, closest).orderBy(*order).limit(limit))
     rest = pairs.join(first.select("pid"), "pid", "left_anti")
+    last = None
     if found.count() == limit:
         # The report is full: other tile pairs must be able to match its last row.
         last = found.agg(F.min("similarity") if closest else F.max("similarity")).first()[0]
         bound = math.acos(max(-1.0, min(1.0, 2 * last - 1)))
         rest = rest.where(F.col("best") <= bound + SLACK if closest else F.col("best") >= bound - SLACK)
+    rest = cut(rest)
     if rest.isEmpty():
         return found
-    more = _score(tiled, rest, limit, threshold, closest)
-    return found.unionByName(more).orderBy(*order).limit(limit)
+    more = _score(tiled, rest, limit, threshold, closest, last)
+    return cut(found.unionByName(more).orderBy(*order).limit(limit))
 
 
 def find_duplicates(graph: PropertyGraph, threshold: float = 0.5, limit: int = 10) -> DataFrame:

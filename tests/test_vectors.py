@@ -102,6 +102,18 @@ def test_kmeans_is_a_fixed_point(spark):
         assert near[to[i]] <= min(near.values()) + 1e-9
 
 
+def test_tiles_of_groups_are_as_large_as_they_may_be(spark):
+    """Pivots follow the largest group, not all rows: tiles of many groups stay few."""
+    vectors = [(f"g{n % 8}", i, v) for n, (_, i, v) in enumerate(sample(640, ["g"], 0))]
+    df = spark.createDataFrame(vectors, "grp string, id string, vec array<double>")
+    tiled, pivots = similarity._tiled(similarity._unit_rows(df, 5), 640, 40)
+    assert len(pivots) == 2
+    assert tiled.select("home", "cell", "ring", "part").distinct().count() <= 8 * 4
+    for closest, threshold in ((True, 0.5), (False, 0.9)):
+        got = [tuple(r) for r in similarity.best_pairs(df, 30, threshold, closest, tile_rows=40).collect()]
+        assert got == brute_pairs(vectors, 30, threshold, closest)
+
+
 def test_clusters_without_a_bound_end_when_no_row_moves(spark, monkeypatch):
     """More rounds than the bound are needed here: one round leaves rows that another mean is nearer to."""
     vectors = sample(300, ["g"], 0)
