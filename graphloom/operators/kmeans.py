@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions.vectors import as_double
-from graphloom.session import broadcast_if_small, cut
+from graphloom.session import broadcast_if_small, cut, cut_in_place
 
 MAX_ITERATIONS = 50
 # Up to this many centroids are held by every task; beyond it they are joined in chunks.
@@ -32,6 +32,11 @@ GROUP_ROWS = 16_384
 GROUP_VALUES = 1 << 20
 # Rows whose distances to all centroids a task holds at once.
 DISTANCE_ROWS = 1024
+# Of larger groups, rows in a block, and numbers of a block or of the centroids that meet it.
+BLOCK_ROWS = 32_768
+BLOCK_VALUES = 1 << 22
+# Distances that differ by less may be in either order, by rounding.
+ROUNDING = 1e-12
 
 
 def cosine_distances(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -51,6 +56,45 @@ def _nearest(rows: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.nd
     return at, least
 
 
+def _own_distance(rows: np.ndarray, centroids: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """The distance of every row to the centroid it is with."""
+    out = np.empty(len(rows))
+    for start in range(0, len(rows), DISTANCE_ROWS):
+        part = slice(start, start + DISTANCE_ROWS)
+        a, b = rows[part], centroids[to[part]]
+        lengths = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
+        dots = np.einsum("ij,ij->i", a, b)
+        out[part] = 1.0 - np.divide(dots, lengths, out=np.zeros_like(dots), where=lengths > 0)
+    return out
+
+
+def _nearest_again(rows: np.ndarray, centroids: np.ndarray, moved: np.ndarray, to: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`_nearest` after some centroids ``moved``; ``to`` and ``least`` are what it gave before they did.
+
+    Centroids that stay are as far as they were, so a row that is no farther from its own one than before meets only those that moved.
+    A row whose own centroid went away meets all of them.
+    """
+    at = np.flatnonzero(moved)
+    if not len(at):
+        return to, least
+    if 2 * len(at) > len(centroids):
+        return _nearest(rows, centroids)
+    away = np.flatnonzero(moved[to])
+    away = away[_own_distance(rows[away], centroids, to[away]) > least[away] - ROUNDING]
+    all_of = np.zeros(len(rows), dtype=bool)
+    all_of[away] = True
+    to, least = to.copy(), least.copy()
+    some = np.flatnonzero(~all_of)
+    stays = ~moved[to[some]]
+    found, distance = _nearest(rows[some], centroids[at])
+    found = at[found]
+    # Its own centroid, where it stays, is left only for a nearer one, or for an equally near one that comes first.
+    better = ~stays | (distance < least[some]) | ((distance == least[some]) & (found < to[some]))
+    to[some[better]], least[some[better]] = found[better], distance[better]
+    to[away], least[away] = _nearest(rows[away], centroids)
+    return to, least
+
+
 def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype("float64")
 
@@ -186,9 +230,10 @@ def _local(ids: np.ndarray, vectors: np.ndarray, draws: np.ndarray, k: int, max_
         at += fresh.tolist()
         nearest = np.minimum(nearest, _nearest(vectors, vectors[fresh])[1])
     centroids, to = vectors[at].copy(), np.zeros(len(vectors), dtype=int)
+    least, moved = np.zeros(len(vectors)), np.ones(len(centroids), dtype=bool)
     seen = set()
     for _ in _rounds(max_iterations):
-        near = _nearest(vectors, centroids)[0]
+        near, least = _nearest_again(vectors, centroids, moved, to, least)
         if (near == to).all() or (mark := hash(near.tobytes())) in seen:
             break
         seen.add(mark)
@@ -196,7 +241,9 @@ def _local(ids: np.ndarray, vectors: np.ndarray, draws: np.ndarray, k: int, max_
         sums, counts = np.zeros_like(centroids), np.bincount(to, minlength=k)
         np.add.at(sums, to, vectors)
         filled = counts > 0
-        centroids[filled] = sums[filled] / counts[filled, None]
+        means = centroids.copy()
+        means[filled] = sums[filled] / counts[filled, None]
+        moved, centroids = (means != centroids).any(axis=1), means
     return to
 
 
@@ -292,58 +339,126 @@ def ranked(rows: DataFrame, by: str, order: list[Column]) -> DataFrame:
     )
 
 
-def _large_groups(points: DataFrame, sizes: DataFrame, seed: int, max_iterations: int | None, chunk_rows: int) -> DataFrame:
-    """Clusters for groups too large for one task, all of them at once."""
+def _beside(points: DataFrame, state: DataFrame, centers: DataFrame, shape: DataFrame, parts: int, work, out: str) -> DataFrame:
+    """``work(points, state, centers)`` of every block and chunk of a group.
+
+    ``points(grp, block, chunk, id, vec)`` lie in ``parts`` by block and chunk and stay there. What comes to them is ``state(grp, block, id, cluster, dist)``,
+    a few numbers a row, and the ``centers(grp, cluster, vec, moved)`` of their chunk, once for each block.
+    """
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    sides = shape.select("grp", "blocks", "chunks", F.col("chunks").alias("of"))
+    rows = state.join(sides, "grp").select(
+        "grp", "block", each(F.col("chunks")).alias("chunk"), "id", "cluster", "dist", F.lit(None).cast("array<double>").alias("vec"), F.lit(False).alias("moved"), "of"
+    )
+    means = centers.join(sides, "grp").select(
+        "grp", each(F.col("blocks")).alias("block"), F.pmod(F.xxhash64("cluster"), F.col("chunks")).cast("int").alias("chunk"),
+        F.lit(None).cast("string").alias("id"), "cluster", F.lit(None).cast("double").alias("dist"), "vec", "moved", "of",
+    )
+    keys = ["grp", "block", "chunk"]
+    right = rows.unionByName(means).repartition(parts, *keys)
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        mine = b["id"].notna()
+        a, now, near = a.sort_values("id"), b[mine].sort_values("id"), b[~mine].sort_values("cluster")
+        if not len(a) or not len(near):
+            return pd.DataFrame(columns=[c.split()[0] for c in out.split(", ")], dtype=object)
+        return work(a.reset_index(drop=True), now.reset_index(drop=True), near.reset_index(drop=True))
+
+    # Fresh column identities: centers may come from the points themselves.
+    right = right.toDF(*right.columns)
+    return points.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, out)
+
+
+def _seeded(a: pd.DataFrame, now: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+    """The distance of rows to the nearest seed, after ``near`` came to the seeds there were."""
+    least = np.minimum(now["dist"].to_numpy("float64"), _nearest(_stack(a["vec"]), _stack(near["vec"]))[1])
+    return pd.DataFrame({"grp": a["grp"], "block": a["block"], "id": a["id"], "cluster": now["cluster"], "dist": least})
+
+
+def _assigned(a: pd.DataFrame, now: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+    """The nearest centroid of rows, that before (``old``) and the distance."""
+    rows, centroids, clusters = _stack(a["vec"]), _stack(near["vec"]), near["cluster"].to_numpy("int64")
+    old = now["cluster"].to_numpy("int64")
+    if near["of"].iloc[0] == 1:
+        to, least = _nearest_again(rows, centroids, near["moved"].to_numpy(bool), np.searchsorted(clusters, old), now["dist"].to_numpy("float64"))
+    else:
+        to, least = _nearest(rows, centroids)
+    return pd.DataFrame({"grp": a["grp"], "block": a["block"], "id": a["id"], "cluster": clusters[to], "dist": least, "old": old})
+
+
+def _large_groups(points: DataFrame, sizes: DataFrame, seed: int, max_iterations: int | None, chunk_rows: int | None) -> DataFrame:
+    """Clusters for groups too large for one task, all of them at once; ``chunk_rows`` bounds what a task holds, by default the numbers of a vector do."""
     points = cut(points)
     # One row per group too large for a task: at most the rows over the size of a task.
     ks = broadcast_if_small(cut(sizes.select("grp", "n", "k")))
-
-    def shape(seeds: Column) -> DataFrame:
-        blocks, chunks = F.ceil(F.col("n") / chunk_rows), F.greatest(F.ceil(seeds / chunk_rows), F.lit(1))
-        return ks.select("grp", blocks.cast("int").alias("blocks"), chunks.cast("int").alias("chunks"))
+    some = points.select(F.size("vec")).first()
+    held = chunk_rows or max(1, BLOCK_VALUES // max(1, some[0]))
+    shape = broadcast_if_small(cut(ks.select(
+        "grp", F.ceil(F.col("n") / min(held, BLOCK_ROWS)).cast("int").alias("blocks"), F.greatest(F.ceil(F.col("k") / held), F.lit(1)).cast("int").alias("chunks")
+    )))
+    parts = max(points.sparkSession.sparkContext.defaultParallelism, shape.agg(F.sum(F.col("blocks") * F.col("chunks"))).first()[0])
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
+    dealt = points.join(shape, "grp").select("grp", block, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "id", "vec")
+    placed = cut_in_place(dealt.repartition(parts, "grp", "block", "chunk").sortWithinPartitions("grp", "block", "chunk", "id"))
 
     rounds = math.ceil(math.log2(ks.agg(F.max("k")).first()[0]))
     first = points.withColumn("u", _uniform(seed, 0)).groupBy("grp").agg(F.min(F.struct("u", "id")).alias("m"))
     picked = first.select("grp", F.col("m.id").alias("id"), F.lit(0).cast("bigint").alias("cluster"))
-    seeds = cut(picked.join(points, ["grp", "id"]).select("grp", "cluster", "vec"))
-    near = cut(_nearest_in_chunks(points, seeds, shape(F.lit(1))).select("grp", "id", "dist"))
-    for r in range(1, rounds + 1):
-        have = 2 ** (r - 1)
-        drawn = ranked(near.withColumn("key", _draw_key(F.col("dist"), seed, r)), "grp", [F.col("key"), F.col("id")])
-        fresh = (
-            drawn.join(ks.select("grp", "k"), "grp")
-            .where(F.col("place") < F.least(F.lit(have), F.col("k") - have))
-            .select("grp", "id", (F.col("place") + have).alias("cluster"))
-        )
-        new = cut(fresh.join(points, ["grp", "id"]).select("grp", "cluster", "vec"))
-        if new.isEmpty():
+    new = cut(picked.join(points, ["grp", "id"]).select("grp", "cluster", "vec"))
+    single, of_seeds = shape.select("grp", "blocks", "chunks"), "grp string, block int, id string, cluster bigint, dist double"
+    near = placed.where("chunk = 0").select("grp", "block", "id", F.lit(-1).cast("bigint").alias("cluster"), F.lit(float("inf")).alias("dist"))
+    seeds = new
+    for r in range(rounds + 1):
+        if r:
+            have = 2 ** (r - 1)
+            drawn = ranked(near.select("grp", "id", _draw_key(F.col("dist"), seed, r).alias("key")), "grp", [F.col("key"), F.col("id")])
+            fresh = (
+                drawn.join(ks.select("grp", "k"), "grp")
+                .where(F.col("place") < F.least(F.lit(have), F.col("k") - have))
+                .select("grp", "id", (F.col("place") + have).alias("cluster"))
+            )
+            new = cut(fresh.join(points, ["grp", "id"]).select("grp", "cluster", "vec"))
+            if new.isEmpty():
+                break
+            seeds = seeds.unionByName(new)
+        if r == rounds:
             break
-        seeds = seeds.unionByName(new)
-        closer = _nearest_in_chunks(points, new, shape(F.least(F.lit(have), F.col("k") - have))).select("grp", "id", F.col("dist").alias("d2"))
-        near = cut(
-            near.join(closer, ["grp", "id"], "left").select("grp", "id", F.least("dist", F.coalesce("d2", "dist")).alias("dist"))
-        )
-    centroids = cut(seeds)
-    to = points.select("grp", "id", F.lit(0).cast("bigint").alias("cluster"))
+        closer = _beside(placed, near, new.withColumn("moved", F.lit(True)), single, parts, _seeded, of_seeds)
+        # Groups that have their seeds already get none, and rows of blocks whose chunk got none keep what they have.
+        least = closer.unionByName(near).groupBy("grp", "block", "id").agg(F.min("dist").alias("dist"))
+        near = cut(least.select("grp", "block", "id", F.lit(-1).cast("bigint").alias("cluster"), "dist"))
+    centroids = cut(seeds.withColumn("moved", F.lit(True)))
+    to = near.select("grp", "block", "id", F.lit(0).cast("bigint").alias("cluster"), "dist")
+    several = shape.where("chunks > 1").limit(1).count() > 0
     seen = set()
-    for _ in _rounds(max_iterations):
-        assigned = cut(_nearest_in_chunks(points, centroids, shape(F.col("k"))).select("grp", "id", "cluster"))
-        moved = assigned.join(to.withColumnRenamed("cluster", "old"), ["grp", "id"]).where("cluster <> old")
+    for turn in _rounds(max_iterations):
+        found = _beside(placed, to, centroids, shape, parts, _assigned, f"{of_seeds}, old bigint")
+        if several:
+            best = found.groupBy("grp", "block", "id").agg(F.min(F.struct("dist", "cluster")).alias("best"), F.first("old").alias("old"))
+            found = best.select("grp", "block", "id", "best.cluster", "best.dist", "old")
+        to = cut(found)
+        moved = to.where("cluster <> old")
         still = moved.isEmpty()
         if not still and max_iterations is None:
             # Clusters of an earlier round come back where distances differ by rounding only.
-            mark = assigned.agg(F.sum(F.xxhash64("grp", "id", "cluster").cast("decimal(38,0)"))).first()[0]
+            mark = to.agg(F.sum(F.xxhash64("grp", "id", "cluster").cast("decimal(38,0)"))).first()[0]
             still = mark in seen
             seen.add(mark)
-        to = assigned
         if still:
             break
-        means = _means(points.join(to, ["grp", "id"]))
+        # Of clusters that have the rows they had, the means stay. In the first round no mean is known.
+        rows = to.select("grp", "block", "id", "cluster")
+        if turn:
+            touched = moved.select("grp", "cluster").unionByName(moved.select("grp", F.col("old").alias("cluster"))).distinct()
+            rows = rows.join(broadcast_if_small(cut(touched)), ["grp", "cluster"], "left_semi")
+        rows = rows.select("grp", "block", F.lit(0).alias("chunk"), "id", "cluster").repartition(parts, "grp", "block", "chunk")
+        means = _means(placed.join(rows.hint("merge"), ["grp", "block", "chunk", "id"]))
         centroids = cut(
-            centroids.join(means, ["grp", "cluster"], "left").select(
-                "grp", "cluster", F.coalesce("mean", "vec").alias("vec")
+            centroids.select("grp", "cluster", "vec").join(means, ["grp", "cluster"], "left").select(
+                "grp", "cluster", F.coalesce("mean", "vec").alias("vec"), (~F.coalesce(F.col("mean") == F.col("vec"), F.lit(True))).alias("moved")
             )
         )
+        to = to.select("grp", "block", "id", "cluster", "dist")
     return to.select("grp", "id", F.col("cluster").cast("int").alias("cluster"))
 
 
@@ -352,7 +467,7 @@ def cluster_groups(
     seed: int = 42,
     max_iterations: int | None = MAX_ITERATIONS,
     group_rows: int = GROUP_ROWS,
-    chunk_rows: int = HELD_CENTROIDS,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """``(grp, id, cluster)``: every group split on its own into a fifth as many clusters.
 

@@ -58,6 +58,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_in_place(df: DataFrame) -> DataFrame:
+    """``cut`` for work on rows that were dealt out by a key before: what follows knows how they lie and shuffles nothing for that key.
+
+    A plan that may change while it runs says nothing about how its rows lie, so this one is made in full beforehand.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return cut(df)
+    finally:
+        conf.set(name, before)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` after counting it, up to a bound; leave it as it is beyond.
 

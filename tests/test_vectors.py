@@ -273,3 +273,29 @@ def test_history_of_a_log(spark):
         "f2": (3, "2023-01-04T10:00:00Z", ["f1"]),
         "f3": (2, "2023-01-03T10:00:00Z", []),
     }
+
+
+def test_later_rounds_compare_only_what_moved(monkeypatch):
+    rng = np.random.default_rng(8)
+    data, ids, k = rng.normal(size=(600, 8)), np.array([f"r{i:03d}" for i in range(600)]), 120
+    draws = 1.0 - rng.random((600, 9))
+    plain, cells = kmeans.cosine_distances, []
+
+    def counted(rows, centroids):
+        cells.append(len(rows) * len(centroids))
+        return plain(rows, centroids)
+
+    seeds = kmeans._local(ids, data, draws, k, 0)
+    assert not seeds.any()
+    monkeypatch.setattr(kmeans, "cosine_distances", counted)
+    kmeans._local(ids, data, draws, k, 0)
+    before = sum(cells)
+    cells.clear()
+    to = kmeans._local(ids, data, draws, k, None)
+    spent = sum(cells) - before
+    # The same rows under the same means, and each with the nearest of them.
+    means = np.stack([data[to == c].mean(axis=0) if (to == c).any() else np.full(8, np.nan) for c in range(k)])
+    filled = np.unique(to)
+    assert (filled[plain(data, means[filled]).argmin(axis=1)] == to).all()
+    rounds = next(r for r in range(1, 100) if (kmeans._local(ids, data, draws, k, r) == to).all())
+    assert rounds > 4 and spent < 0.6 * rounds * len(data) * k
