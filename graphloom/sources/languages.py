@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import clean_components
 from graphloom.model import PropertyGraph, conform_nodes
-from graphloom.session import cut, sorted_join, spread
+from graphloom.session import cut_in_place, shares, sorted_join
 from graphloom.sources.lexer import without_comments
 from graphloom.sources.scopes import enclosing, innermost, names_of, numbered_lines, with_ends, with_levels
 
@@ -171,12 +171,17 @@ def page_language(path: Column, text: Column) -> Column:
     )
 
 
-def prepare(files: DataFrame) -> DataFrame:
+def supported(files: DataFrame) -> DataFrame:
+    """``(path, lang, text)`` of files in a known language, with slashes in their paths."""
+    named = files.select(F.replace("path", F.lit("\\"), F.lit("/")).alias("path"), "text")
+    return named.select("path", detect_language(F.col("path")).alias("lang"), "text").where("lang is not null")
+
+
+def prepare(known: DataFrame) -> DataFrame:
     """``(path, lang, text, shift)`` of supported files; pages become their code.
 
     Visual Basic in a page is wrapped in a module, which moves its lines by one.
     """
-    known = files.withColumn("path", F.replace("path", F.lit("\\"), F.lit("/"))).withColumn("lang", detect_language(F.col("path"))).where("lang is not null")
     page = F.col("lang") == "asp"
     lang = F.when(page, page_language(F.col("path"), F.col("text"))).otherwise(F.col("lang"))
     masked = F.when(page, mask_page(F.col("text"))).otherwise(F.col("text"))
@@ -209,22 +214,32 @@ def _signature(params: Column, lang: str) -> Column:
     return F.concat(F.lit("("), F.array_join(_parameter_types(params, lang), "," if lang == "java" else ", "), F.lit(")"))
 
 
-def _with_heads(lines: DataFrame) -> DataFrame:
-    """Adds ``head``: the code of a line whose bracket stays open, read on to where it closes and a block or statement ends it.
+def _with_last(lines: DataFrame) -> DataFrame:
+    """Adds ``last``: of a line whose bracket stays open, the line where it closes and a block or statement ends it.
 
-    Where that is comes from one running window over the file read backwards; only lines that go on are joined with those they go on to.
+    Where that is comes from one running window over the file read backwards.
     """
     code = F.col("code")
     back = W.partitionBy("path").orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)
-    next_of = lambda mark: F.last(F.when(code.rlike(mark), F.col("n")), ignorenulls=True).over(back)
-    opens = F.size(F.split(code, "\\(")) > F.size(F.split(code, "\\)"))
-    marked = lines.withColumn("closes", F.when(code.contains(")"), F.col("n")).otherwise(next_of("\\)"))).withColumn("ends", next_of("[{;]"))
-    marked = cut(marked.withColumn("last", F.when(opens & F.col("closes").isNotNull(), F.greatest("closes", F.coalesce("ends", "closes")))))
+    next_of = lambda mark: F.last(F.when(code.contains(mark) if len(mark) == 1 else code.rlike(mark), F.col("n")), ignorenulls=True).over(back)
+    marked = lines.withColumn("closes", F.when(code.contains(")"), F.col("n")).otherwise(next_of(")"))).withColumn("ends", next_of("[{;]"))
+    last = F.when(_stays_open(code) & F.col("closes").isNotNull(), F.greatest("closes", F.coalesce("ends", "closes")))
+    return marked.withColumn("last", last).drop("closes", "ends")
+
+
+def _stays_open(code: Column) -> Column:
+    return F.size(F.split(code, "\\(")) > F.size(F.split(code, "\\)"))
+
+
+def _with_heads(marked: DataFrame) -> DataFrame:
+    """Adds ``head``: the code of a line whose bracket stays open, read on to ``last``; only such lines are joined with those they go on to."""
+    code = F.col("code")
     longer = marked.where(F.col("last") > F.col("n")).select("path", F.col("n").alias("at"), F.explode(F.sequence("n", "last")).alias("n"))
     parts = sorted_join(longer, marked.select("path", "n", "code"), ["path", "n"]).groupBy("path", F.col("at").alias("n"))
     heads = parts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "code"))), lambda x: x["code"]), " ").alias("whole"))
+    opens = _stays_open(code)
     whole = F.coalesce(F.regexp_extract("whole", "^[^)]*\\)[^{;]*[{;]?", 0), F.when(opens, F.regexp_extract(code, "^[^)]*\\)[^{;]*[{;]?", 0)), code)
-    return sorted_join(marked, heads, ["path", "n"], "left").withColumn("head", F.when(opens & F.col("last").isNotNull(), whole).otherwise(code)).drop("whole", "closes", "ends", "last")
+    return sorted_join(marked, heads, ["path", "n"], "left").withColumn("head", F.when(opens & F.col("last").isNotNull(), whole).otherwise(code)).drop("whole", "last")
 
 
 def _definitions(lines: DataFrame, rules: Rules, lang: str) -> DataFrame:
@@ -252,7 +267,9 @@ def _definitions(lines: DataFrame, rules: Rules, lang: str) -> DataFrame:
         offer(rules.constructor, "constructor", True)
     for pattern in rules.functions:
         offer(pattern, "function", bool(rules.statements) and lang != "vb")
-    found = lines.select("path", "n", "level", "after", "line", "code", F.coalesce(*offers).alias("d")).where("d is not null").select("*", "d.*")
+    # As a list of one or none: the patterns are matched once, where a filter would match them again.
+    offered = F.explode(F.array_compact(F.array(F.coalesce(*offers)))).alias("d")
+    found = lines.select("path", "n", "level", "after", "line", "code", offered).select("*", "d.*")
     closed = F.lit(False)
     if rules.style == "brace":
         one_line = own.contains("{") & (F.col("after") <= F.col("level"))
@@ -280,7 +297,7 @@ def _levelled(lines: DataFrame, rules: Rules) -> tuple[DataFrame, str]:
         first = header.withColumn("stops", F.sum(F.col("stop").cast("int")).over(W.partitionBy("path", "hs").orderBy("n")))
         ends = F.col("hs").isNotNull() & F.col("stop") & (F.col("stops") == 1)
         return with_levels(first, "keyword", opened, ends).drop("stop", "stops", "hs"), "keyword"
-    return with_levels(lines, rules.style), rules.style
+    return with_levels(_with_last(lines) if rules.style == "brace" else lines, rules.style), rules.style
 
 
 def _dotted(*parts: Column) -> Column:
@@ -311,11 +328,11 @@ def _node_id(lang: str, label: Column, fqn: Column, signature: Column) -> Column
     return fqn if lang == "vb" else F.concat_ws(":", label, fqn, signature)
 
 
-def _file_spaces(lines: DataFrame, lang: str) -> DataFrame:
+def _file_spaces(lines: DataFrame, texts: DataFrame, lang: str) -> DataFrame:
     """The package, or the namespace declared for a whole file, by path."""
     pattern = {"java": "^\\s*package\\s+([\\w.]+)\\s*;", "cs": "^\\s*namespace\\s+([\\w.]+)\\s*;"}.get(lang)
     if pattern is None:
-        return lines.select("path").distinct().withColumn("file_space", F.lit(None).cast("string"))
+        return texts.select("path").distinct().withColumn("file_space", F.lit(None).cast("string"))
     hit = F.when(F.col("line").rlike(pattern), F.regexp_extract("line", pattern, 1))
     return lines.groupBy("path").agg(F.max(hit).alias("file_space"))
 
@@ -366,20 +383,25 @@ def _java_type(name: Column) -> Column:
     return F.when(plain, name).otherwise(F.concat("file_space", F.lit("."), name))
 
 
-def _extract(files: DataFrame, lang: str) -> tuple[DataFrame, DataFrame]:
-    """Node and edge rows of the files of one language."""
+def _extract(files: DataFrame, lang: str, parts: int) -> tuple[DataFrame, DataFrame]:
+    """Node and edge rows of the files of one language.
+
+    Texts are dealt out by path into as many parts as the files. All that is read out of them stays where its file is: windows, groups
+    and joins by path, or by path and more, find their rows in place and shuffle nothing.
+    """
     rules = RULES[lang]
-    texts = cut(without_comments(files.where(F.col("lang") == lang), lang))
+    texts = cut_in_place(without_comments(files.where(F.col("lang") == lang), lang).repartition(parts, "path"))
     raw = numbered_lines(texts)
     lines, style = _levelled(raw, rules)
-    lines = cut(lines)
-    spaces = _file_spaces(lines, lang)
-    imports = cut(_imports(lines, texts, lang))
+    lines = cut_in_place(lines)
+    spaces = cut_in_place(_file_spaces(lines, texts, lang))
+    usings = cut_in_place(_usings(lines)) if lang == "cs" else None
+    imports = cut_in_place(_imports(lines, texts, lang))
     defs = with_ends(_definitions(lines, rules, lang), lines, style)
     if lang == "cs":
         # A namespace that ends with its own line covers the file; it is no block.
         defs = defs.where("not (kind = 'namespace' and closed)")
-    defs = cut(defs)
+    defs = cut_in_place(defs)
     keyed = defs.withColumn("item", F.concat_ws("#", "path", "n"))
     placed = sorted_join(enclosing(keyed, defs), spaces, "path", "left").select(
         "path", "n", "level", "end_line", "kind", "name", "signature", "line", "takes", "around", "file_space"
@@ -403,7 +425,7 @@ def _extract(files: DataFrame, lang: str) -> tuple[DataFrame, DataFrame]:
     nodes = placed.where("kind <> 'namespace'").withColumn("label", label).withColumn("fqn", fqn).withColumn(
         "id", _node_id(lang, F.col("label"), F.col("fqn"), signature)
     )
-    nodes = cut(nodes)
+    nodes = cut_in_place(nodes)
     owner = nodes.where("kind <> 'class'").select("path", F.col("n").alias("def_line"), F.col("id").alias("src"))
     klass = nodes.where("kind = 'class'").select("path", F.col("n").alias("class_line"), F.col("id").alias("class_id"), F.col("fqn").alias("class_fqn"))
     edges: list[DataFrame] = []
@@ -411,15 +433,15 @@ def _extract(files: DataFrame, lang: str) -> tuple[DataFrame, DataFrame]:
     members = sorted_join(nodes.where("kind <> 'class'").withColumn("class_line", innermost(around, "class")["n"]), klass, ["path", "class_line"])
     if lang in ("vb", "java"):
         edges.append(members.select(F.col("class_id").alias("src"), F.col("id").alias("dst"), F.lit("HAS_METHOD").alias("type")))
-    edges.extend(_inheritance(nodes, _usings(lines) if lang == "cs" else imports, lang))
+    edges.extend(_inheritance(nodes, imports if usings is None else usings, lang))
     if rules.field:
-        edges.append(_injected(members, lines, imports, lang))
+        edges.append(_injected(members, usings, imports, lang))
     field_rows = None
     if rules.field:
-        field_rows, field_nodes, more = _fields(lines, defs, klass, spaces, imports, rules, lang)
+        field_rows, field_nodes, more = _fields(lines, defs, klass, spaces, usings, imports, rules, lang)
         nodes = nodes.unionByName(field_nodes, allowMissingColumns=True)
         edges.extend(more)
-    edges.append(_calls(lines, defs, owner, spaces, imports, field_rows, klass, rules, lang))
+    edges.append(_calls(lines, defs, owner, spaces, usings, imports, field_rows, klass, rules, lang))
     if lang in ("cs", "java"):
         mark = "(?i)^\\s*\\[(?:Fact|Theory|Test)\\b" if lang == "cs" else "^\\s*@Test\\b"
         tagged = lines.where(F.col("line").rlike(mark)).select("path", (F.col("n") + 1).alias("n"))
@@ -465,13 +487,13 @@ def _inheritance(nodes: DataFrame, imports: DataFrame, lang: str) -> list[DataFr
     return out
 
 
-def _injected(members: DataFrame, lines: DataFrame, imports: DataFrame, lang: str) -> DataFrame:
+def _injected(members: DataFrame, usings: DataFrame | None, imports: DataFrame, lang: str) -> DataFrame:
     """DEPENDS_ON edges of a class to the parameter types of its constructors."""
     made = F.col("name") == "constructor" if lang == "ts" else F.col("kind") == "constructor"
     split = F.split(F.col("tname"), "[<>,\\s|&]+")
     whole = members.where(made).select("path", "around", "file_space", F.col("class_id").alias("src"), F.explode("takes").alias("tname"))
     if lang == "cs":
-        return _candidates(whole.withColumn("tname", F.regexp_replace("tname", "<.*|\\?|\\[\\]", "")), _usings(lines), "tname", "DEPENDS_ON")
+        return _candidates(whole.withColumn("tname", F.regexp_replace("tname", "<.*|\\?|\\[\\]", "")), usings, "tname", "DEPENDS_ON")
     each = whole.withColumn("tname", F.explode(F.filter(split, lambda t: (t != "") & ~t.isin("Array", "Promise"))))
     fallback = _java_type(F.col("tname")) if lang == "java" else F.concat("path", F.lit(":"), "tname")
     return _resolved(each, imports, "tname", "dst", fallback).select("src", "dst", F.lit("DEPENDS_ON").alias("type"))
@@ -494,7 +516,7 @@ def _candidates(rows: DataFrame, usings: DataFrame, column: str, edge: str, suff
     return here.unionByName(used).withColumn("type", F.lit(edge))
 
 
-def _fields(lines, defs, klass, spaces, imports, rules, lang):
+def _fields(lines, defs, klass, spaces, usings, imports, rules, lang):
     """Fields of classes: their types by name, their nodes, and the edges they add."""
     code = F.col("code")
     type_group, name_group = (2, 1) if lang == "ts" else (1, 2)
@@ -506,7 +528,7 @@ def _fields(lines, defs, klass, spaces, imports, rules, lang):
     inside = enclosing(found, defs).where(F.element_at(around, -1)["kind"] == "class").withColumn("class_line", innermost(around, "class")["n"])
     inside = sorted_join(sorted_join(inside, klass, ["path", "class_line"]), spaces, "path", "left")
     base = F.trim(F.regexp_replace("declared", "<.*|\\[\\]|\\?", ""))
-    rows = inside.withColumn("base", base)
+    rows = cut_in_place(inside.withColumn("base", base))
     label = F.lit("Field")
     node_fqn = F.concat("class_fqn", F.lit("."), "name")
     nodes = rows.select("path", "n", "name", label.alias("label"), node_fqn.alias("fqn"), F.concat_ws(":", label, node_fqn, F.lit("")).alias("id"), F.col("n").alias("end_line"))
@@ -514,7 +536,7 @@ def _fields(lines, defs, klass, spaces, imports, rules, lang):
     each = rows.select("path", "around", "file_space", F.col("class_id").alias("src"), F.explode(types).alias("tname"))
     edges = []
     if lang == "cs":
-        edges.append(_candidates(rows.select("path", "around", "file_space", F.col("class_id").alias("src"), F.col("base").alias("tname")), _usings(lines), "tname", "DEPENDS_ON"))
+        edges.append(_candidates(rows.select("path", "around", "file_space", F.col("class_id").alias("src"), F.col("base").alias("tname")), usings, "tname", "DEPENDS_ON"))
         known = rows.select("path", "class_line", F.col("name").alias("field"), F.col("base").alias("ftype"))
         return known, nodes, edges
     fallback = _java_type(F.col("tname")) if lang == "java" else F.concat("path", F.lit(":"), "tname")
@@ -526,7 +548,7 @@ def _fields(lines, defs, klass, spaces, imports, rules, lang):
     return known, nodes, edges
 
 
-def _calls(lines, defs, owner, spaces, imports, fields, klass, rules, lang) -> DataFrame:
+def _calls(lines, defs, owner, spaces, usings, imports, fields, klass, rules, lang) -> DataFrame:
     """CALLS edges from the enclosing function of every call on a line."""
     code = F.col("code")
     def_lines = defs.where("kind <> 'namespace'").select("path", "n", F.lit(True).alias("is_def"))
@@ -548,6 +570,8 @@ def _calls(lines, defs, owner, spaces, imports, fields, klass, rules, lang) -> D
     inside = sorted_join(sorted_join(inside, owner, ["path", "def_line"]), spaces, "path", "left").withColumn("class_line", innermost(around, "class")["n"])
     inside = sorted_join(inside, klass, ["path", "class_line"], "left")
     cols = ["path", "src", "around", "file_space", "class_line", "class_fqn"]
+    if lang in ("java", "ts"):
+        inside = cut_in_place(inside.select(*cols, "pairs", "made"))
     calls = inside.select(*cols, F.explode("pairs").alias("c")).select(*cols, F.col("c.o").alias("object"), F.col("c.t").alias("target"))
     if rules.statements:
         calls = calls.where(~F.lower("target").isin(*rules.statements))
@@ -567,9 +591,9 @@ def _calls(lines, defs, owner, spaces, imports, fields, klass, rules, lang) -> D
     known = fields.groupBy("path", "class_line", "field").agg(F.max("ftype").alias("ftype"))
     calls = sorted_join(calls.withColumn("field", F.regexp_replace("object", "^this\\.", "")), known, ["path", "class_line", "field"], "left")
     if lang == "cs":
+        calls = cut_in_place(calls)
         by_field = calls.where("ftype is not null")
         rest = calls.where("ftype is null")
-        usings = _usings(lines)
         return _candidates(by_field, usings, "ftype", "CALLS", F.concat(F.lit("."), target)).unionByName(_candidates(rest, usings, "target", "CALLS"))
     made = inside.select(*cols, F.explode("made").alias("target"))
     if lang == "java":
@@ -591,7 +615,9 @@ def extract(files: DataFrame, languages: tuple[str, ...] | None = None) -> Prope
     Edge targets may be qualified names; loading resolves them. Unsupported files are
     left out.
     """
-    ready = cut(prepare(spread(files, FILES, "path")))
+    known = supported(files)
+    parts = shares(known, FILES)
+    ready = cut_in_place(prepare(known.repartition(parts, "path")))
     langs = languages or tuple(r["lang"] for r in ready.select("lang").distinct().collect())
     file_test = is_test_file(F.col("path"))
     file_nodes = ready.select(
@@ -602,7 +628,7 @@ def extract(files: DataFrame, languages: tuple[str, ...] | None = None) -> Prope
     nodes, edges = [conform_nodes(file_nodes)], []
     shifts = ready.select(F.col("path").alias("file"), "shift")
     for lang in langs:
-        rows, refs = _extract(ready, lang)
+        rows, refs = _extract(ready, lang, parts)
         rows = sorted_join(rows, shifts, "file").withColumn("start_line", F.col("start_line") - F.col("shift"))
         test = F.when(is_test_file(F.col("file")) & F.col("label").isin("Function", "Method"), F.lit(True)).otherwise(F.col("is_test"))
         rows = rows.withColumn("is_test", test).withColumn("extra", F.when(F.coalesce("sig", F.lit("")) != "", F.create_map(F.lit("signature"), F.col("sig"))))

@@ -14,7 +14,9 @@ from graphloom.model import sanitize_label
 from graphloom.operators import backlog
 from graphloom.operators.upsert import merge_nodes
 from graphloom.sources import build, files, gitlog, jsonl, store
+from graphloom.session import cut_in_place
 from graphloom.sources.languages import extract, is_test_file, mask_page
+from graphloom.sources.scopes import enclosing
 from graphloom.streaming import ingest
 
 
@@ -398,3 +400,22 @@ def test_project_files_of_one_partition_are_dealt_out(spark):
     for parsed in (build.projects(projects, "Release|x64"), build.projects(projects, "Release|x64", sheets)):
         assert parsed.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
         assert build.compile_commands(parsed).count() == 40
+
+
+def test_rows_of_a_file_stay_where_it_is(spark):
+    rows = [(f"f{i % 5}", i // 5, i % 3) for i in range(60)]
+    lines = cut_in_place(spark.createDataFrame(rows, "path string, n bigint, level int").repartition(3, "path"))
+    defs = lines.where("n % 4 = 0").withColumn("end_line", F.col("n") + 3).withColumn("kind", F.lit("class")).withColumn("name", F.concat("path", F.lit("."), "n")).withColumn("signature", F.lit(""))
+    items = lines.withColumn("item", F.concat_ws("#", "path", "n"))
+    found = enclosing(items, defs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 1 and "Broadcast" not in plan
+    got = {(r["path"], r["n"]): [d["n"] for d in r["around"] or []] for r in found.collect()}
+    assert len(got) == 60
+    for path, n, level in rows:
+        # The last definition of each lower level, where it has not ended.
+        want = []
+        for at in range(level):
+            held = [m for p, m, own in rows if p == path and own == at and m % 4 == 0 and m <= n]
+            want += [max(held)] if held and max(held) + 3 >= n else []
+        assert got[path, n] == want
