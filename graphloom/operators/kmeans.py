@@ -28,8 +28,8 @@ HELD_CENTROIDS = 2048
 # Task sums are added up in this many shares first.
 SUM_SHARES = 256
 # Groups up to this size are clustered inside one task each, if their vectors hold no more numbers than that.
-GROUP_ROWS = 16_384
-GROUP_VALUES = 1 << 20
+GROUP_ROWS = 65_536
+GROUP_VALUES = 1 << 22
 # Rows whose distances to all centroids a task holds at once.
 DISTANCE_ROWS = 1024
 # Of larger groups, rows in a block, and numbers of a block or of the centroids that meet it.
