@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.model import NODE_SCHEMA, SUPER_LABEL, PropertyGraph, conform_edges, sanitize_label
-from graphloom.session import BROADCAST_ROWS, broadcast_if_small, cut
+from graphloom.session import BROADCAST_ROWS, broadcast_if_small, cut, exchanges, shares
+
+# Edges that one task compares or joins.
+EDGES = 500_000
 
 
 def merge_nodes(rows: DataFrame, order: str = "seq") -> DataFrame:
@@ -66,19 +69,21 @@ def resolve_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     overloads. Two equi-joins are united instead of one join on a disjunction.
     """
     edges = edges.withColumn("type", F.coalesce(F.nullif(sanitize_label(F.col("type")), F.lit("")), F.lit("RELATED_TO")))
-    edges = edges.where("src <> '' and dst <> ''").select("src", "dst", "type").distinct()
+    # Written out as they come, so that they are counted before anything is dealt out.
+    edges = cut(edges.where("src <> '' and dst <> ''").select("src", "dst", "type"))
     ids, names = nodes.select("id"), nodes.where("fqn is not null").select("fqn", "id")
-    edges = cut(edges)
-    ends = _ends(edges)
-    if ends.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        # Few ends: nodes are filtered where they lie, and only those that are ends are shuffled.
-        ids = ids.join(F.broadcast(ends), "id", "left_semi")
-        names = names.join(F.broadcast(ends.withColumnRenamed("id", "fqn")), "fqn", "left_semi")
-    anchored = cut(edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi"))
-    by_id = anchored.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "type")
-    named = names.select(F.col("fqn").alias("dst"), F.col("id").alias("target"))
-    by_fqn = anchored.join(named, "dst").select("src", F.col("target").alias("dst"), "type")
-    return by_id.unionByName(by_fqn).distinct()
+    with exchanges(edges.sparkSession, shares(edges, EDGES)):
+        edges = cut(edges.distinct())
+        ends = _ends(edges)
+        if ends.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            # Few ends: nodes are filtered where they lie, and only those that are ends are shuffled.
+            ids = ids.join(F.broadcast(ends), "id", "left_semi")
+            names = names.join(F.broadcast(ends.withColumnRenamed("id", "fqn")), "fqn", "left_semi")
+        anchored = cut(edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi"))
+        by_id = anchored.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "type")
+        named = names.select(F.col("fqn").alias("dst"), F.col("id").alias("target"))
+        by_fqn = anchored.join(named, "dst").select("src", F.col("target").alias("dst"), "type")
+        return cut(by_id.unionByName(by_fqn).distinct())
 
 
 def _ends(edges: DataFrame) -> DataFrame:

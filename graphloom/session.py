@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import math
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Upper bound, in rows, for a key-only side that may be broadcast.
 BROADCAST_ROWS = 500_000
+# What a task reads of files within ``short_splits``.
+SPLIT = "16m"
 
 
 def build_session(app: str = "graphloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -93,6 +97,32 @@ def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     return df.repartition(shares(df, rows), *keys)
 
 
+@contextmanager
+def held(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings for what is made in full within: a plan takes them when it is run."""
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def exchanges(spark: SparkSession, tasks: int):
+    """Within it shuffles have ``tasks`` partitions. Joins and aggregates stay the planner's, which still splits skewed ones.
+
+    Partitions are as large as they should be and are not put together: the planner's size for that is compressed, and narrow rows take many times of it.
+    """
+    return held(spark, {"spark.sql.shuffle.partitions": str(tasks), "spark.sql.adaptive.coalescePartitions.enabled": "false"})
+
+
+def short_splits(spark: SparkSession):
+    """Within it files are read in short splits, for rows that grow much when they are read."""
+    return held(spark, {"spark.sql.files.maxPartitionBytes": SPLIT})
+
+
 def sorted_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     """A join that broadcasts neither side.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom.model import NODE_SCHEMA, SUPER_LABEL, PropertyGraph, sanitize_label
 from graphloom.operators.upsert import merge_nodes, resolve_edges
-from graphloom.session import cut
+from graphloom.session import cut, exchanges, short_splits
 
 _OWN = {"id", "label", "labels", "extra"}
 DEFAULT_LABEL = "Generic"
@@ -84,9 +84,11 @@ def edge_records(records: DataFrame) -> DataFrame:
 def load_graph(lines: DataFrame) -> PropertyGraph:
     """A graph from ``(value, seq)`` lines: nodes merged by id, edges resolved."""
     # Parsed once: the optimizer would otherwise repeat the parse in every filter it pushes.
-    records = cut(parse_lines(lines))
-    # Nodes are read three times while edges are resolved; they are merged once.
-    nodes = cut(merge_nodes(node_records(records)))
+    with short_splits(lines.sparkSession):
+        records = cut(parse_lines(lines))
+    # Nodes are read three times while edges are resolved; they are merged once, in as many tasks as read them.
+    with exchanges(lines.sparkSession, max(lines.sparkSession.sparkContext.defaultParallelism, records.rdd.getNumPartitions())):
+        nodes = cut(merge_nodes(node_records(records)))
     return PropertyGraph(nodes, resolve_edges(nodes, edge_records(records)))
 
 

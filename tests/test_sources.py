@@ -97,6 +97,24 @@ def test_load_merges_nodes_and_resolves_edges(spark):
     assert rows(g.edges) == [("a", "a", "RELATED_TO"), ("a", "b1", "CALLS"), ("a", "b2", "CALLS")]
 
 
+def test_loading_takes_as_many_tasks_as_lines_and_edges_ask_for(spark, tmp_path, monkeypatch):
+    from graphloom import session
+    from graphloom.operators import upsert
+
+    names = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.files.maxPartitionBytes"
+    before = [spark.conf.get(n) for n in names]
+    monkeypatch.setattr(session, "SPLIT", "4k")
+    monkeypatch.setattr(upsert, "EDGES", 100)
+    pairs = [(i % 300, i * 7 % 331) for i in range(3000)]
+    records = [{"id": f"n{i}", "fqn": f"m.{i}"} for i in range(300)] + [{"source": f"n{a}", "target": f"{'m.' if b % 2 else 'n'}{b}", "type": "CALLS"} for a, b in pairs]
+    (tmp_path / "g.jsonl").write_text("\n".join(json.dumps(r) for r in records))
+    g = jsonl.read_graph(spark, str(tmp_path / "g.jsonl"))
+    assert rows(g.edges) == sorted({(f"n{a}", f"n{b}", "CALLS") for a, b in pairs if b < 300}, key=repr)
+    assert g.nodes.count() == 300
+    assert g.edges.rdd.getNumPartitions() == 30 and g.nodes.rdd.getNumPartitions() > 30
+    assert [spark.conf.get(n) for n in names] == before
+
+
 def test_one_id_with_a_third_of_all_versions(spark):
     from graphloom.model import conform_nodes
 
