@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions.vectors import as_double
-from graphloom.session import broadcast_if_small, cut, cut_in_place
+from graphloom.session import broadcast_if_small, cut, cut_afresh, cut_in_place
 
 MAX_ITERATIONS = 50
 # Up to this many centroids are held by every task; beyond it they are joined in chunks.
@@ -417,7 +417,7 @@ def _large_groups(points: DataFrame, sizes: DataFrame, seed: int, max_iterations
                 .where(F.col("place") < F.least(F.lit(have), F.col("k") - have))
                 .select("grp", "id", (F.col("place") + have).alias("cluster"))
             )
-            new = cut(fresh.join(points, ["grp", "id"]).select("grp", "cluster", "vec"))
+            new = cut_afresh(fresh.join(points, ["grp", "id"]).select("grp", "cluster", "vec"))
             if new.isEmpty():
                 break
             seeds = seeds.unionByName(new)
@@ -426,8 +426,8 @@ def _large_groups(points: DataFrame, sizes: DataFrame, seed: int, max_iterations
         closer = _beside(placed, near, new.withColumn("moved", F.lit(True)), single, parts, _seeded, of_seeds)
         # Groups that have their seeds already get none, and rows of blocks whose chunk got none keep what they have.
         least = closer.unionByName(near).groupBy("grp", "block", "id").agg(F.min("dist").alias("dist"))
-        near = cut(least.select("grp", "block", "id", F.lit(-1).cast("bigint").alias("cluster"), "dist"))
-    centroids = cut(seeds.withColumn("moved", F.lit(True)))
+        near = cut_afresh(least.select("grp", "block", "id", F.lit(-1).cast("bigint").alias("cluster"), "dist"))
+    centroids = cut_afresh(seeds.withColumn("moved", F.lit(True)))
     to = near.select("grp", "block", "id", F.lit(0).cast("bigint").alias("cluster"), "dist")
     several = shape.where("chunks > 1").limit(1).count() > 0
     seen = set()
@@ -436,7 +436,7 @@ def _large_groups(points: DataFrame, sizes: DataFrame, seed: int, max_iterations
         if several:
             best = found.groupBy("grp", "block", "id").agg(F.min(F.struct("dist", "cluster")).alias("best"), F.first("old").alias("old"))
             found = best.select("grp", "block", "id", "best.cluster", "best.dist", "old")
-        to = cut(found)
+        to = cut_afresh(found)
         moved = to.where("cluster <> old")
         still = moved.isEmpty()
         if not still and max_iterations is None:
@@ -453,7 +453,7 @@ def _large_groups(points: DataFrame, sizes: DataFrame, seed: int, max_iterations
             rows = rows.join(broadcast_if_small(cut(touched)), ["grp", "cluster"], "left_semi")
         rows = rows.select("grp", "block", F.lit(0).alias("chunk"), "id", "cluster").repartition(parts, "grp", "block", "chunk")
         means = _means(placed.join(rows.hint("merge"), ["grp", "block", "chunk", "id"]))
-        centroids = cut(
+        centroids = cut_afresh(
             centroids.select("grp", "cluster", "vec").join(means, ["grp", "cluster"], "left").select(
                 "grp", "cluster", F.coalesce("mean", "vec").alias("vec"), (~F.coalesce(F.col("mean") == F.col("vec"), F.lit(True))).alias("moved")
             )

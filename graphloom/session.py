@@ -62,6 +62,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_afresh(df: DataFrame) -> DataFrame:
+    """``cut`` for what the next round of a loop is made from: the planner's guess of its size stays behind with the lineage.
+
+    A cut frame carries the guess of the plan it came from, and a join multiplies the guesses of its sides. Where both sides come from the round
+    before, the digits of that number double every round; after some twenty of them they fill the driver.
+    """
+    done, spark = cut(df), df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(done._jdf.javaRDD(), done._jdf.schema()), spark)
+
+
 def cut_in_place(df: DataFrame) -> DataFrame:
     """``cut`` for work on rows that were dealt out by a key before: what follows knows how they lie and shuffles nothing for that key.
 

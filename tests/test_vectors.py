@@ -5,8 +5,10 @@ from itertools import combinations
 import numpy as np
 import pytest
 from frames import ids, rows
+from pyspark.sql import functions as F
 
 from graphloom.operators import domains, history, kmeans, search, similarity
+from graphloom.session import cut_afresh
 
 
 def brute_pairs(vectors, limit, threshold, closest):
@@ -179,6 +181,24 @@ def test_where_the_work_is_done_changes_no_cluster(spark):
     assert len(rows(kmeans.kmeans(one.limit(30), 29, held=8))) == 30
 
 
+def test_rounds_leave_the_planners_guesses_behind(spark):
+    """A guess that each round multiplies by that of the round before has twice as many digits every round, and fills the driver."""
+    df = spark.createDataFrame(sample(88, ["big"], 0), "grp string, id string, vec array<double>")
+    guess = lambda rounds, n: kmeans.cluster_groups(df.limit(n), max_iterations=rounds, group_rows=4)._jdf.queryExecution().optimizedPlan().stats().simpleString()
+    found = guess(1, 88)
+    assert guess(4, 88) == found
+    assert guess(1, 16) == found
+
+
+def test_a_frame_cut_afresh_has_the_same_rows(spark):
+    made = [(1, "a", [1.5, None, float("nan")], None, True), (1, None, [], (2, None), None), (None, "a", None, (None, "x"), False)] * 2
+    df = spark.createDataFrame(made, "n bigint, s string, v array<double>, t struct<a:int,b:string>, f boolean").withColumn("k", F.lit(7))
+    done = cut_afresh(df)
+    assert done.schema == df.schema
+    assert repr(rows(done)) == repr(rows(df))
+    assert not rows(cut_afresh(df.where("n > 1")))
+
+
 def test_names_that_end_in_numbers(spark):
     names = ["X", "X", "X 1", "Y 1", "Y", "Y", "X", "X 1 1", "X 1"]
     df = spark.createDataFrame(list(enumerate(names)), "cluster int, name string")
